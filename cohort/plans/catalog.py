@@ -6,7 +6,7 @@ import importlib
 
 from cohort.plans.common import QUERIES, ORACLES
 
-_MODULES = ["kpi_queries", "insight_queries", "profile_queries", "explore_queries", "clean_queries", "metric_queries", "model_queries", "segment_queries", "score_queries", "record_queries", "intake_queries", "stream_queries"]
+_MODULES = ["kpi_queries", "insight_queries", "misc_queries", "profile_queries", "explore_queries", "clean_queries", "metric_queries", "model_queries", "segment_queries", "score_queries", "record_queries", "intake_queries", "stream_queries"]
 
 
 def _load():
