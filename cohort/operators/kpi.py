@@ -240,9 +240,12 @@ def _first_named(df: DataFrame, names: list[str]) -> str | None:
     return next((c for c in df.columns if normalize_name(c) in names), None)
 
 
-def median_split(df: DataFrame, roles: RoleMap, approx: bool = False) -> DataFrame:
+def median_split(df: DataFrame, roles: RoleMap, approx: bool = False, study: str | None = None) -> DataFrame:
     """Mean row score at or below vs above the median study time."""
-    study = _first_named(df, STUDY_NAMES)
+    study = study or _first_named(df, STUDY_NAMES)
+    if study is None:
+        return df.sparkSession.createDataFrame(
+            [(None, None, None)], "median_study double, low_study_score double, high_study_score double")
     prepared, _ = prepare(df, roles, keep=[study] + _score_cols(df, roles))
     pairs = prepared.select(num(prepared, study).alias("s"), F.col(AVG).alias("a")).dropna()
     med = F.percentile_approx("s", 0.5) if approx else F.median("s")

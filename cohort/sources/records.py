@@ -6,7 +6,7 @@ from __future__ import annotations
 
 import json
 import os
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,7 +70,7 @@ def save_snapshot(df: DataFrame, name: str, base: str) -> int:
     clean = df.select(*cols)
     docs = dense_row_numbers(clean.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]),
                                                     {"ignoreNullFields": "false"}).alias("row_data")))
-    now = datetime.utcnow()
+    now = datetime.now(timezone.utc).replace(tzinfo=None)
     docs = docs.withColumn("created_at", F.lit(now)).withColumn("dataset_id", F.lit(dataset_id).cast("long"))
     docs.write.mode("append").partitionBy("dataset_id").parquet(f"{base}/rows")
     n = rows_store(spark, base).where(F.col("dataset_id") == dataset_id).count()
