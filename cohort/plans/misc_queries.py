@@ -167,3 +167,16 @@ def q_latest_accuracy(spark, sf_dir):
 def q_auto_pipeline(spark, sf_dir):
     from cohort.plans.pipeline_run import auto_pipeline
     return auto_pipeline(students(spark, sf_dir))
+
+
+_PLAIN = "'^\\s*[+-]?([0-9]+(\\.[0-9]*)?|\\.[0-9]+)([eE][+-]?[0-9]+)?\\s*$'"
+
+
+@register("numeric_cast", f"""WITH {STUDENTS}
+SELECT student_id, CASE WHEN regexp_matches(tutor_ref, {_PLAIN}) THEN TRY_CAST(trim(tutor_ref) AS DOUBLE) END AS tutor_num,
+  CASE WHEN regexp_matches(result, {_PLAIN}) THEN TRY_CAST(trim(result) AS DOUBLE) END AS result_num,
+  CAST(absences AS DOUBLE) AS absences_num FROM students""")
+def q_numeric_cast(spark, sf_dir):
+    df = students(spark, sf_dir)
+    return finish(df.select("student_id", kpi.num(df, "tutor_ref").alias("tutor_num"),
+                            kpi.num(df, "result").alias("result_num"), kpi.num(df, "absences").alias("absences_num")))

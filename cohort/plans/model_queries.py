@@ -143,6 +143,7 @@ def q_forest_regressor(spark, sf_dir):
     return pred
 
 
+@register("load_model")
 @register("save_model")
 def q_save_model(spark, sf_dir):
     import os
