@@ -24,6 +24,24 @@ FIGURES = ("total double, average_attendance double, at_risk_count double, pass_
 
 def figures(df: DataFrame, roles: RoleMap, cluster_counts: dict | None = None,
             prediction_accuracy: float | None = None) -> DataFrame:
+    """The figures behind the rules, from a narrow projection that is persisted
+    once and read by the four small aggregates."""
+    import dataclasses
+    from cohort.functions.exprs import is_categorical_type
+    study0 = kpi._first_named(df, kpi.STUDY_NAMES)
+    fail0 = kpi._first_named(df, kpi.FAILURE_NAMES)
+    cats = [f.name for f in df.schema.fields if is_categorical_type(f.dataType)]
+    needed = [c for c in df.columns if c in set(
+        [roles.student_id, roles.target, roles.attendance, study0, fail0] + roles.scores + roles.performance + cats)]
+    narrow = df.select(*[kpi.col(c) for c in needed]).persist()
+    try:
+        roles = dataclasses.replace(roles, source_hash=narrow.semanticHash())
+        return _figures(narrow, roles, cluster_counts, prediction_accuracy)
+    finally:
+        narrow.unpersist()
+
+
+def _figures(df: DataFrame, roles: RoleMap, cluster_counts, prediction_accuracy) -> DataFrame:
     snap = kpi.kpi_snapshot(df, roles).first()
     th = kpi.threshold_counts(df, roles).first()
     tg = kpi.top_group(df, roles).first()

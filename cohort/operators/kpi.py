@@ -42,10 +42,26 @@ def _target_score_cols(df: DataFrame, roles: RoleMap) -> list[str]:
     return [c for c in roles.performance if c in scores] or scores
 
 
+def _max_of(values):
+    vals = [v for v in values if v is not None]
+    return max(vals) if vals else None
+
+
 def scale_stats(df: DataFrame, roles: RoleMap) -> ScaleStats:
-    """One global aggregate: the facts that choose scales and thresholds."""
+    """The facts that choose scales and thresholds.
+
+    Taken from the role-detection pass when it covered these columns (no job);
+    otherwise one global aggregate.
+    """
     scores = _score_cols(df, roles)
     perf = _target_score_cols(df, roles)
+    needed = scores + ([roles.attendance] if roles.attendance else []) + ([roles.target] if roles.target else [])
+    same_source = roles.source_hash is not None and roles.source_hash == df.semanticHash()
+    if same_source and roles.column_max and all(c in roles.column_max for c in needed):
+        att = roles.column_max.get(roles.attendance) if roles.attendance else None
+        labels = roles.label_words.get(roles.target, 0) if roles.target else 0
+        return ScaleStats(_max_of(roles.column_max[c] for c in scores), _max_of(roles.column_max[c] for c in perf),
+                          att, labels or 0)
     aggs = [F.lit(None).cast("double").alias("score_max"), F.lit(None).cast("double").alias("perf_max"),
             F.lit(None).cast("double").alias("att_max"), F.lit(0).cast("long").alias("target_labels")]
     if scores:

@@ -98,9 +98,14 @@ def labelled(df: DataFrame, target, features: list[str], key: str) -> DataFrame:
 
 
 def fit(df: DataFrame, kind: str, features: list[str], seed: int = 42, **kw) -> PipelineModel:
+    """Fit one pipeline; the (narrow) training frame is persisted for the duration of the fit."""
     numeric, categorical = split_features(df, features)
-    n = df.count()
-    return build_pipeline(kind, numeric, categorical, n, seed, **kw).fit(df)
+    data = df.persist()
+    try:
+        n = data.count()
+        return build_pipeline(kind, numeric, categorical, n, seed, **kw).fit(data)
+    finally:
+        data.unpersist()
 
 
 def platt(scores: DataFrame, score: str = "s") -> tuple[float, float]:

@@ -155,22 +155,40 @@ def describe_all(df: DataFrame, columns: list[str] | None = None, approx: bool =
     return out
 
 
-def numeric_facts(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Per numeric column: n, distinct, min, max, whole-number flag (one aggregate + one distinct pass)."""
+def column_stats(df: DataFrame) -> list[dict]:
+    """Per-column facts from three passes (missing counts, distinct counts,
+    numeric min/max/fraction) collected as k rows of metadata."""
     types = {f.name: f.dataType for f in df.schema.fields}
-    aggs = []
-    for i, c in enumerate(columns):
-        x = num_expr(c, types[c])
-        aggs += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"),
-                 F.count_if(x % 1 != 0).alias(f"f{i}")]
-    if not columns:
-        return df.sparkSession.createDataFrame([], "column_name string, n bigint, lo double, hi double, "
-                                                   "fractional bigint, distinct bigint")
-    wide = df.agg(*aggs)
-    facts = wide.select(F.inline(F.array(*[F.struct(
-        F.lit(c).alias("column_name"), F.col(f"n{i}").alias("n"), F.col(f"lo{i}").alias("lo"),
-        F.col(f"hi{i}").alias("hi"), F.col(f"f{i}").alias("fractional")) for i, c in enumerate(columns)])))
-    return facts.join(distinct_frame(df, columns), "column_name")
+    numeric = [c for c in df.columns if is_numeric_type(types[c])]
+    miss = {r.column_name: r for r in missing_frame(df).collect()}
+    dist = {r.column_name: r.distinct for r in distinct_frame(df).collect()}
+    nums = {}
+    if numeric:
+        aggs = []
+        for i, c in enumerate(numeric):
+            x = num_expr(c, types[c])
+            aggs += [F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"), F.count_if(x % 1 != 0).alias(f"f{i}")]
+        row = df.agg(*aggs).first()
+        nums = {c: (row[f"lo{i}"], row[f"hi{i}"], row[f"f{i}"]) for i, c in enumerate(numeric)}
+    out = []
+    for i, c in enumerate(df.columns):
+        m = miss[c]
+        lo, hi, frac = nums.get(c, (None, None, None))
+        out.append({"column_name": c, "position": i, "non_null": m.non_null, "n_rows": m.n_rows,
+                    "distinct": dist.get(c, 0), "lo": lo, "hi": hi, "fractional": frac,
+                    "is_number": is_numeric_type(types[c]), "is_string": isinstance(types[c], T.StringType),
+                    "is_categorical": is_categorical_type(types[c])})
+    return out
+
+
+def _is_sequential(s: dict) -> bool:
+    n, d = s["non_null"], s["distinct"]
+    return (s["is_number"] and n >= 3 and s["fractional"] == 0 and s["hi"] is not None
+            and s["hi"] - s["lo"] + 1 == d and d >= max(3, n - 1))
+
+
+def _ratio(s: dict) -> float:
+    return s["distinct"] / s["non_null"] if s["non_null"] > 0 else 0.0
 
 
 def sequential_ids(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -179,13 +197,10 @@ def sequential_ids(df: DataFrame, columns: list[str] | None = None) -> DataFrame
     Gaps in {0, 1} over sorted values is the same as max - min + 1 == distinct,
     so no sort is needed.
     """
-    types = {f.name: f.dataType for f in df.schema.fields}
-    columns = columns or [c for c in df.columns if is_numeric_type(types[c])]
-    f = numeric_facts(df, columns)
-    seq = ((F.col("n") >= 3) & (F.col("fractional") == 0)
-           & (F.col("hi") - F.col("lo") + 1 == F.col("distinct"))
-           & (F.col("distinct") >= F.greatest(F.lit(3), F.col("n") - 1)))
-    return f.select("column_name", F.coalesce(seq, F.lit(False)).alias("sequential"))
+    stats = column_stats(df)
+    rows = [(s["column_name"], _is_sequential(s)) for s in stats
+            if s["is_number"] and (columns is None or s["column_name"] in columns)]
+    return df.sparkSession.createDataFrame(rows, "column_name string, sequential boolean")
 
 
 def unique_ratio(df: DataFrame) -> DataFrame:
@@ -205,23 +220,26 @@ def _name_reason(name: str) -> str | None:
     return None
 
 
-def identifier_columns(df: DataFrame, threshold: float = UNIQUENESS_THRESHOLD) -> DataFrame:
-    """(column_name, is_identifier, reason) for every column."""
-    types = {f.name: f.dataType for f in df.schema.fields}
-    spark = df.sparkSession
-    ratio = unique_ratio(df)
-    numeric = [c for c in df.columns if is_numeric_type(types[c])]
-    seq = sequential_ids(df, numeric) if numeric else spark.createDataFrame([], "column_name string, sequential boolean")
-    meta = spark.createDataFrame(
-        [(c, i, _name_reason(c), is_numeric_type(types[c]), isinstance(types[c], T.StringType))
-         for i, c in enumerate(df.columns)],
-        "column_name string, position int, name_reason string, is_number boolean, is_string boolean")
-    j = meta.join(ratio, "column_name").join(seq, "column_name", "left")
-    almost = F.col("unique_ratio") >= threshold
-    reason = (F.when(F.col("name_reason").isNotNull(), F.col("name_reason"))
-              .when(almost & F.col("is_number") & F.coalesce(F.col("sequential"), F.lit(False)), F.lit("sequence"))
-              .when(almost & F.col("is_string"), F.lit("near-unique text")))
-    return j.select("column_name", "position", reason.isNotNull().alias("is_identifier"), reason.alias("reason"))
+def _identifier_reason(s: dict, threshold: float) -> str | None:
+    reason = _name_reason(s["column_name"])
+    if reason:
+        return reason
+    almost = s["n_rows"] > 0 and _ratio(s) >= threshold
+    if almost and _is_sequential(s):
+        return "sequence"
+    if almost and s["is_string"]:
+        return "near-unique text"
+    return None
+
+
+def identifier_columns(df: DataFrame, threshold: float = UNIQUENESS_THRESHOLD, stats: list | None = None) -> DataFrame:
+    """(column_name, position, is_identifier, reason) for every column."""
+    stats = stats or column_stats(df)
+    rows = []
+    for s in stats:
+        reason = _identifier_reason(s, threshold)
+        rows.append((s["column_name"], s["position"], reason is not None, reason))
+    return df.sparkSession.createDataFrame(rows, "column_name string, position int, is_identifier boolean, reason string")
 
 
 def high_cardinality(df: DataFrame, columns: list[str] | None = None,
@@ -232,31 +250,35 @@ def high_cardinality(df: DataFrame, columns: list[str] | None = None,
         "column_name", "distinct", (F.col("distinct") > threshold).alias("high_cardinality"))
 
 
+def _plan_rows(stats: list[dict], threshold: int) -> list[tuple]:
+    rows = []
+    for s in stats:
+        reason = _identifier_reason(s, UNIQUENESS_THRESHOLD)
+        if reason is not None:
+            grp = "identifier"
+        elif s["is_number"]:
+            grp = "numeric"
+        elif s["is_categorical"] and s["distinct"] > threshold:
+            grp = "high_cardinality"
+        elif s["is_categorical"]:
+            grp = "categorical"
+        else:
+            grp = "unused"
+        rows.append((s["column_name"], s["position"], grp, reason))
+    return rows
+
+
 def column_plan(df: DataFrame, threshold: int = CARDINALITY_THRESHOLD) -> DataFrame:
     """(column_name, position, grp, reason): numeric / categorical kept, or why excluded."""
-    types = {f.name: f.dataType for f in df.schema.fields}
-    ident = identifier_columns(df)
-    cats = [c for c in df.columns if is_categorical_type(types[c])]
-    card = high_cardinality(df, cats, threshold) if cats else df.sparkSession.createDataFrame(
-        [], "column_name string, distinct bigint, high_cardinality boolean")
-    kinds = df.sparkSession.createDataFrame(
-        [(c, "numeric" if is_numeric_type(types[c]) else "categorical" if c in cats else "other")
-         for c in df.columns], "column_name string, kind string")
-    j = ident.join(kinds, "column_name").join(card.select("column_name", "high_cardinality"), "column_name", "left")
-    grp = (F.when(F.col("is_identifier"), F.lit("identifier"))
-           .when(F.col("kind") == "numeric", F.lit("numeric"))
-           .when((F.col("kind") == "categorical") & F.col("high_cardinality"), F.lit("high_cardinality"))
-           .when(F.col("kind") == "categorical", F.lit("categorical"))
-           .otherwise(F.lit("unused")))
-    return j.select("column_name", "position", grp.alias("grp"), F.col("reason"))
+    return df.sparkSession.createDataFrame(_plan_rows(column_stats(df), threshold),
+                                           "column_name string, position int, grp string, reason string")
 
 
 def plan_lists(df: DataFrame, threshold: int = CARDINALITY_THRESHOLD) -> dict[str, list[str]]:
-    rows = column_plan(df, threshold).orderBy("position").collect()
     out: dict[str, list[str]] = {"numeric": [], "categorical": [], "identifier": [], "high_cardinality": [],
                                  "unused": []}
-    for r in rows:
-        out[r.grp].append(r.column_name)
+    for name, _, grp, _ in _plan_rows(column_stats(df), threshold):
+        out[grp].append(name)
     return out
 
 

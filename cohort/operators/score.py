@@ -20,10 +20,15 @@ def train_scoring_model(features: DataFrame, target) -> tuple:
     """Logistic model on the five form features (median imputation + scaling inside the pipeline)."""
     data = features.select(*FORM, target.alias("_t")).where(F.col("_t").isNotNull()) \
         .withColumn(LABEL, F.when(F.col("_t") == PASS, 1.0).otherwise(0.0)).drop("_t")
-    n = data.count()
-    lr = LogisticRegression(labelCol=LABEL, maxIter=1000, regParam=1.0 / (LOGISTIC_C * max(n, 1)),
-                            elasticNetParam=0.0, standardization=False)
-    return Pipeline(stages=prep_stages(FORM, []) + [lr]).fit(data), n
+    # iterative fitting reads the narrow training projection several times: persist it once
+    data = data.persist()
+    try:
+        n = data.count()
+        lr = LogisticRegression(labelCol=LABEL, maxIter=1000, regParam=1.0 / (LOGISTIC_C * max(n, 1)),
+                                elasticNetParam=0.0, standardization=False)
+        return Pipeline(stages=prep_stages(FORM, []) + [lr]).fit(data), n
+    finally:
+        data.unpersist()
 
 
 def add_outputs(pred: DataFrame, p_col: str = "pass_probability") -> DataFrame:
