@@ -118,3 +118,25 @@ def q_scatter_points(spark, sf_dir):
                            "WHERE studytime IS NOT NULL AND g2 IS NOT NULL GROUP BY studytime ORDER BY studytime")
 def q_sorted_series(spark, sf_dir):
     return finish(explore.sorted_series(students(spark, sf_dir), "studytime", "g2", aggregate=True))
+
+
+def _kendall_sql():
+    long = "\nUNION ALL\n".join(
+        f"SELECT {i} AS pair, CAST({a} AS DOUBLE) AS x, CAST({b} AS DOUBLE) AS y FROM students "
+        f"WHERE {a} IS NOT NULL AND {b} IS NOT NULL" for i, (a, b) in enumerate(PAIRS))
+    names = "\nUNION ALL\n".join(f"SELECT {i} AS pair, '{a}' AS column_a, '{b}' AS column_b"
+                                 for i, (a, b) in enumerate(PAIRS))
+    return (f"WITH {STUDENTS}, l AS ({long}),\n"
+            "p AS (SELECT pair, x, y, count(*) AS w FROM l GROUP BY pair, x, y),\n"
+            "s AS (SELECT a.pair, sum(a.w * b.w * sign(a.x - b.x) * sign(a.y - b.y)) / 2 AS s\n"
+            "      FROM p a JOIN p b ON a.pair = b.pair GROUP BY a.pair),\n"
+            "tx AS (SELECT pair, sum(t * (t - 1) / 2) AS n1, sum(t) AS n FROM (SELECT pair, x, sum(w) AS t FROM p GROUP BY pair, x) q GROUP BY pair),\n"
+            "ty AS (SELECT pair, sum(t * (t - 1) / 2) AS n2 FROM (SELECT pair, y, sum(w) AS t FROM p GROUP BY pair, y) q GROUP BY pair),\n"
+            f"n AS ({names})\n"
+            "SELECT column_a, column_b, round(s / sqrt((n * (n - 1) / 2 - n1) * (n * (n - 1) / 2 - n2)), 6) AS tau\n"
+            "FROM n LEFT JOIN s ON n.pair = s.pair LEFT JOIN tx ON n.pair = tx.pair LEFT JOIN ty ON n.pair = ty.pair")
+
+
+@register("correlation_kendall", _kendall_sql())
+def q_correlation_kendall(spark, sf_dir):
+    return finish(explore.correlation_kendall(students(spark, sf_dir), NUM_COLS))
