@@ -44,36 +44,42 @@ def class_metrics(df: DataFrame, y: str = "y", pred: str = "pred") -> DataFrame:
                     _ratio(2 * tp, 2 * tp + fp + fn).alias("f1"))
 
 
-def score_groups(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
+def score_groups(df: DataFrame, y: str = "y", p: str = "p", group: list[str] | None = None) -> DataFrame:
     """Distinct scores with positive and negative counts (partial aggregation first)."""
-    return df.groupBy(F.col(p).alias("score")).agg(
+    return df.groupBy(*(group or []), F.col(p).alias("score")).agg(
         F.count_if(F.col(y) == 1).cast("long").alias("pos"),
         F.count_if(F.col(y) == 0).cast("long").alias("neg"))
 
 
-def roc_auc(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
-    """Area under ROC with ties: rank-sum statistic on average ranks of grouped scores."""
-    g = score_groups(df, y, p).withColumn("n", F.col("pos") + F.col("neg"))
-    ranked = running_sums(g, "score", ["n"])
+def roc_auc(df: DataFrame, y: str = "y", p: str = "p", group: list[str] | None = None) -> DataFrame:
+    """Area under ROC with ties: rank-sum statistic on average ranks of grouped scores
+    (one value per group, e.g. per fold, when ``group`` is given)."""
+    group = group or []
+    g = score_groups(df, y, p, group).withColumn("n", F.col("pos") + F.col("neg"))
+    ranked = running_sums(g, "score", ["n"], group=group)
     ranked = ranked.withColumn("avg_rank", F.col("cum_n") - (F.col("n") - 1) / 2.0)
-    t = ranked.agg(F.sum(F.col("pos") * F.col("avg_rank")).alias("r"), F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    return t.select(F.when((F.col("P") > 0) & (F.col("N") > 0),
+    t = ranked.groupBy(*group).agg(F.sum(F.col("pos") * F.col("avg_rank")).alias("r"), F.sum("pos").alias("P"),
+                                   F.sum("neg").alias("N"))
+    return t.select(*group, F.when((F.col("P") > 0) & (F.col("N") > 0),
                            (F.col("r") - F.col("P") * (F.col("P") + 1) / 2.0) / (F.col("P") * F.col("N")))
                     .alias("roc_auc"))
 
 
-def _desc_curve(df: DataFrame, y: str, p: str) -> DataFrame:
+def _desc_curve(df: DataFrame, y: str, p: str, group: list[str] | None = None) -> DataFrame:
     """Per distinct score, descending: tps / fps = positives / negatives with score >= threshold."""
-    g = score_groups(df, y, p)
-    cum = running_sums(g, "score", ["pos", "neg"], descending=True)
-    return cum.select("score", "pos", "neg", F.col("cum_pos").alias("tps"), F.col("cum_neg").alias("fps"))
+    group = group or []
+    g = score_groups(df, y, p, group)
+    cum = running_sums(g, "score", ["pos", "neg"], group=group, descending=True)
+    return cum.select(*group, "score", "pos", "neg", F.col("cum_pos").alias("tps"), F.col("cum_neg").alias("fps"))
 
 
-def average_precision(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
+def average_precision(df: DataFrame, y: str = "y", p: str = "p", group: list[str] | None = None) -> DataFrame:
     """Step-wise sum over thresholds: sum((R_k - R_k-1) * P_k)."""
-    c = _desc_curve(df, y, p)
-    t = c.agg(F.sum(F.col("pos") * F.col("tps") / (F.col("tps") + F.col("fps"))).alias("s"), F.sum("pos").alias("P"))
-    return t.select(F.when(F.col("P") > 0, F.col("s") / F.col("P")).alias("average_precision"))
+    group = group or []
+    c = _desc_curve(df, y, p, group)
+    t = c.groupBy(*group).agg(F.sum(F.col("pos") * F.col("tps") / (F.col("tps") + F.col("fps"))).alias("s"),
+                              F.sum("pos").alias("P"))
+    return t.select(*group, F.when(F.col("P") > 0, F.col("s") / F.col("P")).alias("average_precision"))
 
 
 def log_loss(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:

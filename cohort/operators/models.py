@@ -207,8 +207,8 @@ def cross_validate(train: DataFrame, kind: str, features: list[str], key: str, f
         stacked = stacked.unionByName(p)
     stacked = stacked.cache()
     per_fold = fold_metrics(stacked, ["fold"])
-    aucs = [metrics.roc_auc(stacked.where(F.col("fold") == i), LABEL, "p").first()[0] for i in range(k)]
-    aps = [metrics.average_precision(stacked.where(F.col("fold") == i), LABEL, "p").first()[0] for i in range(k)]
+    aucs = [r.roc_auc for r in metrics.roc_auc(stacked, LABEL, "p", ["fold"]).collect()]  # k rows
+    aps = [r.average_precision for r in metrics.average_precision(stacked, LABEL, "p", ["fold"]).collect()]
     names = [("accuracy", "Accuracy"), ("precision", "Precision"), ("recall", "Recall"), ("f1", "F1-score")]
     rows = per_fold.agg(*[F.avg(c).alias(f"{c}_m") for c, _ in names + [("log_loss", ""), ("brier", "")]],
                         *[F.stddev_pop(c).alias(f"{c}_s") for c, _ in names + [("log_loss", ""), ("brier", "")]]).first()
