@@ -80,3 +80,74 @@ def test_auc_properties(spark):
     assert auc == pytest.approx(brute)
     c = metrics.confusion_counts(df.withColumn("pred", (F.col("p") >= 0.5).cast("long"))).first()
     assert c.tn + c.fp + c.fn + c.tp == 200
+
+
+def _brute_kendall(xs, ys):
+    n = len(xs)
+    s = sum((1 if (xs[i] - xs[j]) * (ys[i] - ys[j]) > 0 else -1 if (xs[i] - xs[j]) * (ys[i] - ys[j]) < 0 else 0)
+            for i in range(n) for j in range(i + 1, n))
+    from collections import Counter
+    n0 = n * (n - 1) / 2
+    n1 = sum(t * (t - 1) / 2 for t in Counter(xs).values())
+    n2 = sum(t * (t - 1) / 2 for t in Counter(ys).values())
+    return s / ((n0 - n1) * (n0 - n2)) ** 0.5
+
+
+def _avg_ranks(v):
+    order = sorted(range(len(v)), key=lambda i: v[i])
+    ranks = [0.0] * len(v)
+    i = 0
+    while i < len(order):
+        j = i
+        while j + 1 < len(order) and v[order[j + 1]] == v[order[i]]:
+            j += 1
+        for k in range(i, j + 1):
+            ranks[order[k]] = (i + j) / 2 + 1
+        i = j + 1
+    return ranks
+
+
+def _pearson(a, b):
+    n = len(a)
+    ma, mb = sum(a) / n, sum(b) / n
+    cov = sum((x - ma) * (y - mb) for x, y in zip(a, b))
+    va = sum((x - ma) ** 2 for x in a) ** 0.5
+    vb = sum((y - mb) ** 2 for y in b) ** 0.5
+    return cov / (va * vb)
+
+
+def test_rank_correlations_match_brute_force(spark):
+    from cohort.operators import explore
+    rnd = random.Random(11)
+    rows = [(float(rnd.randint(0, 9)), float(rnd.randint(0, 6)), rnd.random()) for _ in range(150)]
+    rows += [(None, 1.0, 0.5), (2.0, None, None)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    tau = {(r.column_a, r.column_b): r.tau for r in explore.correlation_kendall(df, ["a", "b", "c"]).collect()}
+    rho = {(r.column_a, r.column_b): r.r for r in explore.correlation_spearman(df, ["a", "b", "c"]).collect()}
+    for a, b, ia, ib in [("a", "b", 0, 1), ("a", "c", 0, 2), ("b", "c", 1, 2)]:
+        comp = [(r[ia], r[ib]) for r in rows if r[ia] is not None and r[ib] is not None]
+        xs, ys = [p[0] for p in comp], [p[1] for p in comp]
+        assert tau[(a, b)] == pytest.approx(_brute_kendall(xs, ys), abs=1e-9)
+        assert rho[(a, b)] == pytest.approx(_pearson(_avg_ranks(xs), _avg_ranks(ys)), abs=1e-9)
+
+
+def test_text_tables(spark):
+    from cohort.sources.delimited import extract_text_tables
+    docs = spark.createDataFrame([
+        (1, "intro line\nname|score|\nann|3|x\nbob|4|\nend"),
+        (2, "a,b\n1,2\n3,4"),
+        (3, "no table here"),
+    ], "doc_id long, text string")
+    got = sorted((r.doc_id, r.row_no, r.column_name, r.value) for r in extract_text_tables(docs).collect())
+    assert (1, 2, "name", "ann") in got and (1, 2, "column_3", "x") in got and (1, 3, "column_3", None) in got
+    assert (2, 1, "a", "1") in got and (2, 2, "b", "4") in got
+    assert not [g for g in got if g[0] == 3]
+
+
+def test_sniffed_semicolon_file(spark, tmp_path):
+    from cohort.sources.delimited import read_delimited
+    p = tmp_path / "audit.csv"
+    p.write_text("studytime;absences;G1\n2;4;12\n3;1;15\n")
+    df = read_delimited(spark, str(p))
+    assert df.columns == ["studytime", "absences", "G1"]
+    assert [tuple(r) for r in df.collect()] == [(2, 4, 12), (3, 1, 15)]
