@@ -152,16 +152,24 @@ class CalibratedModel:
         return df.join(probs, keys)
 
 
+def _parallel(fn, items, workers: int = 4):
+    """Independent fits submitted as concurrent Spark jobs (as CrossValidator's parallelism does)."""
+    from concurrent.futures import ThreadPoolExecutor
+    items = list(items)
+    with ThreadPoolExecutor(max_workers=max(1, min(workers, len(items)))) as pool:
+        return list(pool.map(fn, items))
+
+
 def calibrate_sigmoid(train: DataFrame, kind: str, features: list[str], key: str, folds: int = CALIBRATION_FOLDS,
                       seed: int = 42, **kw) -> CalibratedModel:
     assigned = fold_assignment(train, LABEL, col(key), folds, seed).cache()
-    members = []
-    for k in range(folds):
-        fit_part = assigned.where(F.col("fold") != k).drop("fold")
-        held = assigned.where(F.col("fold") == k).drop("fold")
-        m = fit(fit_part, kind, features, seed, **kw)
-        a, b = platt(_raw_score(m.transform(held), kind))
-        members.append((m, a, b))
+
+    def member(k):
+        m = fit(assigned.where(F.col("fold") != k).drop("fold"), kind, features, seed, **kw)
+        a, b = platt(_raw_score(m.transform(assigned.where(F.col("fold") == k).drop("fold")), kind))
+        return m, a, b
+
+    members = _parallel(member, range(folds))
     assigned.unpersist()
     return CalibratedModel(kind, members)
 
@@ -194,14 +202,16 @@ def cross_validate(train: DataFrame, kind: str, features: list[str], key: str, f
     if k is None:
         return spark.createDataFrame([], "metric string, mean double, std double")
     assigned = fold_assignment(train, LABEL, col(key), k, seed).cache()
-    preds, times = [], []
-    for i in range(k):
+
+    def one_fold(i):
         t0 = time.time()
         m = fit(assigned.where(F.col("fold") != i).drop("fold"), kind, features, seed, **kw)
-        times.append(time.time() - t0)
-        held = assigned.where(F.col("fold") == i)
-        preds.append(pass_probability(m.transform(held)).select("fold", LABEL, "p",
-                                                                F.col("prediction").alias("yhat")))
+        return m, time.time() - t0
+
+    fitted = _parallel(one_fold, range(k))
+    times = [t for _, t in fitted]
+    preds = [pass_probability(m.transform(assigned.where(F.col("fold") == i))).select(
+        "fold", LABEL, "p", F.col("prediction").alias("yhat")) for i, (m, _) in enumerate(fitted)]
     stacked = preds[0]
     for p in preds[1:]:
         stacked = stacked.unionByName(p)
@@ -226,26 +236,30 @@ def permutation_importance(model, test: DataFrame, features: list[str], key: str
                            seed: int = 42) -> DataFrame:
     """Mean / std drop in holdout F1 when one feature's values are shuffled.
 
-    A shuffle of feature j in repeat r pairs the row ranked i by one hash with
-    the row ranked i by another hash (ranks from distributed running counts),
-    so every (feature, repeat) copy is built by joins and all copies are scored
-    in one job.
+    Each repeat r orders the holdout rows by a seeded hash (positions from
+    distributed running counts, computed once); feature j in repeat r takes
+    its values from the rows a non-zero cyclic shift away in that order, so
+    every (feature, repeat) copy is built by an equi-join on (repeat, position)
+    and all copies are scored in one job.
     """
     base = test.select(col(key).alias(key), *[col(c) for c in features], LABEL)
     spark = test.sparkSession
+    n = base.count()
+    # one random order per repeat (hash ranks from distributed running counts) ...
+    reps = base.select("*", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("r")) \
+        .withColumn("_h", F.xxhash64(F.lit(seed), F.col("r"), col(key))).withColumn("_one", F.lit(1))
+    ranked = running_sums(reps, "_h", ["_one"], group=["r"]).withColumnRenamed("cum__one", "_pos") \
+        .drop("_one", "_h").persist()
     parts = []
     for j, feat in enumerate(features):
-        expanded = base.select("*", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("r"))
-        a = expanded.withColumn("_ha", F.xxhash64(F.lit(seed), F.lit(j), F.col("r"), F.lit("a"), col(key))) \
-            .withColumn("_one", F.lit(1))
-        a = running_sums(a, "_ha", ["_one"], group=["r"]).withColumnRenamed("cum__one", "_pos").drop("_one", "_ha")
-        b = base.select(col(key).alias("_k2"), col(feat).alias("_v"), F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("r")) \
-            .withColumn("_hb", F.xxhash64(F.lit(seed), F.lit(j), F.col("r"), F.lit("b"), F.col("_k2"))) \
-            .withColumn("_one", F.lit(1))
-        b = running_sums(b, "_hb", ["_one"], group=["r"]).withColumnRenamed("cum__one", "_pos").select("r", "_pos", "_v")
-        shuffled = a.join(b, ["r", "_pos"]).drop(feat).withColumnRenamed("_v", feat).drop("_pos") \
-            .withColumn("j", F.lit(j))
-        parts.append(shuffled)
+        # ... and per feature a distinct non-zero cyclic shift of that order: every row takes the
+        # value of another row, found by an equi-join on (repeat, position)
+        shift = F.lit(1) + (F.lit(j) * F.lit(repeats) + F.col("r") * F.lit(7919)) % F.lit(max(n - 1, 1))
+        donors = ranked.select("r", (((F.col("_pos") - 1 + shift) % F.lit(max(n, 1))) + 1).alias("_pos"),
+                               col(feat).alias("_v"))
+        shuffled = ranked.drop(feat).join(donors, ["r", "_pos"]).withColumnRenamed("_v", feat) \
+            .drop("_pos").withColumn("j", F.lit(j))
+        parts.append(shuffled.select(key, *features, LABEL, "r", "j"))
     allp = parts[0]
     for p in parts[1:]:
         allp = allp.unionByName(p)
@@ -255,7 +269,10 @@ def permutation_importance(model, test: DataFrame, features: list[str], key: str
     names = spark.createDataFrame([(j, f) for j, f in enumerate(features)], "j int, feature string")
     imp = f1s.groupBy("j").agg(F.avg(F.lit(base_f1) - F.col("f1")).alias("importance"),
                                F.stddev_pop(F.lit(base_f1) - F.col("f1")).alias("importance_std"))
-    return names.join(imp, "j").select("feature", "importance", "importance_std")
+    out = names.join(imp, "j").select("feature", "importance", "importance_std")
+    out = spark.createDataFrame(out.collect(), out.schema)  # one row per feature
+    ranked.unpersist()
+    return out
 
 
 def _predict(model, df: DataFrame, keys: list[str]) -> DataFrame:
@@ -314,7 +331,7 @@ def train_all(df: DataFrame, target, features: list[str], key: str, kinds=("tree
     counts = class_counts(train, LABEL)
     minority = min(counts.values()) if counts else 0
     cal_folds = min(CALIBRATION_FOLDS, minority) if minority >= 2 else None
-    rows, cvs, imps, preds = [], [], [], []
+    rows, cvs, imps, preds, cached_preds = [], [], [], [], []
     for kind in kinds:
         name = MODEL_NAMES[kind]
         cv = cross_validate(train, kind, feats, key, cv_folds, seed, **kw) if cv_folds else \
@@ -325,6 +342,7 @@ def train_all(df: DataFrame, target, features: list[str], key: str, kinds=("tree
         else:
             model = fit(train, kind, feats, seed, **kw)
         pred = holdout_predictions(model, test, key).cache()
+        cached_preds.append(pred)
         m = evaluate(pred, name)
         for metric, short in [("Accuracy", "cv_accuracy"), ("F1-score", "cv_f1"), ("ROC-AUC", "cv_roc_auc")]:
             mean, std = cv_rows.get(metric, (None, None))
@@ -340,6 +358,8 @@ def train_all(df: DataFrame, target, features: list[str], key: str, kinds=("tree
     out["importance"] = _union(imps) if imps else None
     out["predictions"] = _union(preds)
     out["train_rows"], out["test_rows"] = train.count(), test.count()
+    for frame in [split, train, test] + cached_preds:
+        frame.unpersist()
     return out
 
 

@@ -58,7 +58,7 @@ def q_fold_assignment(spark, sf_dir):
 
 def _train_test(spark, sf_dir):
     data = _labelled(spark, sf_dir)
-    s = split.stratified_split(data, models.LABEL, col(KEY), 0.3).cache()
+    s = split.stratified_split(data, models.LABEL, col(KEY), 0.3)  # deterministic: safe to recompute
     return s.where(~F.col("is_test")).drop("is_test"), s.where(F.col("is_test")).drop("is_test")
 
 
