@@ -201,20 +201,33 @@ def subject_means(df: DataFrame, roles: RoleMap, stats: ScaleStats | None = None
         for i, c in enumerate(scores)])))
 
 
-def group_columns(df: DataFrame, distinct_counts: dict[str, int]) -> list[str]:
-    """Categorical columns usable for group insights (2..12 levels, no outcome/id names)."""
+GROUP_BLOCKED = ["pass", "fail", "status", "result", "outcome", "id"]
+
+
+def group_candidates(df: DataFrame) -> list[str]:
+    """Non-numeric, non-datetime columns whose names carry no outcome / id token."""
     from cohort.functions.exprs import is_numeric_type, is_datetime_type
-    blocked = ["pass", "fail", "status", "result", "outcome", "id"]
-    out = []
-    for f in df.schema.fields:
-        norm = normalize_name(f.name)
-        if any(k in norm for k in blocked):
-            continue
-        if is_numeric_type(f.dataType) or is_datetime_type(f.dataType):
-            continue
-        if 1 < distinct_counts.get(f.name, 0) <= 12:
-            out.append(f.name)
-    return out
+    return [f.name for f in df.schema.fields
+            if not any(k in normalize_name(f.name) for k in GROUP_BLOCKED)
+            and not is_numeric_type(f.dataType) and not is_datetime_type(f.dataType)]
+
+
+def group_columns(df: DataFrame, distinct_counts: dict[str, int] | None = None, max_levels: int = 12) -> list[str]:
+    """Categorical columns usable for group insights (2..12 levels, no outcome/id names).
+
+    Without given counts, a cheap HyperLogLog pass first drops columns that are
+    clearly above the cut (estimate > 2x the cut), so exact distinct counts are
+    only computed for the few plausible ones.
+    """
+    cands = group_candidates(df)
+    if distinct_counts is None:
+        from cohort.operators.profile import distinct_counts as exact_counts
+        if not cands:
+            return []
+        est = df.agg(*[F.approx_count_distinct(col(c)).alias(f"e{i}") for i, c in enumerate(cands)]).first()
+        plausible = [c for i, c in enumerate(cands) if est[f"e{i}"] <= 2 * max_levels]
+        distinct_counts = exact_counts(df, plausible) if plausible else {}
+    return [c for c in cands if 1 < distinct_counts.get(c, 0) <= max_levels]
 
 
 def top_group(df: DataFrame, roles: RoleMap, candidates: list[str] | None = None) -> DataFrame:
@@ -224,9 +237,7 @@ def top_group(df: DataFrame, roles: RoleMap, candidates: list[str] | None = None
     aggregate; no per-column jobs.
     """
     if candidates is None:
-        from cohort.operators.profile import distinct_counts
-        counts = distinct_counts(df, df.columns)
-        candidates = group_columns(df, counts)
+        candidates = group_columns(df)
     prepared, _ = prepare(df, roles, keep=candidates + [c for c in _score_cols(df, roles)])
     if not candidates:
         return prepared.sparkSession.createDataFrame([], "group_column string, level string, average_score double")
