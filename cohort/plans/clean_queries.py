@@ -181,3 +181,13 @@ def q_scoring_input_check(spark, sf_dir):
 @register("audit_rows")
 def q_audit_rows(spark, sf_dir):
     return clean.audit_rows(students(spark, sf_dir))
+
+
+@register("drop_all_missing_columns", f"WITH {STUDENTS}\nSELECT student_id, g1, g3 FROM students "
+                                      "WHERE g1 IS NOT NULL OR g3 IS NOT NULL")
+def q_drop_all_missing_columns(spark, sf_dir):
+    # 'g_unreleased' is a score column with no values yet (entirely NULL): it is removed first,
+    # then rows missing every remaining column go
+    df = students(spark, sf_dir).withColumn("g_unreleased", F.when(F.col("g1") > 1e9, F.col("g1")))
+    out, kept = clean.drop_all_missing(df, ["g1", "g_unreleased", "g3"])
+    return out.select("student_id", *kept)
