@@ -79,7 +79,7 @@ def q_report_facts(spark, sf_dir):
     mark = 10 if mx is not None and mx <= 20 else 60  # the report rule knows only the 20- and 100-point scales
     types = [f.dataType for f in df.schema.fields]
     facts = df.agg(F.count(F.lit(1)).alias("row_count"), F.avg(x).alias("performance_mean"),
-                   (F.count_if(x >= mark) * 100.0 / F.count(x)).alias("pass_rate"))
+                   F.try_divide(F.count_if(x >= mark) * 100.0, F.count(x)).alias("pass_rate"))
     missing = missing_frame(df).agg(F.sum("missing").alias("missing_values"))
     m = missing.first().missing_values
     return finish(facts.select("row_count", F.lit(len(types)).cast("long").alias("column_count"),

@@ -21,7 +21,7 @@ def pass_rate_windows(df: DataFrame, ts: str, label: str, window: str = "1 hour"
     g = src.groupBy(F.window("_ts", window).alias("w")).agg(
         F.count_if(F.col(label) == "Pass").alias("passes"), F.count(F.col(label)).alias("labelled"))
     return g.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "passes", "labelled",
-                    (F.col("passes") * 100.0 / F.col("labelled")).alias("pass_rate"))
+                    F.try_divide(F.col("passes") * 100.0, F.col("labelled")).alias("pass_rate"))
 
 
 def dedup_stream(df: DataFrame, keys: list[str], ts: str, watermark: str = "1 hour") -> DataFrame:
