@@ -76,8 +76,10 @@ def classifier(kind: str, n_train: int, seed: int = 42, forest_depth: int = FORE
         return LogisticRegression(labelCol=LABEL, maxIter=LOGISTIC_MAX_ITER, regParam=1.0 / (LOGISTIC_C * max(n_train, 1)),
                                   elasticNetParam=0.0, standardization=False)
     if kind == "forest":
+        # more nodes per pass over the data (fewer passes) and cached node ids for deep trees
         return RandomForestClassifier(labelCol=LABEL, numTrees=trees, minInstancesPerNode=FOREST_MIN_LEAF,
-                                      maxDepth=forest_depth, featureSubsetStrategy="sqrt", seed=seed)
+                                      maxDepth=forest_depth, featureSubsetStrategy="sqrt", seed=seed,
+                                      maxMemoryInMB=1024, cacheNodeIds=True)
     raise ValueError(kind)
 
 
@@ -397,7 +399,8 @@ def train_forest_regressor(df: DataFrame, features: list[str], target: str, key:
     data = data.withColumn("is_test", h < test_size)
     train, test = data.where(~F.col("is_test")), data.where(F.col("is_test"))
     pipe = Pipeline(stages=prep_stages(numeric, categorical) + [
-        RandomForestRegressor(labelCol=LABEL, numTrees=trees, seed=seed, maxDepth=FOREST_DEPTH)])
+        RandomForestRegressor(labelCol=LABEL, numTrees=trees, seed=seed, maxDepth=FOREST_DEPTH,
+                              maxMemoryInMB=1024, cacheNodeIds=True)])
     model = pipe.fit(train)
     pred = model.transform(test)
     mae = RegressionEvaluator(labelCol=LABEL, metricName="mae").evaluate(pred)
