@@ -69,23 +69,8 @@ SELECT CAST(count(*) AS BIGINT) AS row_count, CAST(12 AS BIGINT) AS column_count
 FROM students""".replace("count_if(g1 >= CASE WHEN max(g1) OVER () <= 20 THEN 10 ELSE 60 END)",
                          "count_if(g1 >= (SELECT CASE WHEN max(g1) <= 20 THEN 10 ELSE 60 END FROM students))"))
 def q_report_facts(spark, sf_dir):
-    from cohort.operators.profile import missing_frame
-    from cohort.functions.exprs import is_numeric_type, is_categorical_type
     df = students(spark, sf_dir)
-    roles = R.detect_roles(df)
-    perf = (roles.performance or roles.scores)[0]
-    x = kpi.num(df, perf)
-    mx = df.agg(F.max(x)).first()[0]
-    mark = 10 if mx is not None and mx <= 20 else 60  # the report rule knows only the 20- and 100-point scales
-    types = [f.dataType for f in df.schema.fields]
-    facts = df.agg(F.count(F.lit(1)).alias("row_count"), F.avg(x).alias("performance_mean"),
-                   F.try_divide(F.count_if(x >= mark) * 100.0, F.count(x)).alias("pass_rate"))
-    missing = missing_frame(df).agg(F.sum("missing").alias("missing_values"))
-    m = missing.first().missing_values
-    return finish(facts.select("row_count", F.lit(len(types)).cast("long").alias("column_count"),
-                               F.lit(sum(is_numeric_type(t) for t in types)).cast("long").alias("numeric_columns"),
-                               F.lit(sum(is_categorical_type(t) for t in types)).cast("long").alias("categorical_columns"),
-                               F.lit(m).cast("long").alias("missing_values"), "performance_mean", "pass_rate"))
+    return finish(kpi.report_facts(df, R.detect_roles(df)))
 
 
 @register("scalar_string", f"""WITH {STUDENTS}
