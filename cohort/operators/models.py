@@ -208,12 +208,18 @@ def cross_validate(train: DataFrame, kind: str, features: list[str], key: str, f
     def one_fold(i):
         t0 = time.time()
         m = fit(assigned.where(F.col("fold") != i).drop("fold"), kind, features, seed, **kw)
-        return m, time.time() - t0
+        elapsed = time.time() - t0
+        # materialise the held-out scores so the fold model can be released right away
+        t1 = time.time()
+        held = pass_probability(m.transform(assigned.where(F.col("fold") == i))).select(
+            "fold", LABEL, "p", F.col("prediction").alias("yhat")).persist()
+        held.count()
+        return held, elapsed, time.time() - t1
 
     fitted = _parallel(one_fold, range(k))
-    times = [t for _, t in fitted]
-    preds = [pass_probability(m.transform(assigned.where(F.col("fold") == i))).select(
-        "fold", LABEL, "p", F.col("prediction").alias("yhat")) for i, (m, _) in enumerate(fitted)]
+    times = [t for _, t, _ in fitted]
+    score_times = [t for _, _, t in fitted]
+    preds = [h for h, _, _ in fitted]
     stacked = preds[0]
     for p in preds[1:]:
         stacked = stacked.unionByName(p)
@@ -228,8 +234,11 @@ def cross_validate(train: DataFrame, kind: str, features: list[str], key: str, f
     out = [(label, rows[f"{c}_m"], rows[f"{c}_s"]) for c, label in names]
     out += [("ROC-AUC", st.fmean(aucs), st.pstdev(aucs)), ("PR-AUC", st.fmean(aps), st.pstdev(aps)),
             ("Log Loss", rows["log_loss_m"], rows["log_loss_s"]), ("Brier Score", rows["brier_m"], rows["brier_s"]),
-            ("Fit Time (s)", st.fmean(times), st.pstdev(times))]
+            ("Fit Time (s)", st.fmean(times), st.pstdev(times)),
+            ("Score Time (s)", st.fmean(score_times), st.pstdev(score_times))]
     stacked.unpersist()
+    for h in preds:
+        h.unpersist()
     assigned.unpersist()
     return spark.createDataFrame([(a, float(b), float(c)) for a, b, c in out], "metric string, mean double, std double")
 
