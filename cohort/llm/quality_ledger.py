@@ -30,7 +30,7 @@ RULES: list[tuple[str, str]] = [
     ("short_words", "word_chars < 3 * n_words"),
     ("long_words", "word_chars > 10 * n_words"),
     ("symbols", "10 * n_symbols > n_words"),
-    ("duplicate_lines", "10 * n_dup_lines > 3 * n_lines"),
+    ("duplicate_lines", "n_dup_lines >= 3 AND 10 * n_dup_lines > 3 * n_lines"),
     ("few_alphabetic", "10 * n_alpha_words < 8 * n_words"),
     ("capitals", "2 * n_upper > n_upper + n_lower"),
     ("bullets", "10 * n_bullet_lines > 9 * n_lines"),

@@ -56,7 +56,7 @@ m AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transf
 f AS (SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END
         + CASE WHEN n_words > 100000 THEN 4 ELSE 0 END + CASE WHEN word_chars < 3 * n_words THEN 8 ELSE 0 END
         + CASE WHEN word_chars > 10 * n_words THEN 16 ELSE 0 END + CASE WHEN 10 * n_symbols > n_words THEN 32 ELSE 0 END
-        + CASE WHEN 10 * n_dup_lines > 3 * n_lines THEN 64 ELSE 0 END + CASE WHEN 10 * n_alpha_words < 8 * n_words THEN 128 ELSE 0 END
+        + CASE WHEN n_dup_lines >= 3 AND 10 * n_dup_lines > 3 * n_lines THEN 64 ELSE 0 END + CASE WHEN 10 * n_alpha_words < 8 * n_words THEN 128 ELSE 0 END
         + CASE WHEN 2 * n_upper > n_upper + n_lower THEN 256 ELSE 0 END + CASE WHEN 10 * n_bullet_lines > 9 * n_lines THEN 512 ELSE 0 END
         + CASE WHEN 10 * n_ellipsis_lines > 3 * n_lines THEN 1024 ELSE 0 END)::BIGINT AS failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & 3) <> 0 AS base_failed, failed = 0 AS kept,
