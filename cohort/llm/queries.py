@@ -12,8 +12,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohort.llm import bpe_tree, quality_ledger, token_counts, token_files
-from cohort.llm.common import bounded_batches, map_text, scratch, table
+from cohort.llm import (bpe_tree, decontaminate, language_mixture, ngram_join, pii_boost, quality_ledger, shard_matrix,
+                        token_counts, token_files, url_templates)
+from cohort.llm.common import bounded_batches, scratch, table
 
 
 def _flat(lists: pa.Array) -> tuple[np.ndarray, list[int]]:
@@ -23,6 +24,27 @@ def _flat(lists: pa.Array) -> tuple[np.ndarray, list[int]]:
     return lists.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False), off.tolist()
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+def op2_shard_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    docs = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    out = shard_matrix.assign_shards(docs, 24)
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_pii_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = pii_boost.find_spans(docs, pii_boost.fit(docs), keep=["doc_id"])
+    return rows.select("doc_id", *pii_boost.counted(F.col("base")), F.sha2(pii_boost.listed(F.col("base")), 256).alias("base_sha256"), pii_boost.listed(F.col("spans")).alias("spans"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
     out = token_counts.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id", "n_bytes"])
@@ -96,5 +118,21 @@ def op8_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-QUERIES = {f.__name__: f for f in (op5_token_counts, op6_quality_ledger, op7_token_files, op8_bpe_tree)}
+def _remainder() -> F.Column:
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(3))
+
+
+def op9_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", _remainder() == 1)
+    model = language_mixture.train(docs.where("NOT held_out"))
+    found = language_mixture.predict(docs, model, keep=["doc_id", "held_out"])
+    langs = F.array_join(F.transform("langs", lambda x: F.concat_ws(":", x["lang"], F.format_number(x["share"], 3))), ",")
+    return found.select("doc_id", "held_out", "lang_pred", "score", langs.alias("langs"))
+
+
+def op10_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_templates.judge(table(spark, sf_dir, "pages"), keep=["page_id"])
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_shard_matrix, op3_decontaminate, op4_pii_boost, op9_language_mixture, op10_url_templates, op5_token_counts, op6_quality_ledger, op7_token_files, op8_bpe_tree)}
 ORACLES = {"op6_quality_ledger": OP6_SQL}

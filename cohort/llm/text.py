@@ -6,6 +6,9 @@ on every executor and in every run.
 
 from __future__ import annotations
 
+import hashlib
+from functools import cached_property
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -15,21 +18,11 @@ SPACE[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_rng = np.random.Generator(np.random.PCG64(20240229))
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xD6E8FEB86659FD93)
-_power = np.ones(1, np.uint64)
-
-
-def _powers(n: int) -> np.ndarray:
-    global _power
-    if len(_power) < n:
-        grown = np.empty(max(n, 2 * len(_power), 256), np.uint64)
-        grown[0] = 1
-        grown[1:] = _P
-        _power = np.cumprod(grown, dtype=np.uint64)
-    return _power
+#: Keeps the first i bytes of a little-endian 64-bit integer.
+_HEAD = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+#: Spans up to this length are hashed 8 bytes at a time, all together; longer ones one by one.
+_LONG = 256
 
 
 def _factor(j: int) -> np.uint64:
@@ -77,14 +70,22 @@ def spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of the bytes of each span; the spans must not overlap and be in order."""
+    """64-bit hash of the bytes of each span."""
     if not len(start):
         return np.empty(0, np.uint64)
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the 8 bytes from each position on
     length = end - start
-    at = np.concatenate(([0], np.cumsum(length)))
-    pos = np.arange(at[-1]) - np.repeat(at[:-1], length)
-    value = _BYTE[data[pos + np.repeat(start, length)]] * _powers(int(length.max()))[pos]
-    return mix(np.add.reduceat(value, at[:-1]) + length.astype(np.uint64) * _Q)
+    h = mix((eight[start] & _HEAD[np.minimum(length, 8)]) + length.astype(np.uint64) * _Q)
+    live, done = np.flatnonzero((length > 8) & (length <= _LONG)), 8
+    while len(live):
+        part = eight[start[live] + done] & _HEAD[np.minimum(length[live] - done, 8)]
+        h[live] = mix(h[live] * _Q + part)
+        done += 8
+        live = live[length[live] > done]
+    for i in np.flatnonzero(length > _LONG).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[start[i]:end[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
 
 
 class Words:
@@ -94,16 +95,22 @@ class Words:
         data, self.offsets = utf8(texts)
         self.data = LOWER[data] if lower else data
         self.start, self.end = spans(~SPACE[data], self.offsets)
-        self.hash = span_hash(self.data, self.start, self.end)
         self.of = np.searchsorted(self.start, self.offsets)
+        self._grams: dict[int, np.ndarray] = {}
+
+    @cached_property
+    def hash(self) -> np.ndarray:
+        return span_hash(self.data, self.start, self.end)
 
     def grams(self, k: int) -> np.ndarray:
         """Hash of the k words from each position on (positions near a text's end are meaningless)."""
-        h, n = self.hash, len(self.hash)
-        out = np.zeros(n, np.uint64)
-        for j in range(min(k, n)):
-            out[: n - j] += h[j:] * _factor(j)
-        return mix(out + np.uint64(k))
+        if k not in self._grams:
+            h, n = self.hash, len(self.hash)
+            out = np.zeros(n, np.uint64)
+            for j in range(min(k, n)):
+                out[: n - j] += h[j:] * _factor(j)
+            self._grams[k] = mix(out + np.uint64(k))
+        return self._grams[k]
 
     def shingles(self, k: int) -> list[np.ndarray]:
         """Sorted distinct k-word shingle hashes of each text; a text with fewer words has its whole
