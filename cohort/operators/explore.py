@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohort.functions.exprs import col, num
-from cohort.operators.ordered import average_ranks
+from cohort.operators.ordered import average_ranks, exact_percentiles
 
 # ---- fixed values ------------------------------------------------------------
 SCORE_BAND_EDGES = [0, 40, 50, 60, 70, 85, 100]
@@ -38,8 +38,9 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
 def correlation_spearman(df: DataFrame, columns: list[str]) -> DataFrame:
     """Spearman rho for every pair a < b: Pearson r of average ranks on the pair's complete rows.
 
-    Rows are unpivoted to (pair, x, y); ranks come from distributed running
-    counts over distinct values, joined back by value; no global sort window.
+    Rows are unpivoted and collapse to distinct (pair, x, y) points with weights, so a frequent pair of values
+    is one row; ranks come from distributed running counts over distinct values, joined back by value; the
+    correlation is weighted, around the mean rank (n + 1) / 2.
     """
     if len(columns) < 2:
         return df.sparkSession.createDataFrame([], "column_a string, column_b string, r double")
@@ -47,19 +48,24 @@ def correlation_spearman(df: DataFrame, columns: list[str]) -> DataFrame:
     long = df.select(F.inline(F.array(*[
         F.struct(F.lit(i).alias("pair"), num(df, a).alias("x"), num(df, b).alias("y"))
         for i, (a, b) in enumerate(pairs)]))).where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    # the unpivoted rows feed three branches (two rankings and the join back): persist once
-    long = long.persist()
+    # the points feed three branches (two rankings and the join back): persist once
+    points = long.groupBy("pair", "x", "y").agg(F.count(F.lit(1)).alias("w")).persist()
     try:
-        rx = average_ranks(long, "x", ["pair"]).withColumnRenamed("avg_rank", "rx")
-        ry = average_ranks(long, "y", ["pair"]).withColumnRenamed("avg_rank", "ry")
-        ranked = long.join(rx, ["pair", "x"]).join(ry, ["pair", "y"])
-        rho = ranked.groupBy("pair").agg(F.corr("rx", "ry").alias("r"))
+        rx = average_ranks(points, "x", ["pair"], "w").withColumnRenamed("avg_rank", "rx")
+        ry = average_ranks(points, "y", ["pair"], "w").withColumnRenamed("avg_rank", "ry")
+        mid = {r["pair"]: (r["n"] + 1) / 2 for r in points.groupBy("pair").agg(F.sum("w").alias("n")).collect()}  # one row per pair
+        centre = F.element_at(F.create_map(*[F.lit(x) for kv in (mid or {-1: 0.0}).items() for x in kv]), F.col("pair"))
+        ranked = points.join(rx, ["pair", "x"]).join(ry, ["pair", "y"])
+        dx, dy, w = F.col("rx") - centre, F.col("ry") - centre, F.col("w")
+        sums = ranked.groupBy("pair").agg(F.sum(w * dx * dy).alias("xy"), F.sum(w * dx * dx).alias("xx"), F.sum(w * dy * dy).alias("yy"))
+        spread = F.sqrt("xx") * F.sqrt("yy")
+        rho = sums.select("pair", F.when(spread > 0, F.col("xy") / spread).alias("r"))
         names = df.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)],
                                                 "pair int, column_a string, column_b string")
         out = names.join(rho, "pair", "left").select("column_a", "column_b", "r")
         return df.sparkSession.createDataFrame(out.collect(), out.schema)  # k*k rows
     finally:
-        long.unpersist()
+        points.unpersist()
 
 
 def histogram(df: DataFrame, column: str, bins: int = 20, by: str | None = None) -> DataFrame:
@@ -99,27 +105,20 @@ def score_bands(scores: DataFrame, value: str) -> DataFrame:
                        .alias("height"))
 
 
-def score_quantiles(scores: DataFrame, value: str, points: int = 5, approx: bool = False) -> DataFrame:
+def score_quantiles(scores: DataFrame, value: str, points: int = 5) -> DataFrame:
     """Evenly spaced quantiles of clipped percent scores (linear interpolation)."""
     v = F.least(F.greatest(F.col(value), F.lit(0.0)), F.lit(100.0))
     probs = [i / max(points - 1, 1) for i in range(points)]
-    agg = (F.percentile_approx(v, probs, 10000) if approx
-           else F.percentile(v, F.array(*[F.lit(p) for p in probs])))
-    q = scores.where(F.col(value).isNotNull()).agg(agg.alias("q"))
-    return q.select(F.posexplode("q").alias("i", "score")).select(
-        F.col("i").cast("long").alias("i"), F.col("score").cast("double").alias("score"))
+    q = exact_percentiles(scores.where(F.col(value).isNotNull()), {"v": v}, probs)["v"]
+    return scores.sparkSession.createDataFrame([(i, x) for i, x in enumerate(q) if x is not None], "i long, score double")
 
 
-def box_stats(df: DataFrame, columns: list[str], approx: bool = False) -> DataFrame:
+def box_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     """Five-number summary per column after unpivoting (subject, score)."""
-    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("subject"), num(df, c).alias("score"))
-                                         for c in columns]))).where(F.col("score").isNotNull())
-    probs = [0.0, 0.25, 0.5, 0.75, 1.0]
-    q = (F.percentile_approx("score", probs, 10000) if approx
-         else F.percentile("score", F.array(*[F.lit(p) for p in probs])))
-    out = long.groupBy("subject").agg(F.count(F.lit(1)).alias("n"), q.alias("q"))
-    return out.select("subject", "n", *[F.col("q")[i].cast("double").alias(name) for i, name in
-                                        enumerate(["min", "q1", "median", "q3", "max"])])
+    q = exact_percentiles(df, {c: num(df, c) for c in columns}, [0.0, 0.25, 0.5, 0.75, 1.0])
+    n = df.agg(*[F.count(num(df, c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    rows = [(c, n[f"n{i}"], *q[c]) for i, c in enumerate(columns) if n[f"n{i}"]]
+    return df.sparkSession.createDataFrame(rows, "subject string, n long, min double, q1 double, median double, q3 double, max double")
 
 
 def pair_not_null(df: DataFrame, x: str, y: str, extra: list[str] | None = None) -> DataFrame:

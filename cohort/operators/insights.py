@@ -104,14 +104,10 @@ def insights(fig: DataFrame, limit: int = 6) -> DataFrame:
         F.when(acc.isNotNull(), _ins(9, "Model Reliability Signal", "Prediction quality",
                                      F.when(acc >= 75, "positive").when(acc >= 60, "warning").otherwise("critical"), acc)),
     ]
-    exploded = fig.select(F.inline(F.array_compact(F.array(*items))))
-    fallback = fig.select(F.inline(F.array(_ins(10, "Upload More Academic Data", "AI insight", "info",
-                                                F.lit(None)))))
-    sev = F.array_position(F.array(*[F.lit(s) for s in SEVERITY_ORDER]), F.col("severity"))
-    allrows = exploded.unionByName(fallback.where(F.lit(False)))
     # the fallback appears only when no rule fired
-    n = exploded.count()
-    if n == 0:
-        allrows = fallback
-    return (allrows.withColumn("severity_rank", sev.cast("long"))
+    fallback = F.array(_ins(10, "Upload More Academic Data", "AI insight", "info", F.lit(None)))
+    fired = F.array_compact(F.array(*items))
+    exploded = fig.select(F.inline(F.when(F.size(fired) > 0, fired).otherwise(fallback)))
+    sev = F.array_position(F.array(*[F.lit(s) for s in SEVERITY_ORDER]), F.col("severity"))
+    return (exploded.withColumn("severity_rank", sev.cast("long"))
             .orderBy("severity_rank", "emitted").limit(limit))

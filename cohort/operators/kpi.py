@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohort.operators.ordered import exact_percentiles
 from cohort.functions.exprs import col, num, row_mean, greatest_of, scale_factor, pass_mark, normalize_name
 from cohort.functions.labels import (PASS, FAIL, RISK_HIGH, RISK_AVERAGE, RISK_AT, normalize_target,
                                      derive_target, attendance_percent, risk_category, is_absence_name)
@@ -215,18 +216,14 @@ def group_candidates(df: DataFrame) -> list[str]:
 def group_columns(df: DataFrame, distinct_counts: dict[str, int] | None = None, max_levels: int = 12) -> list[str]:
     """Categorical columns usable for group insights (2..12 levels, no outcome/id names).
 
-    Without given counts, a cheap HyperLogLog pass first drops columns that are
-    clearly above the cut (estimate > 2x the cut), so exact distinct counts are
-    only computed for the few plausible ones.
+    Without given counts, one profile pass counts the distinct values of all candidates exactly.
     """
     cands = group_candidates(df)
     if distinct_counts is None:
         from cohort.operators.profile import distinct_counts as exact_counts
         if not cands:
             return []
-        est = df.agg(*[F.approx_count_distinct(col(c)).alias(f"e{i}") for i, c in enumerate(cands)]).first()
-        plausible = [c for i, c in enumerate(cands) if est[f"e{i}"] <= 2 * max_levels]
-        distinct_counts = exact_counts(df, plausible) if plausible else {}
+        distinct_counts = exact_counts(df, cands)
     return [c for c in cands if 1 < distinct_counts.get(c, 0) <= max_levels]
 
 
@@ -267,7 +264,7 @@ def _first_named(df: DataFrame, names: list[str]) -> str | None:
     return next((c for c in df.columns if normalize_name(c) in names), None)
 
 
-def median_split(df: DataFrame, roles: RoleMap, approx: bool = False, study: str | None = None) -> DataFrame:
+def median_split(df: DataFrame, roles: RoleMap, study: str | None = None) -> DataFrame:
     """Mean row score at or below vs above the median study time."""
     study = study or _first_named(df, STUDY_NAMES)
     if study is None:
@@ -275,8 +272,7 @@ def median_split(df: DataFrame, roles: RoleMap, approx: bool = False, study: str
             [(None, None, None)], "median_study double, low_study_score double, high_study_score double")
     prepared, _ = prepare(df, roles, keep=[study] + _score_cols(df, roles))
     pairs = prepared.select(num(prepared, study).alias("s"), F.col(AVG).alias("a")).dropna()
-    med = F.percentile_approx("s", 0.5) if approx else F.median("s")
-    m = pairs.agg(med.alias("m")).first().m  # one-row aggregate, used as a literal
+    m = exact_percentiles(pairs, {"s": F.col("s")}, [0.5])["s"][0]
     m_lit = F.lit(m).cast("double")
     return pairs.agg(m_lit.alias("median_study"),
                      F.avg(F.when(F.col("s") <= m_lit, F.col("a"))).alias("low_study_score"),

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohort.functions.labels import PASS, FAIL
-from cohort.operators.ordered import running_sums
+from cohort.operators.ordered import exact_percentiles, running_sums
 
 EPS = sys.float_info.epsilon  # probability clip for log loss (float64 machine epsilon)
 
@@ -139,18 +139,15 @@ def calibration_bins(n: int) -> int:
     return min(8, max(5, n // 10))
 
 
-def calibration_points(df: DataFrame, y: str = "y", p: str = "p", n_bins: int | None = None,
-                       approx: bool = False) -> DataFrame:
+def calibration_points(df: DataFrame, y: str = "y", p: str = "p", n_bins: int | None = None) -> DataFrame:
     """Mean predicted probability and observed Pass rate per quantile bin (empty bins dropped).
 
-    Bin edges are exact percentiles of p (one aggregate; n_bins + 1 numbers on
-    the driver); a row's bin is the number of interior edges strictly below p.
+    Bin edges are exact percentiles of p (n_bins + 1 numbers on the driver); a row's bin is the number of interior edges strictly below p.
     """
     n = df.count()
     nb = n_bins or calibration_bins(n)
     probs = [i / nb for i in range(nb + 1)]
-    agg = (F.percentile_approx(p, probs, 100000) if approx else F.percentile(F.col(p), F.array(*[F.lit(x) for x in probs])))
-    edges = [float(e) for e in (df.agg(agg).first()[0] or [])]
+    edges = [e for e in exact_percentiles(df, {"p": F.col(p)}, probs)["p"] if e is not None]
     interior = F.array(*[F.lit(e) for e in edges[1:-1]]).cast("array<double>")
     b = F.size(F.filter(interior, lambda e: e < F.col(p)))
     return (df.groupBy(b.alias("bin")).agg(F.avg(p).alias("mean_predicted"), F.avg(y).alias("observed_rate"),

@@ -1,52 +1,101 @@
 """Ordered computations without single-partition windows.
 
-``running_sums`` gives inclusive running totals over a numeric key, optionally
-within groups.  The key range of every group is cut into buckets at
-approximate quantiles; each (group, bucket) is summed locally by a window
-partitioned on (group, bucket), and bucket offsets come from a tiny table of
-bucket totals (groups x buckets rows, broadcast).  The result is exact; the
-quantiles only balance the work.  Callers aggregate to distinct keys first, so
-one hot key value is a single row here.
+``running_sums`` gives inclusive running totals over a key, optionally within groups.  Only groups that hold
+more than one bucket's share of the rows are cut, at approximate quantiles of their key; every (group,
+bucket) is summed by its own window, and offsets carry the totals of earlier buckets.  At most as many groups
+as there are buckets can be that large, so the edges and the carries stay bounded by the number of
+partitions, whatever the number of groups.  The result is exact; the quantiles only balance the work.
+Callers aggregate to distinct keys first, so one hot key value is a single row here.
+
+``exact_percentiles`` ranks distinct values with it, so no task ever holds all values of a column.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from math import floor
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def running_sums(df: DataFrame, key: str, sums: list[str], group: list[str] | None = None,
-                 descending: bool = False, buckets: int | None = None) -> DataFrame:
-    """Add ``cum_<c>`` (inclusive running sum of c in key order) for each c in sums."""
-    group = group or []
+                 descending: bool = False, buckets: int | None = None, ties: list[str] | None = None) -> DataFrame:
+    """Add ``cum_<c>`` (inclusive running sum of c in key order) for each c in sums.  Keys keep their type;
+    rows with equal keys follow the order of the ``ties`` columns."""
+    group = list(group or [])
     spark = df.sparkSession
     nb = buckets or max(2, int(spark.conf.get("spark.sql.shuffle.partitions", "8")))
     probs = [i / nb for i in range(1, nb)]
-    k = F.col(key).cast("double")
-    sort_key = -k if descending else k
-    work = df.withColumn("_k", sort_key)
+    total = df.count()
+    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_size"))
+    large = sizes.where(F.col("_size") * nb > total)  # fewer than nb + 1 groups
+    pieces = F.ceil(F.col("_size") * nb / F.lit(max(total, 1)))
+    edges = F.percentile_approx(key, probs, 10000)
     if group:
-        edges = work.groupBy(*group).agg(F.percentile_approx("_k", probs, 10000).alias("_edges"))
-        # one row per group: bounded by the number of groups the caller defines
-        work = work.join(F.broadcast(edges), group)
+        same = reduce(lambda a, b: a & b, [F.col(f"_g.{g}").eqNullSafe(F.col(f"_l.{g}")) for g in group])
+        cut = df.alias("_g").join(F.broadcast(large.alias("_l")), same).select("_g.*", "_size")
+        cut = cut.groupBy(*group).agg(edges.alias("_all"), F.first("_size").alias("_size"))
+        # as many edges as the group has pieces: at most 2 nb in all
+        kept = F.filter("_all", lambda e, i: F.floor((i + 1) * pieces / nb) > F.floor(i * pieces / nb))
+        cut = cut.select(*group, F.array_distinct(kept).alias("_edges"))
+        at = reduce(lambda a, b: a & b, [F.col(f"_g.{g}").eqNullSafe(F.col(f"_e.{g}")) for g in group])
+        work = df.alias("_g").join(F.broadcast(cut.alias("_e")), at, "left").select("_g.*", "_e._edges")
     else:
-        cut = work.agg(F.percentile_approx("_k", probs, 10000)).first()[0] or []  # nb-1 numbers
-        work = work.withColumn("_edges", F.array(*[F.lit(float(e)) for e in cut]).cast("array<double>"))
-    work = work.withColumn("_b", F.size(F.filter("_edges", lambda e: e < F.col("_k")))).drop("_edges")
-    totals = work.groupBy(*group, "_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
+        found = df.agg(edges).first()[0] or []  # nb - 1 numbers
+        kind = df.schema[key].dataType.simpleString()
+        work = df.withColumn("_edges", F.array(*[F.lit(e) for e in sorted(set(found))]).cast(f"array<{kind}>"))
+    beyond = (lambda e: e > F.col(key)) if descending else (lambda e: e < F.col(key))
+    work = work.withColumn("_b", F.coalesce(F.size(F.filter("_edges", beyond)), F.lit(0))).withColumn("_cut", F.col("_edges").isNotNull()).drop("_edges")
+    totals = work.where("_cut").groupBy(*group, "_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
     before = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*group, "_b", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}")
-                                             for c in sums])
-    local = Window.partitionBy(*group, "_b").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
-    out = work.join(F.broadcast(offsets), group + ["_b"])
-    out = out.select(*[F.col(c) for c in df.columns],
-                     *[(F.sum(c).over(local) + F.col(f"_o_{c}")).alias(f"cum_{c}") for c in sums])
-    return out
+    offsets = totals.select(*group, "_b", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in sums])
+    order = [F.desc(key) if descending else F.asc(key), *(ties or [])]
+    local = Window.partitionBy(*group, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    on = reduce(lambda a, b: a & b, [F.col(f"_w.{g}").eqNullSafe(F.col(f"_o.{g}")) for g in group] + [F.col("_w._b") == F.col("_o._b")])
+    out = work.alias("_w").join(F.broadcast(offsets.alias("_o")), on, "left").select("_w.*", *[f"_o._o_{c}" for c in sums])
+    return out.select(*[F.col(f"`{c}`") for c in df.columns],
+                      *[(F.sum(c).over(local) + F.coalesce(F.col(f"_o_{c}"), F.lit(0))).alias(f"cum_{c}") for c in sums])
 
 
-def average_ranks(df: DataFrame, value: str, group: list[str] | None = None) -> DataFrame:
-    """Distinct (group, value) with the average 1-based rank of value within its group."""
+def average_ranks(df: DataFrame, value: str, group: list[str] | None = None, weight: str | None = None) -> DataFrame:
+    """Distinct (group, value) with the average 1-based rank of value within its group; a row counts
+    ``weight`` times."""
     group = group or []
-    counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n"))
+    n = F.sum(weight) if weight else F.count(F.lit(1))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(n.alias("_n"))
     ranked = running_sums(counts, value, ["_n"], group)
     return ranked.select(*group, value, (F.col("cum__n") - (F.col("_n") - 1) / 2.0).alias("avg_rank"))
+
+
+def exact_percentiles(df: DataFrame, columns: dict, probs: list[float]) -> dict[str, list[float | None]]:
+    """Exact percentiles (linear interpolation) of named columns: {name: [value per probability]}.
+
+    All columns are unpivoted to (name, value) and counted by value, so a frequent value is one row; running
+    counts then give each value's ranks.  Only the values at the wanted ranks reach the driver.  Null values
+    are left out; a column without values gives None.
+    """
+    pairs = [F.struct(F.lit(name).alias("_c"), c.cast("double").alias("_v")) for name, c in columns.items()]
+    counts = df.select(F.inline(F.array(*pairs))).where(F.col("_v").isNotNull()).groupBy("_c", "_v").agg(F.count(F.lit(1)).alias("_n")).persist()
+    try:
+        n = {r["_c"]: r["n"] for r in counts.groupBy("_c").agg(F.sum("_n").alias("n")).collect()}  # one row per column
+        wanted = {name: sorted({k for p in probs for k in (floor(p * (m - 1)), min(m - 1, floor(p * (m - 1)) + 1))}) for name, m in n.items()}
+        if not wanted:
+            return {name: [None] * len(probs) for name in columns}
+        ranked = running_sums(counts, "_v", ["_n"], ["_c"])
+        low, high = F.col("cum__n") - F.col("_n"), F.col("cum__n")
+        hit = reduce(lambda a, b: a | b, [(F.col("_c") == name) & reduce(lambda a, b: a | b, [(low <= k) & (high > k) for k in ks]) for name, ks in wanted.items()])
+        rows = ranked.where(hit).select("_c", "_v", low.alias("lo"), high.alias("hi")).collect()  # at most two per column and probability
+    finally:
+        counts.unpersist()
+    at = {(r["_c"], k): r["_v"] for r in rows for k in wanted[r["_c"]] if r["lo"] <= k < r["hi"]}
+
+    def value(name: str, p: float) -> float | None:
+        if name not in n:
+            return None
+        place = p * (n[name] - 1)
+        k = floor(place)
+        a, b = at[name, k], at[name, min(n[name] - 1, k + 1)]
+        return a if a == b else (k + 1 - place) * a + (place - k) * b
+
+    return {name: [value(name, p) for p in probs] for name in columns}

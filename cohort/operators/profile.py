@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohort.operators.ordered import exact_percentiles
 from cohort.functions.exprs import (col, num_expr, normalize_name, is_numeric_type, is_categorical_type,
                                     is_datetime_type)
 
@@ -108,10 +109,10 @@ def completeness(df: DataFrame) -> DataFrame:
         .alias("completeness_pct"))
 
 
-def describe_all(df: DataFrame, columns: list[str] | None = None, approx: bool = False) -> DataFrame:
+def describe_all(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """count, unique, top, freq, mean, std (n-1), min, quartiles, max per column.
 
-    Numeric statistics come from one aggregate; unique/top/freq for
+    Numeric statistics come from one aggregate, quartiles from distributed ranks; unique/top/freq for
     non-numeric columns from one value-count aggregate (top ties: smallest value).
     """
     columns = columns or df.columns
@@ -124,19 +125,17 @@ def describe_all(df: DataFrame, columns: list[str] | None = None, approx: bool =
     parts = []
     if numeric:
         aggs = []
+        quart = exact_percentiles(df, {c: num_expr(c, types[c]) for c in numeric}, [0.25, 0.5, 0.75])
         for i, c in enumerate(numeric):
             x = num_expr(c, types[c])
-            q = (F.percentile_approx(x, [0.25, 0.5, 0.75], 10000) if approx
-                 else F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))))
             aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"a{i}"), F.stddev_samp(x).alias(f"s{i}"),
-                     F.min(x).alias(f"lo{i}"), q.alias(f"q{i}"), F.max(x).alias(f"hi{i}")]
+                     F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
         wide = df.agg(*aggs)
         parts.append(wide.select(F.inline(F.array(*[F.struct(
             F.lit(c).alias("column_name"), F.col(f"n{i}").alias("count"),
             F.lit(None).cast("long").alias("unique"), F.lit(None).cast("string").alias("top"),
             F.lit(None).cast("long").alias("freq"), F.col(f"a{i}").alias("mean"), F.col(f"s{i}").alias("std"),
-            F.col(f"lo{i}").alias("min"), F.col(f"q{i}")[0].cast("double").alias("p25"),
-            F.col(f"q{i}")[1].cast("double").alias("p50"), F.col(f"q{i}")[2].cast("double").alias("p75"),
+            F.col(f"lo{i}").alias("min"), *[F.lit(quart[c][j]).cast("double").alias(name) for j, name in enumerate(["p25", "p50", "p75"])],
             F.col(f"hi{i}").alias("max")) for i, c in enumerate(numeric)]))))
     if other:
         vc = value_counts(df, other)

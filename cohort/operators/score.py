@@ -43,8 +43,20 @@ def add_outputs(pred: DataFrame, p_col: str = "pass_probability") -> DataFrame:
         .withColumn("confidence_note", confidence_band(F.col(p_col), F.col("fail_probability")))
 
 
+OUTPUTS = ["pass_probability", "predicted_label", "fail_probability", "confidence", "risk_level", "recommendation",
+           "confidence_note"]
+
+
+def with_rejects(scored: DataFrame, rejected: DataFrame) -> DataFrame:
+    """Every request once: scored ones with null ``errors``, rejected ones with null outputs and their errors."""
+    kinds = {f.name: f.dataType for f in scored.schema.fields}
+    rest = rejected.select(*[F.lit(None).cast(kinds[c]).alias(c) if c in OUTPUTS else F.col(c).cast(kinds[c]).alias(c) for c in scored.columns],
+                           F.array_join("errors", "; ").alias("errors"))
+    return scored.withColumn("errors", F.lit(None).cast("string")).unionByName(rest)
+
+
 def score_table(model, requests: DataFrame, keep: list[str], limits: dict | None = None) -> tuple[DataFrame, DataFrame]:
-    """(scored, rejected): requests failing the input check never reach the model."""
+    """(scored, rejected): requests failing the input check never reach the model; ``with_rejects`` joins them."""
     checked = clean.scoring_input_check(requests, limits)
     valid = checked.where(F.size("errors") == 0).drop("errors")
     rejected = checked.where(F.size("errors") > 0)

@@ -1,9 +1,9 @@
 """Deterministic, distributed splits: stratified train/test and stratified folds.
 
-Each row gets a hash of (seed, key); its rank within its class comes from
-distributed running counts over distinct hashes (``running_sums`` grouped by
-class), so no class is ever sorted in one task.  Rows whose rank is within
-round(n_class * test_size) go to the test side.
+Each key gets a hash of (seed, key).  Distinct (class, hash, key) groups are ordered as integers, the key
+breaking ties, by distributed running counts, so no class is ever sorted in one task and the order is the
+same whenever it is computed.  A group goes to the test side as a whole when fewer than
+round(n_class * test_size) rows come before it, so equal keys never part.
 """
 
 from __future__ import annotations
@@ -45,11 +45,12 @@ def row_hash(key: Column, seed: int = 42, salt: str = "") -> Column:
 
 
 def class_ranks(df: DataFrame, label: str, key: Column, seed: int = 42, salt: str = "") -> DataFrame:
-    """Add ``_rank``: 1-based position of the row within its class in hash order."""
-    h = row_hash(key, seed, salt)
-    work = df.withColumn("_h", h).withColumn("_one", F.lit(1))
-    ranked = running_sums(work, "_h", ["_one"], group=[label])
-    return ranked.withColumnRenamed("cum__one", "_rank").drop("_one", "_h")
+    """Add ``_before``: the rows of the class that come before the row's key in hash order."""
+    work = df.withColumn("_key", key.cast("string")).withColumn("_h", F.coalesce(row_hash(key, seed, salt), F.lit(0).cast("long")))
+    groups = work.groupBy(F.col(label).alias("_l"), F.col("_h").alias("_gh"), F.col("_key").alias("_gk")).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = running_sums(groups, "_gh", ["_n"], group=["_l"], ties=["_gk"]).withColumn("_before", F.col("cum__n") - F.col("_n"))
+    same = F.col(label).eqNullSafe(F.col("_l")) & (F.col("_h") == F.col("_gh")) & F.col("_key").eqNullSafe(F.col("_gk"))
+    return work.join(ranked.select("_l", "_gh", "_gk", "_before"), same).select(*[F.col(f"`{c}`") for c in df.columns], "_before")
 
 
 def stratified_split(df: DataFrame, label: str, key: Column, test_size: float = 0.3, seed: int = 42):
@@ -61,7 +62,7 @@ def stratified_split(df: DataFrame, label: str, key: Column, test_size: float =
         q = min(max(q, 1), n - 1) if n >= 2 else q
         chain = F.when(F.col(label) == F.lit(cls), F.lit(q)) if chain is None else chain.when(F.col(label) == F.lit(cls), F.lit(q))
     ranked = class_ranks(df, label, key, seed, "split")
-    flagged = ranked.withColumn("is_test", F.col("_rank") <= (chain if chain is not None else quota)).drop("_rank")
+    flagged = ranked.withColumn("is_test", F.col("_before") < (chain if chain is not None else quota)).drop("_before")
     return flagged
 
 
@@ -73,6 +74,6 @@ def choose_cv_folds(counts: dict, requested: int = 5) -> int | None:
 
 
 def fold_assignment(df: DataFrame, label: str, key: Column, k: int, seed: int = 42) -> DataFrame:
-    """Stratified folds: rank within class in hash order, modulo k."""
+    """Stratified folds: place of the key within its class in hash order, modulo k."""
     ranked = class_ranks(df, label, key, seed, "fold")
-    return ranked.withColumn("fold", ((F.col("_rank") - 1) % k).cast("int")).drop("_rank")
+    return ranked.withColumn("fold", (F.col("_before") % k).cast("int")).drop("_before")

@@ -5,7 +5,8 @@ per row, partitioned by dataset_id), an uploads table written after the rows
 from __future__ import annotations
 
 import json
-import os
+import time
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,17 +51,25 @@ def history(spark: SparkSession, base: str) -> DataFrame:
     return _read(spark, f"{base}/history", HISTORY_SCHEMA)
 
 
-def dense_row_numbers(df: DataFrame, name: str = "row_number") -> DataFrame:
-    """1..n in the frame's current order via per-bucket running counts (no global window)."""
-    tagged = df.withColumn("_mid", F.monotonically_increasing_id()).withColumn("_one", F.lit(1))
+def dense_row_numbers(df: DataFrame, staging: str, name: str = "row_number") -> DataFrame:
+    """1..n in the frame's current order via per-bucket running counts (no global window).
+
+    The ids that give the order are written with the rows first: numbering reads one fixed table, so a
+    recomputed or differently coalesced input can't repeat or skip numbers.
+    """
+    df.withColumn("_mid", F.monotonically_increasing_id()).write.mode("overwrite").parquet(staging)
+    tagged = df.sparkSession.read.parquet(staging).withColumn("_one", F.lit(1))
     return running_sums(tagged, "_mid", ["_one"]).withColumnRenamed("cum__one", name).drop("_mid", "_one")
 
 
 def save_snapshot(df: DataFrame, name: str, base: str) -> int:
-    """Write rows as JSON documents (NaN as null), then append the upload row; returns dataset_id."""
+    """Write rows as JSON documents (NaN as null), then append the upload row; returns dataset_id.
+
+    Ids come from the clock in microseconds plus random bits, so concurrent uploads don't share one, and
+    later uploads have larger ids.
+    """
     spark = df.sparkSession
-    prior = uploads(spark, base).agg(F.max("dataset_id")).first()[0]
-    dataset_id = int(prior or 0) + 1
+    dataset_id = (time.time_ns() // 1000 << 10) | (uuid.uuid4().int & 1023)
     cols = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
@@ -69,7 +78,8 @@ def save_snapshot(df: DataFrame, name: str, base: str) -> int:
         cols.append(c.alias(f.name))
     clean = df.select(*cols)
     docs = dense_row_numbers(clean.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]),
-                                                    {"ignoreNullFields": "false"}).alias("row_data")))
+                                                    {"ignoreNullFields": "false"}).alias("row_data")),
+                             f"{base}/staging/{uuid.uuid4().hex}")
     now = datetime.now(timezone.utc).replace(tzinfo=None)
     docs = docs.withColumn("created_at", F.lit(now)).withColumn("dataset_id", F.lit(dataset_id).cast("long"))
     docs.write.mode("append").partitionBy("dataset_id").parquet(f"{base}/rows")
@@ -105,11 +115,9 @@ def recent_uploads(spark: SparkSession, base: str, limit: int = 25) -> DataFrame
         F.concat_ws(", ", F.from_json("column_names", "array<string>")).alias("column_names"), "created_at")
 
 
-def upload_rows(spark: SparkSession, base: str, broadcast_limit: int = 100_000) -> DataFrame:
-    """Rows joined to their upload metadata; the uploads side is broadcast only under a checked size."""
-    ups = uploads(spark, base).select("dataset_id", "file_name")
-    small = ups.count() <= broadcast_limit
-    return rows_store(spark, base).join(F.broadcast(ups) if small else ups, "dataset_id")
+def upload_rows(spark: SparkSession, base: str) -> DataFrame:
+    """Rows joined to their upload metadata (rows of an unfinished upload have none and stay out)."""
+    return rows_store(spark, base).join(uploads(spark, base).select("dataset_id", "file_name"), "dataset_id")
 
 
 def log_predictions(scored: DataFrame, dataset_name: str, model_name: str, base: str) -> int:
@@ -129,9 +137,12 @@ def recent_predictions(spark: SparkSession, base: str, limit: int = 50) -> DataF
 
 
 def record_counts(spark: SparkSession, base: str) -> DataFrame:
-    return (uploads(spark, base).select(F.lit("dataset_uploads").alias("store")).groupBy("store").count()
-            .unionByName(rows_store(spark, base).select(F.lit("dataset_rows").alias("store")).groupBy("store").count())
-            .unionByName(history(spark, base).select(F.lit("prediction_history").alias("store")).groupBy("store").count()))
+    """One row per store, 0 for an empty one; rows count once their upload is complete."""
+    def total(df: DataFrame, store: str) -> DataFrame:
+        return df.agg(F.count(F.lit(1)).alias("count")).select(F.lit(store).alias("store"), "count")
+
+    return (total(uploads(spark, base), "dataset_uploads").unionByName(total(upload_rows(spark, base), "dataset_rows"))
+            .unionByName(total(history(spark, base), "prediction_history")))
 
 
 def purge_records(spark: SparkSession, base: str, which: str = "all") -> DataFrame:
