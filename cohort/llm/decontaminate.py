@@ -1,8 +1,9 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 1. Every n-gram (3 words) of the test items is counted over all training documents.
-2. Each item keeps its rarest n-grams as seeds (a fixed number per item, so an item whose passage leaked
-   thousands of times keeps seeds too).
+2. Each item keeps its rare n-grams as seeds: those that aren't much more frequent than is usual for the
+   item.  Rarity is relative to the item, so a passage that leaked thousands of times keeps its seeds, and
+   only what the corpus says all the time goes.
 3. A document that holds a seed is aligned with the seed's item around the place of the seed: local alignment
    over words, with affordable substitutions and gaps, so edited and paraphrased copies still score.
 4. A document is contaminated by an item when the aligned identical words make up a large part of the item.
@@ -10,7 +11,7 @@
 Test items are handled in blocks of bounded size: each block's n-grams, seeds and word sequences are what a
 task holds, and a benchmark of any size is just more blocks.  Texts never move; only hits leave the tasks.
 
-Words are maximal runs of characters other than space and 0x09-0x0D, A-Z lower-cased, without punctuation at
+Words are maximal runs of characters other than space and 0x09-0x0D, lower-cased, without punctuation at
 their ends.  Defined cases: documents or items that are null or have no words match nothing; an item with
 fewer words than the n-gram has its whole sequence as its one seed and must occur whole; repeated rows each
 count and each give a row; documents with a null key are aligned like others and give a null key; other columns
@@ -23,6 +24,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +32,8 @@ from cohort.llm.common import bounded_batches
 from cohort.llm.text import Words
 
 GRAM = 3
-#: Seeds per item, the rarest of its n-grams.
-SEEDS = 24
+#: An n-gram is a seed if it occurs at most COMMON times as often as the item's median n-gram, plus FEW.
+COMMON, FEW = 4, 8
 #: UTF-8 bytes of test items in one block.
 BLOCK_BYTES = 16 << 20
 MATCH, MISMATCH, GAP = 2.0, -1.0, -1.0
@@ -48,7 +50,7 @@ class BareWords(Words):
     """Words without punctuation at their ends; what is punctuation only stays as it is."""
 
     def __init__(self, texts: pa.Array):
-        super().__init__(texts)
+        super().__init__(pc.utf8_lower(texts))
         for edge, step in ((self.start, 1), (self.end, -1)):
             live = np.flatnonzero(self._strip(np.arange(len(edge)), step))
             while len(live):
@@ -176,11 +178,11 @@ def gram_counts(docs: DataFrame, text: str, block: Block) -> dict[int, int]:
 
 
 def rarest(block: Block, counts: dict[int, int]) -> Block:
-    """The block with each item's rarest n-grams as its look-up; ties go to the earlier position."""
+    """The block with each item's rare n-grams (half of them at least) as its look-up."""
     chosen = []
     for g in block.grams:
         n = np.array([counts.get(v, 0) for v in g.tolist()])
-        chosen.append(np.sort(np.argsort(n, kind="stable")[:SEEDS]))
+        chosen.append(np.flatnonzero(n <= COMMON * np.median(n) + FEW))
     return Block(block.ids, block.words, block.grams).index(chosen)
 
 
