@@ -14,8 +14,10 @@ checksum and length).  Null keys come first.  Other columns are dropped, so extr
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from array import array
 from functools import cache
 
 import numpy as np
@@ -25,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cohort.llm.bpe_tree import list_array
+from cohort.llm.bpe_tree import latin_pattern, list_array
 from cohort.llm.common import bounded_batches
 
 #: Distinct chunks that a Python worker remembers; beyond it the memory starts anew.
@@ -37,29 +39,75 @@ PAGE_ROWS = 2_000
 CHUNK = re.compile(r"[^ \t\n\r\x0b\x0c]+")
 
 
+class Encoder:
+    """A tokenizers file with a memory of what it has encoded.
+
+    Texts are encoded in parts that the library treats independently: what stands between white space.
+    For the usual kind of file (NFC, white space to one space, lower case; split by ``SPLIT``; byte-level BPE)
+    a text of the first 256 characters is cut into the library's own pre-tokens, and only the library's BPE
+    model runs on each distinct one; there, normalising is lower-casing.
+    """
+
+    #: Normalizer and split that the short way stands for (the file must have just these).
+    NORMAL = [("NFC", None), ("Replace", r"\s+"), ("Lowercase", None)]
+    SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.tok = Tokenizer.from_file(path)
+        self.special = [t["content"] for t in spec.get("added_tokens") or []]
+        normal = [(n["type"], (n.get("pattern") or {}).get("Regex")) for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+        before = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        usual = normal == self.NORMAL and [x["type"] for x in before] == ["Split", "ByteLevel"]
+        usual = usual and before[0]["pattern"].get("Regex") == self.SPLIT and before[0]["invert"] and not (before[1]["add_prefix_space"] or before[1]["use_regex"])
+        self.split = latin_pattern(self.SPLIT) if usual else None
+        self.chunks: dict[str, bytes] = {}
+        self.units: dict[str, bytes] = {}
+        # the printable stand-in of each byte in a byte-level vocabulary: itself if visible, else the next from 256 on
+        seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [x for x in range(256) if x not in seen]
+        stand = {x: chr(x) for x in seen} | {x: chr(256 + i) for i, x in enumerate(rest)}
+        self.visible = {i: "".join(stand[x] for x in chr(i).encode()) for i in range(256)}
+
+    def is_plain(self, text: str) -> bool:
+        if self.split is None or any(t in text for t in self.special):
+            return False
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return False
+        return True
+
+    def encode(self, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(flat ids, ids per text): ``end_id`` closes each text."""
+        plain = [bool(t) and self.is_plain(t) for t in texts]
+        parts = [self.split.findall(t.lower()) if p else CHUNK.findall(t) if t else [] for t, p in zip(texts, plain)]
+        for known in (self.chunks, self.units):
+            if len(known) > REMEMBER:
+                known.clear()
+        chunks = list(set().union(*[s for s, p in zip(parts, plain) if not p]) - self.chunks.keys())
+        for e, chunk in zip(self.tok.encode_batch_fast(chunks, add_special_tokens=False), chunks):
+            self.chunks[chunk] = array("i", e.ids).tobytes()
+        units = set().union(*[s for s, p in zip(parts, plain) if p]) - self.units.keys()
+        model = self.tok.model.tokenize
+        for unit in units:
+            self.units[unit] = array("i", [t.id for t in model(unit.translate(self.visible))]).tobytes()
+        end = array("i", [end_id]).tobytes()
+        rows = [b"".join(map((self.units if p else self.chunks).__getitem__, s)) + end for s, p in zip(parts, plain)]
+        for known, new in ((self.chunks, chunks), (self.units, units)):
+            for part in new:
+                if len(part) > 64:
+                    del known[part]
+        return np.frombuffer(b"".join(rows), np.int32), np.array([len(r) // 4 for r in rows], np.int64)
+
+
 @cache
-def _tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path), {}
-
-
-def encode_batch(texts: list[str | None], path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-    """(flat ids, ids per text): ``end_id`` closes each text."""
-    tok, known = _tokenizer(path)
-    if len(known) > REMEMBER:
-        known.clear()
-    split = [CHUNK.findall(t) if t else [] for t in texts]
-    new = list(set().union(*split) - known.keys())
-    for e, chunk in zip(tok.encode_batch_fast(new, add_special_tokens=False), new):
-        known[chunk] = np.array(e.ids, "<i4").tobytes()
-    end = np.array([end_id], "<i4").tobytes()
-    rows = [b"".join(map(known.__getitem__, s)) + end for s in split]
-    for chunk in new:
-        if len(chunk) > 64:
-            del known[chunk]
-    return np.frombuffer(b"".join(rows), "<i4"), np.array([len(r) // 4 for r in rows], np.int64)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def write_tokens(df: DataFrame, path: str, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text") -> None:
@@ -73,7 +121,7 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, end_id: int, key: str
     def run(batches):
         start, part = 0, TaskContext.get().partitionId()
         for b in batches:
-            flat, n = encode_batch(b.column(1).to_pylist(), tokenizer, end_id)
+            flat, n = encoder(tokenizer).encode(b.column(1).to_pylist(), end_id)
             before = start + np.cumsum(n) - n
             start += int(n.sum())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(np.full(len(n), part, np.int32)), pa.array(before),
@@ -107,4 +155,5 @@ def file_starts(spark: SparkSession, path: str) -> DataFrame:
 def with_start(spark: SparkSession, path: str) -> DataFrame:
     """All rows with ``start``: the ids of all documents before the row, in file order."""
     rows = spark.read.parquet(path)
-    return rows.join(file_starts(spark, path), "part").withColumn("start", F.col("file_start") + F.col("local_start"))
+    starts = F.broadcast(file_starts(spark, path))  # one row of two numbers per written file
+    return rows.join(starts, "part").withColumn("start", F.col("file_start") + F.col("local_start"))
