@@ -309,3 +309,10 @@ def report_facts(df: DataFrame, roles: RoleMap) -> DataFrame:
     mark = 10 if mx is not None and mx <= 20 else 60  # the report rule knows only the 20- and 100-point scales
     return df.agg(*base, F.avg(x).alias("performance_mean"),
                   F.try_divide(F.count_if(x >= mark) * 100.0, F.count(x)).alias("pass_rate"))
+
+
+def latest_accuracy(runs: DataFrame) -> DataFrame:
+    """Accuracy in percent of the newest logistic run of a runs table, else of the newest run; null without runs."""
+    logistic = F.lower("model") == "logistic regression"
+    newest = F.struct(logistic.cast("int"), F.col("run_at"), F.col("model"))
+    return runs.where(F.col("accuracy").isNotNull()).agg((F.max_by("accuracy", newest) * 100).alias("prediction_accuracy"))

@@ -1,9 +1,11 @@
 """Pass/Fail classifiers as Spark ML pipelines.
 
-Preparation lives inside the pipeline (median imputation, scaling, 'Missing'
-fill, one-hot with unseen levels as zeros), so every fold fits its own
-statistics.  Calibration, cross-validation and permutation importance stack
-their fold / repeat frames so scoring runs as one job per stage.
+Preparation is fitted on each training frame (exact median imputation and
+population-std scaling from ``FeaturePrep``, 'Missing' fill, one-hot with unseen
+levels as zeros) and becomes a stage of the pipeline, so every fold has its own
+statistics.  Cross-validation and permutation importance stack their fold /
+repeat frames so scoring runs as one job per stage; a calibrated model adds its
+members' probabilities side by side, without a join.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ import time
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, LogisticRegression, RandomForestClassifier)
-from pyspark.ml.feature import Imputer, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +22,7 @@ from pyspark.sql import functions as F
 from cohort.functions.exprs import col, num, is_numeric_type, is_categorical_type
 from cohort.functions.labels import PASS, FAIL
 from cohort.operators import metrics
+from cohort.operators.clean import FeaturePrep
 from cohort.operators.split import fold_assignment, class_counts, choose_cv_folds, stratified_split
 from cohort.operators.ordered import running_sums
 
@@ -29,7 +32,8 @@ MODEL_NAMES = {"tree": "Decision Tree Classifier", "logistic": "Logistic Regress
                "forest": "Random Forest Classifier"}
 TREE_DEPTH, TREE_MIN_LEAF = 5, 4
 LOGISTIC_MAX_ITER, LOGISTIC_C = 2000, 1.0
-FOREST_TREES, FOREST_MIN_LEAF, FOREST_DEPTH = 250, 2, 12
+FOREST_TREES, FOREST_MIN_LEAF, FOREST_DEPTH = 250, 2, 30  # trees grow without a limit; 30 is the library's largest depth
+REGRESSOR_TREES = 200
 CALIBRATION_FOLDS, CV_FOLDS, PERMUTATION_REPEATS = 3, 5, 8
 # ---------------------------------------------------------------------------
 
@@ -41,17 +45,18 @@ def split_features(df: DataFrame, features: list[str]) -> tuple[list[str], list[
     return numeric, categorical
 
 
-def prep_stages(numeric: list[str], categorical: list[str], with_mean: bool = True) -> list:
+def prep_stages(train: DataFrame, numeric: list[str], categorical: list[str], with_mean: bool = True) -> list:
+    """Stages with the statistics of ``train`` as literals (an all-missing column becomes 0)."""
     stages, parts = [], []
     if numeric:
-        imp = [f"{c}__i" for c in numeric]
-        stages.append(SQLTransformer(statement="SELECT *, " + ", ".join(
-            f"CAST(`{c}` AS DOUBLE) AS `{c}__d`" for c in numeric) + " FROM __THIS__"))
-        stages.append(Imputer(inputCols=[f"{c}__d" for c in numeric], outputCols=imp, strategy="median",
-                              relativeError=0.0))
-        stages.append(VectorAssembler(inputCols=imp, outputCol="__num", handleInvalid="keep"))
-        stages.append(StandardScaler(inputCol="__num", outputCol="__nums", withMean=with_mean, withStd=True))
-        parts.append("__nums")
+        prep = FeaturePrep.fit(train, numeric, [], with_mean=with_mean)
+
+        def scaled(c: str) -> str:
+            x = f"coalesce(CAST(`{c}` AS DOUBLE), {prep.medians.get(c) or 0.0!r}D)"
+            return f"({x} - {(prep.means.get(c) or 0.0) if with_mean else 0.0!r}D) / {(prep.stds.get(c) or 1.0)!r}D AS `{c}__z`"
+
+        stages.append(SQLTransformer(statement="SELECT *, " + ", ".join(map(scaled, numeric)) + " FROM __THIS__"))
+        parts += [f"{c}__z" for c in numeric]
     if categorical:
         filled = [f"{c}__f" for c in categorical]
         stages.append(SQLTransformer(statement="SELECT *, " + ", ".join(
@@ -83,8 +88,8 @@ def classifier(kind: str, n_train: int, seed: int = 42, forest_depth: int = FORE
     raise ValueError(kind)
 
 
-def build_pipeline(kind: str, numeric, categorical, n_train: int, seed: int = 42, **kw) -> Pipeline:
-    return Pipeline(stages=prep_stages(numeric, categorical) + [classifier(kind, n_train, seed, **kw)])
+def build_pipeline(kind: str, train: DataFrame, numeric, categorical, n_train: int, seed: int = 42, **kw) -> Pipeline:
+    return Pipeline(stages=prep_stages(train, numeric, categorical) + [classifier(kind, n_train, seed, **kw)])
 
 
 def pass_probability(pred: DataFrame, out: str = "p") -> DataFrame:
@@ -105,7 +110,7 @@ def fit(df: DataFrame, kind: str, features: list[str], seed: int = 42, **kw) ->
     data = df.persist()
     try:
         n = data.count()
-        return build_pipeline(kind, numeric, categorical, n, seed, **kw).fit(data)
+        return build_pipeline(kind, data, numeric, categorical, n, seed, **kw).fit(data)
     finally:
         data.unpersist()
 
@@ -139,19 +144,16 @@ class CalibratedModel:
     def __init__(self, kind: str, members: list[tuple[PipelineModel, float, float]]):
         self.kind, self.members = kind, members
 
-    def transform(self, df: DataFrame, keys) -> DataFrame:
-        """Adds p (mean calibrated Pass probability); ``keys`` identify a row uniquely."""
-        keys = [keys] if isinstance(keys, str) else list(keys)
-        parts = []
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Adds p (mean calibrated Pass probability).  The members run one after the other over the same rows,
+        each adding its own column: no shuffle, no key."""
+        out, names = df, [f"`{c}`" for c in df.columns]
         for i, (m, a, b) in enumerate(self.members):
-            s = _raw_score(m.transform(df), self.kind)
-            parts.append(s.select(*[col(k) for k in keys], F.lit(i).alias("member"),
-                                  (1 / (1 + F.exp(-(F.lit(a) * F.col("s") + F.lit(b))))).alias("p")))
-        stacked = parts[0]
-        for p in parts[1:]:
-            stacked = stacked.unionByName(p)
-        probs = stacked.groupBy(*keys).agg(F.avg("p").alias("p"))
-        return df.join(probs, keys)
+            s = _raw_score(m.transform(out), self.kind)
+            p = 1 / (1 + F.exp(-(F.lit(a) * F.col("s") + F.lit(b))))
+            out = s.select(*names, *[f"__p{j}" for j in range(i)], p.alias(f"__p{i}"))
+        mean = sum((F.col(f"__p{i}") for i in range(len(self.members))), F.lit(0.0)) / len(self.members)
+        return out.select(*names, mean.alias("p"))
 
 
 def _parallel(fn, items, workers: int = 4):
@@ -245,13 +247,13 @@ def cross_validate(train: DataFrame, kind: str, features: list[str], key: str, f
 
 def permutation_importance(model, test: DataFrame, features: list[str], key: str, repeats: int = PERMUTATION_REPEATS,
                            seed: int = 42) -> DataFrame:
-    """Mean / std drop in holdout F1 when one feature's values are shuffled.
+    """Mean / std drop in holdout F1 when one feature's values are shuffled, largest first (ties: name).
 
     Each repeat r orders the holdout rows by a seeded hash (positions from
-    distributed running counts, computed once); feature j in repeat r takes
-    its values from the rows a non-zero cyclic shift away in that order, so
-    every (feature, repeat) copy is built by an equi-join on (repeat, position)
-    and all copies are scored in one job.
+    distributed running counts, computed once) and gives every row a donor a
+    non-zero cyclic shift away in that order: one equi-join on (repeat,
+    position) for all features.  A copy for feature j takes only j's value from
+    the donor; all copies are scored in one job.
     """
     base = test.select(col(key).alias(key), *[col(c) for c in features], LABEL)
     spark = test.sparkSession
@@ -261,35 +263,27 @@ def permutation_importance(model, test: DataFrame, features: list[str], key: str
         .withColumn("_h", F.xxhash64(F.lit(seed), F.col("r"), col(key))).withColumn("_one", F.lit(1))
     ranked = running_sums(reps, "_h", ["_one"], group=["r"]).withColumnRenamed("cum__one", "_pos") \
         .drop("_one", "_h").persist()
-    parts = []
-    for j, feat in enumerate(features):
-        # ... and per feature a distinct non-zero cyclic shift of that order: every row takes the
-        # value of another row, found by an equi-join on (repeat, position)
-        shift = F.lit(1) + (F.lit(j) * F.lit(repeats) + F.col("r") * F.lit(7919)) % F.lit(max(n - 1, 1))
-        donors = ranked.select("r", (((F.col("_pos") - 1 + shift) % F.lit(max(n, 1))) + 1).alias("_pos"),
-                               col(feat).alias("_v"))
-        shuffled = ranked.drop(feat).join(donors, ["r", "_pos"]).withColumnRenamed("_v", feat) \
-            .drop("_pos").withColumn("j", F.lit(j))
-        parts.append(shuffled.select(key, *features, LABEL, "r", "j"))
-    allp = parts[0]
-    for p in parts[1:]:
-        allp = allp.unionByName(p)
-    scored = _predict(model, allp, [key, "j", "r"])
+    shift = F.lit(1) + (F.col("r") * F.lit(7919)) % F.lit(max(n - 1, 1))
+    donors = ranked.select("r", (((F.col("_pos") - 1 + shift) % F.lit(max(n, 1))) + 1).alias("_pos"),
+                           F.struct(*[col(c).alias(f"v{j}") for j, c in enumerate(features)]).alias("_donor"))
+    copies = ranked.join(donors, ["r", "_pos"]).select("*", F.explode(F.sequence(F.lit(0), F.lit(len(features) - 1))).alias("j"))
+    mixed = [F.when(F.col("j") == j, F.col(f"_donor.v{j}")).otherwise(col(c)).alias(c) for j, c in enumerate(features)]
+    scored = _predict(model, copies.select(col(key), *mixed, LABEL, "r", "j"))
     f1s = fold_metrics(scored, ["j", "r"]).select("j", "r", "f1")
-    base_f1 = fold_metrics(_predict(model, base.withColumn("j", F.lit(-1)), [key]), ["j"]).first()["f1"]
+    base_f1 = fold_metrics(_predict(model, base.withColumn("j", F.lit(-1))), ["j"]).first()["f1"]
     names = spark.createDataFrame([(j, f) for j, f in enumerate(features)], "j int, feature string")
     imp = f1s.groupBy("j").agg(F.avg(F.lit(base_f1) - F.col("f1")).alias("importance"),
                                F.stddev_pop(F.lit(base_f1) - F.col("f1")).alias("importance_std"))
-    out = names.join(imp, "j").select("feature", "importance", "importance_std")
+    out = names.join(imp, "j").select("feature", "importance", "importance_std").orderBy(F.desc("importance"), "feature")
     out = spark.createDataFrame(out.collect(), out.schema)  # one row per feature
     ranked.unpersist()
     return out
 
 
-def _predict(model, df: DataFrame, keys: list[str]) -> DataFrame:
+def _predict(model, df: DataFrame) -> DataFrame:
     """label, yhat, p for a fitted pipeline or calibrated model."""
     if isinstance(model, CalibratedModel):
-        out = model.transform(df, keys)
+        out = model.transform(df)
         return out.withColumn("yhat", (F.col("p") >= 0.5).cast("double"))
     out = pass_probability(model.transform(df))
     return out.withColumn("yhat", F.col("prediction"))
@@ -308,7 +302,7 @@ def sanitize_features(features: list[str], target: str | None, target_scores: li
 
 
 def holdout_predictions(model, test: DataFrame, key: str) -> DataFrame:
-    return _predict(model, test, [key]).select(key, LABEL, "yhat", "p")
+    return _predict(model, test).select(key, LABEL, "yhat", "p")
 
 
 def evaluate(pred: DataFrame, name: str) -> dict:
@@ -327,12 +321,16 @@ METRIC_SCHEMA = ("model string, accuracy double, precision double, recall double
 
 def train_all(df: DataFrame, target, features: list[str], key: str, kinds=("tree", "logistic", "forest"),
               test_size: float = 0.3, seed: int = 42, cv_folds: int = CV_FOLDS, calibration: bool = True,
-              importance: bool = True, **kw) -> dict:
+              importance: bool = True, target_column: str | None = None, target_scores: list[str] | None = None, **kw) -> dict:
     """Split, cross-validate, calibrate, evaluate and explain each model.
 
-    Returns frames: metrics (one row per model), cv, importance, predictions.
+    Features that define the target (its column, or the scores it is derived from) are removed first.
+    Returns frames: metrics (one row per model), cv, importance, predictions; and the kept and removed features.
     """
     spark = df.sparkSession
+    features, removed = sanitize_features(features, target_column, target_scores or [])
+    if not features:
+        raise ValueError("No feature is left once those that define the target are removed.")
     data = labelled(df, target, features, key)
     numeric, categorical = split_features(data, features)
     feats = numeric + categorical
@@ -365,6 +363,7 @@ def train_all(df: DataFrame, target, features: list[str], key: str, kinds=("tree
         preds.append(pred.withColumn("model", F.lit(name)))
     out = {"metrics": spark.createDataFrame([tuple(r.get(c) for c in [f.split()[0] for f in METRIC_SCHEMA.split(", ")])
                                              for r in rows], METRIC_SCHEMA)}
+    out["kept_features"], out["removed_features"] = feats, removed
     out["cv"] = _union(cvs)
     out["importance"] = _union(imps) if imps else None
     out["predictions"] = _union(preds)
@@ -398,7 +397,7 @@ def top_features(importance: DataFrame, n: int = 5) -> DataFrame:
 
 # ---- regression on the average score ------------------------------------------
 def train_forest_regressor(df: DataFrame, features: list[str], target: str, key: str, test_size: float = 0.25,
-                           trees: int = 200, seed: int = 42):
+                           trees: int = REGRESSOR_TREES, seed: int = 42):
     from pyspark.ml.regression import RandomForestRegressor
     from pyspark.ml.evaluation import RegressionEvaluator
     numeric, categorical = split_features(df, features)
@@ -407,10 +406,12 @@ def train_forest_regressor(df: DataFrame, features: list[str], target: str, key:
     h = (F.abs(F.xxhash64(F.lit(seed), col(key))) % 1000000) / 1000000.0
     data = data.withColumn("is_test", h < test_size)
     train, test = data.where(~F.col("is_test")), data.where(F.col("is_test"))
-    pipe = Pipeline(stages=prep_stages(numeric, categorical) + [
+    train = train.persist()
+    pipe = Pipeline(stages=prep_stages(train, numeric, categorical) + [
         RandomForestRegressor(labelCol=LABEL, numTrees=trees, seed=seed, maxDepth=FOREST_DEPTH,
                               maxMemoryInMB=1024, cacheNodeIds=True)])
     model = pipe.fit(train)
+    train.unpersist()
     pred = model.transform(test)
     mae = RegressionEvaluator(labelCol=LABEL, metricName="mae").evaluate(pred)
     r2 = RegressionEvaluator(labelCol=LABEL, metricName="r2").evaluate(pred)

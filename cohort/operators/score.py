@@ -26,7 +26,7 @@ def train_scoring_model(features: DataFrame, target) -> tuple:
         n = data.count()
         lr = LogisticRegression(labelCol=LABEL, maxIter=1000, regParam=1.0 / (LOGISTIC_C * max(n, 1)),
                                 elasticNetParam=0.0, standardization=False)
-        return Pipeline(stages=prep_stages(FORM, []) + [lr]).fit(data), n
+        return Pipeline(stages=prep_stages(data, FORM, []) + [lr]).fit(data), n
     finally:
         data.unpersist()
 

@@ -135,23 +135,16 @@ def q_scalar_map(spark, sf_dir):
 
 @register("latest_accuracy")
 def q_latest_accuracy(spark, sf_dir):
-    """Accuracy (percent) of the newest logistic run in a runs table built from two training runs."""
-    from cohort.plans.model_queries import _docs, FEATURES, KEY
-    from cohort.operators import models
-    d, t = _docs(spark, sf_dir)
-    runs = None
-    for i in range(2):
-        m = models.train_all(d, t, FEATURES, KEY, kinds=("logistic",), cv_folds=0, calibration=False,
-                             importance=False, seed=42 + i)["metrics"].withColumn("run_at", F.lit(i))
-        runs = m if runs is None else runs.unionByName(m)
-    return runs.where(F.lower("model") == "logistic regression").agg(
-        (F.max_by("accuracy", "run_at") * 100).alias("prediction_accuracy"))
+    """Accuracy (percent) of the newest stored logistic run; without one, of the newest run of any model."""
+    from cohort.operators import kpi as k
+    from cohort.plans.model_queries import runs
+    return k.latest_accuracy(runs(spark, sf_dir)["metrics"])
 
 
 @register("auto_pipeline")
 def q_auto_pipeline(spark, sf_dir):
     from cohort.plans.pipeline_run import auto_pipeline
-    return auto_pipeline(students(spark, sf_dir))
+    return auto_pipeline(students(spark, sf_dir))["report"]
 
 
 _PLAIN = "'^\\s*[+-]?([0-9]+(\\.[0-9]*)?|\\.[0-9]+)([eE][+-]?[0-9]+)?\\s*$'"

@@ -115,7 +115,6 @@ def q_score_table(spark, sf_dir):
 def q_score_average(spark, sf_dir):
     from cohort.operators import models
     s = students(spark, sf_dir).dropDuplicates()
-    model, _, _ = models.train_forest_regressor(s, ["studytime", "absences", "failures", "programme"], "g3",
-                                                "student_id", trees=20)
+    model, _, _ = models.train_forest_regressor(s, ["studytime", "absences", "failures", "programme"], "g3", "student_id")
     return model.transform(s.select("student_id", "studytime", "absences", "failures", "programme")) \
         .select("student_id", F.col("prediction").alias("predicted_average"))
