@@ -49,6 +49,29 @@ def q_union_tables(spark, sf_dir):
     return delimited.union_tables([a, b])
 
 
-@register("extract_text_tables")
+def _text_tables_sql() -> str:
+    """The same extraction by list functions: hide separators within quotes, split, check widths, name columns."""
+    def cells(sep):
+        hidden = f"array_to_string(list_transform(string_split(line, '\"'), lambda s, i: CASE WHEN i % 2 = 0 THEN replace(s, {sep}, chr(1)) ELSE s END), '\"')"
+        safe = f"CASE WHEN len(string_split(line, '\"')) % 2 = 1 THEN {hidden} ELSE line END"
+        plain = f"replace(trim(c, ' '), chr(1), {sep})"
+        return (f"list_transform(string_split({safe}, {sep}), lambda c: CASE WHEN length({plain}) >= 2 AND {plain}[1] = '\"' AND {plain}[-1] = '\"' "
+                f"THEN replace(substr({plain}, 2, length({plain}) - 2), '\"\"', '\"') ELSE {plain} END)")
+
+    seps = ["'|'", "chr(9)", "','", "';'"]
+    rows = " UNION ALL ".join(f"SELECT doc_id, no, {k} AS k, {cells(s)} AS cells FROM l WHERE contains(line, {s})" for k, s in enumerate(seps))
+    return f"""WITH l AS (SELECT doc_id, generate_subscripts(ls, 1) - 1 AS no, trim(unnest(ls), ' ') AS line
+      FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
+r AS ({rows}),
+h AS (SELECT doc_id, k, count(*) AS n, arg_min(cells, no) AS head, min(no) AS first, max(len(cells)) AS widest FROM r GROUP BY doc_id, k),
+c AS (SELECT doc_id, min(k) AS k FROM h WHERE n >= 2 AND len(head) >= 2 AND widest <= len(head) GROUP BY doc_id),
+t AS (SELECT h.doc_id, h.k, first, list_transform(head, lambda x, i: CASE WHEN x = '' THEN 'column_' || i ELSE x END) AS base FROM h JOIN c ON h.doc_id = c.doc_id AND h.k = c.k),
+nm AS (SELECT *, list_transform(base, lambda x, i: CASE WHEN len(list_filter(base[1:i], lambda y: y = x)) > 1
+        THEN x || '_' || len(list_filter(base[1:i], lambda y: y = x)) ELSE x END) AS names FROM t),
+e AS (SELECT r.doc_id, r.no, names, cells, unnest(range(1, len(cells) + 1)) AS i FROM r JOIN nm ON r.doc_id = nm.doc_id AND r.k = nm.k AND r.no > nm.first)
+SELECT doc_id, CAST(no AS INTEGER) AS row_no, names[i] AS column_name, nullif(cells[i], '') AS value FROM e"""
+
+
+@register("extract_text_tables", _text_tables_sql())
 def q_extract_text_tables(spark, sf_dir):
     return delimited.extract_text_tables(table(spark, sf_dir, "documents"))

@@ -28,7 +28,8 @@ def _linear(spark, sf_dir):
     return score.with_rejects(score.score_linear(valid, WEIGHTS, INTERCEPT, centre, scale), checked.where(F.size("errors") > 0))
 
 
-def _sql_linear():
+def sql_linear(centred: bool = True) -> str:
+    """The scoring chain in SQL, ending in table x; ``centred``: features are standardised first."""
     limits = {"study_time": ("min(studytime)", "greatest(min(studytime) + 1, max(studytime))"), "absences": ("0", "greatest(20, ceil(max(absences)))"),
               "failures": ("0", "greatest(4, ceil(max(failures)))"), "previous_grade_1": ("0", "greatest(20, ceil(max(g1)))"),
               "previous_grade_2": ("0", "greatest(20, ceil(max(g2)))")}
@@ -37,7 +38,7 @@ def _sql_linear():
                      f"'{clean.FIELD_LABELS[f]} must be between ' || lo_{f} || ' and ' || hi_{f} || '.' END" for f in limits)
     stats = ", ".join(f"avg({f}) AS a_{f}, stddev_pop({f}) AS s_{f}" for f in WEIGHTS)
     z = f"{INTERCEPT!r}" + "".join(
-        f" + {w!r} * (({f} - a_{f}) / (CASE WHEN s_{f} = 0 OR s_{f} IS NULL THEN 1.0 ELSE s_{f} END))"
+        f" + {w!r} * (({f} - a_{f}) / (CASE WHEN s_{f} = 0 OR s_{f} IS NULL THEN 1.0 ELSE s_{f} END))" if centred else f" + {w!r} * {f}"
         for f, w in WEIGHTS.items())
     acts = (f"list_filter([CASE WHEN absences >= 10 THEN '{L.ACTION_ABSENCES}' END, "
             f"CASE WHEN failures >= 2 THEN '{L.ACTION_FAILURES}' END, "
@@ -70,7 +71,7 @@ x AS (SELECT student_id, study_time, absences, failures, previous_grade_1, previ
       FROM ch WHERE errors <> '')"""
 
 
-LIN = _sql_linear()
+LIN = sql_linear()
 
 
 @register("score_linear", LIN + """

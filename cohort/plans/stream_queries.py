@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from cohort.functions.labels import normalize_target
 from cohort.session import scratch_path
+from cohort.operators import clean, score
+from cohort.plans.score_queries import INTERCEPT, WEIGHTS, sql_linear
 from cohort.streaming import streams
 from cohort.plans.common import register, finish, STUDENTS, TARGET_SQL
 from cohort.sources.fixtures import students
@@ -25,37 +27,41 @@ def q_stream_pass_rate(spark, sf_dir):
         F.col("window_end").cast("timestamp_ntz").alias("window_end"), "passes", "labelled", "pass_rate"))
 
 
+COLUMNS = ["student_id", "studytime", "absences", "failures", "g1", "g2", "recorded_at"]
+
+
 def _stream_source(spark, sf_dir):
+    """(stream, the same rows as a table): eight files in hash order, one per micro-batch."""
     path = scratch_path(spark, f"stream-src-{uuid.uuid4().hex}")
-    src = students(spark, sf_dir).select("student_id", "studytime", "absences", "failures", "g1", "g2", "recorded_at")
-    src.repartition(4).write.parquet(path)
-    return spark.readStream.schema(src.schema).option("maxFilesPerTrigger", 2).parquet(path)
+    src = students(spark, sf_dir).select(*COLUMNS)
+    src.repartition(8, F.xxhash64(F.lit(1), "student_id", "recorded_at")).write.parquet(path)
+    return spark.readStream.schema(src.schema).option("maxFilesPerTrigger", 1).parquet(path), spark.read.parquet(path)
 
 
-@register("stream_dedup")
+@register("stream_dedup", f"WITH {STUDENTS}\nSELECT DISTINCT {', '.join(COLUMNS)} FROM students")
 def q_stream_dedup(spark, sf_dir):
-    stream = _stream_source(spark, sf_dir)
-    out = streams.dedup_stream(stream, ["student_id"], "recorded_at", "24 hours")
-    name = f"dedup_{uuid.uuid4().hex[:8]}"
-    q = out.writeStream.format("memory").queryName(name).outputMode("append") \
-        .option("checkpointLocation", scratch_path(spark, f"ckpt-{name}")).trigger(availableNow=True).start()
+    stream, rows = _stream_source(spark, sf_dir)
+    out = streams.dedup_stream(stream, ["student_id"], "recorded_at", streams.watermark_for(rows, "recorded_at"))
+    sink = scratch_path(spark, f"stream-out-{uuid.uuid4().hex}")
+    q = (out.writeStream.format("parquet").option("path", sink).outputMode("append")
+         .option("checkpointLocation", scratch_path(spark, f"ckpt-{uuid.uuid4().hex}")).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.sql(f"SELECT * FROM {name}")
+    return spark.read.schema(rows.schema).parquet(sink)
 
 
-@register("stream_score")
+@register("stream_score", sql_linear(centred=False) + """
+SELECT student_id, round(pass_probability, 6) AS pass_probability, predicted_label, risk_level, errors FROM x""")
 def q_stream_score(spark, sf_dir):
-    from cohort.plans.score_queries import WEIGHTS, INTERCEPT
-    from cohort.operators import score
-    stream = _stream_source(spark, sf_dir)
+    stream, rows = _stream_source(spark, sf_dir)
+    mapping = {"study_time": "studytime", "absences": "absences", "failures": "failures", "previous_grade_1": "g1", "previous_grade_2": "g2"}
+    limits = clean.data_limits(clean.field_ranges(rows, mapping))
 
     def batch_scores(b):
-        feats = b.select("student_id", F.col("studytime").cast("double").alias("study_time"),
-                         F.col("absences").cast("double").alias("absences"),
-                         F.col("failures").cast("double").alias("failures"),
-                         F.col("g1").alias("previous_grade_1"), F.col("g2").alias("previous_grade_2"))
-        return score.score_linear(feats.dropna(), WEIGHTS, INTERCEPT, {}, {})
+        feats, _, _ = clean.model_features(b, mapping, keep=["student_id"])
+        checked = clean.scoring_input_check(feats, limits)
+        valid = checked.where(F.size("errors") == 0).drop("errors")
+        return score.with_rejects(score.score_linear(valid, WEIGHTS, INTERCEPT, {}, {}), checked.where(F.size("errors") > 0))
 
     sink = scratch_path(spark, f"stream-out-{uuid.uuid4().hex}")
     streams.stream_score(stream, batch_scores, sink, scratch_path(spark, f"ckpt-{uuid.uuid4().hex}"))
-    return spark.read.parquet(sink)
+    return finish(spark.read.parquet(sink).select("student_id", "pass_probability", "predicted_label", "risk_level", "errors"))

@@ -3,10 +3,12 @@ normalisation and type inference in one aggregate pass."""
 
 from __future__ import annotations
 
+import csv
 import re
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohort.functions.exprs import col, PLAIN_NUMBER
 
@@ -16,39 +18,61 @@ MISSING_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN",
 SEPARATORS = [",", ";", "\t", "|"]
 TEXT_TABLE_SEPARATORS = ["|", "\t", ",", ";"]
 # ---------------------------------------------------------------------------
+BAD_LINE = "__line"  # the raw text of rows whose field count isn't the header's
 INTEGER = r"^\s*[+-]?[0-9]+\s*$"
 
 
-def sniff_separator(spark: SparkSession, path: str, sample_lines: int = 50) -> str:
-    """Separator whose count is the same and positive on the sampled lines (most columns wins)."""
-    lines = [r.value for r in spark.read.text(path).limit(sample_lines).collect()]  # bounded sample
-    lines = [ln for ln in lines if ln.strip()]
-    best, best_n = ",", 0
-    for sep in SEPARATORS:
-        counts = {ln.count(sep) for ln in lines}
-        if len(counts) == 1:
-            n = counts.pop()
-            if n > best_n:
-                best, best_n = sep, n
-    return best
+def _outside_quotes(line: str) -> str:
+    return re.sub(r'"(?:[^"]|"")*"', "", line)
+
+
+def header_line(spark: SparkSession, path: str) -> str:
+    """The first line that isn't blank, as it stands in the file."""
+    row = spark.read.text(path).where(F.trim("value") != "").first()
+    return row.value.lstrip("\ufeff") if row else ""
+
+
+def sniff_separator(header: str) -> str:
+    """The separator that occurs most often in the header outside quotes (ties: the order of SEPARATORS)."""
+    bare = _outside_quotes(header)
+    return max(SEPARATORS, key=lambda sep: (bare.count(sep), -SEPARATORS.index(sep)))
+
+
+def header_names(header: str, sep: str) -> list[str]:
+    """Names as written: no renaming of blank or repeated ones."""
+    return next(csv.reader([header], delimiter=sep), []) if header else []
 
 
 def check_header(columns: list[str]) -> None:
     if not columns:
-        raise ValueError("The dataset has no columns.")
+        raise ValueError("The file has no header.")
     if any(not str(c).strip() for c in columns):
-        raise ValueError("The dataset has blank column names.")
+        raise ValueError("A column of the header has no name.")
     if len(set(columns)) != len(columns):
-        raise ValueError("The dataset has duplicate column names.")
+        raise ValueError("A name occurs more than once in the header.")
+
 
+def read_delimited(spark: SparkSession, path: str, sep: str | None = None, infer: bool = True, multi_line: bool = False,
+                   with_rejects: bool = False):
+    """Read a headed delimited file (or folder) distributed; all columns as text, then typed.
 
-def read_delimited(spark: SparkSession, path: str, sep: str | None = None, infer: bool = True) -> DataFrame:
-    """Read a headed delimited file (or folder) distributed; all columns as text, then typed."""
-    sep = sep or sniff_separator(spark, path)
-    raw = (spark.read.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"')
-           .option("multiLine", False).option("inferSchema", False).csv(path))
-    check_header(raw.columns)
-    return infer_types(raw) if infer else raw
+    Rows with more fields than the header are rejects: they stay out, and ``with_rejects`` returns them as a
+    second frame (``line``).  Shorter rows are filled with nulls.  ``multi_line`` reads quoted line breaks;
+    each file is then one task, so it is off unless asked for.
+    """
+    header = header_line(spark, path)
+    sep = sep or sniff_separator(header)
+    names = header_names(header, sep)
+    check_header(names)
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, BAD_LINE]])
+    raw = (spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("sep", sep).option("quote", '"')
+           .option("escape", '"').option("multiLine", multi_line).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD_LINE).csv(path))
+    fields = F.size(F.split(F.regexp_replace(F.col(BAD_LINE), r'"(?:[^"]|"")*"', ""), re.escape(sep), -1))
+    wide = F.coalesce(fields > len(names), F.lit(False))
+    # the field count of a row is only checked where all its columns are read
+    rows = raw.where(~wide).select(*[col(n) for n in names])
+    rows = infer_types(rows) if infer else rows
+    return (rows, raw.where(wide & (F.length(F.concat_ws("", *[col(n) for n in names], BAD_LINE)) > 0)).select(F.col(BAD_LINE).alias("line"))) if with_rejects else rows
 
 
 def normalise_missing(df: DataFrame) -> DataFrame:
@@ -87,54 +111,52 @@ def infer_types(df: DataFrame) -> DataFrame:
     return clean.select(*out)
 
 
-def _unique_names(names: DataFrame) -> DataFrame:
-    """Blank header -> column_<i>; repeats get _2, _3 ... (per document)."""
-    base = F.when(F.trim(F.coalesce("name", F.lit(""))) == "", F.concat(F.lit("column_"), F.col("col_no") + 1)) \
-        .otherwise(F.trim("name"))
-    w = Window.partitionBy("doc_id", "base").orderBy("col_no")  # a header's fields: bounded by its width
-    named = names.withColumn("base", base).withColumn("k", F.row_number().over(w))
-    return named.select("doc_id", "col_no", F.when(F.col("k") == 1, F.col("base"))
-                        .otherwise(F.concat(F.col("base"), F.lit("_"), F.col("k"))).alias("column_name"))
+def _cells(line: Column, sep: str) -> Column:
+    """Fields of a line: separators within balanced quotes don't count, surrounding quotes go."""
+    parts = F.split(line, '"', -1)
+    hidden = F.array_join(F.transform(parts, lambda s, i: F.when(i % 2 == 1, F.translate(s, sep, "\x01")).otherwise(s)), '"')
+    safe = F.when(F.size(parts) % 2 == 1, hidden).otherwise(line)
+    cells = F.split(safe, re.escape(sep), -1)
+
+    def plain(c: Column) -> Column:
+        t = F.translate(F.trim(c), "\x01", sep)
+        quoted = t.rlike('(?s)^".*"$') & (F.length(t) >= 2)
+        return F.when(quoted, F.regexp_replace(F.substring(t, 2, F.length(t) - 2), '""', '"')).otherwise(t)
+
+    return F.transform(cells, plain)
 
 
 def extract_text_tables(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Delimited tables inside free text, per document, as (doc_id, row_no, column_name, value).
 
-    Separators are tried in order (pipe, tab, comma, semicolon); the lines that
-    contain the separator form the table when there are at least two of them,
-    the first has at least two fields and no data line is wider than it.
-    Cells are split without quote handling; '' becomes NULL.
+    Separators are tried in order (pipe, tab, comma, semicolon); the lines that contain the separator form
+    the table when there are at least two of them, the first has at least two fields and no other line is
+    wider.  Fields may be quoted; an empty field is null.  A blank name becomes column_<i>, a repeated one gets
+    _2, _3, ...  Everything happens within the document's row: array functions, no shuffle.
     """
-    lines = texts.select(F.col(id_col).alias("doc_id"),
-                         F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line")) \
-        .select("doc_id", "line_no", F.trim("line").alias("line"))
-    stats = []
-    for k, sep in enumerate(TEXT_TABLE_SEPARATORS):
-        has = F.col("line").contains(sep)
-        width = F.size(F.split(F.col("line"), re.escape(sep), -1))
-        stats += [F.count_if(has).alias(f"n{k}"),
-                  F.min_by(width, F.when(has, F.col("line_no"))).alias(f"h{k}"),
-                  F.min(F.when(has, F.col("line_no"))).alias(f"first{k}"),
-                  F.max(F.when(has, width)).alias(f"w{k}")]
-    per_doc = lines.groupBy("doc_id").agg(*stats)
-    choice = None
-    for k, _ in enumerate(TEXT_TABLE_SEPARATORS):
-        ok = (F.col(f"n{k}") >= 2) & (F.col(f"h{k}") >= 2) & (F.col(f"w{k}") <= F.col(f"h{k}"))
-        choice = F.when(ok, F.lit(k)) if choice is None else choice.when(ok, F.lit(k))
-    chosen = per_doc.select("doc_id", choice.alias("k"),
-                            F.coalesce(*[F.when(choice == k, F.col(f"first{k}")) for k in range(4)]).alias("header_line")) \
-        .where(F.col("k").isNotNull())
-    sep_arr = F.array(*[F.lit(re.escape(s)) for s in TEXT_TABLE_SEPARATORS])
-    sep_raw = F.array(*[F.lit(s) for s in TEXT_TABLE_SEPARATORS])
-    tl = lines.join(chosen, "doc_id").where(F.col("line").contains(F.element_at(sep_raw, F.col("k") + 1)))
-    cells = tl.select("doc_id", "line_no", "header_line",
-                      F.posexplode(F.split(F.col("line"), F.element_at(sep_arr, F.col("k") + 1), -1)).alias("col_no", "cell"))
-    header = _unique_names(cells.where(F.col("line_no") == F.col("header_line"))
-                           .select("doc_id", "col_no", F.col("cell").alias("name")))
-    body = cells.where(F.col("line_no") != F.col("header_line"))
-    out = body.join(header, ["doc_id", "col_no"])
-    return out.select("doc_id", F.col("line_no").alias("row_no"), "column_name",
-                      F.when(F.col("cell") != "", F.col("cell")).alias("value"))
+    lines = F.transform(F.split(F.col(text_col), "\n", -1), lambda s, i: F.struct(i.alias("no"), F.trim(s).alias("line")))
+    src = texts.select(F.col(id_col).alias("doc_id"), lines.alias("lines"))
+
+    def table_of(sep: str) -> Column:
+        held = F.filter("lines", lambda x: F.contains(x["line"], F.lit(sep)))
+        return F.transform(held, lambda x: F.struct(x["no"].alias("no"), _cells(x["line"], sep).alias("cells")))
+
+    def fits(t: Column) -> Column:
+        width = F.size(F.get(t, F.lit(0))["cells"])
+        return (F.size(t) >= 2) & (width >= 2) & ~F.exists(t, lambda x: F.size(x["cells"]) > width)
+
+    for i, sep in enumerate(TEXT_TABLE_SEPARATORS):
+        src = src.withColumn(f"t{i}", table_of(sep))
+    chosen = F.coalesce(*[F.when(fits(F.col(f"t{i}")), F.col(f"t{i}")) for i in range(len(TEXT_TABLE_SEPARATORS))])
+    src = src.select("doc_id", chosen.alias("t")).where(F.col("t").isNotNull())
+    base = F.transform(F.get("t", F.lit(0))["cells"], lambda c, i: F.when(c == "", F.concat(F.lit("column_"), (i + 1).cast("string"))).otherwise(c))
+    src = src.withColumn("base", base)
+    nth = F.transform("base", lambda c, i: F.size(F.filter(F.slice("base", F.lit(1), i + 1), lambda d: d == c)))
+    names = F.zip_with("base", nth, lambda c, k: F.when(k > 1, F.concat(c, F.lit("_"), k.cast("string"))).otherwise(c))
+    src = src.withColumn("names", names)
+    cells = F.transform(F.slice("t", F.lit(2), F.size("t")), lambda r: F.transform(r["cells"], lambda c, i: F.struct(
+        r["no"].alias("row_no"), F.get("names", i).alias("column_name"), F.when(c != "", c).alias("value"))))
+    return src.select("doc_id", F.inline(F.flatten(cells)))
 
 
 def union_tables(frames: list[DataFrame]) -> DataFrame:

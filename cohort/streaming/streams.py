@@ -24,7 +24,15 @@ def pass_rate_windows(df: DataFrame, ts: str, label: str, window: str = "1 hour"
                     F.try_divide(F.col("passes") * 100.0, F.col("labelled")).alias("pass_rate"))
 
 
+def watermark_for(df: DataFrame, ts: str) -> str:
+    """A delay that covers the whole disorder of a bounded source, so that no row of it is late."""
+    row = df.agg(F.min(F.col(ts).cast("timestamp")).cast("long").alias("a"), F.max(F.col(ts).cast("timestamp")).cast("long").alias("b")).first()
+    return f"{(row.b - row.a if row.a is not None else 0) + 86_400} seconds"
+
+
 def dedup_stream(df: DataFrame, keys: list[str], ts: str, watermark: str = "1 hour") -> DataFrame:
+    """First row of each key.  Rows older than the watermark are late and lost: the delay must cover the
+    disorder of the source (``watermark_for`` measures it)."""
     src = df.withColumn("_ts", F.col(ts).cast("timestamp"))
     if df.isStreaming:
         return src.withWatermark("_ts", watermark).dropDuplicatesWithinWatermark(keys).drop("_ts")

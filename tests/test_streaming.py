@@ -30,11 +30,13 @@ def test_stream_dedup_matches_batch(spark, tmp_path):
     from cohort.streaming import streams
     src = students(spark, SF).select("student_id", "g1", "recorded_at")
     path = str(tmp_path / "src")
-    src.repartition(3).write.parquet(path)
-    stream = spark.readStream.schema(src.schema).parquet(path)
-    name = f"dd_{uuid.uuid4().hex[:8]}"
-    q = (streams.dedup_stream(stream, ["student_id"], "recorded_at", "3650 days").writeStream.format("memory")
-         .queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / "ckpt"))
+    src.repartition(6, F.xxhash64(F.lit(3), "student_id", "g1")).write.parquet(path)
+    stream = spark.readStream.schema(src.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    delay = streams.watermark_for(src, "recorded_at")
+    q = (streams.dedup_stream(stream, ["student_id"], "recorded_at", delay).writeStream.format("parquet")
+         .option("path", str(tmp_path / "out")).outputMode("append").option("checkpointLocation", str(tmp_path / "ckpt"))
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    assert spark.sql(f"SELECT count(*) AS n FROM {name}").first().n == src.select("student_id").distinct().count()
+    assert len([p for p in q.recentProgress if p["numInputRows"]]) >= 5
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert got.count() == got.select("student_id").distinct().count() == src.select("student_id").distinct().count()
