@@ -16,6 +16,13 @@ from pyspark.sql import functions as F
 from cohort.operators.ordered import running_sums
 
 
+# ---- fixed values (reasons of the target check, part of its output) ------------
+NEEDS_BOTH = "The target must contain both Pass and Fail records."
+NEEDS_TWO = "Each class needs at least two records for a train/test split."
+NEEDS_MORE = "Increase the dataset size or reduce the test split so both classes appear in train and test data."
+# ---------------------------------------------------------------------------
+
+
 def class_counts(df: DataFrame, label: str) -> dict:
     return {r[0]: r[1] for r in df.groupBy(label).count().collect()}  # one row per class
 
@@ -26,11 +33,11 @@ def check_target(df: DataFrame, label: str, test_size: float = 0.3) -> DataFrame
     n = sum(counts.values())
     test_rows = ceil(n * test_size)
     if len(counts) < 2:
-        reason = "The target must contain both Pass and Fail records."
+        reason = NEEDS_BOTH
     elif min(counts.values()) < 2:
-        reason = "Each class needs at least two records for a train/test split."
+        reason = NEEDS_TWO
     elif test_rows < len(counts) or n - test_rows < len(counts):
-        reason = "Increase the dataset size or reduce the test split so both classes appear in train and test data."
+        reason = NEEDS_MORE
     else:
         reason = None
     spark = df.sparkSession
