@@ -9,7 +9,7 @@ import pytest
 SF = "/root/testdata/sf0.001"
 SLOW = {"kmeans3", "train_all", "metrics_table", "model_ranking", "cross_validate", "auto_pipeline", "latest_accuracy",
         "top_features", "calibrate_sigmoid", "permutation_importance", "train_forest", "train_forest_regressor",
-        "score_average", "insights"}
+        "score_average"}
 
 
 def _canon(v):
