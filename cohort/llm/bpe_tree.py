@@ -1,9 +1,9 @@
 """Byte-level BPE encoding and decoding; merges are found by a segment tree over byte positions.
 
 Each leaf belongs to a byte position and holds the merge rank of the live part that starts there with its
-right neighbour; inner nodes hold the leftmost minimum, so the next merge is read at the root.  A merge
-kills one leaf and re-ranks the live neighbours: three point updates of logarithmic cost, so a pre-token
-of a megabyte takes n log n steps.
+right neighbour; inner nodes hold the leftmost minimum of their 32 children, so the next merge is read at the
+root.  A merge kills one leaf and re-ranks the live neighbours: three point updates of logarithmic cost, so
+a pre-token of a megabyte takes n log n steps.  A usual word is one node.
 
 ``encode(df, ...)`` adds ``ids``; ``decode(df, ...)`` adds the bytes that the ids stand for.  Null text is
 empty text (no ids); repeated rows each give a row; extra columns are dropped unless named in ``keep``.
@@ -12,6 +12,8 @@ empty text (no ids); repeated rows each give a row; extra columns are dropped un
 from __future__ import annotations
 
 import base64
+import re
+from collections.abc import Callable
 from functools import cache
 
 import numpy as np
@@ -22,7 +24,9 @@ from pyspark.sql import DataFrame
 from cohort.llm.common import bounded_batches, map_text
 
 #: Distinct pre-tokens that a Python worker remembers; beyond it the memory starts anew.
-REMEMBER = 300_000
+REMEMBER = 600_000
+#: Children of a tree node.
+FAN = 32
 
 
 @cache
@@ -38,51 +42,50 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     if whole is not None:
         return [whole]
     n = len(piece)
-    size = 1 << (n - 1).bit_length()
     shift = n.bit_length()
     low, none = (1 << shift) - 1, 1 << 62
-    tree = [none] * (2 * size)
     right = list(range(1, n + 1))  # start of the next live part
     left = list(range(-1, n - 1))
+    get = ranks.get
+    leaves = [none] * n  # rank, then position: the smallest is the leftmost of the lowest rank
     for i in range(n - 1):
-        r = ranks.get(piece[i:i + 2])
+        r = get(piece[i:i + 2])
         if r is not None:
-            tree[size + i] = r << shift | i
-    for i in range(size - 1, 0, -1):
-        a, b = tree[2 * i], tree[2 * i + 1]
-        tree[i] = a if a < b else b
-
-    def put(at: int, value: int) -> None:
-        i = size + at
-        if tree[i] == value:
-            return
-        tree[i] = value
-        i >>= 1
-        while i:
-            a, b = tree[2 * i], tree[2 * i + 1]
-            value = a if a < b else b
-            if tree[i] == value:
+            leaves[i] = r << shift | i
+    levels = [leaves]  # each node holds the minimum of FAN nodes of the level below
+    while len(levels[-1]) > FAN:
+        below = levels[-1]
+        levels.append([min(below[i:i + FAN]) for i in range(0, len(below), FAN)])
+    top = levels[-1]
+
+    def put(i: int, value: int) -> None:
+        leaves[i] = value
+        for k in range(1, len(levels)):
+            i //= FAN
+            value = min(levels[k - 1][i * FAN:i * FAN + FAN])
+            if levels[k][i] == value:
                 return
-            tree[i] = value
-            i >>= 1
+            levels[k][i] = value
 
-    def rank(a: int, c: int, at: int) -> int:
-        r = ranks.get(piece[a:c])
-        return none if r is None else r << shift | at
-
-    while tree[1] != none:
-        at = tree[1] & low
+    if top is leaves:
+        put = leaves.__setitem__
+    while (best := min(top)) != none:
+        at = best & low
         gone = right[at]
         after = right[gone]
         right[at] = after
         put(gone, none)
+        value = none
         if after < n:
             left[after] = at
-            put(at, rank(at, right[after], at))
-        else:
-            put(at, none)
-        if left[at] >= 0:
-            put(left[at], rank(left[at], after, left[at]))
+            r = get(piece[at:right[after]])
+            if r is not None:
+                value = r << shift | at
+        put(at, value)
+        before = left[at]
+        if before >= 0:
+            r = get(piece[before:after])
+            put(before, none if r is None else r << shift | before)
     out, at = [], 0
     while at < n:
         out.append(ranks[piece[at:right[at]]])
@@ -104,9 +107,44 @@ class _Ids(dict):
         return ids
 
 
+def latin_pattern(pattern: str) -> re.Pattern | None:
+    """The pattern for texts of the first 256 characters only, with its Unicode classes spelled out;
+    None where it has others than these."""
+    chars = [chr(i) for i in range(256)]
+    kinds = {k: "".join(re.escape(c) for c in chars if regex.match(k, c)) for k in (r"\p{L}", r"\p{N}", r"\s")}
+    out, inside, i = "", False, 0
+    while i < len(pattern):
+        part = next((k for k in (*kinds, r"\S") if pattern.startswith(k, i)), pattern[i])
+        if part == r"\S":
+            if inside:
+                return None
+            out += f"[^{kinds[r'\s']}]"
+        elif part in kinds:
+            out += kinds[part] if inside else f"[{kinds[part]}]"
+        elif part == "\\":
+            return None
+        else:
+            inside = (inside or part == "[") and part != "]"
+            out += part
+        i += len(part)
+    return re.compile(out)
+
+
 @cache
-def _worker(path: str, pattern: str) -> tuple[_Ids, regex.Pattern]:
-    return _Ids(load_ranks(path)), regex.compile(pattern)
+def _worker(path: str, pattern: str) -> tuple[_Ids, Callable[[str], list[str]]]:
+    general, latin = regex.compile(pattern), latin_pattern(pattern)
+
+    def split(text: str) -> list[str]:
+        if latin is not None:
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                pass
+            else:
+                return latin.findall(text)
+        return general.findall(text)
+
+    return _Ids(load_ranks(path)), split
 
 
 def list_array(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
@@ -124,7 +162,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", keep: lis
         def work(texts: pa.Array) -> list[pa.Array]:
             if len(ids) > REMEMBER:
                 ids.clear()
-            rows = [b"".join(map(ids.__getitem__, split.findall(t))) if t else b"" for t in texts.to_pylist()]
+            rows = [b"".join(map(ids.__getitem__, split(t))) if t else b"" for t in texts.to_pylist()]
             flat = np.frombuffer(b"".join(rows), "<u4")
             return [list_array(flat, np.array([len(r) // 4 for r in rows], np.int64))]
 
