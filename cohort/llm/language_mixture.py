@@ -132,11 +132,16 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
 
+def find(model: Model, texts: pa.Array) -> list[list[tuple[str, float]]]:
+    """The selected languages of each text with their proportions; none for ``und``."""
+    return [model.mixture(g) if model.langs and len(g) and has_letter(t) else [] for t, g in zip(texts.to_pylist(), trigrams(texts))]
+
+
 def predict(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns, ``lang_pred``, ``score`` and ``langs array<struct<lang, share>>`` (the selected set)."""
     def make():
         def work(texts: pa.Array) -> list[pa.Array]:
-            found = [m if has_letter(t) and model.langs and (m := model.mixture(g) if len(g) else None) else [] for t, g in zip(texts.to_pylist(), trigrams(texts))]
+            found = find(model, texts)
             kind = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
             return [pa.array([m[0][0] if m else UNKNOWN for m in found], pa.string()), pa.array([m[0][1] if m else 0.0 for m in found], pa.float64()),
                     pa.array([[{"lang": a, "share": s} for a, s in m] for m in found], kind)]
@@ -148,8 +153,12 @@ def predict(df: DataFrame, model: Model, text: str = "text", keep: list[str] | N
 
 def filter_languages(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The rows of ``df`` with a recognised main language: not ``und``, and at least half of the text in it."""
-    names = [c for c in df.columns if c != text]
-    src = df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), F.col(f"`{text}`").alias("__text"), F.col(f"`{text}`").alias("__own"))
-    rows = predict(src, model, "__text", keep=["__row", "__own"])
-    kept = rows.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SHARE))
-    return kept.select(*[F.col("__own" if c == text else f"__row.`{c}`").alias(c) for c in df.columns])
+    bounded_batches(df.sparkSession)
+    at = df.columns.index(text)
+
+    def run(batches):
+        for b in batches:
+            found = find(model, b.column(at))
+            yield b.filter(pa.array([bool(m) and m[0][1] >= LEAST_SHARE for m in found], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
