@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -25,8 +26,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     after a lost executor) start from files that every executor can see."""
     spark = df.sparkSession
     path = scratch_path(spark, f"llm-{name}-{uuid.uuid4().hex}")
+    schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    # what the step shuffled isn't needed any more; executors drop it once the driver's garbage is collected
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def scratch(spark: SparkSession, name: str) -> str:

@@ -11,10 +11,12 @@ its prefix while the estimated cost (postings met, plus the verifications that l
 falls.  Two documents are candidates when their prefixes share min(l, l') shingles.  No link is lost: that
 many shared shingles are in both prefixes for the smaller l, which is contained in the longer prefix.
 
-How groups stay small.  Equal sets are one class, so exact copies never meet.  Star rounds verify, for each
-shared shingle, every class against one class of the list only, and contract what links to components;
-this is repeated with other pivots while it merges anything.  Only then are the remaining candidates between
-different components enumerated, so a group of near copies is never expanded into all its pairs.
+How groups stay small.  Equal sets are one class, so exact copies never meet.  A star round verifies, for each
+shared shingle, every class against one central class of the list and contracts what links to components.
+What is left are candidates between different components.  Short lists enumerate them.  A long list is cut
+into blocks of bounded size; each pair of blocks meets in one task, which gets the exact intersections of all
+its sets from a matrix product and returns only links that join components.  So a group of near copies is
+never expanded into all its pairs, whether or not its members link.
 
 Defined cases: null, empty and blank texts have n_shingles 0 and are their own component; rows with a null
 key get the smallest non-null key of their component, else null; repeated rows each give a row; other
@@ -45,8 +47,11 @@ MOST_MATCHES = 8
 HOT_SHARE = 0.001
 HOT_LEAST = 2_000
 SALTS = 64
-#: Star rounds at most; what they leave is enumerated exactly.
-STARS = 4
+#: Classes of a list whose candidates are enumerated; a longer list is verified in blocks of BLOCK classes.
+SHORT = 48
+BLOCK = 512
+#: Columns of the incidence matrix that are multiplied at once.
+COLUMNS = 8_192
 
 
 def needed(n: np.ndarray | int):
@@ -176,42 +181,47 @@ def candidate_classes(shared: DataFrame) -> DataFrame:
     return binned.join(full, ["tok", "bin"], "left_semi").select("cls").distinct()
 
 
-def class_sets(df: DataFrame, found: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
-    """(cls, shingles): the set of each wanted class as little-endian 64-bit integers, from one of its documents."""
+def class_texts(df: DataFrame, found: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
+    """(cls, text) of each wanted class, from one of its documents.  A text takes a third of the room of its
+    shingles, so texts travel to the verification and shingles are made there.
+
+    Repeated rows of that document are left out within a task; should a class come twice all the same, its
+    pairs are verified twice, which changes nothing.
+    """
     docs = found.where("cls IS NOT NULL").groupBy("cls").agg(F.min("key").alias("key")).join(wanted, "cls", "left_semi")
     src = df.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").cast("string").alias("text"))
     texts = src.join(docs, F.col("k").eqNullSafe(F.col("key"))).select("cls", "text")
 
     def run(batches):
+        seen: set[bytes] = set()
         for b in batches:
-            sets = Words(b.column(1)).shingles(K)
-            keep = [i for i, (s, c) in enumerate(zip(sets, b.column(0).to_pylist())) if len(s) and _key(s) == c]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())),
-                                              pa.array([sets[i].astype("<u8", copy=False).tobytes() for i in keep], pa.binary())],
-                                             names=["cls", "shingles"])
+            keep = []
+            for i, (s, c) in enumerate(zip(Words(b.column(1)).shingles(K), b.column(0).to_pylist())):
+                if len(s) and c not in seen and _key(s) == c:
+                    seen.add(c)
+                    keep.append(i)
+            yield b.take(pa.array(keep, pa.int64()))
 
-    return texts.mapInArrow(run, "cls binary, shingles binary").dropDuplicates(["cls"])
+    return texts.mapInArrow(run, "cls binary, text string")
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b, further columns) whose sets reach the threshold."""
-    left, right = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("cls").alias("b"), F.col("shingles").alias("sb"))
-    rows = pairs.join(left, "a").join(right, "b").select(*pairs.columns, "sa", "sb")
-    at = len(pairs.columns)
+def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets reach the threshold."""
+    left, right = texts.select(F.col("cls").alias("a"), F.col("text").alias("ta")), texts.select(F.col("cls").alias("b"), F.col("text").alias("tb"))
+    rows = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
 
     def run(batches):
         for b in batches:
             keep = []
-            for x, y in zip(b.column(at).to_pylist(), b.column(at + 1).to_pylist()):
-                p, q = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+            for p, q in zip(Words(b.column(2)).shingles(K), Words(b.column(3)).shingles(K)):
                 if len(p) > len(q):
                     p, q = q, p
                 i = np.minimum(np.searchsorted(q, p), len(q) - 1)
                 both = int((q[i] == p).sum())
                 keep.append(DEN * both >= NUM * (len(p) + len(q) - both))
-            yield b.filter(pa.array(keep)).select(list(range(at)))
+            yield b.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
-    return rows.mapInArrow(run, pairs.schema)
+    return rows.mapInArrow(run, "a binary, b binary")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -232,35 +242,90 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _star_pairs(members: DataFrame, turn: int) -> DataFrame:
-    """For each shingle whose list spans components: every class with the list's pivot, where they could link.
-    The pivot changes with the round."""
-    order = F.col("cls") if turn == 0 else F.md5(F.concat(F.col("cls"), F.lit(bytes([turn]))))
-    pivot = members.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
-                                       F.min(F.struct(order.alias("o"), "cls", "n", "comp")).alias("p")).where("lo < hi")
-    met = members.join(pivot.select("tok", "p"), "tok").where((F.col("comp") != F.col("p.comp")) & _fits("n", "p.n"))
-    return met.select(F.least("cls", "p.cls").alias("a"), F.greatest("cls", "p.cls").alias("b")).distinct()
+def _spanning(lists: DataFrame) -> DataFrame:
+    """(tok, k) of the lists that hold more than one component, with their length."""
+    found = lists.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k"))
+    return found.where("lo < hi").select("tok", "k")
 
 
-def _few_cross(members: DataFrame) -> bool:
-    """Whether the candidates between components are at most a few times the postings."""
-    parts = members.groupBy("tok", "comp").agg(F.count("*").cast("double").alias("c"))
-    lists = parts.groupBy("tok").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("own"))
-    row = lists.agg(F.sum("c").alias("rows"), (F.sum(F.col("c") * F.col("c") - F.col("own")) / 2).alias("pairs")).first()
-    return (row["pairs"] or 0) <= 4 * (row["rows"] or 0)
+def _star_pairs(members: DataFrame) -> DataFrame:
+    """Every class with the pivot of each of its lists, where they could link.  The pivot is the class with the
+    most shared shingles in its prefix: in a group of near copies, the one with the fewest changes."""
+    central = members.groupBy("cls").agg(F.count("*").alias("shared"))
+    rows = members.join(central, "cls")
+    pivot = rows.groupBy("tok").agg(F.min(F.struct((-F.col("shared")).alias("o"), "cls", "n")).alias("p"))
+    met = members.join(pivot, "tok").where((F.col("cls") != F.col("p.cls")) & _fits("n", "p.n"))
+    return met.select(F.least("cls", "p.cls").alias("a"), F.greatest("cls", "p.cls").alias("b")).distinct()
+
 
+def _cross_pairs(members: DataFrame, lists: DataFrame) -> DataFrame:
+    """Candidates between components in the given lists: a pair comes once for each shingle it shares there.
 
-def _cross_pairs(members: DataFrame) -> DataFrame:
-    """Candidates between components: prefixes that share as many shingles as the smaller l asks."""
-    split = members.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("tok")
-    rows = members.join(split, "tok", "left_semi")
-    left = rows.select("tok", *[F.col(c).alias(f"{c}1") for c in ("cls", "n", "l", "comp")])
-    right = rows.select("tok", *[F.col(c).alias(f"{c}2") for c in ("cls", "n", "l", "comp")])
+    Its matches are counted over all short lists; a pair with a match in a long list is verified there."""
+    rows = members.join(lists.select("tok"), "tok", "left_semi")
+    left = rows.select("tok", *[F.col(c).alias(f"{c}1") for c in ("cls", "n", "l", "comp", "long")])
+    right = rows.select("tok", *[F.col(c).alias(f"{c}2") for c in ("cls", "n", "l", "comp", "long")])
     met = left.join(right, "tok").where((F.col("cls1") < F.col("cls2")) & (F.col("comp1") != F.col("comp2")) & _fits("n1", "n2"))
-    return (met.groupBy(F.col("cls1").alias("a"), F.col("cls2").alias("b")).agg(F.count("*").alias("m"), F.min(F.least("l1", "l2")).alias("l"))
+    # matches in long lists aren't counted here, so as many may be missing as either class has long lists
+    least = F.least("l1", "l2") - F.least("long1", "long2")
+    return (met.groupBy(F.col("cls1").alias("a"), F.col("cls2").alias("b")).agg(F.count("*").alias("m"), F.min(least).alias("l"))
             .where("m >= l").select("a", "b"))
 
 
+def _joined(sets: list[np.ndarray], comps: list[bytes], first: np.ndarray, second: np.ndarray) -> list[tuple[int, int]]:
+    """Links between ``first`` and ``second`` (places in ``sets``) that join different components: a forest."""
+    size = np.array([len(x) for x in sets])
+    values, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row, shared = np.repeat(np.arange(len(sets)), size), np.cumsum(counts > 1) - 1
+    keep = counts[inverse] > 1
+    row, column = row[keep], shared[inverse[keep]]
+    both = np.zeros((len(first), len(second)), np.float32)
+    for low in range(0, int(shared[-1]) + 1, COLUMNS):
+        part = (column >= low) & (column < low + COLUMNS)
+        dense = np.zeros((len(sets), COLUMNS), np.float32)
+        dense[row[part], column[part] - low] = 1
+        both += dense[first] @ dense[second].T
+    both = both.astype(np.int64)  # whole numbers below 2**24 are exact
+    linked = DEN * both >= NUM * (size[first][:, None] + size[second][None, :] - both)
+    parent = {c: c for c in comps}
+
+    def find(c: bytes) -> bytes:
+        while parent[c] != c:
+            parent[c] = parent[parent[c]]
+            c = parent[c]
+        return c
+
+    out = []
+    for x, y in zip(*np.nonzero(linked)):
+        i, j = int(first[x]), int(second[y])
+        p, q = find(comps[i]), find(comps[j])
+        if p != q:
+            parent[p] = q
+            out.append((i, j))
+    return out
+
+
+def _block_links(members: DataFrame, lists: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): links that join components, from the long lists."""
+    blocks = F.ceil(F.col("k") / BLOCK).cast("int")
+    rows = members.join(lists.withColumn("blocks", blocks), "tok").withColumn("block", F.pmod(F.xxhash64("cls"), "blocks").cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    rows = rows.select("tok", "cls", "comp", "block", other.alias("other"))
+    rows = rows.select("tok", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "cls", "comp").join(texts, "cls")
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        block, cls = table["block"].to_numpy(), table["cls"].to_pylist()
+        sets = [s for c in table["text"].chunks for s in Words(c).shingles(K)]
+        x = table["x"][0].as_py()
+        first, second = np.flatnonzero(block == x), np.flatnonzero(block != x)
+        second = second if table["y"][0].as_py() != x else first
+        found = _joined(sets, table["comp"].to_pylist(), first, second) if len(first) and len(second) else []
+        return pa.table({"a": pa.array([cls[i] for i, _ in found], pa.binary()), "b": pa.array([cls[j] for _, j in found], pa.binary())})
+
+    return rows.groupBy("tok", "x", "y").applyInArrow(run, "a binary, b binary")
+
+
 def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles long, component_id, cls binary): ``component_id`` is the smallest key reachable by links."""
     found = written(facts(df, key, text), "facts")
@@ -268,23 +333,17 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text") -
     docs = found.where("bucket IS NULL").select("key", "cls", "n")
     shared = written(shared_postings(postings(df, text, sketch)), "postings")
     shared = written(shared.join(candidate_classes(shared), "cls", "left_semi"), "candidates")
-    sets = written(class_sets(df, docs, shared.select("cls").distinct(), key, text), "sets")
-    comp, turn, last = None, 0, False  # comp: class -> component, for classes that link so far
-    while not last:
-        members = shared.withColumn("comp", F.col("cls"))
-        if comp is not None:
-            members = shared.join(comp, shared.cls == comp.v, "left").select("tok", "cls", "n", "l", F.coalesce("comp", "cls").alias("comp"))
-        last = turn >= STARS or turn > 0 and _few_cross(members)
-        links = written(verify(_cross_pairs(members) if last else _star_pairs(members, turn), sets), "links")
-        turn += 1
-        if links.isEmpty():
-            turn = STARS  # another round of stars would find no more; what they can't see comes next
-            continue
-        if comp is not None:  # the known components are links to their smallest class
-            links = links.unionByName(comp.where("v <> comp").select(F.col("v").alias("a"), F.col("comp").alias("b")))
-        comp = components(links)
-    if comp is None:
-        comp = docs.select(F.col("cls").alias("v"), F.col("cls").alias("comp")).limit(0)
+    texts = written(class_texts(df, docs, shared.select("cls").distinct(), key, text), "texts")
+    stars = written(verify(_star_pairs(shared), texts), "links")
+    comp = components(stars)  # class -> component, for classes that link so far
+    members = shared.join(comp, shared.cls == comp.v, "left").select("tok", "cls", "n", "l", F.coalesce("comp", "cls").alias("comp"))
+    lists = written(_spanning(members), "lists")
+    long = lists.where(F.col("k") > SHORT)
+    in_long = members.join(long.select("tok"), "tok", "left_semi").groupBy("cls").agg(F.count("*").cast("int").alias("long"))
+    short = members.join(in_long, "cls", "left").withColumn("long", F.coalesce("long", F.lit(0)))
+    links = written(verify(_cross_pairs(short, lists.where(F.col("k") <= SHORT)), texts).unionByName(_block_links(members, long, texts)), "links")
+    if not links.isEmpty():  # the known components are links to their smallest class
+        comp = components(links.unionByName(comp.where("v <> comp").select(F.col("v").alias("a"), F.col("comp").alias("b"))))
     classes = docs.where("cls IS NOT NULL").groupBy("cls").agg(F.min("key").alias("least"))
     classes = classes.join(comp, classes.cls == comp.v, "left").select("cls", "least", F.coalesce("comp", "cls").alias("comp"))
     least = classes.groupBy("comp").agg(F.min("least").alias("component_id"))
@@ -303,8 +362,11 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     """
     comps = jaccard_components(df, key, text)
     of = comps.where(F.col(key).eqNullSafe(F.col("component_id")))
-    times = of.groupBy(F.col(key).alias("__key")).agg(F.count("*").alias("__times"))
-    rows = df.join(times, F.col(key).eqNullSafe(F.col("__key"))).drop("__key")
+    times = written(of.groupBy(F.col(key).alias("__key")).agg(F.count("*").alias("__times")), "kept")
+    same = F.col(key).eqNullSafe(F.col("__key"))
+    if times.where("__times > 1").isEmpty():  # every kept key is one row: the texts travel once
+        return df.join(times.select("__key"), same, "left_semi")
+    rows = df.join(times, same).drop("__key")
     once = rows.where("__times = 1").drop("__times")
     again = rows.where("__times > 1").drop("__times")
     rank = Window.partitionBy(F.col(key), F.when(F.col(key).isNull(), F.col(text))).orderBy(*[F.col(f"`{c}`") for c in df.columns if c != key])

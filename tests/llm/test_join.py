@@ -62,8 +62,10 @@ def test_components_equal_brute_force(spark, rows):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute(rows)
 
 
-def test_cross_round_alone_loses_no_link(spark, rows, monkeypatch):
-    monkeypatch.setattr(ngram_join, "STARS", 0)
+def test_blocks_of_long_lists_lose_no_link(spark, rows, monkeypatch):
+    monkeypatch.setattr(ngram_join, "SHORT", 3)
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    monkeypatch.setattr(ngram_join, "COLUMNS", 64)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = ngram_join.jaccard_components(df)
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute(rows)
