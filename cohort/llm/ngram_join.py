@@ -243,9 +243,10 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _spanning(lists: DataFrame) -> DataFrame:
-    """(tok, k) of the lists that hold more than one component, with their length."""
-    found = lists.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k"))
-    return found.where("lo < hi").select("tok", "k")
+    """(tok, k, same) of the lists that hold more than one component: their length, and a hash of their classes."""
+    same = F.struct(*[F.bit_xor(F.xxhash64(F.lit(i), "cls")).alias(f"h{i}") for i in range(2)])
+    found = lists.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k"), same.alias("same"))
+    return found.where("lo < hi").select("tok", "k", "same")
 
 
 def _star_pairs(members: DataFrame) -> DataFrame:
@@ -341,7 +342,9 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text") -
     long = lists.where(F.col("k") > SHORT)
     in_long = members.join(long.select("tok"), "tok", "left_semi").groupBy("cls").agg(F.count("*").cast("int").alias("long"))
     short = members.join(in_long, "cls", "left").withColumn("long", F.coalesce("long", F.lit(0)))
-    links = written(verify(_cross_pairs(short, lists.where(F.col("k") <= SHORT)), texts).unionByName(_block_links(members, long, texts)), "links")
+    # the shingles of one passage often have the same classes: one of such lists stands for all
+    each = long.groupBy("k", "same").agg(F.min("tok").alias("tok")).select("tok", "k")
+    links = written(verify(_cross_pairs(short, lists.where(F.col("k") <= SHORT)), texts).unionByName(_block_links(members, each, texts)), "links")
     if not links.isEmpty():  # the known components are links to their smallest class
         comp = components(links.unionByName(comp.where("v <> comp").select(F.col("v").alias("a"), F.col("comp").alias("b"))))
     classes = docs.where("cls IS NOT NULL").groupBy("cls").agg(F.min("key").alias("least"))
