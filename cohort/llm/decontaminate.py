@@ -1,15 +1,15 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-1. Every n-gram (3 words) of the test items is counted over all training documents.
-2. Each item keeps its rare n-grams as seeds: those that aren't much more frequent than is usual for the
-   item.  Rarity is relative to the item, so a passage that leaked thousands of times keeps its seeds, and
-   only what the corpus says all the time goes.
-3. A document that holds a seed is aligned with the seed's item around the place of the seed: local alignment
-   over words, with affordable substitutions and gaps, so edited and paraphrased copies still score.
-4. A document is contaminated by an item when the aligned identical words make up a large part of the item.
+1. Every n-gram (3 words) of the test items is a seed, however common it is: how often the training documents
+   hold an n-gram says nothing about whether it leaked, as a leak itself may stand in thousands of them.
+2. A document that holds a seed is aligned with the seed's item around the place of the seed: local alignment
+   over words, with affordable substitutions and gaps, so edited and paraphrased copies still score.  Windows that
+   share too few words with the item to reach the threshold by any alignment are passed over.
+3. A document is contaminated by an item when the aligned identical words make up a large part of the item.
 
-Test items are handled in blocks of bounded size: each block's n-grams, seeds and word sequences are what a
-task holds, and a benchmark of any size is just more blocks.  Texts never move; only hits leave the tasks.
+Test items are handled in blocks of bounded size: each block's n-grams and word sequences are what a task holds,
+and a benchmark of any size is just more blocks.  Each block is one pass over the texts.  Texts never move; only
+hits leave the tasks.
 
 Words are maximal runs of characters other than space and 0x09-0x0D, lower-cased, without punctuation at
 their ends.  Defined cases: documents or items that are null or have no words match nothing; an item with
@@ -32,8 +32,6 @@ from cohort.llm.common import bounded_batches
 from cohort.llm.text import Words
 
 GRAM = 3
-#: An n-gram is a seed if it occurs at most COMMON times as often as the item's median n-gram, plus FEW.
-COMMON, FEW = 4, 8
 #: UTF-8 bytes of test items in one block.
 BLOCK_BYTES = 16 << 20
 MATCH, MISMATCH, GAP = 2.0, -1.0, -1.0
@@ -115,35 +113,39 @@ class Block:
         w = BareWords(texts)
         gram = w.grams(GRAM)
         items = [(k, w.hash[w.of[i]: w.of[i + 1]], w.seeds(i, gram)) for i, k in enumerate(ids) if w.of[i + 1] > w.of[i]]
-        return Block([x[0] for x in items], [x[1] for x in items], [x[2] for x in items]).index([np.arange(len(x[2])) for x in items])
+        return Block([x[0] for x in items], [x[1] for x in items], [x[2] for x in items]).index()
 
-    def index(self, chosen: list[np.ndarray]) -> Block:
-        """Look-up of the chosen n-gram positions of each item."""
-        keys = np.concatenate([g[c] for g, c in zip(self.grams, chosen)] or [np.empty(0, np.uint64)])
-        owner = np.concatenate([np.full(len(c), i) for i, c in enumerate(chosen)] or [np.empty(0, np.int64)]).astype(np.int64)
-        place = np.concatenate([c for c in chosen] or [np.empty(0, np.int64)]).astype(np.int64)
+    def index(self) -> Block:
+        """Look-up of the n-gram positions of each item."""
+        keys = np.concatenate(self.grams or [np.empty(0, np.uint64)])
+        size = np.array([len(g) for g in self.grams], np.int64)
         order = np.argsort(keys, kind="stable")
-        self.keys, self.owner, self.place = keys[order], owner[order], place[order]
+        self.keys, self.owner = keys[order], np.repeat(np.arange(len(size)), size)[order]
+        self.place = (np.arange(len(keys)) - np.repeat(np.cumsum(size) - size, size))[order]
         return self
 
-    def hits(self, w: BareWords) -> tuple[np.ndarray, np.ndarray]:
-        """(word positions, text of each) where a look-up key occurs."""
+    def hits(self, w: BareWords) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, item, where the item would start) of each seed in a text, sorted, without repeats; the start is a
+        word position of the batch."""
+        none = np.empty(0, np.int64)
         if not len(self.keys) or not len(w.hash):
-            return np.empty(0, np.int64), np.empty(0, np.int64)
+            return none, none, none
         text = np.repeat(np.arange(len(w.of) - 1), np.diff(w.of))
-        gram = w.grams(GRAM)
-        found = np.zeros(len(gram), bool)
-        whole = np.arange(len(gram)) + GRAM <= w.of[1:][text]
-        at = np.minimum(np.searchsorted(self.keys, gram), len(self.keys) - 1)
-        found = (self.keys[at] == gram) & whole
+        whole = np.flatnonzero(np.arange(len(text)) + GRAM <= w.of[1:][text])
+        found = [self._places(w.grams(GRAM)[whole], whole)]
         if any(len(x) < GRAM for x in self.words):
-            at = np.minimum(np.searchsorted(self.keys, w.hash), len(self.keys) - 1)
-            found |= self.keys[at] == w.hash
-        pos = np.flatnonzero(found)
-        return pos, text[pos]
+            found.append(self._places(w.hash, np.arange(len(text))))
+        pos, at = (np.concatenate(x) for x in zip(*found))
+        out = np.unique(np.stack([text[pos], self.owner[at], pos - self.place[at]]), axis=1)
+        return out[0], out[1], out[2]
 
-    def owners(self, value: np.uint64) -> slice:
-        return slice(int(np.searchsorted(self.keys, value, "left")), int(np.searchsorted(self.keys, value, "right")))
+    def _places(self, values: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(position, place in the look-up) of every pair of equal n-grams."""
+        first = np.minimum(np.searchsorted(self.keys, values), len(self.keys) - 1)
+        live = np.flatnonzero(self.keys[first] == values)
+        first = first[live]
+        n = np.searchsorted(self.keys, values[live], "right") - first
+        return np.repeat(pos[live], n), np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
 def blocks(items: DataFrame, key: str, text: str):
@@ -158,55 +160,22 @@ def blocks(items: DataFrame, key: str, text: str):
             yield Block.of(rows["key"].to_pylist(), rows["text"].combine_chunks())
 
 
-def gram_counts(docs: DataFrame, text: str, block: Block) -> dict[int, int]:
-    """Occurrences of the block's n-grams over all documents (no more rows than the block has n-grams)."""
-    bounded_batches(docs.sparkSession)
-    src = docs.select(F.col(f"`{text}`").cast("string").alias("text")).where("text IS NOT NULL")
-
-    def run(batches):
-        total: dict[int, int] = {}
-        for b in batches:
-            w = BareWords(b.column(0))
-            pos, _ = block.hits(w)
-            values, counts = np.unique(np.concatenate([w.grams(GRAM)[pos], w.hash[pos]]) if len(pos) else np.empty(0, np.uint64), return_counts=True)
-            for v, c in zip(values.tolist(), counts.tolist()):
-                total[v] = total.get(v, 0) + c
-        yield pa.RecordBatch.from_arrays([pa.array(np.array(list(total), np.uint64).view(np.int64)), pa.array(list(total.values()), pa.int64())], names=["gram", "n"])
-
-    rows = src.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
-    return dict(zip(rows["gram"].to_numpy().view(np.uint64).tolist(), rows["n"].to_pylist()))
-
-
-def rarest(block: Block, counts: dict[int, int]) -> Block:
-    """The block with each item's rare n-grams (half of them at least) as its look-up."""
-    chosen = []
-    for g in block.grams:
-        n = np.array([counts.get(v, 0) for v in g.tolist()])
-        chosen.append(np.flatnonzero(n <= COMMON * np.median(n) + FEW))
-    return Block(block.ids, block.words, block.grams).index(chosen)
-
-
 def is_contaminated(same: int, m: int) -> bool:
     return same >= min(m, max(LEAST_WORDS, LEAST_PART * m))
 
 
 def align_hits(block: Block, w: BareWords) -> list[tuple[int, int, float, int, int, int]]:
     """(text, item, score, identical words, first, end) of every contaminated text; word positions in the text."""
-    pos, text = block.hits(w)
-    gram = w.grams(GRAM)
-    starts: dict[tuple[int, int], set[int]] = {}
-    for p, t in zip(pos.tolist(), text.tolist()):
-        for value in {int(gram[p]), int(w.hash[p])}:
-            at = block.owners(np.uint64(value))
-            for item, place in zip(block.owner[at].tolist(), block.place[at].tolist()):
-                starts.setdefault((t, item), set()).add(p - place)
+    text, owner, start = block.hits(w)
     out = []
-    for (t, item), places in starts.items():
+    first = np.flatnonzero(np.r_[True, (np.diff(text) != 0) | (np.diff(owner) != 0)][:len(text)])
+    for x, y in zip(first.tolist(), [*first[1:].tolist(), len(text)]):
+        t, item = int(text[x]), int(owner[x])
         words = block.words[item]
         m, slack = len(words), len(words) // 2 + 4
         a0, b0 = int(w.of[t]), int(w.of[t + 1])
         best, windows = None, []
-        for s in sorted(places):  # seeds that point to about the same place make one window
+        for s in start[x:y].tolist():  # seeds that point to about the same place make one window
             if windows and s - slack <= windows[-1][1]:
                 windows[-1][1] = s + m + slack
             else:
@@ -215,14 +184,14 @@ def align_hits(block: Block, w: BareWords) -> list[tuple[int, int, float, int, i
             a, b = max(a0, a), min(b0, b)
             # word counts bound the identical words, so hopeless windows need no alignment
             part = w.hash[a:b]
-            if not is_contaminated(int(np.isin(words, part).sum()), m):
+            if not is_contaminated(min(int(np.isin(words, part).sum()), int(np.isin(part, words).sum())), m):
                 continue
-            score, same, first, end = align(words, part)
+            score, same, begin, end = align(words, part)
             if is_contaminated(same, m) and (best is None or score > best[0]):
-                best = score, same, a - a0 + first, a - a0 + end
+                best = score, same, a - a0 + begin, a - a0 + end
         if best:
             out.append((t, item, *best))
-    return sorted(out)
+    return out
 
 
 def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id",
@@ -235,14 +204,13 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     schema = f"key {kind}, item {item_kind}, score double, n_same long, n_item_words long, first_word long, end_word long"
     found = None
     for block in blocks(items, item_key, item_text):
-        seeded = rarest(block, gram_counts(docs, text, block))
 
-        def run(batches, seeded=seeded):
+        def run(batches, block=block):
             for b in batches:
-                hits = align_hits(seeded, BareWords(b.column(1)))
-                m = [len(seeded.words[h[1]]) for h in hits]
+                hits = align_hits(block, BareWords(b.column(1)))
+                m = [len(block.words[h[1]]) for h in hits]
                 yield pa.RecordBatch.from_arrays([
-                    b.column(0).take(pa.array([h[0] for h in hits], pa.int64())), pa.array([seeded.ids[h[1]] for h in hits]).cast(item_type(seeded.ids)),
+                    b.column(0).take(pa.array([h[0] for h in hits], pa.int64())), pa.array([block.ids[h[1]] for h in hits]).cast(item_type(block.ids)),
                     pa.array([h[2] / (MATCH * n) for h, n in zip(hits, m)], pa.float64()), pa.array([h[3] for h in hits], pa.int64()),
                     pa.array(m, pa.int64()), pa.array([h[4] for h in hits], pa.int64()), pa.array([h[5] for h in hits], pa.int64())],
                     names=["key", "item", "score", "n_same", "n_item_words", "first_word", "end_word"])
@@ -267,12 +235,11 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", te
     bounded_batches(docs.sparkSession)
     out = docs
     for block in blocks(items, item_key, item_text):
-        seeded = rarest(block, gram_counts(docs, text, block))
         at = docs.columns.index(text)
 
-        def run(batches, seeded=seeded):
+        def run(batches, block=block):
             for b in batches:
-                bad = {h[0] for h in align_hits(seeded, BareWords(b.column(at)))}
+                bad = {h[0] for h in align_hits(block, BareWords(b.column(at)))}
                 yield b.filter(pa.array([i not in bad for i in range(b.num_rows)], pa.bool_()))
 
         out = out.mapInArrow(run, docs.schema)

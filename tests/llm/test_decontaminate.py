@@ -93,6 +93,23 @@ def test_a_leak_in_most_documents_keeps_its_seeds(spark):
     assert sorted(r.doc_id for r in dc.contaminated(docs, item).collect()) == list(range(300))
 
 
+@pytest.mark.parametrize("version", [lambda ws, c: [f"other{i}" if i % 4 == 3 else x for i, x in enumerate(ws)], lambda ws, c: ws[:20]])
+def test_an_edited_leak_is_caught_however_often_it_stands(spark, version):
+    """Under half of the 3-grams are intact; the copies themselves make those common."""
+    items, docs = [], []
+    for item, copies in enumerate((1, 9, 1_000)):
+        ws = [f"i{item}w{j}" for j in range(40)]
+        part = version(ws, copies)
+        grams = {tuple(ws[j: j + 3]) for j in range(38)}
+        assert 2 * sum(tuple(part[j: j + 3]) in grams for j in range(len(part) - 2)) < len(grams) and 2 * len(set(part) & set(ws)) >= 40
+        items.append((item, " ".join(ws)))
+        docs += [(10_000 * item + i, f"before {i} b{i} {' '.join(part)} after {i} a{i}") for i in range(copies)]
+    clean = [(90_000 + i, f"i0w0 i0w1 i0w2 other {i} words") for i in range(50)]
+    df, bench = spark.createDataFrame([*docs, *clean], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in dc.contaminated(df, bench).collect()) == sorted((k, k // 10_000) for k, _ in docs)
+    assert sorted(r.doc_id for r in dc.drop_contaminated(df, bench).collect()) == sorted(k for k, _ in clean)
+
+
 def test_short_array_of_items():
     block = dc.Block.of([7], pa.array(["one two"]))
     assert dc.align_hits(block, dc.BareWords(pa.array(["zero one two three", "one", "two one"]))) == [(0, 0, 4.0, 2, 1, 3)]
