@@ -9,9 +9,10 @@ rule fits is judged by its path template.  The tree is built per host, level by
   two-proportion test can't tell apart are merged into one branch;
 * segments below ``DEPTH`` are one open tail.
 
-A template's purity is the share of blocked pages among its labelled ones, smoothed towards the share in the
-whole table; templates whose purity reaches a threshold are rejected.  Labels are the verdicts of the rules,
-or a given column.
+A template's purity is the share of blocked pages among its labelled ones, smoothed towards its parent node's
+purity, a host's towards the share in the whole table.  Templates with labelled pages of their own whose purity
+reaches a threshold are rejected; one without is allowed, whatever stands around it.  Labels are a given column (1
+blocked, 0 fine, null unknown), which may label pages that no rule fits, or else the verdicts of the rules.
 
 Defined cases: a null url, or one without ``://``, has an empty host and an empty path, fits no rule whose path
 isn't empty, and shares one template; repeated rows each count and each give a row; equal rates merge; extra
@@ -67,7 +68,8 @@ def _segment(d: int) -> Column:
 
 
 def _level(paths: DataFrame, d: int) -> DataFrame:
-    """``paths`` with the segment at depth d appended to ``node`` in its general form."""
+    """``paths`` with the segment at depth d appended to ``node`` in its general form, ``closed`` where there is
+    none or it belongs to the tail, and with the new nodes' ``purity`` and number of labelled pages ``own``."""
     rows = paths.withColumn("seg", _segment(d)).withColumn("number", F.col("seg").rlike(r"^[0-9]+(\.[A-Za-z0-9]{1,5})?$"))
     child = rows.where("seg IS NOT NULL AND NOT number").groupBy("host", "node", "seg").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "blocked")])
     nodes = child.groupBy("host", "node").agg(F.count("*").alias("k"), F.sum("n").alias("all"))
@@ -84,37 +86,52 @@ def _level(paths: DataFrame, d: int) -> DataFrame:
     names = grouped.groupBy("host", "node", "branch").agg(F.sort_array(F.collect_list("seg")).alias("segs"))  # at most MOST_BRANCHES
     merged = names.where("size(segs) > 1").select("host", "node", F.explode("segs").alias("seg"), F.array_join("segs", "|").alias("merged"))
     rows = rows.join(variable.where("variable"), ["host", "node"], "left").join(merged, ["host", "node", "seg"], "left")
-    token = F.when(F.col("seg").isNull(), F.lit("")).when(F.col("number") | F.col("variable"), F.lit("/*")).otherwise(F.concat(F.lit("/"), F.coalesce("merged", "seg")))
-    return rows.withColumn("node", F.concat("node", token)).select(*paths.columns)
+    token = (F.when(F.col("seg").isNull(), F.lit("")).when(F.lit(d >= DEPTH), F.lit("/**"))
+             .when(F.col("number") | F.col("variable"), F.lit("/*")).otherwise(F.concat(F.lit("/"), F.coalesce("merged", "seg"))))
+    rows = rows.withColumn("node", F.concat("node", token)).withColumn("closed", F.col("seg").isNull() | F.lit(d >= DEPTH))
+    return _smoothed(rows.select(*paths.columns))
 
 
-def templates(paths: DataFrame) -> DataFrame:
-    """(host, path, template, n, labelled, blocked) of distinct paths given as (host, path, n, labelled, blocked)."""
+def _smoothed(rows: DataFrame) -> DataFrame:
+    """``purity`` of each (host, node), smoothed towards the one it had as part of its parent, and its ``own`` labels."""
+    sums = rows.groupBy("host", "node").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"), F.first("purity").alias("p"))
+    purity = (F.col("b") + PRIOR_ROWS * F.col("p")) / (F.col("l") + F.lit(PRIOR_ROWS))
+    nodes = sums.select("host", "node", purity.alias("purity"), F.col("l").alias("own"))
+    return rows.drop("purity", "own").join(nodes, ["host", "node"]).select(*rows.columns)
+
+
+def templates(paths: DataFrame, prior: float) -> DataFrame:
+    """(host, path, template, purity, own) of distinct paths given as (host, path, n, labelled, blocked, open); ``prior``
+    is the blocked share of the whole table."""
     tree = paths.withColumn("segs", F.expr("filter(split(path, '/'), s -> s <> '')")).withColumn("node", F.lit(""))
-    for d in range(DEPTH):
-        tree = written(_level(tree, d), "paths")
-    tail = F.when(F.size("segs") > DEPTH, F.lit("/**")).otherwise(F.lit(""))
-    return tree.select("host", "path", F.concat("node", tail).alias("template"), "n", "labelled", "blocked")
+    tree = tree.withColumns({"closed": F.lit(False), "purity": F.lit(prior), "own": F.lit(0).cast("long")})
+    tree, out, d = written(_smoothed(tree), "paths"), None, 0
+    while out is None or not tree.isEmpty():
+        level = written(_level(tree, d), "paths")
+        done, tree, d = level.where("closed"), level.where("NOT closed"), d + 1
+        out = done if out is None else out.unionByName(done)
+    return out.select("host", "path", F.col("node").alias("template"), "purity", "own")
+
 
+def judge(df: DataFrame, url: str = "url", rules: list[tuple[str, str, str]] | None = None, keep: list[str] | None = None,
+          label: str | None = None) -> DataFrame:
+    """``keep`` columns, host, path, rule, verdict, template and its purity (null where a rule decides).
 
-def judge(df: DataFrame, url: str = "url", rules: list[tuple[str, str, str]] | None = None, keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns, host, path, rule, verdict, template and its purity (null where a rule decides)."""
+    ``label`` names a column of 1 (blocked), 0 (fine) or null; without it the rules' verdicts are the labels."""
     keep, rules = list(keep or []), RULES if rules is None else rules
     host, path = host_and_path(F.col(f"`{url}`"))
-    rows = df.select(*[F.col(f"`{c}`") for c in keep], host.alias("host"), path.alias("path"))
+    given = F.lit(None).cast("int") if label is None else F.col(f"`{label}`").cast("int")
+    rows = df.select(*[F.col(f"`{c}`") for c in keep], host.alias("host"), path.alias("path"), given.alias("__label"))
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
     rows = rows.withColumn("rule", rule).withColumn("by_rule", verdict)
-    label = F.when(F.col("by_rule") == "block", 1).when(F.col("by_rule") == "allow", 0)
-    paths = rows.groupBy("host", "path").agg(F.count("*").alias("n"), F.count(label).alias("labelled"), F.coalesce(F.sum(label), F.lit(0)).alias("blocked"),
+    mark = F.when(F.col("by_rule") == "block", 1).when(F.col("by_rule") == "allow", 0) if label is None else F.col("__label")
+    paths = rows.groupBy("host", "path").agg(F.count("*").alias("n"), F.count(mark).alias("labelled"), F.coalesce(F.sum(mark), F.lit(0)).alias("blocked"),
                                              F.max(F.col("rule").isNull()).alias("open"))
     paths = written(paths, "paths")
     total = paths.agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("n")).first()
     prior = (total["b"] or 0) / total["n"] if total["n"] else 0.0
-    tree = written(templates(paths.drop("open")), "templates")
-    sums = tree.groupBy("host", "template").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
-    purity = (F.col("b") + F.lit(PRIOR_ROWS * prior)) / (F.col("l") + F.lit(PRIOR_ROWS))
-    judged = tree.select("host", "path", "template").join(sums.select("host", "template", purity.alias("purity")), ["host", "template"])
-    judged = judged.join(paths.where("open").select("host", "path"), ["host", "path"], "left_semi")
+    tree = written(templates(paths, prior), "templates")
+    judged = tree.join(paths.where("open").select("host", "path"), ["host", "path"], "left_semi")
     out = rows.join(judged, ["host", "path"], "left")
-    by_tree = F.when(F.col("purity") >= LEAST_PURITY, F.lit("block")).otherwise(F.lit("allow"))
+    by_tree = F.when((F.col("own") > 0) & (F.col("purity") >= LEAST_PURITY), F.lit("block")).otherwise(F.lit("allow"))
     return out.select(*[F.col(f"`{c}`") for c in keep], "host", "path", "rule", F.coalesce("by_rule", by_tree).alias("verdict"), "template", "purity")

@@ -213,3 +213,15 @@ def test_pure_templates_are_rejected(spark):
     out = {r.path: r for r in url_templates.judge(df, rules=rules).collect()}
     assert out["/bad/page/3"].verdict == "block" and out["/good/page/3"].verdict == "allow"
     assert out["/bad/other/1"].verdict == "allow" and out["/bad/page.html"].rule is None
+
+
+def test_the_tree_decides_by_given_labels_and_never_without_own(spark):
+    rows = [(f"http://a.site/spam/{i}", 1) for i in range(60)] + [(f"http://a.site/news/{i}", 0) for i in range(60)]
+    rows += [("http://a.site/spam/new", None), ("http://a.site/spam/777", None), ("http://a.site/news/777", None), ("http://b.site/x/1", None)]
+    df = spark.createDataFrame(rows, "url string, bad int")
+    got = {(r.host, r.path): r for r in url_templates.judge(df, label="bad").collect()}
+    assert got["a.site", "/spam/777"].verdict == "block" and got["a.site", "/spam/3"].verdict == "block"
+    assert got["a.site", "/news/777"].verdict == "allow" and got["a.site", "/spam/new"].verdict == "allow"
+    assert got["a.site", "/spam/new"].purity > got["b.site", "/x/1"].purity  # its parent is worse than the table
+    hot = spark.createDataFrame([(f"http://hot.net/{i}",) for i in range(500)] + [("http://shop.example.com/en/1",)], "url string")
+    assert {r.verdict for r in url_templates.judge(hot).collect() if r.rule is None} == {"allow"}
