@@ -3,11 +3,13 @@
 Rules block or allow a host with all its subdomains below a path; the longest rule that fits wins.  What no
 rule fits is judged by its path template.  The tree is built per host, level by level:
 
-* a segment of digits (with or without an extension) and every child of a node with too many different
-  children is a wildcard;
-* the labelled children of any other node are sorted by their share of blocked pages, and neighbours that a
-  two-proportion test can't tell apart are merged into one branch;
-* segments below ``DEPTH`` are one open tail.
+* a segment of digits (with or without an extension) is a wildcard, ``*``;
+* the children of a node with too many different ones are another, ``?`` - but those with enough labelled pages
+  to be judged by them stay as they are, so they neither colour the wildcard nor are diluted by it;
+* the labelled children of any other node are taken in the order of their share of blocked pages, and a child
+  that a two-proportion test can't tell apart from all that its branch holds so far joins that branch;
+* from ``DEPTH`` on, only nodes that hold labelled pages and pages to be judged go on, to their paths' full depth;
+  what other nodes hold below is one open tail, as no split of it can change a verdict.
 
 A template's purity is the share of blocked pages among its labelled ones, smoothed towards its parent node's
 purity, a host's towards the share in the whole table.  Templates with labelled pages of their own whose purity
@@ -23,22 +25,23 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from cohort.llm.common import written
 
 #: (verdict, host, path)
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
-#: Levels of the tree.
+#: Levels that the tree has everywhere.
 DEPTH = 3
 #: A node with more different children is variable; so is one with over FEW children of which half are unique.
 MOST_BRANCHES = 64
 FEW = 8
-#: Neighbours whose difference is below this z value are one branch.
+#: A child whose difference from its branch is below this z value belongs to it.
 Z = 1.96
 #: Pseudo-counts of the smoothing, and the purity that rejects.
 PRIOR_ROWS = 5.0
 LEAST_PURITY = 0.9
+#: Labelled pages with which a child of a variable node stands for itself: its labels outweigh the pseudo-counts.
+SUPPORT = PRIOR_ROWS
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -74,24 +77,43 @@ def _level(paths: DataFrame, d: int) -> DataFrame:
     child = rows.where("seg IS NOT NULL AND NOT number").groupBy("host", "node", "seg").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "blocked")])
     nodes = child.groupBy("host", "node").agg(F.count("*").alias("k"), F.sum("n").alias("all"))
     variable = nodes.select("host", "node", ((F.col("k") > MOST_BRANCHES) | (F.col("k") > FEW) & (2 * F.col("k") >= F.col("all"))).alias("variable"))
+    known = child.join(variable, ["host", "node"])
+    stays = known.where("variable").where(F.col("labelled") >= SUPPORT).select("host", "node", "seg", F.lit(True).alias("stays"))
     rate = F.col("blocked") / F.col("labelled")
-    by_rate = Window.partitionBy("host", "node").orderBy("rate", "seg")
-    fixed = child.join(variable.where("NOT variable").select("host", "node"), ["host", "node"]).where("labelled > 0").withColumn("rate", rate)
-    last_n, last_b = F.lag("labelled").over(by_rate), F.lag("blocked").over(by_rate)
-    pooled = (F.col("blocked") + last_b) / (F.col("labelled") + last_n)
-    gap = (rate - last_b / last_n) / F.sqrt(pooled * (1 - pooled) * (1 / F.col("labelled") + 1 / last_n))
-    apart = F.when(last_n.isNull() | (pooled <= 0) | (pooled >= 1), F.lit(0)).otherwise((gap >= Z).cast("int"))
-    group = F.sum("apart").over(by_rate.rowsBetween(Window.unboundedPreceding, 0))
-    grouped = fixed.withColumn("apart", apart).withColumn("branch", group)
-    names = grouped.groupBy("host", "node", "branch").agg(F.sort_array(F.collect_list("seg")).alias("segs"))  # at most MOST_BRANCHES
-    merged = names.where("size(segs) > 1").select("host", "node", F.explode("segs").alias("seg"), F.array_join("segs", "|").alias("merged"))
+    kids = F.sort_array(F.collect_list(F.struct(rate.alias("rate"), "seg", F.col("labelled").alias("l"), F.col("blocked").alias("b"))))  # at most MOST_BRANCHES
+    groups = known.where("NOT variable AND labelled > 0").groupBy("host", "node").agg(kids.alias("kids"))
+    groups = groups.select("host", "node", F.explode(_branches(F.col("kids"))).alias("segs"))
+    merged = groups.where("size(segs) > 1").select("host", "node", F.explode("segs").alias("seg"), F.array_join(F.sort_array("segs"), "|").alias("merged"))
     rows = rows.join(variable.where("variable"), ["host", "node"], "left").join(merged, ["host", "node", "seg"], "left")
-    token = (F.when(F.col("seg").isNull(), F.lit("")).when(F.lit(d >= DEPTH), F.lit("/**"))
-             .when(F.col("number") | F.col("variable"), F.lit("/*")).otherwise(F.concat(F.lit("/"), F.coalesce("merged", "seg"))))
-    rows = rows.withColumn("node", F.concat("node", token)).withColumn("closed", F.col("seg").isNull() | F.lit(d >= DEPTH))
+    rows = rows.join(stays, ["host", "node", "seg"], "left")
+    ends = F.lit(False)
+    if d >= DEPTH:
+        mixed = paths.groupBy("host", "node").agg((F.max("open") & (F.sum("labelled") > 0)).alias("mixed"))
+        rows, ends = rows.join(mixed, ["host", "node"]), ~F.col("mixed")
+    token = (F.when(F.col("seg").isNull(), F.lit("")).when(ends, F.lit("/**")).when(F.col("number"), F.lit("/*"))
+             .when(F.col("variable") & F.col("stays").isNull(), F.lit("/?")).otherwise(F.concat(F.lit("/"), F.coalesce("merged", "seg"))))
+    rows = rows.withColumn("node", F.concat("node", token)).withColumn("closed", F.col("seg").isNull() | ends)
     return _smoothed(rows.select(*paths.columns))
 
 
+def _branches(kids: Column) -> Column:
+    """array<array<string>>: the children, sorted by rate, in branches; each is tested against its branch's pooled counts."""
+    start = F.struct(F.array().cast("array<array<string>>").alias("done"), F.array().cast("array<string>").alias("segs"),
+                     F.lit(0).cast("long").alias("l"), F.lit(0).cast("long").alias("b"))
+
+    def step(acc, x):
+        l, b = acc["l"] + x["l"], acc["b"] + x["b"]
+        pooled = b / l
+        gap = (x["rate"] - acc["b"] / acc["l"]) / F.sqrt(pooled * (1 - pooled) * (1 / x["l"] + 1 / acc["l"]))
+        apart = F.when((acc["l"] == 0) | (pooled <= 0) | (pooled >= 1), F.lit(False)).otherwise(gap >= Z)
+        one = F.array(x["seg"])
+        return F.struct(F.when(apart, F.concat(acc["done"], F.array(acc["segs"]))).otherwise(acc["done"]).alias("done"),
+                        F.when(apart, one).otherwise(F.concat(acc["segs"], one)).alias("segs"),
+                        F.when(apart, x["l"]).otherwise(l).alias("l"), F.when(apart, x["b"]).otherwise(b).alias("b"))
+
+    return F.aggregate(kids, start, step, lambda acc: F.concat(acc["done"], F.array(acc["segs"])))
+
+
 def _smoothed(rows: DataFrame) -> DataFrame:
     """``purity`` of each (host, node), smoothed towards the one it had as part of its parent, and its ``own`` labels."""
     sums = rows.groupBy("host", "node").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"), F.first("purity").alias("p"))

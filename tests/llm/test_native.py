@@ -225,3 +225,16 @@ def test_the_tree_decides_by_given_labels_and_never_without_own(spark):
     assert got["a.site", "/spam/new"].purity > got["b.site", "/x/1"].purity  # its parent is worse than the table
     hot = spark.createDataFrame([(f"http://hot.net/{i}",) for i in range(500)] + [("http://shop.example.com/en/1",)], "url string")
     assert {r.verdict for r in url_templates.judge(hot).collect() if r.rule is None} == {"allow"}
+
+
+def test_labelled_directories_stay_out_of_the_wildcard_and_deep_paths_split(spark):
+    rows = [(f"http://x.example.com/de/{i}", None) for i in range(24)] + [(f"http://x.example.com/dir{i}/{i}", None) for i in range(30)]
+    got = [r.verdict for r in url_templates.judge(spark.createDataFrame(rows, "url string, bad int")).collect() if r.rule is None]
+    assert got == ["allow"] * 30
+    rows = [(f"http://v.site/ok{i}/{j}", 0) for i in range(65) for j in range(3)] + [(f"http://v.site/bad/{j}", 1) for j in range(60)]
+    rows += [(f"http://v.site/deep/a/b/c/spam/{j}", 1) for j in range(60)] + [(f"http://v.site/deep/a/b/c/news/{j}", 0) for j in range(60)]
+    steps = [(f"http://s.site/r{i:02d}/{j}", int(j < 2 * i)) for i in range(21) for j in range(40)]  # 0, 5, .. 100 % blocked
+    asked = ["http://v.site/bad/900", "http://v.site/ok3/900", "http://v.site/deep/a/b/c/spam/900", "http://v.site/deep/a/b/c/news/900", "http://s.site/r00/900", "http://s.site/r20/900"]
+    df = spark.createDataFrame(rows + steps + [(u, None) for u in asked], "url string, bad int")
+    got = {f"http://{r.host}{r.path}": r.verdict for r in url_templates.judge(df, label="bad").collect()}
+    assert [got[u] for u in asked] == ["block", "allow", "block", "allow", "allow", "block"]
