@@ -5,7 +5,8 @@
 2. A document that holds a seed is aligned with the seed's item around the place of the seed: local alignment
    over words, with affordable substitutions and gaps, so edited and paraphrased copies still score.  Windows that
    share too few words with the item to reach the threshold by any alignment are passed over.
-3. A document is contaminated by an item when the aligned identical words make up a large part of the item.
+3. A document is contaminated by an item when the aligned identical words make up a large part of the item, or when
+   it holds a long run of the item's words, whatever part of the item that is.
 
 Test items are handled in blocks of bounded size: each block's n-grams and word sequences are what a task holds,
 and a benchmark of any size is just more blocks.  Each block is one pass over the texts.  Texts never move; only
@@ -39,6 +40,8 @@ MATCH, MISMATCH, GAP = 2.0, -1.0, -1.0
 LEAST_PART = 0.5
 #: Identical words that an alignment must have at least (a shorter item must occur whole).
 LEAST_WORDS = 8
+#: So many identical words in a row are contamination by themselves.
+RUN = 13
 
 _PUNCT = np.zeros(256, bool)
 _PUNCT[[ord(c) for c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"]] = True
@@ -124,20 +127,20 @@ class Block:
         self.place = (np.arange(len(keys)) - np.repeat(np.cumsum(size) - size, size))[order]
         return self
 
-    def hits(self, w: BareWords) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, item, where the item would start) of each seed in a text, sorted, without repeats; the start is a
+    def hits(self, w: BareWords) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, item, where the item would start, seeds that say so) of the seeds in texts, sorted; the start is a
         word position of the batch."""
         none = np.empty(0, np.int64)
         if not len(self.keys) or not len(w.hash):
-            return none, none, none
+            return none, none, none, none
         text = np.repeat(np.arange(len(w.of) - 1), np.diff(w.of))
         whole = np.flatnonzero(np.arange(len(text)) + GRAM <= w.of[1:][text])
         found = [self._places(w.grams(GRAM)[whole], whole)]
         if any(len(x) < GRAM for x in self.words):
             found.append(self._places(w.hash, np.arange(len(text))))
         pos, at = (np.concatenate(x) for x in zip(*found))
-        out = np.unique(np.stack([text[pos], self.owner[at], pos - self.place[at]]), axis=1)
-        return out[0], out[1], out[2]
+        out, n = np.unique(np.stack([text[pos], self.owner[at], pos - self.place[at]]), axis=1, return_counts=True)
+        return out[0], out[1], out[2], n
 
     def _places(self, values: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(position, place in the look-up) of every pair of equal n-grams."""
@@ -164,9 +167,15 @@ def is_contaminated(same: int, m: int) -> bool:
     return same >= min(m, max(LEAST_WORDS, LEAST_PART * m))
 
 
+def has_run(item: np.ndarray, part: np.ndarray, at: int) -> bool:
+    """Whether ``part``, laid on the item from word ``at`` on, has RUN equal words in a row."""
+    apart = np.flatnonzero(np.r_[True, item[at: at + len(part)] != part, True])
+    return int(np.diff(apart).max()) > RUN
+
+
 def align_hits(block: Block, w: BareWords) -> list[tuple[int, int, float, int, int, int]]:
     """(text, item, score, identical words, first, end) of every contaminated text; word positions in the text."""
-    text, owner, start = block.hits(w)
+    text, owner, start, n_seeds = block.hits(w)
     out = []
     first = np.flatnonzero(np.r_[True, (np.diff(text) != 0) | (np.diff(owner) != 0)][:len(text)])
     for x, y in zip(first.tolist(), [*first[1:].tolist(), len(text)]):
@@ -175,19 +184,21 @@ def align_hits(block: Block, w: BareWords) -> list[tuple[int, int, float, int, i
         m, slack = len(words), len(words) // 2 + 4
         a0, b0 = int(w.of[t]), int(w.of[t + 1])
         best, windows = None, []
-        for s in start[x:y].tolist():  # seeds that point to about the same place make one window
+        for s, n in zip(start[x:y].tolist(), n_seeds[x:y].tolist()):  # seeds that point to about the same place make one window
+            run = n > RUN - GRAM and has_run(words, w.hash[max(a0, s): min(b0, s + m)], max(a0 - s, 0))
             if windows and s - slack <= windows[-1][1]:
                 windows[-1][1] = s + m + slack
+                windows[-1][2] |= run
             else:
-                windows.append([s - slack, s + m + slack])
-        for a, b in windows:
+                windows.append([s - slack, s + m + slack, run])
+        for a, b, run in windows:
             a, b = max(a0, a), min(b0, b)
             # word counts bound the identical words, so hopeless windows need no alignment
             part = w.hash[a:b]
-            if not is_contaminated(min(int(np.isin(words, part).sum()), int(np.isin(part, words).sum())), m):
+            if not run and not is_contaminated(min(int(np.isin(words, part).sum()), int(np.isin(part, words).sum())), m):
                 continue
             score, same, begin, end = align(words, part)
-            if is_contaminated(same, m) and (best is None or score > best[0]):
+            if (run or is_contaminated(same, m)) and (best is None or score > best[0]):
                 best = score, same, a - a0 + begin, a - a0 + end
         if best:
             out.append((t, item, *best))

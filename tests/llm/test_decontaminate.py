@@ -110,6 +110,15 @@ def test_an_edited_leak_is_caught_however_often_it_stands(spark, version):
     assert sorted(r.doc_id for r in dc.drop_contaminated(df, bench).collect()) == sorted(k for k, _ in clean)
 
 
+def test_a_verbatim_passage_of_a_long_item_is_caught(spark):
+    ws = {1: [f"a{j}" for j in range(1_000)], 2: [f"b{j}" for j in range(59)]}
+    parts = [ws[1][300:700], ws[2][20:45], ws[1][:dc.RUN], ws[2][-dc.RUN:], ws[1][5:4 + dc.RUN], ws[2][:6] + ["x"] + ws[2][7:13]]
+    docs = spark.createDataFrame([(i, " ".join(p if i in (2, 4) else ["before", *p, "after"])) for i, p in enumerate(parts)], "doc_id long, text string")
+    items = spark.createDataFrame([(k, " ".join(x)) for k, x in ws.items()], "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.n_same) for r in dc.contaminated(docs, items).collect())
+    assert got == [(0, 1, 400), (1, 2, 25), (2, 1, dc.RUN), (3, 2, dc.RUN)]
+
+
 def test_short_array_of_items():
     block = dc.Block.of([7], pa.array(["one two"]))
     assert dc.align_hits(block, dc.BareWords(pa.array(["zero one two three", "one", "two one"]))) == [(0, 0, 4.0, 2, 1, 3)]
