@@ -12,8 +12,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohort.llm import (bpe_tree, decontaminate, language_mixture, ngram_join, pii_boost, quality_ledger, shard_matrix,
-                        token_counts, token_files, url_templates)
+from cohort.llm import (bpe_tree, decontaminate, importance_resampling, language_mixture, ngram_join, periodic_runs, pii_boost,
+                        quality_ledger, retrieval_packing, shard_matrix, token_counts, token_files, url_templates)
 from cohort.llm.common import bounded_batches, scratch, table
 
 
@@ -148,5 +148,70 @@ def op10_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_templates.judge(table(spark, sf_dir, "pages"), keep=["page_id"])
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_shard_matrix, op3_decontaminate, op4_pii_boost, op9_language_mixture, op10_url_templates, op5_token_counts, op6_quality_ledger, op7_token_files, op8_bpe_tree)}
-ORACLES = {"op1_ngram_join": OP1_SQL, "op6_quality_ledger": OP6_SQL}
+def planted_period(key: int, words: list[bytes]) -> list[bytes]:
+    """The words with the contract's periodic tail: one document in ten repeats a stretch from some word on."""
+    h, n = zlib.crc32(str(key).encode()), len(words)
+    if h % 10 or not n:
+        return words
+    a = h // 10 % n
+    p = 1 + (n - a) // (3 + h // 10 % 8)
+    return words[:a] + [words[a + i % p] for i in range(n - a)]
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+
+    def run(batches):  # a row without a key keeps its text
+        for b in batches:
+            rows = zip(b.column(0).to_pylist(), b.column(1).to_pylist())
+            text = [t if k is None or t is None or zlib.crc32(str(k).encode()) % 10 else b" ".join(planted_period(k, t.encode().split())).decode() for k, t in rows]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(text, pa.string())], names=["doc_id", "text"])
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(run, "doc_id long, text string")
+    rows = periodic_runs.periodic_runs(docs, keep=["doc_id"])
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("before"), (-r["period"]).alias("shorter"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    rows = rows.withColumn("best", best)
+    length, period = F.col("best.length"), -F.col("best.shorter")
+    return rows.select("doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.before")).alias("start"), length.alias("length"),
+                       period.alias("period"), F.floor(1000 * length / period).alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"),
+                       F.sha2(F.col("collapsed"), 256).alias("collapsed_sha256"))
+
+
+def op12_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = retrieval_packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = importance_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+OP13_SQL = r"""
+WITH tab AS (SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)),
+        lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM (SELECT doc_id, text FROM documents UNION ALL SELECT -1 - row_number() OVER (), text FROM benchmark)),
+g AS (SELECT doc_id, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS f FROM w),
+h AS (SELECT f, list_transform(range(octet_length(encode(f))), lambda i: ('0x' || substr(hex(encode(f)), 2 * i + 1, 2))::BIGINT) AS bytes
+      FROM (SELECT DISTINCT f FROM g)),
+b AS (SELECT f, xor(list_reduce(list_concat([4294967295], bytes), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS bucket
+      FROM h, tab),
+x AS (SELECT doc_id, bucket, count(*) AS c FROM g JOIN b USING (f) GROUP BY ALL),
+n AS (SELECT bucket, sum(CASE WHEN doc_id >= 0 THEN c ELSE 0 END) AS s, sum(CASE WHEN doc_id < 0 THEN c ELSE 0 END) AS t FROM x GROUP BY bucket),
+gain AS (SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE)))::BIGINT AS gain FROM n),
+m AS (SELECT doc_id, sum(c)::BIGINT AS n_features, floor(sum(gain * c)::DOUBLE / sum(c)::DOUBLE)::BIGINT AS weight FROM x JOIN gain USING (bucket)
+      WHERE doc_id >= 0 GROUP BY doc_id),
+r AS (SELECT w.doc_id, len(ws) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+        coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || w.doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+      FROM w LEFT JOIN m ON w.doc_id = m.doc_id WHERE w.doc_id >= 0),
+p AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM r WHERE n_words >= 20)
+SELECT r.doc_id, n_features, weight, score, CASE WHEN place <= 25 * n // 100 THEN place END AS rank FROM r LEFT JOIN p ON r.doc_id = p.doc_id
+"""
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_ngram_join, op2_shard_matrix, op3_decontaminate, op4_pii_boost, op9_language_mixture, op10_url_templates, op5_token_counts, op6_quality_ledger,
+    op7_token_files, op8_bpe_tree, op11_periodic_runs, op12_retrieval_packing, op13_importance_resampling)}
+ORACLES = {"op1_ngram_join": OP1_SQL, "op6_quality_ledger": OP6_SQL, "op13_importance_resampling": OP13_SQL}
