@@ -72,7 +72,7 @@ def q_upload_rows(spark, sf_dir):
 def _logged(spark, sf_dir):
     base = _base(spark)
     scored = _linear(spark, sf_dir)
-    records.log_predictions(scored.where(F.col("errors").isNull()), "students", "Logistic Regression", base)
+    records.log_predictions(scored.where(F.col("errors").isNull()), "students", "Logistic Regression", base, ["student_id"])
     return base
 
 
@@ -86,9 +86,10 @@ def q_log_predictions(spark, sf_dir):
     return finish(records.history(spark, _logged(spark, sf_dir)).drop("prediction_id", "created_at", "day"))
 
 
-@register("recent_predictions")
+@register("recent_predictions", LIN + f"\nSELECT {_LOGGED} FROM x WHERE errors IS NULL ORDER BY student_id DESC LIMIT 50")
 def q_recent_predictions(spark, sf_dir):
-    return records.recent_predictions(spark, _logged(spark, sf_dir), 50)
+    """The fixture's requests are logged in order of student_id, so the newest are those with the largest."""
+    return finish(records.recent_predictions(spark, _logged(spark, sf_dir), 50).drop("prediction_id", "created_at", "day"))
 
 
 @register("record_counts", f"WITH {STUDENTS}\nSELECT 'dataset_uploads' AS store, CAST(1 AS BIGINT) AS count UNION ALL "
@@ -112,7 +113,7 @@ def q_migrate_history(spark, sf_dir):
                                          F.col("g1").alias("midsem_score"))
     old.write.mode("overwrite").parquet(f"{base}/history")
     name = records.migrate_history(spark, base)
-    return spark.read.parquet(f"{base}/{name}")
+    return records.archived(spark, base, name)
 
 
 @register("export_csv", f"WITH {STUDENTS}\nSELECT CAST(student_id AS VARCHAR) AS student_id, programme, "

@@ -1,6 +1,8 @@
-"""Append-only record stores on Parquet: dataset snapshots (one JSON document
-per row, partitioned by dataset_id), an uploads table written after the rows
-(commit marker) and a prediction log partitioned by day."""
+"""Record stores: dataset snapshots (one JSON document per row), their uploads table and a prediction log.
+
+All are tables of one ``Store``: an upload's rows and its entry become visible in one step, a purge or a migration is
+one new version of the manifest, and neither a reader nor a crash meets a half written store.
+"""
 
 from __future__ import annotations
 
@@ -14,9 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohort.operators.ordered import running_sums
+from cohort.sources.store import Store
 
 UPLOADS_SCHEMA = ("dataset_id bigint, file_name string, row_count bigint, column_count bigint, "
                   "column_names string, schema_ddl string, created_at timestamp")
+ROWS_SCHEMA = "row_number bigint, row_data string, created_at timestamp, dataset_id bigint"
 HISTORY_COLUMNS = ["prediction_id", "dataset_name", "model_name", "study_time", "absences", "failures",
                    "previous_grade_1", "previous_grade_2", "predicted_label", "pass_probability",
                    "fail_probability", "risk_level", "recommendation", "created_at"]
@@ -24,31 +28,24 @@ HISTORY_SCHEMA = ("prediction_id string, dataset_name string, model_name string,
                   "failures double, previous_grade_1 double, previous_grade_2 double, predicted_label string, "
                   "pass_probability double, fail_probability double, risk_level string, recommendation string, "
                   "created_at timestamp, day date")
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    hp = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(hp)
-
-
-def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    if _exists(spark, path):
-        return spark.read.schema(schema).parquet(path)
-    return spark.createDataFrame([], schema)
+UPLOADS, ROWS, HISTORY = "uploads", "rows", "history"
 
 
 def uploads(spark: SparkSession, base: str) -> DataFrame:
-    return _read(spark, f"{base}/uploads", UPLOADS_SCHEMA)
+    return Store(spark, base).read(UPLOADS, UPLOADS_SCHEMA)
 
 
-def rows_store(spark: SparkSession, base: str) -> DataFrame:
-    return _read(spark, f"{base}/rows", "row_number bigint, row_data string, created_at timestamp, dataset_id bigint")
+def rows_store(spark: SparkSession, base: str, dataset_id: int | None = None) -> DataFrame:
+    """All rows, or those of one upload: a segment of its own, so nothing else is read."""
+    return Store(spark, base).read(ROWS, ROWS_SCHEMA, None if dataset_id is None else [str(dataset_id)])
 
 
 def history(spark: SparkSession, base: str) -> DataFrame:
-    return _read(spark, f"{base}/history", HISTORY_SCHEMA)
+    return Store(spark, base).read(HISTORY, HISTORY_SCHEMA)
+
+
+def _now() -> datetime:
+    return datetime.now(timezone.utc).replace(tzinfo=None)
 
 
 def dense_row_numbers(df: DataFrame, staging: str, name: str = "row_number") -> DataFrame:
@@ -63,7 +60,7 @@ def dense_row_numbers(df: DataFrame, staging: str, name: str = "row_number") ->
 
 
 def save_snapshot(df: DataFrame, name: str, base: str) -> int:
-    """Write rows as JSON documents (NaN as null), then append the upload row; returns dataset_id.
+    """Write rows as JSON documents (NaN as null) with their upload entry, in one step; returns dataset_id.
 
     Ids come from the clock in microseconds plus random bits, so concurrent uploads don't share one, and
     later uploads have larger ids.
@@ -76,16 +73,18 @@ def save_snapshot(df: DataFrame, name: str, base: str) -> int:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
             c = F.when(~F.isnan(c), c)
         cols.append(c.alias(f.name))
-    clean = df.select(*cols)
+    clean, store, key = df.select(*cols), Store(spark, base), str(dataset_id)
+    staging = f"{store.base}/staging/{uuid.uuid4().hex}"
     docs = dense_row_numbers(clean.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]),
-                                                    {"ignoreNullFields": "false"}).alias("row_data")),
-                             f"{base}/staging/{uuid.uuid4().hex}")
-    now = datetime.now(timezone.utc).replace(tzinfo=None)
+                                                    {"ignoreNullFields": "false"}).alias("row_data")), staging)
+    now = _now()
     docs = docs.withColumn("created_at", F.lit(now)).withColumn("dataset_id", F.lit(dataset_id).cast("long"))
-    docs.write.mode("append").partitionBy("dataset_id").parquet(f"{base}/rows")
-    n = rows_store(spark, base).where(F.col("dataset_id") == dataset_id).count()
+    rows = store.stage(docs, ROWS)
+    n = store.read_folders([rows], ROWS_SCHEMA).count()
     meta = [(dataset_id, name, n, len(df.columns), json.dumps(df.columns), df.schema.simpleString(), now)]
-    spark.createDataFrame(meta, UPLOADS_SCHEMA).write.mode("append").parquet(f"{base}/uploads")
+    entry = store.stage(spark.createDataFrame(meta, UPLOADS_SCHEMA), UPLOADS)
+    store.put({ROWS: (key, rows), UPLOADS: (key, entry)})
+    store.files.delete(staging)
     return dataset_id
 
 
@@ -99,7 +98,7 @@ def load_snapshot(spark: SparkSession, base: str, dataset_id: int | None = None)
         raise KeyError(f"dataset {dataset_id} not found")
     schema = T._parse_datatype_string(meta.schema_ddl)
     names = json.loads(meta.column_names)
-    rows = rows_store(spark, base).where(F.col("dataset_id") == dataset_id)  # partition pruning
+    rows = rows_store(spark, base, dataset_id)
     decoded = rows.select("row_number", F.from_json("row_data", schema).alias("r"))
     return decoded.select("row_number", *[F.col("r").getField(c).alias(c) for c in names])
 
@@ -116,20 +115,29 @@ def recent_uploads(spark: SparkSession, base: str, limit: int = 25) -> DataFrame
 
 
 def upload_rows(spark: SparkSession, base: str) -> DataFrame:
-    """Rows joined to their upload metadata (rows of an unfinished upload have none and stay out)."""
+    """Rows joined to their upload's entry."""
     return rows_store(spark, base).join(uploads(spark, base).select("dataset_id", "file_name"), "dataset_id")
 
 
-def log_predictions(scored: DataFrame, dataset_name: str, model_name: str, base: str) -> int:
-    out = scored.select(F.expr("uuid()").alias("prediction_id"), F.lit(dataset_name).alias("dataset_name"),
-                        F.lit(model_name).alias("model_name"),
-                        *[F.col(c).cast("double").alias(c) for c in
-                          ["study_time", "absences", "failures", "previous_grade_1", "previous_grade_2"]],
-                        "predicted_label", "pass_probability", "fail_probability", "risk_level", "recommendation",
-                        F.current_timestamp().alias("created_at"))
-    out = out.withColumn("day", F.to_date("created_at"))
-    out.write.mode("append").partitionBy("day").parquet(f"{base}/history")
-    return history(scored.sparkSession, base).count()
+def prediction_rows(scored: DataFrame, dataset_name: str, model_name: str, order: list[str] | None = None) -> DataFrame:
+    """Scored requests as rows of the log.  Ids grow with the time of the call and, in it, with ``order`` (or else with the
+    rows' place in the frame), so the newest predictions have a stable order."""
+    now, call = _now(), time.time_ns() // 1000
+    place = F.format_string("%020d-%020d", F.lit(call), F.monotonically_increasing_id())
+    scored = scored.orderBy(*order) if order else scored
+    return scored.select(place.alias("prediction_id"), F.lit(dataset_name).alias("dataset_name"),
+                         F.lit(model_name).alias("model_name"),
+                         *[F.col(c).cast("double").alias(c) for c in
+                           ["study_time", "absences", "failures", "previous_grade_1", "previous_grade_2"]],
+                         "predicted_label", "pass_probability", "fail_probability", "risk_level", "recommendation",
+                         F.lit(now).alias("created_at"), F.lit(now.date()).alias("day"))
+
+
+def log_predictions(scored: DataFrame, dataset_name: str, model_name: str, base: str, order: list[str] | None = None) -> int:
+    """Append scored requests to the log; returns how many predictions it then holds."""
+    spark = scored.sparkSession
+    Store(spark, base).append(prediction_rows(scored, dataset_name, model_name, order), HISTORY)
+    return history(spark, base).count()
 
 
 def recent_predictions(spark: SparkSession, base: str, limit: int = 50) -> DataFrame:
@@ -145,36 +153,59 @@ def record_counts(spark: SparkSession, base: str) -> DataFrame:
             .unionByName(total(history(spark, base), "prediction_history")))
 
 
-def purge_records(spark: SparkSession, base: str, which: str = "all") -> DataFrame:
-    """Delete saved datasets and/or history; returns how many records went."""
-    out = []
-    if which in ("all", "datasets"):
-        n_up, n_rows = uploads(spark, base).count(), rows_store(spark, base).count()
-        spark.createDataFrame([], UPLOADS_SCHEMA).write.mode("overwrite").parquet(f"{base}/uploads")
-        spark.createDataFrame([], "row_number bigint, row_data string, created_at timestamp, dataset_id bigint") \
-            .write.mode("overwrite").partitionBy("dataset_id").parquet(f"{base}/rows")
-        out += [("dataset_uploads", n_up), ("dataset_rows", n_rows)]
-    if which in ("all", "history"):
-        n_h = history(spark, base).count()
-        spark.createDataFrame([], HISTORY_SCHEMA).write.mode("overwrite").partitionBy("day").parquet(f"{base}/history")
-        out.append(("prediction_history", n_h))
+PURGED = {"datasets": {UPLOADS: "dataset_uploads", ROWS: "dataset_rows"}, "history": {HISTORY: "prediction_history"}}
+_SCHEMAS = {UPLOADS: UPLOADS_SCHEMA, ROWS: ROWS_SCHEMA, HISTORY: HISTORY_SCHEMA}
+
+
+def purge_records(spark: SparkSession, base: str, which: str = "all", retention_seconds: float | None = None) -> DataFrame:
+    """Drop saved datasets and/or history in one step; returns how many records went.
+
+    Their files stay for readers that began before, until a ``vacuum``; with ``retention_seconds`` older ones go now.
+    """
+    names = {t: n for part, tables in PURGED.items() if which in ("all", part) for t, n in tables.items()}
+    store = Store(spark, base)
+    before, _ = store.commit(lambda tables: {t: s for t, s in tables.items() if t not in names})
+    out = [(n, store.read_folders(list(before.get(t, {}).values()), _SCHEMAS[t]).count()) for t, n in names.items()]
+    if retention_seconds is not None:
+        store.vacuum(retention_seconds)
     return spark.createDataFrame(out, "store string, deleted bigint")
 
 
 def migrate_history(spark: SparkSession, base: str) -> str | None:
-    """Archive a history store whose columns differ from the expected ones under legacy_<n>."""
-    path = f"{base}/history"
-    if not _exists(spark, path):
+    """Archive a history whose columns differ from the expected ones as table legacy_<n>; its files stay where they are.
+
+    A plain Parquet folder ``history`` from before the manifest is taken into the store: as the log's first segment if its
+    columns fit, else as an archive.  Returns the archive's name, None if nothing had to be archived.
+    """
+    store = Store(spark, base)
+    plain = store.files.exists(f"{store.base}/{HISTORY}") and not any(HISTORY in s.values() for s in store.live()[1].values())
+    folders = [HISTORY] if plain else store.folders(HISTORY)
+    if not folders:
         return None
-    current = spark.read.parquet(path)
-    if set(HISTORY_COLUMNS).issubset(current.columns):
+    fits = set(HISTORY_COLUMNS).issubset(store.read_folders(folders, None).columns)
+    if fits and not plain:
         return None
-    n = 1
-    while _exists(spark, f"{base}/legacy_{n}"):
-        n += 1
-    current.write.mode("overwrite").parquet(f"{base}/legacy_{n}")
-    spark.createDataFrame([], HISTORY_SCHEMA).write.mode("overwrite").partitionBy("day").parquet(path)
-    return f"legacy_{n}"
+    done: list[str] = []
+
+    def change(tables: dict) -> dict:
+        done.clear()
+        if fits:
+            return tables | {HISTORY: {HISTORY: HISTORY} | tables.get(HISTORY, {})}
+        n = 1
+        while f"legacy_{n}" in tables:
+            n += 1
+        done.append(f"legacy_{n}")
+        rest = {k: f for k, f in tables.get(HISTORY, {}).items() if f not in folders}
+        return tables | {HISTORY: rest, f"legacy_{n}": {f: f for f in folders}}
+
+    store.commit(change)
+    return done[0] if done else None
+
+
+def archived(spark: SparkSession, base: str, name: str) -> DataFrame:
+    """The rows of an archive that ``migrate_history`` has made, with their own columns."""
+    store = Store(spark, base)
+    return store.read_folders(store.folders(name), None)
 
 
 def export_csv(df: DataFrame, path: str) -> str:
