@@ -3,6 +3,8 @@ quantiles, box statistics and chart point sets."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -151,18 +153,94 @@ def sorted_series(df: DataFrame, x: str, y: str, aggregate: bool = False) -> Dat
     return pts.orderBy(col(x), col(y))
 
 
+#: Points that a strip of the Kendall grid has at most, about, and strips per axis.
+STRIP_POINTS, STRIPS = 1 << 16, 512
+
+
+def weighted_inversions(key: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
+    """Sum of w_i * w_j over all pairs with key_i < key_j and y_i > y_j.
+
+    Points are walked from large to small y; for each bit of the dense key, from the highest, a point with the bit set meets
+    the earlier points of its block without it, whose keys are all smaller.
+    """
+    if len(key) < 2:
+        return 0.0
+    place = np.unique(key, return_inverse=True)[1]
+    by = np.lexsort((-place, -y))  # of equal y the larger key first, so that they don't meet
+    place, w = place[by], w[by].astype(float)
+    total = 0.0
+    for bit in range(int(place.max()).bit_length() - 1, -1, -1):
+        block, right = place >> (bit + 1), (place >> bit) & 1 == 1
+        left = np.cumsum(np.where(right, 0.0, w))
+        opens = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
+        before = np.concatenate(([0.0], left))[opens]
+        left -= np.repeat(before, np.diff(np.append(opens, len(block))))
+        total += float((w * left)[right].sum())
+        by = np.argsort(place >> bit, kind="stable")
+        place, w = place[by], w[by]
+    return total
+
+
+def _grid(points: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """{pair: (edges in x, edges in y)}: quantiles of the points, as many as strips are needed; bounded by ``STRIPS``."""
+    probs = [i / STRIPS for i in range(1, STRIPS)]
+    rows = points.groupBy("pair").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("x", probs, 10_000).alias("x"),
+                                      F.percentile_approx("y", probs, 10_000).alias("y")).collect()  # one row a pair
+    out = {}
+    for r in rows:
+        strips = min(STRIPS, -(-r["n"] // STRIP_POINTS))
+        keep = [STRIPS * i // strips - 1 for i in range(1, strips)]
+        out[r["pair"]] = tuple(np.unique(np.array([r[c][i] for i in keep], float)) for c in "xy")
+    return out
+
+
+def discordant_pairs(points: DataFrame) -> DataFrame:
+    """(pair, nd double): the weight of pairs of points (pair, x, y, w) with a larger x and a smaller y.
+
+    Edges cut each axis into strips: open intervals between quantiles, and the edge values themselves, so that a frequent
+    value is a strip of its own.  Two points in different strips of both axes are counted from the cells of the grid by
+    two-dimensional prefix sums; those in one strip of x inside that strip; those in one strip of y, but in
+    different strips of x, inside that strip of y.  A strip of one value has no discordant pairs and isn't gathered.
+    """
+    grid = _grid(points)
+
+    def place(batches):
+        for b in batches:
+            pair, x, y = (b.column(i).to_numpy() for i in range(3))
+            at = np.zeros((2, len(pair)), np.int64)
+            for p in np.unique(pair).tolist():
+                rows = pair == p
+                for axis, v in enumerate((x, y)):  # even: between edges, odd: on an edge
+                    e = grid[p][axis]
+                    at[axis, rows] = np.searchsorted(e, v[rows], "left") + np.searchsorted(e, v[rows], "right")
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at[0]), pa.array(at[1])], names=["pair", "x", "y", "w", "i", "j"])
+
+    def cells(table: pa.Table) -> pa.Table:
+        i, j, w = (table[c].to_numpy() for c in ("i", "j", "w"))
+        m = np.zeros((i.max() + 1, j.max() + 1))
+        m[i, j] = w
+        above = np.zeros_like(m)  # what has a smaller i and a larger j
+        above[1:, :-1] = np.cumsum(np.cumsum(m[:, ::-1], 1)[:, ::-1], 0)[:-1, 1:]
+        return pa.table({"pair": table["pair"][:1], "nd": [float((m * above).sum())]})
+
+    def strip(table: pa.Table) -> pa.Table:
+        nd = weighted_inversions(*(table[c].to_numpy() for c in ("key", "y", "w")))
+        return pa.table({"pair": table["pair"][:1], "nd": [nd]})
+
+    placed = points.select("pair", "x", "y", F.col("w").cast("long").alias("w")).mapInArrow(place, "pair int, x double, y double, w long, i long, j long")
+    between = placed.groupBy("pair", "i", "j").agg(F.sum("w").alias("w")).groupBy("pair").applyInArrow(cells, "pair int, nd double")
+    ways = F.array(F.struct(F.lit(0).alias("axis"), F.col("i").alias("of"), F.col("x").alias("key")),
+                   F.struct(F.lit(1).alias("axis"), F.col("j").alias("of"), F.col("i").cast("double").alias("key")))
+    strips = placed.select("pair", "y", "w", F.inline(ways)).where(F.col("of") % 2 == 0)
+    inside = strips.groupBy("pair", "axis", "of").applyInArrow(strip, "pair int, nd double")
+    return between.unionByName(inside).groupBy("pair").agg(F.sum("nd").alias("nd"))
+
+
 def correlation_kendall(df: DataFrame, columns: list[str]) -> DataFrame:
     """Kendall tau-b for every pair a < b on the pair's complete rows; exact and distributed.
 
-    Rows collapse to distinct (x, y) points with weights.  Discordant pairs are
-    counted with a binary decomposition of the dense x rank: at level L a point
-    whose rank has bit L set meets the left half of its rank block, whose points
-    all have smaller x; within each (pair, level, block) the weight of left-half
-    points with strictly larger y comes from distributed running sums over y.
-    Every x-smaller point is met at exactly one level, so the count is exact;
-    no pairs are emitted and no block is sorted in one task.
+    Rows collapse to distinct (x, y) points with weights; ``discordant_pairs`` counts them on a grid.
     """
-    from cohort.operators.ordered import running_sums
     spark = df.sparkSession
     if len(columns) < 2:
         return spark.createDataFrame([], "column_a string, column_b string, tau double")
@@ -170,32 +248,16 @@ def correlation_kendall(df: DataFrame, columns: list[str]) -> DataFrame:
     long = df.select(F.inline(F.array(*[
         F.struct(F.lit(i).alias("pair"), num(df, a).alias("x"), num(df, b).alias("y"))
         for i, (a, b) in enumerate(pairs)]))).where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    pts = long.groupBy("pair", "x", "y").agg(F.count(F.lit(1)).alias("w")).persist()
+    points = long.groupBy("pair", "x", "y").agg(F.count(F.lit(1)).alias("w")).persist()  # read by the edges, strips, cells and ties
     try:
-        # dense rank of x within each pair (0-based) from running counts over distinct x
-        xs = pts.groupBy("pair", "x").agg(F.sum("w").alias("tx")).withColumn("one", F.lit(1))
-        xr = running_sums(xs, "x", ["one"], group=["pair"]).select("pair", "x", "tx", (F.col("cum_one") - 1).alias("rx"))
-        xr = xr.persist()  # distinct-x table, read three times
-        m = xr.agg(F.max("rx")).first()[0]
-        levels = max(1, int(m).bit_length()) if m is not None else 1
-        ranked = pts.join(xr.select("pair", "x", "rx"), ["pair", "x"])
-        lv = ranked.select("pair", "y", "w", "rx", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("lvl"))
-        lv = lv.select("pair", "lvl", "y", "w", F.expr("shiftright(rx, lvl + 1)").alias("blk"),
-                       (F.expr("shiftright(rx, lvl)") % 2).alias("side"))
-        cells = lv.groupBy("pair", "lvl", "blk", "y").agg(
-            F.sum(F.when(F.col("side") == 0, F.col("w")).otherwise(0)).alias("lw"),
-            F.sum(F.when(F.col("side") == 1, F.col("w")).otherwise(0)).alias("rw"))
-        cells = cells.withColumn("grp", F.concat_ws(":", "lvl", "blk"))
-        cum = running_sums(cells, "y", ["lw"], group=["pair", "grp"], descending=True)
-        nd = cum.groupBy("pair").agg(F.sum(F.col("rw") * (F.col("cum_lw") - F.col("lw"))).alias("nd"))
-        ties_x = xr.groupBy("pair").agg(F.sum(F.col("tx") * (F.col("tx") - 1) / 2).alias("n1"),
-                                        F.sum("tx").alias("n"))
-        ties_y = pts.groupBy("pair", "y").agg(F.sum("w").alias("t")).groupBy("pair").agg(
-            F.sum(F.col("t") * (F.col("t") - 1) / 2).alias("n2"))
-        ties_xy = pts.groupBy("pair").agg(F.sum(F.col("w") * (F.col("w") - 1) / 2).alias("n3"))
-        t = ties_x.join(ties_y, "pair").join(ties_xy, "pair").join(nd, "pair", "left")
+        values = F.array(F.struct(F.lit("n1").alias("axis"), F.col("x").alias("v")), F.struct(F.lit("n2").alias("axis"), F.col("y").alias("v")))
+        ties = points.select("pair", "w", F.inline(values)).groupBy("pair", "axis", "v").agg(F.sum("w").alias("t"))
+        two = F.col("t").cast("double") * (F.col("t") - 1) / 2
+        ties = ties.groupBy("pair").agg(*[F.sum(F.when(F.col("axis") == a, two)).alias(a) for a in ("n1", "n2")])
+        same = points.groupBy("pair").agg(F.sum("w").cast("double").alias("n"), F.sum(F.col("w").cast("double") * (F.col("w") - 1) / 2).alias("n3"))
+        t = same.join(ties, "pair").join(discordant_pairs(points), "pair")
         n0 = F.col("n") * (F.col("n") - 1) / 2
-        s = n0 - F.col("n1") - F.col("n2") + F.col("n3") - 2 * F.coalesce(F.col("nd"), F.lit(0))
+        s = n0 - F.col("n1") - F.col("n2") + F.col("n3") - 2 * F.col("nd")
         den = F.sqrt((n0 - F.col("n1")) * (n0 - F.col("n2")))
         tau = t.select("pair", F.when(den > 0, s / den).alias("tau"))
         names = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)],
@@ -203,6 +265,4 @@ def correlation_kendall(df: DataFrame, columns: list[str]) -> DataFrame:
         out = names.join(tau, "pair", "left").select("column_a", "column_b", "tau")
         return spark.createDataFrame(out.collect(), out.schema)  # k*k rows; lets the points cache go
     finally:
-        pts.unpersist()
-        if "xr" in locals():
-            xr.unpersist()
+        points.unpersist()

@@ -1,61 +1,119 @@
 """Ordered computations without single-partition windows.
 
-``running_sums`` gives inclusive running totals over a key, optionally within groups.  Only groups that hold
-more than one bucket's share of the rows are cut, at approximate quantiles of their key; every (group,
-bucket) is summed by its own window, and offsets carry the totals of earlier buckets.  At most as many groups
-as there are buckets can be that large, so the edges and the carries stay bounded by the number of
-partitions, whatever the number of groups.  The result is exact; the quantiles only balance the work.
-Callers aggregate to distinct keys first, so one hot key value is a single row here.
+``running_sums`` gives inclusive running totals over a key, optionally within groups.  One range shuffle by (group, key)
+puts the rows in order over the partitions; each partition adds up its own rows and the result is written once.
+A group goes over a partition's end at most once, so what a partition must add to the rows of its first group is one
+row of numbers: as many carries as there are partitions, whatever the number of groups.  The input is read twice (the
+sample that balances the ranges, and the shuffle), the written rows once for the carries and then by the caller.
+Partition numbers are stored with the rows, so a retry or another plan on top can't change them.
+
+Callers aggregate to distinct keys first, so one hot key value is a single row here; a hot group is cut like any other.
 
 ``exact_percentiles`` ranks distinct values with it, so no task ever holds all values of a column.
 """
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 from math import floor
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from cohort.session import scratch_path
+
+
+def _opens(columns: list[pa.Array], n: int) -> np.ndarray:
+    """Where a row's group differs from that of the row before (the first row's isn't judged); null equals null."""
+    out = np.zeros(n, bool)
+    for c in columns:
+        a, b = c.slice(1), c.slice(0, n - 1)
+        differ = pc.fill_null(pc.not_equal(a, b), False)
+        if pa.types.is_floating(c.type):
+            differ = pc.and_not(differ, pc.fill_null(pc.and_(pc.is_nan(a), pc.is_nan(b)), False))
+        out[1:] |= pc.or_(differ, pc.xor(pc.is_null(a), pc.is_null(b))).to_numpy(zero_copy_only=False)
+    return out
+
+
+def _added(df: DataFrame, sums: list[str]) -> list[T.StructField]:
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    return [T.StructField(f"cum_{c}", T.DoubleType() if isinstance(kinds[c], (T.DoubleType, T.FloatType)) else T.LongType()) for c in sums]
 
 
 def running_sums(df: DataFrame, key: str, sums: list[str], group: list[str] | None = None,
                  descending: bool = False, buckets: int | None = None, ties: list[str] | None = None) -> DataFrame:
-    """Add ``cum_<c>`` (inclusive running sum of c in key order) for each c in sums.  Keys keep their type;
-    rows with equal keys follow the order of the ``ties`` columns."""
-    group = list(group or [])
-    spark = df.sparkSession
-    nb = buckets or max(2, int(spark.conf.get("spark.sql.shuffle.partitions", "8")))
-    probs = [i / nb for i in range(1, nb)]
-    total = df.count()
-    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_size"))
-    large = sizes.where(F.col("_size") * nb > total)  # fewer than nb + 1 groups
-    pieces = F.ceil(F.col("_size") * nb / F.lit(max(total, 1)))
-    edges = F.percentile_approx(key, probs, 10000)
-    if group:
-        same = reduce(lambda a, b: a & b, [F.col(f"_g.{g}").eqNullSafe(F.col(f"_l.{g}")) for g in group])
-        cut = df.alias("_g").join(F.broadcast(large.alias("_l")), same).select("_g.*", "_size")
-        cut = cut.groupBy(*group).agg(edges.alias("_all"), F.first("_size").alias("_size"))
-        # as many edges as the group has pieces: at most 2 nb in all
-        kept = F.filter("_all", lambda e, i: F.floor((i + 1) * pieces / nb) > F.floor(i * pieces / nb))
-        cut = cut.select(*group, F.array_distinct(kept).alias("_edges"))
-        at = reduce(lambda a, b: a & b, [F.col(f"_g.{g}").eqNullSafe(F.col(f"_e.{g}")) for g in group])
-        work = df.alias("_g").join(F.broadcast(cut.alias("_e")), at, "left").select("_g.*", "_e._edges")
+    """Add ``cum_<c>`` (inclusive running sum of c in key order) for each c in sums, whole or floating-point numbers; a null adds
+    nothing.  Keys keep their type; null keys come first, or last if ``descending``; rows with equal keys follow the order
+    of the ``ties`` columns.  ``buckets``: number of range partitions (the session's by default).
+    """
+    group, spark = list(group or []), df.sparkSession
+    order = [*[F.asc(f"`{g}`") for g in group], F.desc(f"`{key}`") if descending else F.asc(f"`{key}`"), *[F.asc(f"`{t}`") for t in ties or []]]
+    src = df.repartitionByRange(*([buckets] if buckets else []), *order).sortWithinPartitions(*order)
+    names, added = df.columns, _added(df, sums)
+    schema = T.StructType([*df.schema.fields, *added, *[T.StructField(c, T.LongType()) for c in ("_part", "_segment", "_at")]])
+    at, of = [names.index(c) for c in sums], [names.index(g) for g in group]
+    whole = [isinstance(f.dataType, T.LongType) for f in added]
+
+    def local(batches):
+        part, segment, place, last, totals = TaskContext.get().partitionId(), 0, 0, None, [0] * len(sums)
+        for b in batches:
+            n = b.num_rows
+            if not n:
+                continue
+            columns = [b.column(i) for i in of]
+            opens = _opens([pa.concat_arrays([x, c]) for x, c in zip(last, columns)], n + 1)[1:] if last is not None else _opens(columns, n)
+            last = [c.slice(n - 1) for c in columns]
+            seg = np.cumsum(opens)
+            first = np.flatnonzero(opens) if opens[0] else np.concatenate(([0], np.flatnonzero(opens)))
+            of_row = seg - 1 if opens[0] else seg
+            out = []
+            for j, i in enumerate(at):
+                v = pc.fill_null(b.column(i), 0).to_numpy(zero_copy_only=False).astype(np.int64 if whole[j] else np.longdouble)
+                c = np.cumsum(v)
+                before = c[first] - v[first]
+                if not opens[0]:
+                    before[0] -= totals[j]
+                c = c - before[of_row]
+                totals[j] = c[-1]
+                out.append(pa.array(c.astype(np.int64 if whole[j] else np.float64)))
+            marks = [np.full(n, part), segment + seg, place + np.arange(n)]
+            segment, place = segment + int(seg[-1]), place + n
+            yield pa.RecordBatch.from_arrays([*b.columns, *out, *[pa.array(m, pa.int64()) for m in marks]], names=schema.names)
+
+    path = scratch_path(spark, f"ordered-{uuid.uuid4().hex}")
+    src.mapInArrow(local, schema).write.parquet(path)
+    rows = spark.read.schema(schema).parquet(path)
+    cums = [F.col(f"`cum_{c}`") for c in sums]
+    if not group:
+        ends = rows.groupBy("_part").agg(F.max_by(F.struct(*cums), "_at").alias("t")).select("_part", F.lit(0).alias("segments"), F.lit(None).alias("a"), F.lit(None).alias("z"), "t")
     else:
-        found = df.agg(edges).first()[0] or []  # nb - 1 numbers
-        kind = df.schema[key].dataType.simpleString()
-        work = df.withColumn("_edges", F.array(*[F.lit(e) for e in sorted(set(found))]).cast(f"array<{kind}>"))
-    beyond = (lambda e: e > F.col(key)) if descending else (lambda e: e < F.col(key))
-    work = work.withColumn("_b", F.coalesce(F.size(F.filter("_edges", beyond)), F.lit(0))).withColumn("_cut", F.col("_edges").isNotNull()).drop("_edges")
-    totals = work.where("_cut").groupBy(*group, "_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
-    before = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*group, "_b", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in sums])
-    order = [F.desc(key) if descending else F.asc(key), *(ties or [])]
-    local = Window.partitionBy(*group, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    on = reduce(lambda a, b: a & b, [F.col(f"_w.{g}").eqNullSafe(F.col(f"_o.{g}")) for g in group] + [F.col("_w._b") == F.col("_o._b")])
-    out = work.alias("_w").join(F.broadcast(offsets.alias("_o")), on, "left").select("_w.*", *[f"_o._o_{c}" for c in sums])
-    return out.select(*[F.col(f"`{c}`") for c in df.columns],
-                      *[(F.sum(c).over(local) + F.coalesce(F.col(f"_o_{c}"), F.lit(0))).alias(f"cum_{c}") for c in sums])
+        g, spot = F.struct(*[F.col(f"`{c}`") for c in group]), F.struct("_segment", "_at")
+        ends = rows.groupBy("_part").agg(F.max("_segment").alias("segments"), F.min_by(g, spot).alias("a"), F.max_by(g, spot).alias("z"), F.max_by(F.struct(*cums), spot).alias("t"))
+    carries, before, total = [], None, None
+    for r in sorted(ends.collect(), key=lambda r: r["_part"]):  # one row a partition
+        end = list(r["t"])
+        if before is not None and _same(before[0], r["a"]):
+            carries.append((r["_part"], *total))
+            if r["segments"] == 0:
+                end = [x + y for x, y in zip(end, total)]
+        before, total = (r["z"],), end
+    if not carries:
+        return rows.select(*[F.col(f"`{c}`") for c in names], *cums)
+    more = spark.createDataFrame(carries, T.StructType([T.StructField("_of", T.LongType()), *[T.StructField(f"_c{j}", f.dataType) for j, f in enumerate(added)]]))
+    rows = rows.join(F.broadcast(more), (F.col("_part") == F.col("_of")) & (F.col("_segment") == 0), "left")
+    return rows.select(*[F.col(f"`{c}`") for c in names],
+                       *[(x + F.coalesce(F.col(f"_c{j}"), F.lit(0))).cast(added[j].dataType).alias(added[j].name) for j, x in enumerate(cums)])
+
+
+def _same(a, b) -> bool:
+    """Equality of groups: null equals null, NaN equals NaN."""
+    return (a is None and b is None) or all(x == y or (x != x and y != y) for x, y in zip(a, b))
 
 
 def average_ranks(df: DataFrame, value: str, group: list[str] | None = None, weight: str | None = None) -> DataFrame:
@@ -75,27 +133,28 @@ def exact_percentiles(df: DataFrame, columns: dict, probs: list[float]) -> dict[
     counts then give each value's ranks.  Only the values at the wanted ranks reach the driver.  Null values
     are left out; a column without values gives None.
     """
+    found = group_percentiles(df, columns, probs, [])
+    at = {r["_c"]: r["p"] for r in found.collect()}  # one row per column
+    return {name: at.get(name, [None] * len(probs)) for name in columns}
+
+
+def group_percentiles(df: DataFrame, columns: dict, probs: list[float], group: list[str]) -> DataFrame:
+    """(group, _c, p array<double>): exact percentiles of each named column in each group; a column without values in
+    a group has no row.  Groups are not held by the driver."""
     pairs = [F.struct(F.lit(name).alias("_c"), c.cast("double").alias("_v")) for name, c in columns.items()]
-    counts = df.select(F.inline(F.array(*pairs))).where(F.col("_v").isNotNull()).groupBy("_c", "_v").agg(F.count(F.lit(1)).alias("_n")).persist()
-    try:
-        n = {r["_c"]: r["n"] for r in counts.groupBy("_c").agg(F.sum("_n").alias("n")).collect()}  # one row per column
-        wanted = {name: sorted({k for p in probs for k in (floor(p * (m - 1)), min(m - 1, floor(p * (m - 1)) + 1))}) for name, m in n.items()}
-        if not wanted:
-            return {name: [None] * len(probs) for name in columns}
-        ranked = running_sums(counts, "_v", ["_n"], ["_c"])
-        low, high = F.col("cum__n") - F.col("_n"), F.col("cum__n")
-        hit = reduce(lambda a, b: a | b, [(F.col("_c") == name) & reduce(lambda a, b: a | b, [(low <= k) & (high > k) for k in ks]) for name, ks in wanted.items()])
-        rows = ranked.where(hit).select("_c", "_v", low.alias("lo"), high.alias("hi")).collect()  # at most two per column and probability
-    finally:
-        counts.unpersist()
-    at = {(r["_c"], k): r["_v"] for r in rows for k in wanted[r["_c"]] if r["lo"] <= k < r["hi"]}
-
-    def value(name: str, p: float) -> float | None:
-        if name not in n:
-            return None
-        place = p * (n[name] - 1)
-        k = floor(place)
-        a, b = at[name, k], at[name, min(n[name] - 1, k + 1)]
-        return a if a == b else (k + 1 - place) * a + (place - k) * b
-
-    return {name: [value(name, p) for p in probs] for name in columns}
+    groups = [F.col(f"`{g}`") for g in group]
+    counts = df.select(*groups, F.inline(F.array(*pairs))).where(F.col("_v").isNotNull()).groupBy(*groups, "_c", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    ranked = running_sums(counts, "_v", ["_n"], [*group, "_c"])
+    sizes = ranked.groupBy(*groups, "_c").agg(F.max("cum__n").alias("_m"))
+    same = reduce(lambda a, b: a & b, [F.col(f"r.`{g}`").eqNullSafe(F.col(f"s.`{g}`")) for g in [*group, "_c"]])
+    rows = ranked.alias("r").join(sizes.alias("s"), same).select("r.*", "_m")
+    last, held, out = F.col("_m") - 1, [], []
+    for i, p in enumerate(probs):
+        place = F.lit(float(p)) * last
+        k = F.floor(place)
+        for name, rank in (("a", k), ("b", F.least(k + 1, last))):  # the first value whose running count passes a rank holds it
+            held.append(F.min(F.when(F.col("cum__n") > rank, F.col("_v"))).alias(f"_{name}{i}"))
+        a, b = F.col(f"_a{i}"), F.col(f"_b{i}")
+        out.append(F.when(a == b, a).otherwise((k + 1 - place) * a + (place - k) * b))
+    found = rows.groupBy(*groups, "_c", "_m").agg(*held)
+    return found.select(*groups, "_c", F.array(*out).alias("p"))

@@ -6,8 +6,8 @@ import statistics
 import numpy as np
 from pyspark.sql import functions as F
 
-from cohort.operators import clean, models, roles, score, split
-from cohort.operators.ordered import exact_percentiles, running_sums
+from cohort.operators import clean, explore, models, roles, score, split
+from cohort.operators.ordered import exact_percentiles, group_percentiles, running_sums
 
 
 def test_percentiles_equal_numpy(spark):
@@ -33,6 +33,50 @@ def test_many_groups_leave_few_carries(spark):
     assert last == 0  # the large group is cut, its carries are right
 
 
+def test_running_sums_equal_brute_force(spark):
+    rnd = random.Random(9)
+    rows = [(rnd.choice([None, "a", "b", "c"]), rnd.choice([float("nan"), 1.0, None]), rnd.randrange(10**6), rnd.randrange(9), rnd.random(), i) for i in range(3_000)]
+    df = spark.createDataFrame(rows, "g string, h double, k long, v int, x double, i int").repartition(6)
+    for group, descending in (([], False), (["g"], True), (["g", "h"], False)):
+        got = running_sums(df, "k", ["v", "x"], group, descending, buckets=7, ties=["i"]).collect()
+        want = {}
+        for r in sorted(rows, key=lambda r: (-r[2] if descending else r[2], r[5])):
+            of = tuple(str(r["gh".index(c)]) for c in group)
+            a, b = want.get(of, (0, 0.0))
+            want[of] = a + r[3], b + r[4]
+            want[r[5]] = want[of]
+        assert len(got) == len(rows) and all(r.cum_v == want[r.i][0] and abs(r.cum_x - want[r.i][1]) < 1e-6 for r in got)
+
+
+def test_null_keys_come_first_or_last_and_null_numbers_add_nothing(spark):
+    df = spark.createDataFrame([(None, 1), (1, 2), (2, None), (3, 4)], "k int, v int")
+    assert {r.k: r.cum_v for r in running_sums(df, "k", ["v"]).collect()} == {None: 1, 1: 3, 2: 3, 3: 7}
+    assert {r.k: r.cum_v for r in running_sums(df, "k", ["v"], descending=True).collect()} == {3: 4, 2: 4, 1: 6, None: 7}
+    assert running_sums(df.where("k > 9"), "k", ["v"], ["k"]).count() == 0
+
+
+def test_percentiles_by_group_equal_numpy(spark):
+    rnd = random.Random(2)
+    rows = [(rnd.choice([None, "a", "b", "hot", "hot", "hot"]), rnd.choice([None, rnd.gauss(0, 5), 2.0])) for _ in range(2_000)] + [("none", None)]
+    got = group_percentiles(spark.createDataFrame(rows, "g string, x double"), {"x": F.col("x")}, [0.0, 0.3, 0.5, 1.0], ["g"]).collect()
+    assert {r.g for r in got} == {None, "a", "b", "hot"}
+    for r in got:
+        assert np.allclose(r.p, np.quantile([x for g, x in rows if g == r.g and x is not None], [0.0, 0.3, 0.5, 1.0]), rtol=0, atol=1e-9)
+
+
+def test_the_input_of_running_sums_is_read_at_most_twice(spark, tmp_path):
+    spark.range(1_000).selectExpr("id AS k", "1 AS v").write.parquet(str(tmp_path / "t"))
+    reads = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        reads.add(1)
+        yield from batches
+
+    src = spark.read.parquet(str(tmp_path / "t")).coalesce(1)
+    out = running_sums(src.mapInArrow(count, src.schema), "k", ["v"])
+    assert out.agg(F.max("cum_v")).first()[0] == 1_000 and out.count() == 1_000 and reads.value <= 2
+
+
 def test_large_integers_keep_their_order(spark):
     big = 1 << 59
     df = spark.createDataFrame([(big + i, 1) for i in range(50)], "k long, v int")
@@ -82,3 +126,31 @@ def test_roles_overrides_status_and_needs(spark):
 
 def test_columns_that_define_the_target_are_removed():
     assert models.sanitize_features(["g1", "g2", "study", "study", "result"], "result", ["g1", "g2"]) == (["study"], ["g1", "g2", "result"])
+
+
+def test_inversions_equal_brute_force():
+    rnd = np.random.default_rng(1)
+    for _ in range(200):
+        n, k = rnd.integers(0, 40), rnd.integers(1, 12)
+        x, y, w = rnd.integers(0, k, n).astype(float), rnd.integers(0, k, n).astype(float), rnd.integers(1, 5, n)
+        want = sum(int(w[i] * w[j]) for i in range(n) for j in range(n) if x[i] < x[j] and y[i] > y[j])
+        assert explore.weighted_inversions(x, y, w) == want
+
+
+def test_discordant_pairs_on_a_fine_grid_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(explore, "STRIP_POINTS", 40)
+    rnd = random.Random(6)
+    rows = {(p, rnd.choice([1.0, 1.0, rnd.gauss(0, 3)]), rnd.choice([2.0, rnd.gauss(0, 3)])) for p in range(3) for _ in range([5, 300, 600][p])}
+    rows = [(*r, rnd.randint(1, 3)) for r in sorted(rows)]
+    got = {r.pair: r.nd for r in explore.discordant_pairs(spark.createDataFrame(rows, "pair int, x double, y double, w long").repartition(3)).collect()}
+    for p in range(3):
+        x, y, w = (np.array([r[c] for r in rows if r[0] == p]) for c in (1, 2, 3))
+        assert got[p] == (w[:, None] * w)[(x[:, None] < x) & (y[:, None] > y)].sum()
+
+
+def test_kendall_of_100_000_distinct_points(spark):
+    import time
+    df = spark.range(100_000).select((F.col("id") * 7919 % 100_003).cast("double").alias("a"), (F.col("id") * F.col("id") % 100_019).cast("double").alias("b"))
+    t0 = time.time()
+    tau = explore.correlation_kendall(df, ["a", "b"]).first().tau
+    assert abs(tau) < 0.02 and time.time() - t0 < 60
