@@ -37,6 +37,8 @@ PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2_000
 #: The library turns white space into token borders, so what stands between is encoded by itself.
 CHUNK = re.compile(r"[^ \t\n\r\x0b\x0c]+")
+#: White space to Python's split, not to the library.
+SEPARATOR = re.compile(r"[\x1c-\x1f]")
 
 
 class Encoder:
@@ -44,7 +46,7 @@ class Encoder:
 
     Texts are encoded in parts that the library treats independently: what stands between white space.
     For the usual kind of file (NFC, white space to one space, lower case; split by ``SPLIT``; byte-level BPE)
-    a text of the first 256 characters is cut into the library's own pre-tokens, and only the library's BPE
+    a part of the first 256 characters is cut into the library's own pre-tokens, and only the library's BPE
     model runs on each distinct one; there, normalising is lower-casing.
     """
 
@@ -66,6 +68,7 @@ class Encoder:
         usual = usual and before[0]["pattern"].get("Regex") == self.SPLIT and before[0]["invert"] and not (before[1]["add_prefix_space"] or before[1]["use_regex"])
         self.split = latin_pattern(self.SPLIT) if usual else None
         self.chunks: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
         self.units: dict[str, bytes] = {}
         # the printable stand-in of each byte in a byte-level vocabulary: itself if visible, else the next from 256 on
         seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -74,7 +77,7 @@ class Encoder:
         self.visible = {i: "".join(stand[x] for x in chr(i).encode()) for i in range(256)}
 
     def is_plain(self, text: str) -> bool:
-        if self.split is None or any(t in text for t in self.special):
+        if self.split is None or SEPARATOR.search(text) or any(t in text for t in self.special):
             return False
         try:
             text.encode("latin-1")
@@ -82,26 +85,44 @@ class Encoder:
             return False
         return True
 
+    def word(self, word: str) -> bytes:
+        """Ids of a lower-cased part of a plain text, by the library's pre-tokens."""
+        model, out = self.tok.model.tokenize, []
+        for unit in self.split.findall(word):
+            ids = self.units.get(unit)
+            if ids is None:
+                ids = array("i", [t.id for t in model(unit.translate(self.visible))]).tobytes()
+                if len(unit) <= 64:
+                    self.units[unit] = ids
+            out.append(ids)
+        return b"".join(out)
+
     def encode(self, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(flat ids, ids per text): ``end_id`` closes each text."""
-        plain = [bool(t) and self.is_plain(t) for t in texts]
-        parts = [self.split.findall(t.lower()) if p else CHUNK.findall(t) if t else [] for t, p in zip(texts, plain)]
-        for known in (self.chunks, self.units):
+        for known in (self.chunks, self.words, self.units):
             if len(known) > REMEMBER:
                 known.clear()
-        chunks = list(set().union(*[s for s, p in zip(parts, plain) if not p]) - self.chunks.keys())
+        plain = [bool(t) and self.is_plain(t) for t in texts]
+        parts = [t.lower().split() if p else CHUNK.findall(t) if t else [] for t, p in zip(texts, plain)]
+        chunks = list({c for s, p in zip(parts, plain) if not p for c in s if c not in self.chunks})
         for e, chunk in zip(self.tok.encode_batch_fast(chunks, add_special_tokens=False), chunks):
             self.chunks[chunk] = array("i", e.ids).tobytes()
-        units = set().union(*[s for s, p in zip(parts, plain) if p]) - self.units.keys()
-        model = self.tok.model.tokenize
-        for unit in units:
-            self.units[unit] = array("i", [t.id for t in model(unit.translate(self.visible))]).tobytes()
-        end = array("i", [end_id]).tobytes()
-        rows = [b"".join(map((self.units if p else self.chunks).__getitem__, s)) + end for s, p in zip(parts, plain)]
-        for known, new in ((self.chunks, chunks), (self.units, units)):
-            for part in new:
-                if len(part) > 64:
-                    del known[part]
+        end, rows, long = array("i", [end_id]).tobytes(), [], []
+        for s, p in zip(parts, plain):
+            known = self.words if p else self.chunks
+            try:
+                rows.append(b"".join(map(known.__getitem__, s)) + end)
+            except KeyError:  # new words, of plain texts only
+                for w in {w for w in s if w not in known}:
+                    known[w] = self.word(w)
+                    if len(w) > 64:
+                        long.append(w)
+                rows.append(b"".join(map(known.__getitem__, s)) + end)
+        for w in set(long):
+            del self.words[w]
+        for chunk in chunks:
+            if len(chunk) > 64:
+                del self.chunks[chunk]
         return np.frombuffer(b"".join(rows), np.int32), np.array([len(r) // 4 for r in rows], np.int64)
 
 

@@ -169,7 +169,7 @@ def brute_fill(docs, window):
     mean = sum(n) / size
 
     def score(seed, doc):
-        return sum(math.log1p((size - df[t] + 0.5) / (df[t] + 0.5)) * tf[doc][t] * 2.2 / (tf[doc][t] + 1.2 * (0.25 + 0.75 * n[doc] / mean)) for t in tf[seed] if t in tf[doc])
+        return sum(math.log1p((size - df[t] + 0.5) / (df[t] + 0.5)) * tf[doc][t] * 2.2 / (tf[doc][t] + 1.2 * (0.25 + 0.75 * n[doc] / mean)) for t in tf[seed] if t in tf[doc] and df[t] <= max(1, retrieval_packing.COMMON * size))
 
     used, out, seq, space, carried = set(), [], 0, window, None
 
