@@ -59,6 +59,11 @@ def row_mean(cells: list[Column]) -> Column:
     return F.when(count > 0, total / count)
 
 
+def clip(value: Column, low: float, high: float) -> Column:
+    """The value within [low, high]; a null stays null (``least`` and ``greatest`` skip nulls)."""
+    return F.when(value.isNotNull(), F.least(F.greatest(value, F.lit(low)), F.lit(high)))
+
+
 def greatest_of(cols: list[Column]) -> Column:
     return cols[0] if len(cols) == 1 else F.greatest(*cols)
 

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cohort.functions.exprs import normalize_name
+from cohort.functions.exprs import clip, normalize_name
 
 # ---- fixed values (must equal the reference's vocabularies) ----------------
 PASS = "Pass"
@@ -66,7 +66,7 @@ def attendance_percent(values: Column, is_absence: bool, max_value) -> Column:
     """
     if is_absence:
         denom = max(float(max_value), 1.0) if max_value is not None else 1.0
-        return F.least(F.greatest(F.lit(1.0) - values / F.lit(denom), F.lit(0.0)), F.lit(1.0)) * 100
+        return clip(F.lit(1.0) - values / F.lit(denom), 0.0, 1.0) * 100
     if max_value is None:
         return F.when(values <= 1.5, values * 100).otherwise(values)
     if max_value <= 1.5:

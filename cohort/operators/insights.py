@@ -1,16 +1,19 @@
 """Rule-based insights over the snapshot figures.
 
-The figures come from one-row aggregates (KPI snapshot, threshold counts, top
-group, study split); the rules are ``when`` expressions over a one-row frame,
-exploded with ``inline``, ordered by severity (stable) and cut to six.
+The figures come from aggregates (KPI snapshot, threshold counts, top group, study split), of the whole table or
+by group; the rules are ``when`` expressions over a row of figures, ordered by severity (stable), cut to six
+and exploded with ``inline``.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohort.operators import kpi
+from cohort.operators.ordered import running_sums
 from cohort.operators.roles import RoleMap
 
 # ---- fixed values -------------------------------------------------------------
@@ -67,7 +70,76 @@ def _ins(order, title, label, severity, value):
                     value.cast("double").alias("value"))
 
 
+def figures_by(df: DataFrame, roles: RoleMap, by: list[str], stats: kpi.ScaleStats | None = None) -> DataFrame:
+    """The figures behind the rules for every group of ``by``: its columns and those of ``FIGURES``.
+
+    Three grouped aggregates over narrow projections, all with map-side partial results, so that a hot group is
+    collapsed where its rows are: the snapshot and threshold counts; the best level of each group's other group columns; the
+    study split at the group's exact median, from sums by distinct study time that ``running_sums`` orders and cuts.
+    Scales are the whole table's, as in the grouped snapshot.  A null group is a group.
+    """
+    stats = stats or kpi.scale_stats(df, roles)
+    study, fail = kpi._first_named(df, kpi.STUDY_NAMES), kpi._first_named(df, kpi.FAILURE_NAMES)
+    levels = [c for c in kpi.group_columns(df) if c not in by]
+    scores = kpi._score_cols(df, roles)
+    keep = list(dict.fromkeys([*by, *levels, *scores, *[c for c in (roles.student_id, roles.target, roles.attendance, study, fail) if c and c in df.columns]]))
+    rows, _ = kpi.prepare(df, roles, stats, keep=keep)
+    groups = [kpi.col(c) for c in by]
+    failed = F.count_if(kpi.num(rows, fail) >= 2) if fail else F.lit(0)
+    facts = rows.groupBy(*groups).agg(*kpi._kpi_aggs(rows, roles, stats), F.count_if(F.col(kpi.AVG) < 60).alias("low"),
+                                      F.count_if(F.col(kpi.AVG) >= 80).alias("high"), failed.alias("failed"))
+    none = F.lit(None).cast("double")
+    labelled = F.col("pass_count") + F.col("fail_count") > 0
+    out = facts.select(*groups, F.greatest("total_entities", F.lit(1)).cast("double").alias("total"), "average_attendance",
+                       F.when(labelled, F.col("at_risk_count").cast("double")).alias("at_risk_count"), "pass_rate", "fail_rate",
+                       F.col("low").cast("double").alias("low_score_count"), F.col("high").cast("double").alias("high_score_count"),
+                       F.col("average_score").isNotNull().alias("has_scores"), F.col("failed").cast("double").alias("repeat_failure_count"),
+                       F.lit(fail is not None).alias("has_failures"), *[none.alias(c) for c in ("cluster_high", "cluster_average", "prediction_accuracy")])
+    return _beside(_beside(out, _best_levels(rows, by, levels), by), _study_split(rows, by, study), by)
+
+
+def _beside(left: DataFrame, right: DataFrame | None, by: list[str]) -> DataFrame:
+    """Left join on the group columns, null groups included."""
+    same = reduce(lambda a, b: a & b, [F.col(f"l.`{c}`").eqNullSafe(F.col(f"r.`{c}`")) for c in by])
+    return left.alias("l").join(right.alias("r"), same, "left").select("l.*", *[F.col(f"r.`{c}`") for c in right.columns if c not in by])
+
+
+def _best_levels(rows: DataFrame, by: list[str], levels: list[str]) -> DataFrame:
+    """Each group's level with the highest mean score; ties: earlier column, then smaller level."""
+    groups = [kpi.col(c) for c in by]
+    parts = [F.struct(F.lit(i).alias("_place"), F.lit(c).alias("_column"), kpi.col(c).cast("string").alias("_level")) for i, c in enumerate(levels)]
+    long = rows.select(*groups, F.col(kpi.AVG).alias("_score"), F.inline(F.array(*parts) if parts else F.array().cast("array<struct<_place:int,_column:string,_level:string>>")))
+    means = long.where("_level IS NOT NULL").groupBy(*groups, "_place", "_column", "_level").agg(F.avg("_score").alias("_score")).where("_score IS NOT NULL")
+    best = means.groupBy(*groups).agg(F.min(F.struct((-F.col("_score")).alias("o"), "_place", "_level", "_column")).alias("b"))
+    return best.select(*groups, F.concat("b._column", F.lit(": "), "b._level").alias("top_group"), (-F.col("b.o")).alias("top_group_score"))
+
+
+def _study_split(rows: DataFrame, by: list[str], study: str | None) -> DataFrame:
+    """Each group's mean score at or below its median study time, and above it."""
+    groups = [kpi.col(c) for c in by]
+    if study is None:
+        return rows.select(*groups, *[F.lit(None).cast("double").alias(c) for c in ("low_study_score", "high_study_score")]).limit(0)
+    pairs = rows.select(*groups, kpi.num(rows, study).alias("_s"), F.col(kpi.AVG).alias("_a")).where("_s IS NOT NULL AND _a IS NOT NULL")
+    sums = pairs.groupBy(*groups, "_s").agg(F.count(F.lit(1)).alias("_n"), F.sum("_a").alias("_t"))
+    ranked = running_sums(sums, "_s", ["_n", "_t"], by)
+    whole = ranked.groupBy(*groups).agg(F.max("cum__n").alias("_all"), F.max_by("cum__t", "_s").alias("_sum"))
+    same = reduce(lambda a, b: a & b, [F.col(f"l.`{c}`").eqNullSafe(F.col(f"r.`{c}`")) for c in by])
+    both = ranked.alias("l").join(whole.alias("r"), same).select("l.*", "_all", "_sum")
+    # no value lies between the two middle ones, so the rows at or below the median end with the lower of them
+    low = F.when(F.col("cum__n") > F.floor((F.col("_all") - 1) / 2), F.struct("_s", "cum__n", "cum__t"))
+    half = both.groupBy(*groups, "_all", "_sum").agg(F.min(low).alias("m"))
+    return half.select(*groups, (F.col("m.cum__t") / F.col("m.cum__n")).alias("low_study_score"),
+                       F.try_divide(F.col("_sum") - F.col("m.cum__t"), F.col("_all") - F.col("m.cum__n")).alias("high_study_score"))
+
+
 def insights(fig: DataFrame, limit: int = 6) -> DataFrame:
+    """Up to ``limit`` insights of one row of figures, by severity."""
+    return insights_by(fig, [], limit).orderBy("severity_rank", "emitted")
+
+
+def insights_by(fig: DataFrame, by: list[str], limit: int = 6) -> DataFrame:
+    """Up to ``limit`` insights of every row of figures with its ``by`` columns; a row where no rule fires has the
+    fallback.  Ordering and cutting are within the row: nothing is shuffled."""
     c = F.col
     att = c("average_attendance")
     share = c("at_risk_count") / c("total") * 100
@@ -107,7 +179,9 @@ def insights(fig: DataFrame, limit: int = 6) -> DataFrame:
     # the fallback appears only when no rule fired
     fallback = F.array(_ins(10, "Upload More Academic Data", "AI insight", "info", F.lit(None)))
     fired = F.array_compact(F.array(*items))
-    exploded = fig.select(F.inline(F.when(F.size(fired) > 0, fired).otherwise(fallback)))
-    sev = F.array_position(F.array(*[F.lit(s) for s in SEVERITY_ORDER]), F.col("severity"))
-    return (exploded.withColumn("severity_rank", sev.cast("long"))
-            .orderBy("severity_rank", "emitted").limit(limit))
+    rank = F.array(*[F.lit(x) for x in SEVERITY_ORDER])
+    ranked = F.transform(F.when(F.size(fired) > 0, fired).otherwise(fallback), lambda x: F.struct(
+        F.array_position(rank, x["severity"]).cast("long").alias("severity_rank"), x["emitted"].alias("emitted"),
+        x["title"].alias("title"), x["label"].alias("label"), x["severity"].alias("severity"), x["value"].alias("value")))
+    rows = fig.select(*[F.col(f"`{c}`") for c in by], F.inline(F.slice(F.array_sort(ranked), 1, limit)))
+    return rows.select(*[F.col(f"`{c}`") for c in by], "emitted", "title", "label", "severity", "value", "severity_rank")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cohort.functions.exprs import col
+from cohort.functions.exprs import clip, col
 from cohort.functions.labels import normalize_target
 from cohort.operators import clean
 from cohort.operators.roles import detect_roles
@@ -131,13 +131,12 @@ def q_model_features(spark, sf_dir):
 
 @register("absence_transform", f"""WITH {STUDENTS},
 m AS (SELECT greatest(CAST(max(absences) AS DOUBLE), 1.0) AS amax FROM students),
-a AS (SELECT student_id, least(greatest(1.0 - absences / amax, 0.0), 1.0) AS attendance_rate FROM students, m)
-SELECT student_id, round((1.0 - least(greatest(attendance_rate, 0.0), 1.0)) * 100, 6) AS absences FROM a""")
+a AS (SELECT student_id, CASE WHEN absences IS NOT NULL THEN least(greatest(1.0 - absences / amax, 0.0), 1.0) END AS attendance_rate FROM students, m)
+SELECT student_id, round(CASE WHEN attendance_rate IS NOT NULL THEN (1.0 - least(greatest(attendance_rate, 0.0), 1.0)) * 100 END, 6) AS absences FROM a""")
 def q_absence_transform(spark, sf_dir):
     df = students(spark, sf_dir)
     amax = max(float(df.agg(F.max("absences")).first()[0] or 0), 1.0)
-    rated = df.select("student_id", F.least(F.greatest(F.lit(1.0) - F.col("absences") / F.lit(amax), F.lit(0.0)),
-                                            F.lit(1.0)).alias("attendance_rate"))
+    rated = df.select("student_id", clip(F.lit(1.0) - F.col("absences") / F.lit(amax), 0.0, 1.0).alias("attendance_rate"))
     feats, modes, _ = clean.model_features(rated, {"absences": "attendance_rate"}, keep=["student_id"])
     return finish(feats.select("student_id", "absences"))
 

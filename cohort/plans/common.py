@@ -54,7 +54,7 @@ sp AS (
       / nullif((CASE WHEN g1 IS NULL THEN 0 ELSE 1 END) + (CASE WHEN g2 IS NULL THEN 0 ELSE 1 END)
                + (CASE WHEN g3 IS NULL THEN 0 ELSE 1 END), 0)
       * (CASE WHEN mx.smax <= 1.5 THEN 100.0 WHEN mx.smax <= 20 THEN 5.0 ELSE 1.0 END) AS avg,
-    least(greatest(1.0 - CAST(absences AS DOUBLE) / greatest(mx.amax, 1.0), 0.0), 1.0) * 100 AS att
+    CASE WHEN absences IS NOT NULL THEN least(greatest(1.0 - CAST(absences AS DOUBLE) / greatest(mx.amax, 1.0), 0.0), 1.0) * 100 END AS att
   FROM students s, mx),
 spr AS (
   SELECT *, CASE WHEN t = 'Pass' AND avg >= 75 THEN 'High Performers'

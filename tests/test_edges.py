@@ -82,6 +82,14 @@ def test_auc_properties(spark):
     assert c.tn + c.fp + c.fn + c.tp == 200
 
 
+def test_a_missing_absence_is_neither_full_absence_nor_full_attendance(spark):
+    from cohort.functions.labels import attendance_percent
+    from cohort.operators.clean import absence_transform
+    df = spark.createDataFrame([(None,), (0.0,), (4.0,), (9.0,)], "a double")
+    got = df.select(attendance_percent(F.col("a"), True, 8.0).alias("p"), absence_transform(F.col("a"), "attendance_percent_proxy").alias("m")).collect()
+    assert [(r.p, r.m) for r in got] == [(None, None), (100.0, 100.0), (50.0, 96.0), (0.0, 91.0)]
+
+
 def _brute_kendall(xs, ys):
     n = len(xs)
     s = sum((1 if (xs[i] - xs[j]) * (ys[i] - ys[j]) > 0 else -1 if (xs[i] - xs[j]) * (ys[i] - ys[j]) < 0 else 0)
