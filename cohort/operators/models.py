@@ -1,11 +1,9 @@
 """Pass/Fail classifiers as Spark ML pipelines.
 
-Preparation is fitted on each training frame (exact median imputation and
-population-std scaling from ``FeaturePrep``, 'Missing' fill, one-hot with unseen
-levels as zeros) and becomes a stage of the pipeline, so every fold has its own
-statistics.  Cross-validation and permutation importance stack their fold /
-repeat frames so scoring runs as one job per stage; a calibrated model adds its
-members' probabilities side by side, without a join.
+Preparation (``prep``: exact median imputation, population-std scaling, one-hot with unseen levels as zeros) is a
+stage of each pipeline, and every fold has its own statistics, all fitted in one grouped pass.  Cross-validation
+and permutation importance stack their fold / repeat frames so scoring runs as one job per stage; a calibrated
+model adds its members' probabilities side by side, without a join.
 """
 
 from __future__ import annotations
@@ -14,7 +12,7 @@ import time
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, LogisticRegression, RandomForestClassifier)
-from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,9 +20,9 @@ from pyspark.sql import functions as F
 from cohort.functions.exprs import col, num, is_numeric_type, is_categorical_type
 from cohort.functions.labels import PASS, FAIL
 from cohort.operators import metrics
-from cohort.operators.clean import FeaturePrep
+from cohort.operators.prep import TablePrep, TablePrepModel, fit_leave_out
 from cohort.operators.split import fold_assignment, class_counts, choose_cv_folds, stratified_split
-from cohort.operators.ordered import running_sums
+from cohort.operators.ordered import previous_rows
 
 LABEL = "label"        # 1.0 = Pass, 0.0 = Fail
 # ---- fixed values (model settings) ------------------------------------------
@@ -45,32 +43,6 @@ def split_features(df: DataFrame, features: list[str]) -> tuple[list[str], list[
     return numeric, categorical
 
 
-def prep_stages(train: DataFrame, numeric: list[str], categorical: list[str], with_mean: bool = True) -> list:
-    """Stages with the statistics of ``train`` as literals (an all-missing column becomes 0)."""
-    stages, parts = [], []
-    if numeric:
-        prep = FeaturePrep.fit(train, numeric, [], with_mean=with_mean)
-
-        def scaled(c: str) -> str:
-            x = f"coalesce(CAST(`{c}` AS DOUBLE), {prep.medians.get(c) or 0.0!r}D)"
-            return f"({x} - {(prep.means.get(c) or 0.0) if with_mean else 0.0!r}D) / {(prep.stds.get(c) or 1.0)!r}D AS `{c}__z`"
-
-        stages.append(SQLTransformer(statement="SELECT *, " + ", ".join(map(scaled, numeric)) + " FROM __THIS__"))
-        parts += [f"{c}__z" for c in numeric]
-    if categorical:
-        filled = [f"{c}__f" for c in categorical]
-        stages.append(SQLTransformer(statement="SELECT *, " + ", ".join(
-            f"coalesce(CAST(`{c}` AS STRING), 'Missing') AS `{c}__f`" for c in categorical) + " FROM __THIS__"))
-        stages.append(StringIndexer(inputCols=filled, outputCols=[f"{c}__x" for c in categorical],
-                                    stringOrderType="alphabetAsc", handleInvalid="keep"))
-        stages.append(OneHotEncoder(inputCols=[f"{c}__x" for c in categorical],
-                                    outputCols=[f"{c}__v" for c in categorical], dropLast=True,
-                                    handleInvalid="keep"))
-        parts += [f"{c}__v" for c in categorical]
-    stages.append(VectorAssembler(inputCols=parts, outputCol="features"))
-    return stages
-
-
 def classifier(kind: str, n_train: int, seed: int = 42, forest_depth: int = FOREST_DEPTH,
                trees: int = FOREST_TREES):
     if kind == "tree":
@@ -88,8 +60,8 @@ def classifier(kind: str, n_train: int, seed: int = 42, forest_depth: int = FORE
     raise ValueError(kind)
 
 
-def build_pipeline(kind: str, train: DataFrame, numeric, categorical, n_train: int, seed: int = 42, **kw) -> Pipeline:
-    return Pipeline(stages=prep_stages(train, numeric, categorical) + [classifier(kind, n_train, seed, **kw)])
+def build_pipeline(kind: str, numeric, categorical, n_train: int, seed: int = 42, **kw) -> Pipeline:
+    return Pipeline(stages=[TablePrep(numeric=numeric, categorical=categorical), classifier(kind, n_train, seed, **kw)])
 
 
 def pass_probability(pred: DataFrame, out: str = "p") -> DataFrame:
@@ -104,13 +76,14 @@ def labelled(df: DataFrame, target, features: list[str], key: str) -> DataFrame:
             .withColumn(LABEL, F.when(F.col("_t") == PASS, 1.0).otherwise(0.0)).drop("_t"))
 
 
-def fit(df: DataFrame, kind: str, features: list[str], seed: int = 42, **kw) -> PipelineModel:
-    """Fit one pipeline; the (narrow) training frame is persisted for the duration of the fit."""
-    numeric, categorical = split_features(df, features)
+def fit(df: DataFrame, kind: str, features: list[str], seed: int = 42, prepared: TablePrepModel | None = None, **kw) -> PipelineModel:
+    """Fit one pipeline; the (narrow) training frame is persisted for the duration of the fit.
+
+    ``prepared``: a preparation fitted on these rows before, with those of other folds."""
     data = df.persist()
     try:
-        n = data.count()
-        return build_pipeline(kind, data, numeric, categorical, n, seed, **kw).fit(data)
+        prepared = prepared or TablePrep(**dict(zip(("numeric", "categorical"), split_features(df, features)))).fit(data)
+        return Pipeline(stages=[prepared, classifier(kind, prepared.getOrDefault("rows"), seed, **kw)]).fit(data)
     finally:
         data.unpersist()
 
@@ -167,9 +140,10 @@ def _parallel(fn, items, workers: int = 4):
 def calibrate_sigmoid(train: DataFrame, kind: str, features: list[str], key: str, folds: int = CALIBRATION_FOLDS,
                       seed: int = 42, **kw) -> CalibratedModel:
     assigned = fold_assignment(train, LABEL, col(key), folds, seed).cache()
+    prepared = fit_leave_out(assigned, *split_features(train, features), "fold", folds)
 
     def member(k):
-        m = fit(assigned.where(F.col("fold") != k).drop("fold"), kind, features, seed, **kw)
+        m = fit(assigned.where(F.col("fold") != k).drop("fold"), kind, features, seed, prepared[k], **kw)
         a, b = platt(_raw_score(m.transform(assigned.where(F.col("fold") == k).drop("fold")), kind))
         return m, a, b
 
@@ -206,10 +180,11 @@ def cross_validate(train: DataFrame, kind: str, features: list[str], key: str, f
     if k is None:
         return spark.createDataFrame([], "metric string, mean double, std double")
     assigned = fold_assignment(train, LABEL, col(key), k, seed).cache()
+    prepared = fit_leave_out(assigned, *split_features(train, features), "fold", k)
 
     def one_fold(i):
         t0 = time.time()
-        m = fit(assigned.where(F.col("fold") != i).drop("fold"), kind, features, seed, **kw)
+        m = fit(assigned.where(F.col("fold") != i).drop("fold"), kind, features, seed, prepared[i], **kw)
         elapsed = time.time() - t0
         # materialise the held-out scores so the fold model can be released right away
         t1 = time.time()
@@ -249,25 +224,16 @@ def permutation_importance(model, test: DataFrame, features: list[str], key: str
                            seed: int = 42) -> DataFrame:
     """Mean / std drop in holdout F1 when one feature's values are shuffled, largest first (ties: name).
 
-    Each repeat r orders the holdout rows by a seeded hash (positions from
-    distributed running counts, computed once) and gives every row a donor a
-    non-zero cyclic shift away in that order: one equi-join on (repeat,
-    position) for all features.  A copy for feature j takes only j's value from
-    the donor; all copies are scored in one job.
+    Each repeat r orders the holdout rows by a seeded hash (rows with equal keys by their values), and the row before
+    a row, or the last one for the first, gives it its values: one range shuffle for all repeats and features, no
+    join of rows.  A copy for feature j takes only j's value from the donor; all copies are scored in one job.
     """
     base = test.select(col(key).alias(key), *[col(c) for c in features], LABEL)
     spark = test.sparkSession
-    n = base.count()
-    # one random order per repeat (hash ranks from distributed running counts) ...
-    reps = base.select("*", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("r")) \
-        .withColumn("_h", F.xxhash64(F.lit(seed), F.col("r"), col(key))).withColumn("_one", F.lit(1))
-    ranked = running_sums(reps, "_h", ["_one"], group=["r"]).withColumnRenamed("cum__one", "_pos") \
-        .drop("_one", "_h").persist()
-    shift = F.lit(1) + (F.col("r") * F.lit(7919)) % F.lit(max(n - 1, 1))
-    donors = ranked.select("r", (((F.col("_pos") - 1 + shift) % F.lit(max(n, 1))) + 1).alias("_pos"),
-                           F.struct(*[col(c).alias(f"v{j}") for j, c in enumerate(features)]).alias("_donor"))
-    copies = ranked.join(donors, ["r", "_pos"]).select("*", F.explode(F.sequence(F.lit(0), F.lit(len(features) - 1))).alias("j"))
-    mixed = [F.when(F.col("j") == j, F.col(f"_donor.v{j}")).otherwise(col(c)).alias(c) for j, c in enumerate(features)]
+    reps = base.select("*", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("r")).withColumn("_h", F.xxhash64(F.lit(seed), F.col("r"), col(key)))
+    donated = previous_rows(reps, "_h", features, ["r"], ties=[key, LABEL, *features])
+    copies = donated.select("*", F.explode(F.sequence(F.lit(0), F.lit(len(features) - 1))).alias("j"))
+    mixed = [F.when(F.col("j") == j, F.col(f"_previous.`{c}`")).otherwise(col(c)).alias(c) for j, c in enumerate(features)]
     scored = _predict(model, copies.select(col(key), *mixed, LABEL, "r", "j"))
     f1s = fold_metrics(scored, ["j", "r"]).select("j", "r", "f1")
     base_f1 = fold_metrics(_predict(model, base.withColumn("j", F.lit(-1))), ["j"]).first()["f1"]
@@ -275,9 +241,7 @@ def permutation_importance(model, test: DataFrame, features: list[str], key: str
     imp = f1s.groupBy("j").agg(F.avg(F.lit(base_f1) - F.col("f1")).alias("importance"),
                                F.stddev_pop(F.lit(base_f1) - F.col("f1")).alias("importance_std"))
     out = names.join(imp, "j").select("feature", "importance", "importance_std").orderBy(F.desc("importance"), "feature")
-    out = spark.createDataFrame(out.collect(), out.schema)  # one row per feature
-    ranked.unpersist()
-    return out
+    return spark.createDataFrame(out.collect(), out.schema)  # one row per feature
 
 
 def _predict(model, df: DataFrame) -> DataFrame:
@@ -407,7 +371,7 @@ def train_forest_regressor(df: DataFrame, features: list[str], target: str, key:
     data = data.withColumn("is_test", h < test_size)
     train, test = data.where(~F.col("is_test")), data.where(F.col("is_test"))
     train = train.persist()
-    pipe = Pipeline(stages=prep_stages(train, numeric, categorical) + [
+    pipe = Pipeline(stages=[TablePrep(numeric=numeric, categorical=categorical),
         RandomForestRegressor(labelCol=LABEL, numTrees=trees, seed=seed, maxDepth=FOREST_DEPTH,
                               maxMemoryInMB=1024, cacheNodeIds=True)])
     model = pipe.fit(train)

@@ -111,6 +111,53 @@ def running_sums(df: DataFrame, key: str, sums: list[str], group: list[str] | No
                        *[(x + F.coalesce(F.col(f"_c{j}"), F.lit(0))).cast(added[j].dataType).alias(added[j].name) for j, x in enumerate(cums)])
 
 
+def previous_rows(df: DataFrame, key: str, take: list[str], group: list[str], ties: list[str] | None = None) -> DataFrame:
+    """Add ``_previous``: the ``take`` columns of the row before in key order within its group; the group's first row has
+    those of its last.  Groups are few: a row for each part of a group in each partition reaches the driver.
+    """
+    spark, names = df.sparkSession, df.columns
+    order = [F.asc(f"`{c}`") for c in [*group, key, *(ties or [])]]
+    src = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    kinds = {f.name: f for f in df.schema.fields}
+    marks = [T.StructField(c, T.LongType()) for c in ("_part", "_segment", "_at")]
+    schema = T.StructType([*df.schema.fields, *[T.StructField(f"_p{j}", kinds[c].dataType) for j, c in enumerate(take)], *marks])
+    of, at = [names.index(g) for g in group], [names.index(c) for c in take]
+
+    def local(batches):
+        part, segment, place, last = TaskContext.get().partitionId(), 0, 0, None
+        for b in batches:
+            n = b.num_rows
+            if not n:
+                continue
+            held = [pa.concat_arrays([x, b.column(i)]) for x, i in zip(last, [*of, *at])] if last is not None else [
+                pa.concat_arrays([b.column(i).slice(0, 1), b.column(i)]) for i in [*of, *at]]
+            opens = _opens(held[:len(of)], n + 1)[1:]
+            seg = segment + np.cumsum(opens)
+            last = [h.slice(n) for h in held]
+            numbers = [np.full(n, part), seg, place + np.arange(n)]
+            segment, place = int(seg[-1]), place + n
+            yield pa.RecordBatch.from_arrays([*b.columns, *[h.slice(0, n) for h in held[len(of):]], *[pa.array(m, pa.int64()) for m in numbers]], names=schema.names)
+
+    path = scratch_path(spark, f"ordered-{uuid.uuid4().hex}")
+    src.mapInArrow(local, schema).write.parquet(path)
+    rows = spark.read.schema(schema).parquet(path)
+    ends = rows.groupBy("_part", "_segment").agg(F.min("_at").alias("_at"), F.first(F.struct(*[F.col(f"`{g}`") for g in group])).alias("g"),
+                                                 F.max_by(F.struct(*[F.col(f"`{c}`") for c in take]), "_at").alias("z")).collect()
+    ends.sort(key=lambda r: (r["_part"], r["_segment"]))
+    donors, i = [], 0
+    while i < len(ends):
+        j = i + 1
+        while j < len(ends) and _same(ends[i]["g"], ends[j]["g"]):
+            j += 1
+        donors += [(ends[k]["_part"], ends[k]["_at"], ends[k - 1 if k > i else j - 1]["z"]) for k in range(i, j)]
+        i = j
+    pair = T.StructType([kinds[c] for c in take])
+    firsts = spark.createDataFrame(donors, T.StructType([T.StructField("_of", T.LongType()), T.StructField("_first", T.LongType()), T.StructField("_z", pair)]))
+    rows = rows.join(F.broadcast(firsts), (F.col("_part") == F.col("_of")) & (F.col("_at") == F.col("_first")), "left")
+    inner = F.struct(*[F.col(f"_p{j}").alias(c) for j, c in enumerate(take)])
+    return rows.select(*[F.col(f"`{c}`") for c in names], F.coalesce(F.col("_z"), inner).alias("_previous"))
+
+
 def _same(a, b) -> bool:
     """Equality of groups: null equals null, NaN equals NaN."""
     return (a is None and b is None) or all(x == y or (x != x and y != y) for x, y in zip(a, b))

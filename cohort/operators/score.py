@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from cohort.functions.labels import PASS, FAIL, risk_level, recommendation, confidence_band, derive_target
 from cohort.operators import clean
-from cohort.operators.models import prep_stages, LABEL, LOGISTIC_C
+from cohort.operators.models import LABEL, LOGISTIC_C
+from cohort.operators.prep import TablePrep
 
 FORM = clean.FORM_FEATURES
 
@@ -26,7 +27,7 @@ def train_scoring_model(features: DataFrame, target) -> tuple:
         n = data.count()
         lr = LogisticRegression(labelCol=LABEL, maxIter=1000, regParam=1.0 / (LOGISTIC_C * max(n, 1)),
                                 elasticNetParam=0.0, standardization=False)
-        return Pipeline(stages=prep_stages(data, FORM, []) + [lr]).fit(data), n
+        return Pipeline(stages=[TablePrep(numeric=FORM, categorical=[]), lr]).fit(data), n
     finally:
         data.unpersist()
 

@@ -95,7 +95,7 @@ def test_equal_keys_stay_on_one_side(spark):
 
 def test_preparation_uses_the_true_median_and_population_std(spark):
     df = spark.createDataFrame([(1.0, 0.0), (2.0, 1.0), (4.0, 0.0), (10.0, 1.0), (None, 1.0)], "x double, label double")
-    m = models.build_pipeline("tree", df, ["x"], [], 5).fit(df)
+    m = models.build_pipeline("tree", ["x"], [], 5).fit(df)
     filled = [1.0, 2.0, 4.0, 10.0, 3.0]
     mean, std = statistics.fmean(filled), statistics.pstdev(filled)
     got = [r["x__z"] for r in m.transform(df).collect()]
