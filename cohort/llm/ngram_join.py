@@ -18,6 +18,10 @@ into blocks of bounded size; each pair of blocks meets in one task, which gets t
 its sets from a matrix product and returns only links that join components.  So a group of near copies is
 never expanded into all its pairs, whether or not its members link.
 
+How texts stay where they are.  Each class has a signature, the counts of its shingles in n / 2 to n buckets, a byte each.
+The sum of the smaller counts bounds the intersection of two sets from above, so pairs, and members of blocks, whose
+bound is under the threshold go before any text moves; only what is left is verified on texts, exactly.
+
 Defined cases: null, empty and blank texts have n_shingles 0 and are their own component; rows with a null
 key get the smallest non-null key of their component, else null; repeated rows each give a row; other
 columns are dropped, so extra columns can't clash.  An empty table gives an empty result.
@@ -50,6 +54,8 @@ SALTS = 64
 #: Classes of a list whose candidates are enumerated; a longer list is verified in blocks of BLOCK classes.
 SHORT = 48
 BLOCK = 512
+#: Hash buckets of keys by which wanted texts are told from others before they move.
+KEY_BUCKETS = 1 << 20
 #: Columns of the incidence matrix that are multiplied at once.
 COLUMNS = 8_192
 
@@ -63,38 +69,65 @@ def _key(s: np.ndarray) -> bytes:
     return hashlib.md5(s.astype("<u8", copy=False).tobytes()).digest()
 
 
+def signature(s: np.ndarray) -> bytes | None:
+    """Shingles counted in a power of two of buckets, half the set's size at least; None where a count needs more than a byte."""
+    size = 1 << max(5, len(s).bit_length() - 1)
+    counts = np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else None
+
+
+def _counts(sig: bytes) -> np.ndarray:
+    return np.frombuffer(sig, np.uint8).astype(np.int16)
+
+
+def _folded(c: np.ndarray, size: int) -> np.ndarray:
+    """Counts in fewer buckets (the last axis)."""
+    return c.reshape(*c.shape[:-1], -1, size).sum(-2)
+
+
+def may_link(p: bytes | None, q: bytes | None) -> bool:
+    """False only where the signatures show that the sets are under the threshold."""
+    if p is None or q is None:
+        return True
+    a, b = _counts(p), _counts(q)
+    size = min(len(a), len(b))
+    both, n = int(np.minimum(_folded(a, size), _folded(b, size)).sum()), int(a.sum()) + int(b.sum())
+    return DEN * both >= NUM * (n - both)
+
+
 def facts(df: DataFrame, key: str, text: str) -> DataFrame:
-    """One pass over the texts: rows (key, cls, n) per document, and rows (bucket, count) of the sketch per task."""
+    """One pass over the texts: rows (key, cls, n, sig) per document, and rows (bucket, count) of the sketch per task."""
     bounded_batches(df.sparkSession)
     src = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
     kind = src.schema["key"].dataType
-    names = ["key", "cls", "n", "bucket", "cnt"]
+    names = ["key", "cls", "n", "sig", "bucket", "cnt"]
 
     def run(batches):
         counts, seen, key_type = np.zeros(SKETCH, np.int64), set(), None
         for b in batches:
             key_type = b.column(0).type
-            cls, n = [], []
+            cls, n, sig = [], [], []
             for s in Words(b.column(1)).shingles(K):
                 c = _key(s) if len(s) else None
                 cls.append(c)
                 n.append(len(s))
+                sig.append(signature(s) if c and c not in seen else None)
                 if c and c not in seen:
                     seen.add(c)
                     counts += np.bincount((s % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) if len(s) > 4096 else 0
                     if len(s) <= 4096:
                         np.add.at(counts, (s % np.uint64(SKETCH)).astype(np.int64), 1)
             m = len(n)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cls, pa.binary()), pa.array(n, pa.int64()), pa.nulls(m, pa.int32()),
-                                              pa.nulls(m, pa.int64())], names=names)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cls, pa.binary()), pa.array(n, pa.int64()), pa.array(sig, pa.binary()),
+                                              pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64())], names=names)
         at = np.flatnonzero(counts)
         for a in range(0, len(at), 1 << 14):
             part = at[a:a + (1 << 14)]
             m = len(part)
-            yield pa.RecordBatch.from_arrays([pa.nulls(m, key_type), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64()),
+            yield pa.RecordBatch.from_arrays([pa.nulls(m, key_type), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()),
                                               pa.array(part.astype(np.int32)), pa.array(counts[part])], names=names)
 
-    return src.mapInArrow(run, f"key {kind.simpleString()}, cls binary, n long, bucket int, cnt long")
+    return src.mapInArrow(run, f"key {kind.simpleString()}, cls binary, n long, sig binary, bucket int, cnt long")
 
 
 def sketch_counts(found: DataFrame) -> np.ndarray:
@@ -189,7 +222,11 @@ def class_texts(df: DataFrame, found: DataFrame, wanted: DataFrame, key: str, te
     pairs are verified twice, which changes nothing.
     """
     docs = found.where("cls IS NOT NULL").groupBy("cls").agg(F.min("key").alias("key")).join(wanted, "cls", "left_semi")
+    docs = written(docs, "wanted")
     src = df.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").cast("string").alias("text"))
+    # most texts aren't wanted: they stay behind by a hash of their key; KEY_BUCKETS numbers at most are broadcast
+    some = docs.select(F.pmod(F.xxhash64("key"), F.lit(KEY_BUCKETS)).alias("bucket")).distinct()
+    src = src.withColumn("bucket", F.pmod(F.xxhash64("k"), F.lit(KEY_BUCKETS))).join(F.broadcast(some), "bucket", "left_semi").drop("bucket")
     texts = src.join(docs, F.col("k").eqNullSafe(F.col("key"))).select("cls", "text")
 
     def run(batches):
@@ -205,6 +242,24 @@ def class_texts(df: DataFrame, found: DataFrame, wanted: DataFrame, key: str, te
     return texts.mapInArrow(run, "cls binary, text string")
 
 
+def class_signatures(found: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(cls, sig) of each wanted class; copies collapse where they are."""
+    return found.where("cls IS NOT NULL").groupBy("cls").agg(F.max("sig").alias("sig")).join(wanted, "cls", "left_semi")
+
+
+def possible(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose signatures leave a link possible."""
+    left, right = sigs.select(F.col("cls").alias("a"), F.col("sig").alias("sa")), sigs.select(F.col("cls").alias("b"), F.col("sig").alias("sb"))
+    rows = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
+
+    def run(batches):
+        for b in batches:
+            keep = [may_link(p, q) for p, q in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            yield b.filter(pa.array(keep, pa.bool_())).select([0, 1])
+
+    return rows.mapInArrow(run, "a binary, b binary")
+
+
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold."""
     left, right = texts.select(F.col("cls").alias("a"), F.col("text").alias("ta")), texts.select(F.col("cls").alias("b"), F.col("text").alias("tb"))
@@ -249,6 +304,10 @@ def _spanning(lists: DataFrame) -> DataFrame:
     return found.where("lo < hi").select("tok", "k", "same")
 
 
+def _classes(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
+
+
 def _star_pairs(members: DataFrame) -> DataFrame:
     """Every class with the pivot of each of its lists, where they could link.  The pivot is the class with the
     most shared shingles in its prefix: in a group of near copies, the one with the fewest changes."""
@@ -306,21 +365,63 @@ def _joined(sets: list[np.ndarray], comps: list[bytes], first: np.ndarray, secon
     return out
 
 
-def _block_links(members: DataFrame, lists: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b): links that join components, from the long lists."""
+def may_join(sigs: list[bytes | None], comps: list[bytes], first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Places in ``first`` and ``second`` of sets that may link with a set of another component on the other side."""
+    sizes = np.array([len(s) if s else 0 for s in sigs])
+    kept = np.zeros(len(sigs), bool)
+    number = {c: i for i, c in enumerate(dict.fromkeys(comps))}
+    comp = np.array([number[c] for c in comps])
+    counts = {i: _counts(s) for i, s in enumerate(sigs) if s}
+    n = np.array([int(counts[i].sum()) if i in counts else 0 for i in range(len(sigs))])
+    for size in np.unique(sizes[second]).tolist():
+        right = second[sizes[second] == size]
+        stack = np.stack([counts[i] for i in right.tolist()]) if size else None
+        for i in first.tolist():
+            other = comp[right] != comp[i]
+            if not other.any():
+                continue
+            if size and sizes[i]:  # else nothing is known: a link is possible
+                small = min(size, int(sizes[i]))
+                both = np.minimum(_folded(counts[i], small), _folded(stack[other], small)).sum(1)
+                other[other] = DEN * both >= NUM * (n[i] + n[right][other] - both)
+            kept[right[other]] = True
+            kept[i] |= other.any()
+    return np.flatnonzero(kept)
+
+
+def block_members(members: DataFrame, lists: DataFrame, sigs: DataFrame) -> DataFrame:
+    """(tok, x, y, block, cls, comp): what is left of the pairs of blocks of the long lists once the signatures have spoken."""
     blocks = F.ceil(F.col("k") / BLOCK).cast("int")
     rows = members.join(lists.withColumn("blocks", blocks), "tok").withColumn("block", F.pmod(F.xxhash64("cls"), "blocks").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     rows = rows.select("tok", "cls", "comp", "block", other.alias("other"))
-    rows = rows.select("tok", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "cls", "comp").join(texts, "cls")
+    rows = rows.select("tok", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "cls", "comp").join(sigs, "cls")
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        first, second = _sides(table)
+        kept = may_join(table["sig"].to_pylist(), table["comp"].to_pylist(), first, second) if len(first) and len(second) else []
+        return table.take(pa.array(kept, pa.int64())).select(["tok", "x", "y", "block", "cls", "comp"])
+
+    return rows.groupBy("tok", "x", "y").applyInArrow(run, "tok long, x int, y int, block int, cls binary, comp binary")
+
+
+def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the two blocks of a pair; the same places for a block with itself."""
+    block, x = table["block"].to_numpy(), table["x"][0].as_py()
+    first = np.flatnonzero(block == x)
+    return first, first if table["y"][0].as_py() == x else np.flatnonzero(block != x)
+
+
+def block_links(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): links that join components, between the members left in each pair of blocks."""
+    rows = rows.join(texts, "cls")
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        block, cls = table["block"].to_numpy(), table["cls"].to_pylist()
+        cls = table["cls"].to_pylist()
         sets = [s for c in table["text"].chunks for s in Words(c).shingles(K)]
-        x = table["x"][0].as_py()
-        first, second = np.flatnonzero(block == x), np.flatnonzero(block != x)
-        second = second if table["y"][0].as_py() != x else first
+        first, second = _sides(table)
         found = _joined(sets, table["comp"].to_pylist(), first, second) if len(first) and len(second) else []
         return pa.table({"a": pa.array([cls[i] for i, _ in found], pa.binary()), "b": pa.array([cls[j] for _, j in found], pa.binary())})
 
@@ -331,11 +432,12 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text") -
     """(key, n_shingles long, component_id, cls binary): ``component_id`` is the smallest key reachable by links."""
     found = written(facts(df, key, text), "facts")
     sketch = sketch_counts(found)
-    docs = found.where("bucket IS NULL").select("key", "cls", "n")
+    docs = found.where("bucket IS NULL").select("key", "cls", "n", "sig")
     shared = written(shared_postings(postings(df, text, sketch)), "postings")
     shared = written(shared.join(candidate_classes(shared), "cls", "left_semi"), "candidates")
-    texts = written(class_texts(df, docs, shared.select("cls").distinct(), key, text), "texts")
-    stars = written(verify(_star_pairs(shared), texts), "links")
+    sigs = written(class_signatures(docs, shared.select("cls").distinct()), "signatures")
+    pairs = written(possible(_star_pairs(shared), sigs), "pairs")
+    stars = written(verify(pairs, written(class_texts(df, docs, _classes(pairs), key, text), "texts")), "links")
     comp = components(stars)  # class -> component, for classes that link so far
     members = shared.join(comp, shared.cls == comp.v, "left").select("tok", "cls", "n", "l", F.coalesce("comp", "cls").alias("comp"))
     lists = written(_spanning(members), "lists")
@@ -344,7 +446,10 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text") -
     short = members.join(in_long, "cls", "left").withColumn("long", F.coalesce("long", F.lit(0)))
     # the shingles of one passage often have the same classes: one of such lists stands for all
     each = long.groupBy("k", "same").agg(F.min("tok").alias("tok")).select("tok", "k")
-    links = written(verify(_cross_pairs(short, lists.where(F.col("k") <= SHORT)), texts).unionByName(_block_links(members, each, texts)), "links")
+    pairs = written(possible(_cross_pairs(short, lists.where(F.col("k") <= SHORT)), sigs), "pairs")
+    blocks = written(block_members(members, each, sigs), "blocks")
+    texts = written(class_texts(df, docs, _classes(pairs).union(blocks.select("cls")).distinct(), key, text), "texts")
+    links = written(verify(pairs, texts).unionByName(block_links(blocks, texts)), "links")
     if not links.isEmpty():  # the known components are links to their smallest class
         comp = components(links.unionByName(comp.where("v <> comp").select(F.col("v").alias("a"), F.col("comp").alias("b"))))
     classes = docs.where("cls IS NOT NULL").groupBy("cls").agg(F.min("key").alias("least"))

@@ -97,3 +97,31 @@ def test_empty_and_null_tables(spark, empty):
 def test_query_equals_brute_force(spark, documents):
     got = sorted(tuple(r) for r in queries.op1_ngram_join(spark, SF).collect())
     assert got == brute(documents)
+
+
+def test_signatures_never_refute_a_link():
+    rnd = random.Random(2)
+    refuted = 0
+    for _ in range(3_000):
+        n = rnd.choice([1, 3, 20, 60, 130, 400])
+        a = {rnd.getrandbits(64) for _ in range(n)}
+        b = set(rnd.sample(sorted(a), max(1, int(n * rnd.choice([0.5, 0.7, 0.9, 1.0]))))) | {rnd.getrandbits(64) for _ in range(rnd.randint(0, n // 3))}
+        x, y = (np.array(sorted(s), np.uint64) for s in (a, b))
+        link = 5 * len(a & b) >= 4 * len(a | b)
+        may = ngram_join.may_link(ngram_join.signature(x), ngram_join.signature(y))
+        assert may or not link
+        refuted += not may
+    assert refuted > 1_000
+    assert ngram_join.signature(np.zeros(300, np.uint64)) is None and ngram_join.may_link(None, b"x")
+
+
+def test_members_of_blocks_that_may_join_are_kept():
+    rnd = random.Random(8)
+    for _ in range(30):
+        base = [rnd.getrandbits(64) for _ in range(rnd.choice([30, 70]))]
+        sets = [np.array(sorted({*rnd.sample(base, rnd.randint(len(base) // 2, len(base))), *[rnd.getrandbits(64) for _ in range(rnd.randint(0, 6))]}), np.uint64) for _ in range(20)]
+        comps = [bytes([rnd.randrange(4)]) for _ in sets]
+        sigs = [None if i == 3 else ngram_join.signature(s) for i, s in enumerate(sets)]
+        for first, second in ((np.arange(20), np.arange(20)), (np.arange(8), np.arange(8, 20))):
+            want = {k for i in first for j in second if comps[i] != comps[j] and ngram_join.may_link(sigs[i], sigs[j]) for k in (i, j)}
+            assert set(ngram_join.may_join(sigs, comps, first, second).tolist()) == want
