@@ -32,6 +32,16 @@ def q_select_typed(spark, sf_dir):
     return clean.select_typed(students(spark, sf_dir), "numeric")
 
 
+@register("select_typed_categorical", f"WITH {STUDENTS}\nSELECT programme, support_band, tutor_ref, result FROM students")
+def q_select_typed_categorical(spark, sf_dir):
+    return clean.select_typed(students(spark, sf_dir), "categorical")
+
+
+@register("select_typed_datetime", f"WITH {STUDENTS}\nSELECT recorded_at FROM students")
+def q_select_typed_datetime(spark, sf_dir):
+    return clean.select_typed(students(spark, sf_dir), "datetime")
+
+
 @register("drop_unlabelled", f"WITH {STUDENTS}\nSELECT {ALL} FROM students WHERE ({TARGET_SQL}) IS NOT NULL")
 def q_drop_unlabelled(spark, sf_dir):
     df = students(spark, sf_dir)
@@ -177,7 +187,21 @@ def q_scoring_input_check(spark, sf_dir):
                           F.array_join("errors", "; ").alias("errors"))
 
 
-@register("audit_rows")
+def _audit_sql():
+    """The audit's facts: 'tutor_ref' is left out where it has more than 30 levels, else its levels are encoded too."""
+    cats = " UNION ALL ".join(f"SELECT '{c}' AS c, coalesce(CAST({c} AS VARCHAR), 'Missing') AS v FROM d" for c in [*CATS, "tutor_ref"])
+    present = " + ".join(f"count({c})" for c in ALL.split(", "))
+    steps = ["n", "12", "n - nd", "nd", "12 * n - present", "0", str(len(NUMS)), "3 + (1 - wide)", "1", "wide", "30", "made", "nd", f"{len(NUMS)} + made"]
+    rows = " UNION ALL ".join(f"SELECT '{s}' AS step, CAST({x} AS BIGINT) AS result FROM t" for s, x in zip(clean.AUDIT_STEPS, steps))
+    return f"""WITH {STUDENTS}, d AS (SELECT DISTINCT {ALL} FROM students),
+k AS (SELECT CASE WHEN count(DISTINCT tutor_ref) > 30 THEN 1 ELSE 0 END AS wide FROM d),
+l AS (SELECT DISTINCT c, v FROM ({cats}) x, k WHERE c <> 'tutor_ref' OR wide = 0),
+t AS (SELECT (SELECT count(*) FROM students) AS n, (SELECT count(*) FROM d) AS nd, (SELECT {present} FROM students) AS present,
+        (SELECT count(*) FROM l) AS made, wide FROM k)
+{rows}"""
+
+
+@register("audit_rows", _audit_sql())
 def q_audit_rows(spark, sf_dir):
     return clean.audit_rows(students(spark, sf_dir))
 

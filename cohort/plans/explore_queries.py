@@ -120,6 +120,22 @@ def q_sorted_series(spark, sf_dir):
     return finish(explore.sorted_series(students(spark, sf_dir), "studytime", "g2", aggregate=True))
 
 
+@register("sorted_series_points", f"WITH {STUDENTS}\nSELECT studytime, g1 FROM students WHERE studytime IS NOT NULL AND g1 IS NOT NULL ORDER BY studytime, g1")
+def q_sorted_series_points(spark, sf_dir):
+    """Every point, in order."""
+    return explore.sorted_series(students(spark, sf_dir), "studytime", "g1")
+
+
+@register("scatter_grid", f"""WITH {STUDENTS},
+p AS (SELECT CAST(studytime AS DOUBLE) AS x, g2 AS y FROM students),
+m AS (SELECT min(x) AS x0, CASE WHEN max(x) > min(x) THEN (max(x) - min(x)) / 20 ELSE 1.0 END AS wx,
+             min(y) AS y0, CASE WHEN max(y) > min(y) THEN (max(y) - min(y)) / 20 ELSE 1.0 END AS wy FROM p)
+SELECT CAST(least(floor((x - x0) / wx), 19) AS BIGINT) AS bx, CAST(least(floor((y - y0) / wy), 19) AS BIGINT) AS "by", CAST(count(*) AS BIGINT) AS n
+FROM p, m WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY ALL""")
+def q_scatter_grid(spark, sf_dir):
+    return finish(explore.scatter_grid(students(spark, sf_dir), "studytime", "g2", 20))
+
+
 def _kendall_sql():
     long = "\nUNION ALL\n".join(
         f"SELECT {i} AS pair, CAST({a} AS DOUBLE) AS x, CAST({b} AS DOUBLE) AS y FROM students "

@@ -10,6 +10,7 @@ from cohort.operators import roles as R, kpi
 from cohort.plans.common import register, finish, STUDENTS, SP, TARGET_SQL, sql_list
 from cohort.plans.profile_queries import STUDENT_COLS
 from cohort.functions.labels import PASS_TOKENS, FAIL_TOKENS
+from cohort.session import scratch_path
 from cohort.sources.fixtures import students, table
 
 
@@ -53,6 +54,27 @@ def q_detect_roles(spark, sf_dir):
     return finish(R.roles_frame(spark, R.detect_roles(df)))
 
 
+OVERRIDES = {"attendance": "studytime", "target": "nowhere", "scores": ["g3", "gone", "g1"], "student_id": None}
+#: What the overrides change; a column that isn't there leaves its role empty, a null is no override.
+OVERRIDDEN = [r for r in ROLE_ROWS if r[0] not in ("attendance", "target", "scores")] + [("attendance", 0, "studytime"), ("scores", 0, "g3"), ("scores", 1, "g1")]
+
+
+def _values(rows, names):
+    return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(f"CAST({v} AS BIGINT)" if isinstance(v, int) else f"'{v}'" for v in r) + ")" for r in rows) + f") t({names})"
+
+
+@register("role_overrides", _values(OVERRIDDEN, "role, position, column_name"))
+def q_role_overrides(spark, sf_dir):
+    return finish(R.roles_frame(spark, R.detect_roles(students(spark, sf_dir), overrides=OVERRIDES)))
+
+
+@register("role_status", _values([("Student ID", "student_id"), ("Target Column", "Derived from score columns"), ("Attendance Column", "studytime"),
+    ("Score Columns", "g3, g1"), ("Risk Indicators", "studytime, absences, failures"),
+    ("Prediction Features", "study_time: studytime, absences: absences, failures: failures, previous_grade_1: g1, previous_grade_2: g2")], "schema_role, mapped_column"))
+def q_role_status(spark, sf_dir):
+    return R.schema_status(spark, R.detect_roles(students(spark, sf_dir), overrides=OVERRIDES))
+
+
 @register("numeric_column_mean", f"WITH {STUDENTS}\nSELECT round(avg(g3), 6) AS mean_value FROM students")
 def q_numeric_column_mean(spark, sf_dir):
     df = students(spark, sf_dir)
@@ -144,7 +166,7 @@ def q_latest_accuracy(spark, sf_dir):
 @register("auto_pipeline")
 def q_auto_pipeline(spark, sf_dir):
     from cohort.plans.pipeline_run import auto_pipeline
-    return auto_pipeline(students(spark, sf_dir))["report"]
+    return auto_pipeline(students(spark, sf_dir), scratch_path(spark, "auto-runs")).report
 
 
 _PLAIN = "'^\\s*[+-]?([0-9]+(\\.[0-9]*)?|\\.[0-9]+)([eE][+-]?[0-9]+)?\\s*$'"

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from cohort.functions.exprs import col
 from cohort.functions.labels import normalize_target
 from cohort.operators import models, split
-from cohort.plans.common import register, finish, DOCS
+from cohort.plans.common import register, finish, DOCS, STUDENTS
 from cohort.session import scratch_path
-from cohort.sources.fixtures import docs
+from cohort.sources.fixtures import docs, students
 
 FEATURES = ["n_chars", "lang", "source"]
 KEY = "doc_id"
@@ -153,7 +153,6 @@ def q_top_features(spark, sf_dir):
 
 @register("train_forest_regressor")
 def q_forest_regressor(spark, sf_dir):
-    from cohort.sources.fixtures import students
     s = students(spark, sf_dir).dropDuplicates()
     _, pred, scores = models.train_forest_regressor(s, ["studytime", "absences", "failures", "programme", "support_band"], "g3", "student_id")
     return pred.withColumn("mae", F.lit(scores["mae"])).withColumn("r2", F.lit(scores["r2"]))
@@ -168,3 +167,43 @@ def q_save_model(spark, sf_dir):
     models.save_model(m, path)
     loaded = models.load_model(path)
     return models.holdout_predictions(loaded, test, KEY)
+
+
+# The reports over a table of runs that SQL can compute too: each programme stands for a model.
+_RUNS_SQL = f"""WITH {STUDENTS},
+r AS (SELECT CASE WHEN programme IN ('BUILDING', 'MACHINERY') THEN 'Logistic Regression' ELSE programme END AS model, programme,
+        round(avg(g2) / 20, 9) AS accuracy, round(avg(g1) / 20, 9) AS f1, round(var_pop(g2) / 100, 9) AS brier, round(avg(studytime) / 7, 9) AS cv_f1,
+        max(recorded_at) AS run_at FROM students GROUP BY programme)"""
+
+
+def _rule_runs(spark, sf_dir):
+    model = F.when(F.col("programme").isin("BUILDING", "MACHINERY"), "Logistic Regression").otherwise(F.col("programme"))
+    s = students(spark, sf_dir).groupBy("programme").agg(
+        F.round(F.avg("g2") / 20, 9).alias("accuracy"), F.round(F.avg("g1") / 20, 9).alias("f1"), F.round(F.var_pop("g2") / 100, 9).alias("brier"),
+        F.round(F.avg("studytime") / 7, 9).alias("cv_f1"), F.max("recorded_at").alias("run_at"))
+    return s.withColumn("model", model)
+
+
+@register("model_ranking_table", _RUNS_SQL + """
+SELECT (SELECT programme FROM r ORDER BY f1 DESC, accuracy DESC LIMIT 1) AS best_holdout, (SELECT programme FROM r ORDER BY brier LIMIT 1) AS best_calibrated,
+  (SELECT programme FROM r ORDER BY cv_f1 DESC LIMIT 1) AS best_cv""")
+def q_model_ranking_table(spark, sf_dir):
+    return models.model_ranking(_rule_runs(spark, sf_dir).withColumn("model", F.col("programme")))
+
+
+@register("latest_accuracy_table", _RUNS_SQL + """
+SELECT round(accuracy * 100, 6) AS prediction_accuracy FROM r ORDER BY model = 'Logistic Regression' DESC, run_at DESC, model DESC, accuracy DESC LIMIT 1""")
+def q_latest_accuracy_table(spark, sf_dir):
+    from cohort.operators import kpi
+    newest = _rule_runs(spark, sf_dir).groupBy("model", "run_at").agg(F.max("accuracy").alias("accuracy"))
+    return finish(kpi.latest_accuracy(newest))
+
+
+@register("top_features_table", f"""WITH {STUDENTS}, i AS (SELECT programme AS model, support_band AS feature, round(avg(g2), 6) AS importance FROM students
+WHERE support_band IS NOT NULL GROUP BY ALL)
+SELECT model, feature, importance, CAST(row_number() OVER (PARTITION BY model ORDER BY importance DESC, feature) AS BIGINT) AS rank FROM i
+QUALIFY row_number() OVER (PARTITION BY model ORDER BY importance DESC, feature) <= 3""")
+def q_top_features_table(spark, sf_dir):
+    s = students(spark, sf_dir).where("support_band IS NOT NULL")
+    importance = s.groupBy(F.col("programme").alias("model"), F.col("support_band").alias("feature")).agg(F.round(F.avg("g2"), 6).alias("importance"))
+    return finish(models.top_features(importance, 3))

@@ -145,6 +145,17 @@ def q_pca2(spark, sf_dir):
     return segment.pca2(scaled, FEATS, ["student_id"])
 
 
+@register("pca2_two_features", SEG + """,
+t AS (SELECT 0.5 * atan2(2 * covar_pop(2 * g1, g2), var_pop(2 * g1) - var_pop(g2)) AS r FROM z)
+SELECT student_id, round(abs(cos(r) * 2 * g1 + sin(r) * g2), 6) AS axis_1, round(abs(cos(r) * g2 - sin(r) * 2 * g1), 6) AS axis_2 FROM z, t""")
+def q_pca2_two_features(spark, sf_dir):
+    """Of two features the axes are a rotation that SQL can state; an axis has no sign."""
+    _, scaled = _scaled(spark, sf_dir)
+    two = scaled.select("student_id", (2 * F.col("g1")).alias("a"), F.col("g2").alias("b"))
+    out = segment.pca2(two, ["a", "b"], ["student_id"])
+    return finish(out.select("student_id", F.abs("axis_1").alias("axis_1"), F.abs("axis_2").alias("axis_2")))
+
+
 @register("distinct_rows", f"WITH {SP.split(',' + chr(10) + 'mx AS')[0]}\n"
                            "SELECT CAST(count(*) AS BIGINT) AS n FROM (SELECT DISTINCT g1, g2, g3 FROM students LIMIT 3) x")
 def q_distinct_rows(spark, sf_dir):
