@@ -54,7 +54,10 @@ def map_text(df: DataFrame, text: str, keep: list[str], make: Callable[[], Calla
     bounded_batches(df.sparkSession)
     src = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1])
-    names = [*keep, *[c.strip().split(" ")[0].strip("`") for c in _split_top(schema)]]
+    results = [c.strip().split(" ")[0].strip("`") for c in _split_top(schema)]
+    if clash := sorted(set(keep) & set(results)):
+        raise ValueError(f"columns to keep have names of results: {', '.join(clash)}")
+    names = [*keep, *results]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = None

@@ -8,13 +8,20 @@ Within a row all non-overlapping occurrences of the lowest-rank pair merge in on
 the merged symbol takes part in has a rank as low (then the order can't matter); else only the leftmost
 one does.  The counts are those of the library's priority queue.
 
-Null and empty texts have 0 tokens.  Extra columns are dropped unless named in ``keep``.
+A long pre-token is cut wherever two neighbouring characters stand together in no piece: no merge can cross that
+place.  A stretch that stays longer than ``LONG`` is merged pair by pair from a queue, in the same order, so that its
+time grows with its length and not with the square.
+
+Defined cases: null and empty texts have 0 tokens; repeated rows each have a row; a very long word of any letters takes
+time in proportion to its length; extra columns are dropped unless named in ``keep``, and a name in ``keep`` that is also a
+result's is refused; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
 from functools import cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +33,10 @@ from cohort.llm.common import map_text
 REMEMBER = 1_000_000
 #: Symbols merged at once.
 CHUNK = 1 << 18
+#: Pre-tokens up to this length are remembered; longer ones are cut.
+SHORT = 64
+#: Longest row that merges in rounds.
+LONG = 256
 NONE = np.iinfo(np.int64).max
 #: A space run with what follows up to the next space or line end; the model has no piece that crosses these borders.
 SPLIT = re.compile(r" +[^ \n]*|\n|[^ \n]+")
@@ -65,6 +76,8 @@ class PieceModel:
         np.minimum.at(least, self.key % self.n, self.rank)
         ties = np.bincount([order[s] for p, s in pieces if len(p) > 1], minlength=len(order)) > 1
         self.safe = (least[self.merged] > self.rank) & ~ties[self.rank]  # by pair
+        self.pairs = pairs
+        self.together = {p[k:k + 2] for p in text for k in range(len(p) - 1)}
 
     def pair(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(rank, index) of adjacent symbols; symbols below 0 are characters that the model doesn't know."""
@@ -72,6 +85,42 @@ class PieceModel:
         at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
         return np.where(self.key[at] == key, self.rank[at], NONE), at
 
+    def cut(self, word: str) -> list[str]:
+        """The word's parts between which no piece stands."""
+        ends = [i for i in range(1, len(word)) if word[i - 1:i + 1] not in self.together]
+        return [word[a:b] for a, b in zip([0, *ends], [*ends, len(word)])]
+
+    def queued(self, word: str) -> int:
+        """Surviving symbols of one word, its lowest-rank and then leftmost pair merged first."""
+        get, pairs, n = self.chars.get, self.pairs, self.n
+        sym = [get(c, -len(c.encode("utf-8", "replace"))) for c in word]
+        size = len(sym)
+        after, before = list(range(1, size + 1)), list(range(-1, size - 1))
+
+        def entry(i: int, j: int):
+            a, b = sym[i], sym[j]
+            found = pairs.get(a * n + b) if a >= 0 and b >= 0 else None
+            return (found[0], i, a, b, found[1]) if found else None
+
+        queue = [e for i in range(size - 1) if (e := entry(i, i + 1))]
+        heapify(queue)
+        while queue:
+            _, i, a, b, merged = heappop(queue)
+            j = after[i]
+            if j >= size or sym[i] != a or sym[j] != b:
+                continue  # one of the two has been merged otherwise
+            sym[i], sym[j] = merged, None
+            after[i] = k = after[j]
+            if k < size:
+                before[k] = i
+                if e := entry(i, k):
+                    heappush(queue, e)
+            if (h := before[i]) >= 0 and (e := entry(h, i)):
+                heappush(queue, e)
+        counts, left = np.zeros(1, np.int64), np.array([s for s in sym if s is not None], np.int64)
+        self._add(counts, left, np.zeros(len(left), np.int64))
+        return int(counts[0])
+
     def count(self, pretokens: list[str]) -> np.ndarray:
         """Surviving symbols of each pre-token; an unknown character counts as its UTF-8 bytes."""
         counts = np.zeros(len(pretokens), np.int64)
@@ -129,23 +178,25 @@ def _known(path: str) -> dict[str, int]:
 
 def count_texts(texts: list[str | None], path: str) -> list[int]:
     """Token counts of a batch; pre-tokens not met before are merged together."""
-    known = _known(path)
+    known, pieces = _known(path), model(path)
     if len(known) > REMEMBER:
         known.clear()
     split = [SPLIT.findall(" " + t.replace("▁", " ")) if t else [] for t in texts]
-    new = sorted(set().union(*split) - known.keys(), key=len)
-    own: dict[str, int] = {}
-    part, size = [], 0
+    fresh = {p for s in split for p in s if p not in known}
+    parts = {p: pieces.cut(p) for p in fresh if len(p) > SHORT}  # long ones: their parts are counted instead
+    words = {p for p in fresh if len(p) <= SHORT}.union(*parts.values())
+    own = {p: pieces.queued(p) for p in words if len(p) > LONG}
+    new, part, size = sorted((p for p in words if len(p) <= LONG and p not in known), key=len), [], 0
     for i, p in enumerate(new):
         part.append(p)
         size += len(p)
         if size >= CHUNK or i == len(new) - 1:
-            own.update(zip(part, model(path).count(part).tolist()))
+            for q, n in zip(part, pieces.count(part).tolist()):
+                (known if len(q) <= SHORT else own)[q] = n
             part, size = [], 0
-    known.update((p, n) for p, n in own.items() if len(p) <= 64)
-    own = {p: n for p, n in own.items() if len(p) > 64}
+    own |= {p: sum(own[q] if len(q) > SHORT else known[q] for q in s) for p, s in parts.items()}
     if own:
-        return [sum(own[p] if p in own else known[p] for p in s) for s in split]
+        return [sum(own[p] if len(p) > SHORT else known[p] for p in s) for s in split]
     return [sum(map(known.__getitem__, s)) for s in split]
 
 

@@ -96,3 +96,30 @@ def test_queries_against_libraries(spark, documents):
         at += len(ids)
     op5 = queries.op5_token_counts(spark, SF).where(F.col("over_limit") != (F.col("n_tokens") > 4096))
     assert op5.count() == 0
+
+
+def test_long_words_are_counted_in_time(texts):
+    import string
+    import time
+
+    import sentencepiece
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    rnd = random.Random(3)
+    letters = string.ascii_letters + string.digits + "+/"
+    long = ["".join(rnd.choice(letters) for _ in range(1_000_000)), "".join(rnd.choice("etaoinshr") for _ in range(200_000)), "a" * 200_000,
+            "ab" * 100_000, "thethe" * 20_000, " " * 100_000, "".join(rnd.choice("aé日x") for _ in range(100_000)), "x".join(string.ascii_lowercase * 2_000)]
+    t0 = time.time()
+    got = token_counts.count_texts(long, PIECES)
+    assert time.time() - t0 < 60
+    assert got == [len(x) for x in sp.encode(long, num_threads=1)]
+
+
+def test_queue_and_rounds_agree(texts):
+    pieces = token_counts.model(PIECES)
+    words = sorted({p for t in texts for p in token_counts.SPLIT.findall(" " + t) if len(p) <= 200})[:4_000]
+    assert pieces.count(words).tolist() == [pieces.queued(w) for w in words]
+
+
+def test_names_to_keep_must_not_be_names_of_results(odd):
+    with pytest.raises(ValueError):
+        token_counts.count_tokens(odd, PIECES, keep=["doc_id", "n_tokens"])
