@@ -60,13 +60,18 @@ KEY_BUCKETS = 1 << 20
 COLUMNS = 8_192
 
 
+def text_mark(text: str) -> F.Column:
+    return F.xxhash64(F.lit(1), F.col(f"`{text}`").cast("string"))
+
+
 def needed(n: np.ndarray | int):
     """Least overlap of a set of n shingles with any partner."""
     return -(-NUM * n // DEN)
 
 
 def _key(s: np.ndarray) -> bytes:
-    return hashlib.md5(s.astype("<u8", copy=False).tobytes()).digest()
+    """A set's class: 96 bits, so that among 10^12 different sets a chance match is unlikely (about 10^-5)."""
+    return hashlib.blake2b(s.astype("<u8", copy=False).tobytes(), digest_size=12).digest()
 
 
 def signature(s: np.ndarray) -> bytes | None:
@@ -96,11 +101,12 @@ def may_link(p: bytes | None, q: bytes | None) -> bool:
 
 
 def facts(df: DataFrame, key: str, text: str) -> DataFrame:
-    """One pass over the texts: rows (key, cls, n, sig) per document, and rows (bucket, count) of the sketch per task."""
+    """One pass over the texts: rows (key, mark, cls, n, sig) per document, and rows (bucket, count) of the sketch per task.
+    ``mark`` is a hash of the text, which tells rows with equal keys apart."""
     bounded_batches(df.sparkSession)
-    src = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
+    src = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"), text_mark(text).alias("mark"))
     kind = src.schema["key"].dataType
-    names = ["key", "cls", "n", "sig", "bucket", "cnt"]
+    names = ["key", "mark", "cls", "n", "sig", "bucket", "cnt"]
 
     def run(batches):
         counts, seen, key_type = np.zeros(SKETCH, np.int64), set(), None
@@ -118,16 +124,16 @@ def facts(df: DataFrame, key: str, text: str) -> DataFrame:
                     if len(s) <= 4096:
                         np.add.at(counts, (s % np.uint64(SKETCH)).astype(np.int64), 1)
             m = len(n)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cls, pa.binary()), pa.array(n, pa.int64()), pa.array(sig, pa.binary()),
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(cls, pa.binary()), pa.array(n, pa.int64()), pa.array(sig, pa.binary()),
                                               pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64())], names=names)
         at = np.flatnonzero(counts)
         for a in range(0, len(at), 1 << 14):
             part = at[a:a + (1 << 14)]
             m = len(part)
-            yield pa.RecordBatch.from_arrays([pa.nulls(m, key_type), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()),
+            yield pa.RecordBatch.from_arrays([pa.nulls(m, key_type), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()),
                                               pa.array(part.astype(np.int32)), pa.array(counts[part])], names=names)
 
-    return src.mapInArrow(run, f"key {kind.simpleString()}, cls binary, n long, sig binary, bucket int, cnt long")
+    return src.mapInArrow(run, f"key {kind.simpleString()}, mark long, cls binary, n long, sig binary, bucket int, cnt long")
 
 
 def sketch_counts(found: DataFrame) -> np.ndarray:
@@ -196,60 +202,53 @@ def shared_postings(rows: DataFrame) -> DataFrame:
             .where("salt > 0 OR lo < hi").select("tok", "cls", "n", "l").dropDuplicates(["tok", "cls"]))
 
 
-def _size_bin() -> F.Column:
-    """Sets whose sizes differ by no more than the threshold allows are in the same or in neighbouring bins."""
-    return F.floor(F.log("n") / float(np.log(DEN / NUM))).cast("int")
-
-
 def _fits(a: str, b: str) -> F.Column:
     return F.expr(f"{DEN} * least({a}, {b}) >= {NUM} * greatest({a}, {b})")
 
 
-def candidate_classes(shared: DataFrame) -> DataFrame:
-    """Classes with a possible partner: another class of near size in one of their lists."""
-    binned = shared.withColumn("bin", _size_bin())
-    bins = binned.groupBy("tok", "bin").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"))
-    met = bins.select("tok", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"), "lo", "hi")
-    full = met.groupBy("tok", "bin").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("tok", "bin")
-    return binned.join(full, ["tok", "bin"], "left_semi").select("cls").distinct()
+def numbered_classes(shared: DataFrame) -> DataFrame:
+    """(cls, id, n, l, shared): a short number for every class with a shared shingle, and how many of them it has."""
+    found = shared.groupBy("cls").agg(F.first("n").alias("n"), F.first("l").alias("l"), F.count("*").cast("int").alias("shared"))
+    return found.withColumn("id", F.monotonically_increasing_id())
 
 
 def class_texts(df: DataFrame, found: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
-    """(cls, text) of each wanted class, from one of its documents.  A text takes a third of the room of its
-    shingles, so texts travel to the verification and shingles are made there.
+    """(id, text) of each ``wanted`` class (cls, id), from one of its documents.  A text takes a third of the room of
+    its shingles, so texts travel to the verification and shingles are made there.
 
     Repeated rows of that document are left out within a task; should a class come twice all the same, its
     pairs are verified twice, which changes nothing.
     """
-    docs = found.where("cls IS NOT NULL").groupBy("cls").agg(F.min("key").alias("key")).join(wanted, "cls", "left_semi")
+    docs = found.where("cls IS NOT NULL").groupBy("cls").agg(F.min("key").alias("key")).join(wanted, "cls")
     docs = written(docs, "wanted")
     src = df.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").cast("string").alias("text"))
     # most texts aren't wanted: they stay behind by a hash of their key; KEY_BUCKETS numbers at most are broadcast
     some = docs.select(F.pmod(F.xxhash64("key"), F.lit(KEY_BUCKETS)).alias("bucket")).distinct()
     src = src.withColumn("bucket", F.pmod(F.xxhash64("k"), F.lit(KEY_BUCKETS))).join(F.broadcast(some), "bucket", "left_semi").drop("bucket")
-    texts = src.join(docs, F.col("k").eqNullSafe(F.col("key"))).select("cls", "text")
+    texts = src.join(docs, F.col("k").eqNullSafe(F.col("key"))).select("id", "text", "cls")
 
     def run(batches):
         seen: set[bytes] = set()
         for b in batches:
             keep = []
-            for i, (s, c) in enumerate(zip(Words(b.column(1)).shingles(K), b.column(0).to_pylist())):
+            for i, (s, c) in enumerate(zip(Words(b.column(1)).shingles(K), b.column(2).to_pylist())):
                 if len(s) and c not in seen and _key(s) == c:
                     seen.add(c)
                     keep.append(i)
-            yield b.take(pa.array(keep, pa.int64()))
+            yield b.take(pa.array(keep, pa.int64())).select([0, 1])
 
-    return texts.mapInArrow(run, "cls binary, text string")
+    return texts.mapInArrow(run, "id long, text string")
 
 
-def class_signatures(found: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(cls, sig) of each wanted class; copies collapse where they are."""
-    return found.where("cls IS NOT NULL").groupBy("cls").agg(F.max("sig").alias("sig")).join(wanted, "cls", "left_semi")
+def class_signatures(found: DataFrame, classes: DataFrame) -> DataFrame:
+    """(id, sig) of each numbered class; copies collapse where they are."""
+    sigs = found.where("cls IS NOT NULL").groupBy("cls").agg(F.max("sig").alias("sig"))
+    return sigs.join(classes.select("cls", "id"), "cls").select("id", "sig")
 
 
 def possible(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose signatures leave a link possible."""
-    left, right = sigs.select(F.col("cls").alias("a"), F.col("sig").alias("sa")), sigs.select(F.col("cls").alias("b"), F.col("sig").alias("sb"))
+    left, right = sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa")), sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb"))
     rows = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
 
     def run(batches):
@@ -257,12 +256,12 @@ def possible(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
             keep = [may_link(p, q) for p, q in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
             yield b.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
-    return rows.mapInArrow(run, "a binary, b binary")
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold."""
-    left, right = texts.select(F.col("cls").alias("a"), F.col("text").alias("ta")), texts.select(F.col("cls").alias("b"), F.col("text").alias("tb"))
+    left, right = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
     rows = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
 
     def run(batches):
@@ -276,7 +275,7 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 keep.append(DEN * both >= NUM * (len(p) + len(q) - both))
             yield b.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
-    return rows.mapInArrow(run, "a binary, b binary")
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -297,42 +296,42 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _spanning(lists: DataFrame) -> DataFrame:
+def _spanning(members: DataFrame) -> DataFrame:
     """(tok, k, same) of the lists that hold more than one component: their length, and a hash of their classes."""
-    same = F.struct(*[F.bit_xor(F.xxhash64(F.lit(i), "cls")).alias(f"h{i}") for i in range(2)])
-    found = lists.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k"), same.alias("same"))
+    same = F.struct(*[F.bit_xor(F.xxhash64(F.lit(i), "id")).alias(f"h{i}") for i in range(2)])
+    found = members.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k"), same.alias("same"))
     return found.where("lo < hi").select("tok", "k", "same")
 
 
-def _classes(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
+def _numbers(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
 
 
 def _star_pairs(members: DataFrame) -> DataFrame:
     """Every class with the pivot of each of its lists, where they could link.  The pivot is the class with the
     most shared shingles in its prefix: in a group of near copies, the one with the fewest changes."""
-    central = members.groupBy("cls").agg(F.count("*").alias("shared"))
-    rows = members.join(central, "cls")
-    pivot = rows.groupBy("tok").agg(F.min(F.struct((-F.col("shared")).alias("o"), "cls", "n")).alias("p"))
-    met = members.join(pivot, "tok").where((F.col("cls") != F.col("p.cls")) & _fits("n", "p.n"))
-    return met.select(F.least("cls", "p.cls").alias("a"), F.greatest("cls", "p.cls").alias("b")).distinct()
+    pivot = members.groupBy("tok").agg(F.min(F.struct((-F.col("shared")).alias("o"), "id", "n")).alias("p"))
+    met = members.join(pivot, "tok").where((F.col("id") != F.col("p.id")) & _fits("n", "p.n"))
+    return met.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct()
 
 
-def _cross_pairs(members: DataFrame, lists: DataFrame) -> DataFrame:
-    """Candidates between components in the given lists: a pair comes once for each shingle it shares there.
+def _cross_pairs(members: DataFrame) -> DataFrame:
+    """Candidates between components in short lists: a pair comes once for each shingle it shares there.
 
     Its matches are counted over all short lists; a pair with a match in a long list is verified there."""
-    rows = members.join(lists.select("tok"), "tok", "left_semi")
-    left = rows.select("tok", *[F.col(c).alias(f"{c}1") for c in ("cls", "n", "l", "comp", "long")])
-    right = rows.select("tok", *[F.col(c).alias(f"{c}2") for c in ("cls", "n", "l", "comp", "long")])
-    met = left.join(right, "tok").where((F.col("cls1") < F.col("cls2")) & (F.col("comp1") != F.col("comp2")) & _fits("n1", "n2"))
-    # matches in long lists aren't counted here, so as many may be missing as either class has long lists
-    least = F.least("l1", "l2") - F.least("long1", "long2")
-    return (met.groupBy(F.col("cls1").alias("a"), F.col("cls2").alias("b")).agg(F.count("*").alias("m"), F.min(least).alias("l"))
-            .where("m >= l").select("a", "b"))
+    lists = members.groupBy("tok").agg(F.array_sort(F.collect_list(F.struct("id", "n", "l", "comp", "long"))).alias("m"))  # SHORT at most
+
+    def later(x: F.Column, i: F.Column) -> F.Column:
+        rest = F.slice("m", i + 2, F.lit(SHORT))
+        met = F.filter(rest, lambda y: (y["comp"] != x["comp"]) & (DEN * F.least(x["n"], y["n"]) >= NUM * F.greatest(x["n"], y["n"])))
+        # matches in long lists aren't counted here, so as many may be missing as either class has long lists
+        return F.transform(met, lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b"), (F.least(x["l"], y["l"]) - F.least(x["long"], y["long"])).alias("l")))
 
+    met = lists.select(F.inline(F.flatten(F.transform("m", later))))
+    return met.groupBy("a", "b").agg(F.count("*").alias("m"), F.min("l").alias("l")).where("m >= l").select("a", "b")
 
-def _joined(sets: list[np.ndarray], comps: list[bytes], first: np.ndarray, second: np.ndarray) -> list[tuple[int, int]]:
+
+def _joined(sets: list[np.ndarray], comps: list, first: np.ndarray, second: np.ndarray) -> list[tuple[int, int]]:
     """Links between ``first`` and ``second`` (places in ``sets``) that join different components: a forest."""
     size = np.array([len(x) for x in sets])
     values, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -349,7 +348,7 @@ def _joined(sets: list[np.ndarray], comps: list[bytes], first: np.ndarray, secon
     linked = DEN * both >= NUM * (size[first][:, None] + size[second][None, :] - both)
     parent = {c: c for c in comps}
 
-    def find(c: bytes) -> bytes:
+    def find(c):
         while parent[c] != c:
             parent[c] = parent[parent[c]]
             c = parent[c]
@@ -365,7 +364,7 @@ def _joined(sets: list[np.ndarray], comps: list[bytes], first: np.ndarray, secon
     return out
 
 
-def may_join(sigs: list[bytes | None], comps: list[bytes], first: np.ndarray, second: np.ndarray) -> np.ndarray:
+def may_join(sigs: list[bytes | None], comps: list, first: np.ndarray, second: np.ndarray) -> np.ndarray:
     """Places in ``first`` and ``second`` of sets that may link with a set of another component on the other side."""
     sizes = np.array([len(s) if s else 0 for s in sigs])
     kept = np.zeros(len(sigs), bool)
@@ -389,21 +388,22 @@ def may_join(sigs: list[bytes | None], comps: list[bytes], first: np.ndarray, se
     return np.flatnonzero(kept)
 
 
-def block_members(members: DataFrame, lists: DataFrame, sigs: DataFrame) -> DataFrame:
-    """(tok, x, y, block, cls, comp): what is left of the pairs of blocks of the long lists once the signatures have spoken."""
+def block_members(members: DataFrame, sigs: DataFrame) -> DataFrame:
+    """(tok, x, y, block, id, comp): what is left of the pairs of blocks of the long lists once the signatures have spoken.
+    ``members`` holds the lists' members with the length ``k`` of their list."""
     blocks = F.ceil(F.col("k") / BLOCK).cast("int")
-    rows = members.join(lists.withColumn("blocks", blocks), "tok").withColumn("block", F.pmod(F.xxhash64("cls"), "blocks").cast("int"))
+    rows = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = rows.select("tok", "cls", "comp", "block", other.alias("other"))
-    rows = rows.select("tok", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "cls", "comp").join(sigs, "cls")
+    rows = rows.select("tok", "id", "comp", "block", other.alias("other"))
+    rows = rows.select("tok", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "comp").join(sigs, "id")
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         first, second = _sides(table)
         kept = may_join(table["sig"].to_pylist(), table["comp"].to_pylist(), first, second) if len(first) and len(second) else []
-        return table.take(pa.array(kept, pa.int64())).select(["tok", "x", "y", "block", "cls", "comp"])
+        return table.take(pa.array(kept, pa.int64())).select(["tok", "x", "y", "block", "id", "comp"])
 
-    return rows.groupBy("tok", "x", "y").applyInArrow(run, "tok long, x int, y int, block int, cls binary, comp binary")
+    return rows.groupBy("tok", "x", "y").applyInArrow(run, "tok long, x int, y int, block int, id long, comp long")
 
 
 def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -415,67 +415,78 @@ def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 def block_links(rows: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b): links that join components, between the members left in each pair of blocks."""
-    rows = rows.join(texts, "cls")
-
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        cls = table["cls"].to_pylist()
+        ids = table["id"].to_pylist()
         sets = [s for c in table["text"].chunks for s in Words(c).shingles(K)]
         first, second = _sides(table)
         found = _joined(sets, table["comp"].to_pylist(), first, second) if len(first) and len(second) else []
-        return pa.table({"a": pa.array([cls[i] for i, _ in found], pa.binary()), "b": pa.array([cls[j] for _, j in found], pa.binary())})
+        return pa.table({"a": pa.array([ids[i] for i, _ in found], pa.int64()), "b": pa.array([ids[j] for _, j in found], pa.int64())})
 
-    return rows.groupBy("tok", "x", "y").applyInArrow(run, "a binary, b binary")
+    return rows.join(texts, "id").groupBy("tok", "x", "y").applyInArrow(run, "a long, b long")
 
 
 def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_shingles long, component_id, cls binary): ``component_id`` is the smallest key reachable by links."""
+    """(key, n_shingles long, component_id, cls binary, mark long, group binary): ``component_id`` is the smallest key
+    reachable by links; ``cls`` is the same for equal sets, ``group`` for a component's documents, null without words;
+    ``mark`` is a hash of the text."""
     found = written(facts(df, key, text), "facts")
     sketch = sketch_counts(found)
-    docs = found.where("bucket IS NULL").select("key", "cls", "n", "sig")
+    docs = found.where("bucket IS NULL").select("key", "mark", "cls", "n", "sig")
     shared = written(shared_postings(postings(df, text, sketch)), "postings")
-    shared = written(shared.join(candidate_classes(shared), "cls", "left_semi"), "candidates")
-    sigs = written(class_signatures(docs, shared.select("cls").distinct()), "signatures")
-    pairs = written(possible(_star_pairs(shared), sigs), "pairs")
-    stars = written(verify(pairs, written(class_texts(df, docs, _classes(pairs), key, text), "texts")), "links")
+    classes = written(numbered_classes(shared), "classes")
+    members = written(shared.select("tok", "cls").join(classes, "cls").select("tok", "id", "n", "l", "shared"), "members")
+    sigs = written(class_signatures(docs, classes), "signatures")
+
+    def texts_of(ids: DataFrame) -> DataFrame:
+        return written(class_texts(df, docs, classes.select("cls", "id").join(ids, "id", "left_semi"), key, text), "texts")
+
+    pairs = written(possible(_star_pairs(members), sigs), "pairs")
+    stars = written(verify(pairs, texts_of(_numbers(pairs))), "links")
     comp = components(stars)  # class -> component, for classes that link so far
-    members = shared.join(comp, shared.cls == comp.v, "left").select("tok", "cls", "n", "l", F.coalesce("comp", "cls").alias("comp"))
+    members = members.join(comp, members.id == comp.v, "left").select("tok", "id", "n", "l", F.coalesce("comp", "id").alias("comp"))
     lists = written(_spanning(members), "lists")
-    long = lists.where(F.col("k") > SHORT)
-    in_long = members.join(long.select("tok"), "tok", "left_semi").groupBy("cls").agg(F.count("*").cast("int").alias("long"))
-    short = members.join(in_long, "cls", "left").withColumn("long", F.coalesce("long", F.lit(0)))
+    members = written(members.join(lists, "tok"), "spanning")
+    in_long = members.where(F.col("k") > SHORT).groupBy("id").agg(F.count("*").cast("int").alias("long"))
+    short = members.where(F.col("k") <= SHORT).join(in_long, "id", "left").withColumn("long", F.coalesce("long", F.lit(0)))
+    pairs = written(possible(_cross_pairs(short), sigs), "pairs")
     # the shingles of one passage often have the same classes: one of such lists stands for all
-    each = long.groupBy("k", "same").agg(F.min("tok").alias("tok")).select("tok", "k")
-    pairs = written(possible(_cross_pairs(short, lists.where(F.col("k") <= SHORT)), sigs), "pairs")
-    blocks = written(block_members(members, each, sigs), "blocks")
-    texts = written(class_texts(df, docs, _classes(pairs).union(blocks.select("cls")).distinct(), key, text), "texts")
+    each = lists.where(F.col("k") > SHORT).groupBy("k", "same").agg(F.min("tok").alias("tok")).select("tok")
+    blocks = written(block_members(members.where(F.col("k") > SHORT).join(each, "tok", "left_semi"), sigs), "blocks")
+    texts = texts_of(_numbers(pairs).union(blocks.select("id")).distinct())
     links = written(verify(pairs, texts).unionByName(block_links(blocks, texts)), "links")
     if not links.isEmpty():  # the known components are links to their smallest class
         comp = components(links.unionByName(comp.where("v <> comp").select(F.col("v").alias("a"), F.col("comp").alias("b"))))
-    classes = docs.where("cls IS NOT NULL").groupBy("cls").agg(F.min("key").alias("least"))
-    classes = classes.join(comp, classes.cls == comp.v, "left").select("cls", "least", F.coalesce("comp", "cls").alias("comp"))
-    least = classes.groupBy("comp").agg(F.min("least").alias("component_id"))
-    of = classes.join(least, "comp").select("cls", "component_id")
-    empty = docs.where("cls IS NULL").select("key", "n", F.col("key").alias("component_id"), "cls")
-    full = docs.where("cls IS NOT NULL").join(of, "cls").select("key", "n", "component_id", "cls")
-    return full.unionByName(empty).select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id", "cls")
+    linked = classes.select("cls", F.col("id").alias("v")).join(comp, "v").select("cls", "comp")
+    each = docs.where("cls IS NOT NULL").groupBy("cls").agg(F.min("key").alias("least")).join(linked, "cls", "left")
+    whole = each.where("comp IS NOT NULL").groupBy("comp").agg(F.min("least").alias("all"), F.min("cls").alias("group"))
+    of = each.join(whole, "comp", "left").select("cls", F.when(F.col("comp").isNull(), F.col("least")).otherwise(F.col("all")).alias("component_id"),
+                                                 F.coalesce("group", "cls").alias("group"))
+    empty = docs.where("cls IS NULL").select("key", "n", F.col("key").alias("component_id"), "cls", "mark", F.col("cls").alias("group"))
+    full = docs.where("cls IS NOT NULL").join(of, "cls").select("key", "n", "component_id", "cls", "mark", "group")
+    return full.unionByName(empty).select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id", "cls", "mark", "group")
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``df`` without near duplicates: of each component the document whose key is its component_id.
+    """The rows of ``df`` without near duplicates: of each component the document with the smallest key (a null key comes last),
+    and of equal keys the one with the smallest text hash, so rows that share a key but not a text are told apart.
 
-    Documents without words stay.  Of rows that share the kept key one stays (the smallest by all columns).
-    Rows with a null key go where a row with a key is in their component and there are no other null keys;
-    else those that share a text keep one.
+    Documents without words stay.  Of repeated rows, with the kept key and text, one stays (the smallest by all columns).
     """
-    comps = jaccard_components(df, key, text)
-    of = comps.where(F.col(key).eqNullSafe(F.col("component_id")))
-    times = written(of.groupBy(F.col(key).alias("__key")).agg(F.count("*").alias("__times")), "kept")
-    same = F.col(key).eqNullSafe(F.col("__key"))
-    if times.where("__times > 1").isEmpty():  # every kept key is one row: the texts travel once
-        return df.join(times.select("__key"), same, "left_semi")
-    rows = df.join(times, same).drop("__key")
-    once = rows.where("__times = 1").drop("__times")
-    again = rows.where("__times > 1").drop("__times")
-    rank = Window.partitionBy(F.col(key), F.when(F.col(key).isNull(), F.col(text))).orderBy(*[F.col(f"`{c}`") for c in df.columns if c != key])
-    return once.unionByName(again.withColumn("__rank", F.row_number().over(rank)).where("__rank = 1").drop("__rank"))
+    rows = jaccard_components(df, key, text).select(F.col(f"`{key}`").alias("__key"), "mark", "group").where("group IS NOT NULL")
+    best = rows.groupBy("group").agg(F.min(F.struct(F.col("__key").isNull().alias("last"), F.col("__key").alias("k"), "mark")).alias("b"))
+    times = rows.groupBy("group", "__key", "mark").agg(F.count("*").alias("__times"))
+    kept = best.join(times.select(F.col("group").alias("g"), F.col("__key").alias("k"), F.col("mark").alias("m"), "__times"),
+                     (F.col("group") == F.col("g")) & F.col("b.k").eqNullSafe(F.col("k")) & (F.col("b.mark") == F.col("m")))
+    kept = written(kept.select(F.col("k").alias("__key"), F.col("m").alias("__mark"), "__times"), "kept")
+    marked = df.withColumn("__text", text_mark(text))
+    blank = ~F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    same = F.col(f"`{key}`").eqNullSafe(F.col("__key")) & (F.col("__text") == F.col("__mark"))
+    empty, worded = df.where(blank), marked.where(~blank)
+    if kept.where("__times > 1").isEmpty():  # every kept document is one row: the texts travel once
+        return empty.unionByName(worded.join(kept.select("__key", "__mark"), same, "left_semi").drop("__text"))
+    rows = worded.join(kept, same).drop("__key", "__mark")
+    once, again = rows.where("__times = 1").drop("__times", "__text"), rows.where("__times > 1")
+    rank = Window.partitionBy(F.col(f"`{key}`"), "__text").orderBy(*[F.col(f"`{c}`") for c in df.columns if c != key])
+    again = again.withColumn("__rank", F.row_number().over(rank)).where("__rank = 1").drop("__rank", "__times", "__text")
+    return empty.unionByName(once).unionByName(again)

@@ -86,6 +86,13 @@ def test_keep_one(spark, rows):
     assert kept.count(None) == 1
 
 
+def test_keep_one_tells_rows_with_one_key_apart(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, base), (1, "another text that shares its key with the first"), (2, base + " more"), (3, " "), (3, None), (1, base)]
+    kept = sorted((r.doc_id, r.text or "") for r in ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert kept == [(1, "another text that shares its key with the first"), (1, base), (3, ""), (3, " ")]
+
+
 def test_empty_and_null_tables(spark, empty):
     assert ngram_join.jaccard_components(empty).count() == 0
     assert ngram_join.keep_one(empty).columns == empty.columns
