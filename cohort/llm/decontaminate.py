@@ -1,19 +1,24 @@
 """Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-1. Every n-gram (3 words) of the test items is a seed, however common it is: how often the training documents
-   hold an n-gram says nothing about whether it leaked, as a leak itself may stand in thousands of them.
+1. An n-gram (3 words) that few test items hold is a seed.  How often the training documents hold it says nothing about
+   whether it leaked, as a leak itself may stand in thousands of them; so rarity is judged by the benchmark alone.  Of an
+   n-gram that more than ``MOST_OWNERS`` items share, two must stand at the same distance in the document and in the item, at
+   most ``REACH`` words apart: two seeds on one diagonal.  So a phrase of many items doesn't multiply each place
+   where a document has it.  Items with the same words are aligned once.
 2. A document that holds a seed is aligned with the seed's item around the place of the seed: local alignment
    over words, with affordable substitutions and gaps, so edited and paraphrased copies still score.  Windows that
    share too few words with the item to reach the threshold by any alignment are passed over.
 3. A document is contaminated by an item when the aligned identical words make up a large part of the item, or when
    it holds a long run of the item's words, whatever part of the item that is.
 
-Test items are handled in blocks of bounded size: each block's n-grams and word sequences are what a task holds,
-and a benchmark of any size is just more blocks.  Each block is one pass over the texts.  Texts never move; only
-hits leave the tasks.
+Test items are handled in blocks of bounded size: each block's n-grams and word sequences are what a task, and the
+driver, hold at a time, and a benchmark of any size is just more blocks.  Each block is one pass over the texts; with more
+than one, a pass is written before the next begins.  Texts never move; only hits leave the tasks.  An alignment
+keeps every so many rows of its table and computes the others again on its way back, so its memory grows with the longer
+sequence times the root of the shorter one.
 
 Words are maximal runs of characters other than space and 0x09-0x0D, lower-cased, without punctuation at
-their ends.  Defined cases: documents or items that are null or have no words match nothing; an item with
+their ends.  Defined cases: very long texts and items are searched whole; documents or items that are null or have no words match nothing; an item with
 fewer words than the n-gram has its whole sequence as its one seed and must occur whole; repeated rows each
 count and each give a row; documents with a null key are aligned like others and give a null key; other columns
 are dropped.
@@ -29,10 +34,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohort.llm.common import bounded_batches
-from cohort.llm.text import Words
+from cohort.llm.common import bounded_batches, written
+from cohort.llm.text import Words, mix
 
 GRAM = 3
+#: Items that share an n-gram up to which it is a seed by itself; words between two that seed together.
+MOST_OWNERS, REACH = 16, 8
 #: UTF-8 bytes of test items in one block.
 BLOCK_BYTES = 16 << 20
 MATCH, MISMATCH, GAP = 2.0, -1.0, -1.0
@@ -79,21 +86,38 @@ def align(item: np.ndarray, part: np.ndarray) -> tuple[float, int, int, int]:
     m, n = len(item), len(part)
     if not m or not n:
         return 0.0, 0, 0, 0
-    h = np.zeros((m + 1, n + 1))
     slope = GAP * np.arange(n + 1)
+
+    def after(above: np.ndarray, i: int) -> np.ndarray:
+        diagonal = above[:-1] + np.where(part == item[i - 1], MATCH, MISMATCH)
+        row = np.concatenate(([0.0], np.maximum(np.maximum(diagonal, above[1:] + GAP), 0.0)))
+        return np.maximum(np.maximum.accumulate(row - slope) + slope, 0.0)  # gaps along the row
+
+    step = int(np.ceil(np.sqrt(m)))
+    row, kept, best = np.zeros(n + 1), [], (0.0, 0, 0)
     for i in range(1, m + 1):
-        diagonal = h[i - 1, :-1] + np.where(part == item[i - 1], MATCH, MISMATCH)
-        row = np.maximum(np.maximum(diagonal, h[i - 1, 1:] + GAP), 0.0)
-        row = np.concatenate(([0.0], row))
-        h[i] = np.maximum(np.maximum.accumulate(row - slope) + slope, 0.0)  # gaps along the row
-    i, j = np.unravel_index(int(h.argmax()), h.shape)
-    score, end, same = float(h[i, j]), int(j), 0
-    while i and j and h[i, j] > 0:
+        if (i - 1) % step == 0:
+            kept.append(row.astype(np.float32))  # sums of whole numbers, exact
+        row = after(row, i)
+        j = int(row.argmax())
+        if row[j] > best[0]:
+            best = float(row[j]), i, j
+    score, i, end = best
+    j, same, low, rows = end, 0, m + 1, []
+    while i and j:
+        if i - 1 < low:  # the rows from the last kept one on
+            low = (i - 1) // step * step
+            rows = [kept[low // step].astype(float)]
+            for k in range(low + 1, i + 1):
+                rows.append(after(rows[-1], k))
+        here, above = rows[i - low], rows[i - 1 - low]
+        if here[j] <= 0:
+            break
         equal = item[i - 1] == part[j - 1]
-        if h[i, j] == h[i - 1, j - 1] + (MATCH if equal else MISMATCH):
+        if here[j] == above[j - 1] + (MATCH if equal else MISMATCH):
             same += bool(equal)
             i, j = i - 1, j - 1
-        elif h[i, j] == h[i - 1, j] + GAP:
+        elif here[j] == above[j] + GAP:
             i -= 1
         else:
             j -= 1
@@ -102,29 +126,44 @@ def align(item: np.ndarray, part: np.ndarray) -> tuple[float, int, int, int]:
 
 @dataclass
 class Block:
-    """A bounded part of the benchmark: words of its items, and which items hold which n-gram."""
+    """A bounded part of the benchmark: its items by their word sequence, and which of them hold which seed.
+
+    ``keys`` are sorted: n-grams that few items hold, and pairs of those in ``common`` with their distance."""
 
-    ids: list
+    ids: list[list]  # ids of the items with each word sequence
     words: list[np.ndarray]
     grams: list[np.ndarray]
     keys: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))  # sorted n-grams
     owner: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))  # item of each key (keys may repeat)
     place: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))  # position within the item
+    common: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))  # sorted n-grams that many items hold
 
     @staticmethod
     def of(ids: list, texts: pa.Array) -> Block:
         w = BareWords(texts)
         gram = w.grams(GRAM)
-        items = [(k, w.hash[w.of[i]: w.of[i + 1]], w.seeds(i, gram)) for i, k in enumerate(ids) if w.of[i + 1] > w.of[i]]
-        return Block([x[0] for x in items], [x[1] for x in items], [x[2] for x in items]).index()
+        items: dict[bytes, tuple[list, np.ndarray, np.ndarray]] = {}
+        for i, k in enumerate(ids):
+            if w.of[i + 1] > w.of[i]:
+                words = w.hash[w.of[i]: w.of[i + 1]]
+                items.setdefault(words.tobytes(), ([], words, w.seeds(i, gram)))[0].append(k)
+        return Block([x[0] for x in items.values()], [x[1] for x in items.values()], [x[2] for x in items.values()]).index()
 
     def index(self) -> Block:
         """Look-up of the n-gram positions of each item."""
         keys = np.concatenate(self.grams or [np.empty(0, np.uint64)])
         size = np.array([len(g) for g in self.grams], np.int64)
+        owner = np.repeat(np.arange(len(size)), size)
+        place = np.arange(len(keys)) - np.repeat(np.cumsum(size) - size, size)
+        long = size[owner] > 1  # an item that is one n-gram has no second seed
+        held = np.unique(np.stack([keys[long], owner[long].astype(np.uint64)]), axis=1)[0]
+        values, owners = np.unique(held, return_counts=True)
+        self.common = values[owners > MOST_OWNERS]
+        pairs, first = _pairs(keys, np.isin(keys, self.common), owner)
+        alone = ~np.isin(keys, self.common) | ~long
+        keys, owner, place = (np.concatenate(x) for x in ((keys[alone], pairs), (owner[alone], owner[first]), (place[alone], place[first])))
         order = np.argsort(keys, kind="stable")
-        self.keys, self.owner = keys[order], np.repeat(np.arange(len(size)), size)[order]
-        self.place = (np.arange(len(keys)) - np.repeat(np.cumsum(size) - size, size))[order]
+        self.keys, self.owner, self.place = keys[order], owner[order], place[order]
         return self
 
     def hits(self, w: BareWords) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -135,7 +174,12 @@ class Block:
             return none, none, none, none
         text = np.repeat(np.arange(len(w.of) - 1), np.diff(w.of))
         whole = np.flatnonzero(np.arange(len(text)) + GRAM <= w.of[1:][text])
-        found = [self._places(w.grams(GRAM)[whole], whole)]
+        gram = w.grams(GRAM)
+        found = [self._places(gram[whole], whole)]
+        if len(self.common):
+            inside = np.zeros(len(gram), bool)
+            inside[whole] = np.isin(gram[whole], self.common)
+            found.append(self._places(*_pairs(gram, inside, text)))
         if any(len(x) < GRAM for x in self.words):
             found.append(self._places(w.hash, np.arange(len(text))))
         pos, at = (np.concatenate(x) for x in zip(*found))
@@ -151,16 +195,26 @@ class Block:
         return np.repeat(pos[live], n), np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
+def _pairs(gram: np.ndarray, common: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, position of the first) of every two common n-grams of one text that are at most REACH words apart."""
+    keys, first = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    for d in range(1, REACH + 1):
+        at = np.flatnonzero(common[:-d] & common[d:] & (text[:-d] == text[d:])) if len(gram) > d else np.empty(0, np.int64)
+        keys.append(mix(gram[at] * np.uint64(2 * d + 1) + mix(gram[at + d] + np.uint64(d))))
+        first.append(at)
+    return np.concatenate(keys), np.concatenate(first)
+
+
 def blocks(items: DataFrame, key: str, text: str):
     """Blocks of the benchmark, each of bounded size."""
     src = items.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text")).where("text IS NOT NULL")
     size = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-size // BLOCK_BYTES))
-    for i in range(n):
+    for i in range(n):  # the caller is done with a block when it asks for the next
         part = src if n == 1 else src.where(F.pmod(F.xxhash64("key", "text"), F.lit(n)) == i)
         rows = part.orderBy("key", "text").toArrow()
         if rows.num_rows:
-            yield Block.of(rows["key"].to_pylist(), rows["text"].combine_chunks())
+            yield Block.of(rows["key"].to_pylist(), rows["text"].combine_chunks()), n > 1
 
 
 def is_contaminated(same: int, m: int) -> bool:
@@ -214,27 +268,28 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     kind, item_kind = src.schema["key"].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
     schema = f"key {kind}, item {item_kind}, score double, n_same long, n_item_words long, first_word long, end_word long"
     found = None
-    for block in blocks(items, item_key, item_text):
+    for block, several in blocks(items, item_key, item_text):
 
         def run(batches, block=block):
             for b in batches:
-                hits = align_hits(block, BareWords(b.column(1)))
-                m = [len(block.words[h[1]]) for h in hits]
+                hits = [(h[0], k, *h[1:]) for h in align_hits(block, BareWords(b.column(1))) for k in block.ids[h[1]]]
+                m = [len(block.words[h[2]]) for h in hits]
                 yield pa.RecordBatch.from_arrays([
-                    b.column(0).take(pa.array([h[0] for h in hits], pa.int64())), pa.array([block.ids[h[1]] for h in hits]).cast(item_type(block.ids)),
-                    pa.array([h[2] / (MATCH * n) for h, n in zip(hits, m)], pa.float64()), pa.array([h[3] for h in hits], pa.int64()),
-                    pa.array(m, pa.int64()), pa.array([h[4] for h in hits], pa.int64()), pa.array([h[5] for h in hits], pa.int64())],
+                    b.column(0).take(pa.array([h[0] for h in hits], pa.int64())), pa.array([h[1] for h in hits], item_type(block.ids)),
+                    pa.array([h[3] / (MATCH * n) for h, n in zip(hits, m)], pa.float64()), pa.array([h[4] for h in hits], pa.int64()),
+                    pa.array(m, pa.int64()), pa.array([h[5] for h in hits], pa.int64()), pa.array([h[6] for h in hits], pa.int64())],
                     names=["key", "item", "score", "n_same", "n_item_words", "first_word", "end_word"])
 
         part = src.mapInArrow(run, schema)
+        part = written(part, "hits") if several else part
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = docs.sparkSession.createDataFrame([], schema)
     return found.withColumnRenamed("key", key).withColumnRenamed("item", item_key)
 
 
-def item_type(ids: list) -> pa.DataType:
-    return pa.array(ids).type
+def item_type(ids: list[list]) -> pa.DataType:
+    return pa.array([k for same in ids for k in same]).type
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id",
@@ -245,7 +300,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", te
     """
     bounded_batches(docs.sparkSession)
     out = docs
-    for block in blocks(items, item_key, item_text):
+    for block, several in blocks(items, item_key, item_text):
         at = docs.columns.index(text)
 
         def run(batches, block=block):
@@ -254,4 +309,5 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", te
                 yield b.filter(pa.array([i not in bad for i in range(b.num_rows)], pa.bool_()))
 
         out = out.mapInArrow(run, docs.schema)
+        out = written(out, "clean") if several else out
     return out

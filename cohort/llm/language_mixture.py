@@ -152,7 +152,11 @@ def predict(df: DataFrame, model: Model, text: str = "text", keep: list[str] | N
 
 
 def filter_languages(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The rows of ``df`` with a recognised main language: not ``und``, and at least half of the text in it."""
+    """The rows of ``df`` with a recognised main language: not ``und``, and at least half of the text in it.
+
+    Where no language was learned, nothing can be told and every row stays."""
+    if not model.langs:
+        return df
     bounded_batches(df.sparkSession)
     at = df.columns.index(text)
 

@@ -122,3 +122,59 @@ def test_a_verbatim_passage_of_a_long_item_is_caught(spark):
 def test_short_array_of_items():
     block = dc.Block.of([7], pa.array(["one two"]))
     assert dc.align_hits(block, dc.BareWords(pa.array(["zero one two three", "one", "two one"]))) == [(0, 0, 4.0, 2, 1, 3)]
+
+
+def test_results_equal_alignment_of_every_item_with_every_whole_text(spark, items, documents):
+    """Brute force: no seeds and no windows."""
+    rnd = random.Random(12)
+    passages = [(r.item_id, r.text) for r in items.collect()][:12]
+    voc = [w for _, t in documents[:30] for w in t.split()]
+    rows = [(k, t) for k, t in documents[:60] if len(t.split()) < 400]
+    for i, (item, p) in enumerate(passages):
+        for j, rate in enumerate((0.0, 0.2)):
+            rows.append((10_000 + 10 * i + j, " ".join([*voc[i * 20:i * 20 + 60], *edited(rnd, p.split(), rate, voc), *voc[i * 30:i * 30 + 40]])))
+    want = set()
+    for item, p in passages:
+        a = dc.BareWords(pa.array([p])).hash
+        for k, t in rows:
+            b = dc.BareWords(pa.array([t])).hash
+            same = dc.align(a, b)[1]
+            run = any(dc.has_run(a, b[max(s, 0):s + len(a)], max(-s, 0)) for s in range(-len(a) + 1, len(b)) if len(b[max(s, 0):s + len(a)]))
+            if len(b) and (run or dc.is_contaminated(same, len(a))):
+                want.add((k, item))
+    got = dc.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(passages, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want and len(want) >= 24
+
+
+def test_phrases_of_many_items_seed_in_pairs(spark, monkeypatch):
+    rnd = random.Random(5)
+    phrase = "which of the following statements about the passage above is the one that fits best"
+    made = [(i, f"{phrase} {' '.join(f'w{rnd.randrange(40)}' for _ in range(6))}") for i in range(300)] + [(1_000 + i, phrase) for i in range(3)]
+    docs = [(1, f"some words before {made[7][1]} and after"), (2, "a quiet text about nothing of the kind at all"), (3, f"x {phrase} y"),
+            (4, " ".join(w if i % 7 else "zz" for i, w in enumerate(made[9][1].split())))]
+    df, its = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(made, "item_id long, text string")
+    block, _ = next(dc.blocks(its, "item_id", "text"))
+    assert len(block.common) > 5 and max(map(len, block.ids)) == 3
+    found = {(r.doc_id, r.item_id) for r in dc.contaminated(df, its).collect()}
+    monkeypatch.setattr(dc, "MOST_OWNERS", 10**9)  # every n-gram seeds by itself
+    assert found == {(r.doc_id, r.item_id) for r in dc.contaminated(df, its).collect()}
+    assert {(1, 7), (3, 1_000), (3, 1_001), (3, 1_002), (4, 9)} <= found and not any(d == 2 for d, _ in found)
+
+
+def test_long_items_align_in_bounded_memory():
+    import tracemalloc
+    rng = np.random.default_rng(1)
+    item = rng.integers(0, 1 << 40, 20_000).astype(np.uint64)
+    part = np.concatenate((rng.integers(0, 1 << 40, 3_000), item[4_000:16_000], rng.integers(0, 1 << 40, 3_000))).astype(np.uint64)
+    tracemalloc.start()
+    score, same, first, end = dc.align(item, part)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (score, same, first, end) == (24_000.0, 12_000, 3_000, 15_000) and peak < 120 << 20
+
+
+def test_blocks_are_written_one_by_one(spark, items, documents, monkeypatch):
+    df = spark.createDataFrame(documents[:80], "doc_id long, text string")
+    whole = {tuple(r) for r in dc.contaminated(df, items).collect()}, {r.doc_id for r in dc.drop_contaminated(df, items).collect()}
+    monkeypatch.setattr(dc, "BLOCK_BYTES", 1 << 9)
+    assert whole == ({tuple(r) for r in dc.contaminated(df, items).collect()}, {r.doc_id for r in dc.drop_contaminated(df, items).collect()})
