@@ -1,20 +1,27 @@
 """Personal data by candidate gradient boosting.
 
 ``base_spans`` finds what strict patterns with checks accept (the base, always kept).  High-recall generators
-propose further spans, which may overlap each other.  Boosted trees score each candidate by its format and
-its context.  They learn from the base: a candidate that equals a base span is positive, any other negative;
-what the base checks decide by (a leading plus, the check digit, the size of an octet) isn't a feature, so the
-trees must go by the look of the span and its surroundings.  On a held-out fold, each kind gets the smallest
-threshold whose spans keep the wanted precision; a kind without one adds nothing.  The selected candidates
-that meet no base span, and no better candidate, are added.
+propose further spans, which may overlap each other but no base span.  Boosted trees score each candidate by its
+format and its context.  They learn base spans against all other candidates; what the base decides by (a leading
+plus, the check digit, the size of an octet) isn't a feature, so the trees go by the look of a span and its surroundings.
+
+The other candidates are unlabelled rather than negative: some are personal data in a format that the base doesn't
+know.  Certain negatives are those that can't be: a check digit or octet that is wrong, too many or too few digits, a domain
+without a top level.  They are never added.  On a held-out fold, the scores of a kind are cut into bins, and two shares that
+grow with the score are fitted to them (pooled where neighbours disagree): base spans among base spans and certain negatives,
+and base spans among base spans and unlabelled candidates.  The threshold is the smallest bin where the first is at least
+``LEAST_PRECISION``, the second at least ``LEAST_KNOWN`` (up to 1 - ``LEAST_KNOWN`` of a kind's cases may be in other
+formats) and that ``LEAST_SUPPORT`` base spans reach.  A kind without such a bin adds nothing.
 
 Positions are code points, end exclusive.  Everything is DataFrame functions over one row at a time: matches
-and gaps of a pattern give the positions, the learned trees are ``when`` expressions.  Only the scored
-candidate counts by bin reach the driver.
-
-Defined cases: null text is empty text and has no spans; ties between overlapping candidates go to the earlier
-start, then the longer span, then the order of kinds; repeated rows each count and each give a row; an input
-without candidates of both classes trains nothing and keeps the base.
+and gaps of a pattern give the positions, the learned trees are ``when`` expressions.  Running positions, overlaps and
+choices are sweeps over sorted arrays in chunks, so a text with 100,000 matches takes time in proportion.  Only the
+scored candidate counts by bin reach the driver.
+
+Defined cases: null text is empty text and has no spans; of overlapping selected candidates the earliest start wins, then
+the longest, the highest score, the order of kinds; repeated rows each count and each give a row; a very long text is
+searched whole; a name in ``keep`` that is also a result's is refused, other columns are dropped; an input without candidates of
+both classes, as an empty table, trains nothing and keeps the base.
 """
 
 from __future__ import annotations
@@ -51,11 +58,14 @@ GENERATORS = [
 #: Candidates that the trees learn from (a hash sample of all candidates, so that fitting stays bounded).
 TRAIN_ROWS = 20_000
 TREES, TREE_DEPTH = 16, 3
-LEAST_PRECISION = 0.98
-#: Held-out candidates that a threshold must rest on.
+LEAST_PRECISION = 0.9
+LEAST_KNOWN = 0.6
+#: Held-out base spans that a threshold must rest on.
 LEAST_SUPPORT = 20
 BINS = 200
 CONTEXT = 24
+#: Elements of an array that a sweep handles at once, and characters of a block of text.
+SWEEP, BLOCK = 256, 4096
 
 FEATURES = ["length", "digits", "letters", "dots", "dashes", "spaces", "parens", "groups", "first_group", "last_group", "longest_group",
             "before", "after", "cue_email", "cue_ip", "cue_card", "cue_phone", "digits_near"]
@@ -67,19 +77,51 @@ def _count(s: Column, chars: str) -> Column:
     return F.length(F.regexp_replace(s, f"[^{chars}]", "")).cast("double")
 
 
-def _found(text: Column, pattern: str, gate: str) -> Column:
-    """array<struct<s, e, m>> of the pattern's matches: the gaps between matches give their places."""
+def _let(value: Column, use) -> Column:
+    """use(value) with the value computed once: an expression inside a lambda is computed anew for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _sweep(rows: Column, zero: Column, step, emit) -> Column:
+    """[emit(state, x) for x in rows] where state begins with ``zero`` and becomes step(state, x).
+
+    An array that grows by one element is copied each time, so results are gathered in chunks of ``SWEEP``.
+    """
+    def of(r: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size(r) / SWEEP).cast("int") - 1)), lambda i: F.slice(r, i * SWEEP + 1, SWEEP))
+        none = F.filter(F.transform(F.slice(r, 1, 1), lambda x: emit(zero, x)), lambda x: F.lit(False))
+
+        def inner(state: Column, chunk: Column) -> Column:
+            return F.aggregate(chunk, F.struct(state.alias("st"), none.alias("out")),
+                               lambda a, x: F.struct(step(a["st"], x).alias("st"), F.concat(a["out"], F.array(emit(a["st"], x))).alias("out")))
+
+        def outer(a: Column, chunk: Column) -> Column:
+            return _let(inner(a["st"], chunk), lambda x: F.struct(x["st"].alias("st"), F.concat(a["out"], F.array(x["out"])).alias("out")))
+
+        return F.flatten(F.aggregate(chunks, F.struct(zero.alias("st"), F.filter(F.array(none), lambda x: F.lit(False)).alias("out")), outer, lambda a: a["out"]))
+
+    return _let(rows, of)
+
+
+def _found(text: Column, pattern: str, gate: str, context: bool = False) -> Column:
+    """array<struct<s, e, m>> of the pattern's matches, with ``context`` also the characters to the ``left`` and ``right``:
+    the gaps between matches give their places."""
     gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    none = F.array().cast("array<struct<s:int,e:int,m:string>>")
-    first = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    n, edge = F.size(hits), F.array(F.lit(""))
+    some = F.greatest(n - 1, F.lit(0))
+    parts = {"g": F.slice(gaps, 1, n), "m": hits}
+    if context:
+        parts |= {"pm": F.concat(edge, F.slice(hits, 1, some)), "ng": F.slice(gaps, 2, n), "nm": F.concat(F.slice(hits, 2, some), edge)}
+    rows = F.arrays_zip(*[v.alias(k) for k, v in parts.items()])
 
-    def step(acc, x):
-        s = acc["at"] + F.length(x["g"])
-        e = s + F.length(x["m"])
-        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m")))).alias("out"))
+    def emit(at: Column, x: Column) -> Column:
+        s = at + F.length(x["g"])
+        more = [F.right(F.concat(x["pm"], x["g"]), F.lit(CONTEXT)).alias("left"), F.left(F.concat(x["ng"], x["nm"]), F.lit(CONTEXT)).alias("right")] if context else []
+        return F.struct(s.alias("s"), (s + F.length(x["m"])).alias("e"), x["m"].alias("m"), *more)
 
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
-    return F.when(text.rlike(gate), F.aggregate(pairs, first, step, lambda acc: acc["out"])).otherwise(none)
+    kind = "array<struct<s:int,e:int,m:string" + (",left:string,right:string" if context else "") + ">>"
+    swept = _sweep(rows, F.lit(0), lambda at, x: at + F.length(x["g"]) + F.length(x["m"]), emit)
+    return F.when(text.rlike(gate), swept.cast(kind)).otherwise(F.array().cast(kind))
 
 
 def _valid(kind: str, m: Column) -> Column:
@@ -111,11 +153,17 @@ def tagged(base: dict[str, Column]) -> Column:
     return F.array_sort(F.concat(*[of(k) for k in range(len(KINDS))]))
 
 
-def _features(text: Column, x: Column) -> Column:
+def _possible(kind: str, m: Column) -> Column:
+    """Whether a candidate can be personal data of its kind, whatever its format."""
+    if kind == "email":
+        plain = F.regexp_replace(F.regexp_replace(m, r"\s", ""), r"[(\[]dot[)\]]", ".")
+        return plain.rlike(r"[A-Za-z0-9].*(?:@|at[)\]]).*\.[A-Za-z]{2,}$")
+    return _valid(kind, F.regexp_replace(m, ":", ".") if kind == "ip" else m)
+
+
+def _features(x: Column) -> Column:
     """array<double> of a candidate's format and context, in the order of FEATURES."""
-    m = x["m"]
-    left = F.substring(text, F.greatest(F.lit(1), x["s"] + 1 - CONTEXT), F.least(F.lit(CONTEXT), x["s"]))
-    right = F.substring(text, x["e"] + 1, F.lit(CONTEXT))
+    m, left, right = F.ltrim(x["m"], F.lit("+")), x["left"], x["right"]  # the base needs the plus, other formats may lack it
     near = F.lower(left)
     groups = F.filter(F.split(m, "[^0-9]+"), lambda g: g != "")
 
@@ -136,19 +184,52 @@ def _features(text: Column, x: Column) -> Column:
     return F.array(*[F.coalesce(values[f], F.lit(0.0)) for f in FEATURES])
 
 
-def candidates(text: Column, base: Column) -> Column:
-    """array<struct<s, k, e, y, f>>: proposals of all generators; y tells whether the base accepts the very span.
-    ``base`` is the column of ``tagged`` base spans."""
+def _free(found: Column, base: Column) -> Column:
+    """The candidates that meet no base span: a sweep from the left knows the furthest end of base spans so far, one from
+    the right the next start."""
+    ends = F.transform(base, lambda b: F.struct(b["s"].alias("s"), F.lit(0).alias("t"), b["e"].alias("e"), F.get(F.slice(found, 1, 0), F.lit(0)).alias("c")))
+    ours = F.transform(found, lambda c: F.struct(c["s"].alias("s"), F.lit(1).alias("t"), c["e"].alias("e"), c.alias("c")))
+
+    def marked(state: Column, x: Column, hit: Column) -> Column:
+        return F.struct(x["s"].alias("s"), x["t"].alias("t"), x["e"].alias("e"), x["c"].alias("c"), hit.alias("hit"))
+
+    forth = _sweep(F.array_sort(F.concat(ends, ours)), F.lit(0), lambda top, x: F.when(x["t"] == 0, F.greatest(top, x["e"])).otherwise(top),
+                   lambda top, x: marked(top, x, top > x["s"]))
+    back = _sweep(F.reverse(forth), F.lit(2**31 - 1), lambda low, x: F.when(x["t"] == 0, x["s"]).otherwise(low),
+                  lambda low, x: marked(low, x, x["hit"] | (low < x["e"])))
+    kept = F.transform(F.filter(back, lambda x: (x["t"] == 1) & ~x["hit"]), lambda x: x["c"])
+    return F.when((F.size(base) == 0) | (F.size(found) == 0), found).otherwise(kept)
+
+
+def _proposed(text: Column) -> Column:
+    """array<struct<s, e, k, m, left, right>>: proposals of all generators."""
     def of(kind: str, pattern: str, gate: str) -> Column:
-        k = KINDS.index(kind)
-        return F.transform(_found(text, pattern, gate), lambda x: F.struct(
-            x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e"),
-            F.exists(base, lambda b: (b["k"] == k) & (b["s"] == x["s"]) & (b["e"] == x["e"])).alias("y"),
-            _features(text, x).alias("f")))
+        return F.transform(_found(text, pattern, gate, context=True), lambda x: F.struct(
+            x["s"].alias("s"), x["e"].alias("e"), F.lit(KINDS.index(kind)).alias("k"), x["m"].alias("m"), x["left"].alias("left"), x["right"].alias("right")))
 
     return F.concat(*[of(*g) for g in GENERATORS])
 
 
+def _any_kind(k: Column, test) -> Column:
+    return reduce(lambda rest, i: F.when(k == i, test(KINDS[i])).otherwise(rest), range(len(KINDS)), F.lit(False))
+
+
+def candidates(proposed: Column, base: Column) -> Column:
+    """array<struct<s, k, e, v, f>>: proposals that meet no base span, whether they can be personal data, and their features.
+    ``proposed`` is the column of ``_proposed``, ``base`` that of ``tagged``."""
+    return F.transform(_free(proposed, base), lambda x: F.struct(
+        x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), _any_kind(x["k"], lambda kind: _possible(kind, x["m"])).alias("v"), _features(x).alias("f")))
+
+
+def known(text: Column) -> Column:
+    """array<struct<s, k, e, v, f>>: the base spans as examples, with their features."""
+    def of(kind: str) -> Column:
+        hits = F.filter(_found(text, BASE[kind], GATE[kind], context=True), lambda x: _valid(kind, x["m"]))
+        return F.transform(hits, lambda x: F.struct(x["s"].alias("s"), F.lit(KINDS.index(kind)).alias("k"), x["e"].alias("e"), F.lit(True).alias("v"), _features(x).alias("f")))
+
+    return F.concat(*[of(kind) for kind in KINDS])
+
+
 @dataclass
 class Boost:
     """Learned trees as nested lists [feature, threshold, left, right] or a leaf value, and thresholds by kind."""
@@ -191,9 +272,12 @@ def fit(df: DataFrame, text: str = "text", seed: int = 1) -> Boost:
     from pyspark.ml.feature import VectorAssembler
 
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    src = df.select(body.alias("text")).withColumn("base", tagged(base_spans(F.col("text"))))
-    each = src.select(F.xxhash64("text").alias("h"), F.explode(candidates(F.col("text"), F.col("base"))).alias("c"))
-    rows = written(each.select("c.k", "c.y", "c.f", F.xxhash64(F.lit(seed), "h", "c.s", "c.e").alias("h")), "candidates")
+    src = df.select(body.alias("text"), F.xxhash64(body).alias("h")).withColumn("known", known(F.col("text"))).withColumn("proposed", _proposed(F.col("text")))
+    src = src.where("size(known) > 0 OR size(proposed) > 0")
+    both = [F.transform("known", lambda c: F.struct(F.lit(True).alias("y"), c.alias("c"))),
+            F.transform(candidates(F.col("proposed"), F.col("known")), lambda c: F.struct(F.lit(False).alias("y"), c.alias("c")))]
+    each = src.select("h", F.explode(F.concat(*both)).alias("r"))
+    rows = written(each.select("r.c.k", "r.y", "r.c.v", "r.c.f", F.xxhash64(F.lit(seed), "h", "r.c.s", "r.c.e").alias("h")), "candidates")
     fold = F.pmod("h", F.lit(5)) == 0
     n = rows.where(~fold).agg(F.count("*").alias("n"), F.count_if("y").alias("y")).first()
     if not n["y"] or n["y"] == n["n"]:
@@ -205,45 +289,53 @@ def fit(df: DataFrame, text: str = "text", seed: int = 1) -> Boost:
     model = GBTClassifier(maxIter=TREES, maxDepth=TREE_DEPTH, stepSize=0.3, seed=seed).fit(packed.select("features", "label").coalesce(1))
     out = Boost([_tree(t._java_obj.rootNode() if hasattr(t, "_java_obj") else t.rootNode()) for t in model.trees], list(model.treeWeights))
     p = out.probability(F.col("f"), F.col("k"))
-    bins = rows.where(fold).groupBy("k", F.floor(p * BINS).cast("int").alias("bin")).agg(F.count("*").alias("n"), F.count_if("y").alias("y")).collect()
+    counts = rows.where(fold).groupBy("k", F.floor(p * BINS).cast("int").alias("bin")).agg(
+        F.count_if("y").alias("y"), F.count_if(~F.col("y") & F.col("v")).alias("open"), F.count_if(~F.col("y") & ~F.col("v")).alias("not")).collect()
     for k in range(len(KINDS)):
-        total = good = 0
-        for b in sorted((r for r in bins if r["k"] == k), key=lambda r: -r["bin"]):
-            total, good = total + b["n"], good + b["y"]
-            if good < LEAST_PRECISION * total:
-                break
-            if total >= LEAST_SUPPORT:
-                out.thresholds[k] = b["bin"] / BINS
+        out.thresholds[k] = threshold(sorted((r["bin"], r["y"], r["open"], r["not"]) for r in counts if r["k"] == k))
+    return out
+
+
+def rising(counts: list[tuple[int, int]]) -> list[float]:
+    """Shares good / (good + bad) that never fall from one bin to the next: neighbours that disagree are pooled."""
+    pools: list[list[float]] = []  # good, all, bins
+    for good, bad in counts:
+        pools.append([good, good + bad, 1])
+        while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
+            last = pools.pop()
+            pools[-1] = [x + y for x, y in zip(pools[-1], last)]
+    return [g / n if n else 0.0 for g, n, size in pools for _ in range(int(size))]
+
+
+def threshold(bins: list[tuple[int, int, int, int]]) -> float:
+    """Of (bin, base spans, unlabelled, certain negatives) in order of bins: where the smallest good bin begins, 2 without one."""
+    sure, seen = rising([(y, no) for _, y, _, no in bins]), rising([(y, u) for _, y, u, _ in bins])
+    above, out = 0, 2.0
+    for (b, y, _, _), p, q in zip(reversed(bins), reversed(sure), reversed(seen)):
+        above += y
+        if above >= LEAST_SUPPORT and p >= LEAST_PRECISION and q >= LEAST_KNOWN:
+            out = b / BINS
     return out
 
 
 def find_spans(df: DataFrame, model: Boost, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns, ``text`` (null becomes empty), ``base`` and ``spans``: array<struct<s, k, e>> by start,
     then kind; ``k`` is the place in KINDS."""
+    if clash := sorted({"text", "base", "spans"} & set(keep or [])):
+        raise ValueError(f"columns to keep have names of results: {', '.join(clash)}")
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     rows = df.select(*[F.col(f"`{c}`") for c in keep or []], body.alias("text")).withColumn("base", tagged(base_spans(F.col("text"))))
     if not model.trees or min(model.thresholds) > 1:
         return rows.withColumn("spans", F.col("base"))
-
-    def meets(a: Column, b: Column) -> Column:
-        return (a["s"] < b["e"]) & (b["s"] < a["e"])
-
-    def order(x: Column) -> list[Column]:
-        return [-x["p"], x["s"], -x["e"], x["k"]]
-
-    def before(a: Column, b: Column) -> Column:
-        out = F.lit(False)
-        for x, y in reversed(list(zip(order(a), order(b)))):
-            out = (x < y) | ((x == y) & out)
-        return out
-
-    scored = F.transform(F.filter(F.col("cand"), lambda c: ~c["y"] & ~F.exists(F.col("base"), lambda b: meets(b, c))),
-                         lambda c: F.struct(c["s"].alias("s"), c["k"].alias("k"), c["e"].alias("e"), model.probability(c["f"], c["k"]).alias("p")))
-    chosen = F.filter(scored, lambda c: c["p"] >= model.threshold(c["k"]))
-    added = F.filter(F.col("chosen"), lambda c: ~F.exists(F.col("chosen"), lambda d: meets(c, d) & before(d, c)))
-    rows = rows.withColumn("cand", candidates(F.col("text"), F.col("base"))).withColumn("chosen", chosen)
-    spans = F.array_sort(F.concat("base", F.transform(added, lambda c: F.struct(c["s"].alias("s"), c["k"].alias("k"), c["e"].alias("e")))))
-    return rows.withColumn("spans", spans).drop("cand", "chosen")
+    scored = F.transform(F.filter(F.col("__cand"), lambda c: c["v"]), lambda c: F.struct(
+        c["s"].alias("s"), (-c["e"]).alias("ends"), (-model.probability(c["f"], c["k"])).alias("p"), c["k"].alias("k")))
+    chosen = F.array_sort(F.filter(scored, lambda c: -c["p"] >= model.threshold(c["k"])))
+    swept = _sweep(F.col("__chosen"), F.lit(0), lambda end, c: F.when(c["s"] >= end, -c["ends"]).otherwise(end),
+                   lambda end, c: F.struct(c["s"].alias("s"), c["k"].alias("k"), (-c["ends"]).alias("e"), (c["s"] >= end).alias("first")))
+    added = F.transform(F.filter(swept, lambda c: c["first"]), lambda c: F.struct(c["s"].alias("s"), c["k"].alias("k"), c["e"].alias("e")))
+    rows = rows.withColumn("__found", _proposed(F.col("text"))).withColumn("__cand", candidates(F.col("__found"), F.col("base"))).withColumn("__chosen", chosen)
+    spans = F.when(F.size("__chosen") > 0, F.array_sort(F.concat("base", added))).otherwise(F.col("base"))
+    return rows.withColumn("spans", spans).drop("__found", "__cand", "__chosen")
 
 
 def counted(spans: Column) -> list[Column]:
@@ -263,10 +355,18 @@ def listed(spans: Column) -> Column:
 def redacted(text: Column, spans: Column) -> Column:
     """The text with each span replaced by its kind in brackets; overlapping spans take the first one's name."""
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc, x):
-        add = F.concat(F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), F.element_at(names, x["k"] + 1))
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(x["s"] >= acc["at"], F.concat(acc["out"], add)).otherwise(acc["out"]).alias("out"))
-
-    return F.when(F.size(spans) > 0, F.aggregate(spans, first, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))).otherwise(text)
+    last = F.greatest(F.lit(0), F.ceil(F.length(text) / BLOCK).cast("int") - 1)
+    blocks = F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(text, i * BLOCK + 1, F.lit(BLOCK)))
+    # a substring is counted off from its text's start, so pieces are taken from blocks
+    cuts = _sweep(spans, F.lit(0), lambda at, x: F.greatest(at, x["e"]), lambda at, x: F.struct(at.alias("a"), x["s"].alias("b"), x["k"].alias("k")))
+    every = F.concat(F.filter(cuts, lambda c: c["b"] >= c["a"]), F.array(F.struct(
+        F.array_max(F.transform(spans, lambda x: x["e"])).alias("a"), F.length(text).alias("b"), F.lit(-1).alias("k"))))
+
+    def piece(blocks: Column, c: Column) -> Column:
+        low = F.floor(c["a"] / BLOCK).cast("int")
+        part = F.array_join(F.slice(blocks, low + 1, F.ceil(c["b"] / BLOCK).cast("int") - low + 1), "")
+        kept = F.when(c["b"] > c["a"], F.substring(part, c["a"] - low * BLOCK + 1, c["b"] - c["a"])).otherwise(F.lit(""))
+        return F.concat(kept, F.when(c["k"] >= 0, F.element_at(names, c["k"] + 1)).otherwise(F.lit("")))
+
+    joined = _let(blocks, lambda x: F.array_join(F.transform(every, lambda c: piece(x, c)), ""))
+    return F.when(F.size(spans) > 0, joined).otherwise(text)

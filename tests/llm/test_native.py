@@ -1,11 +1,13 @@
 """Sharding, personal data and URL templates: invariants, brute force, and no Python on the executors."""
 
 import hashlib
+import random
 import re
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cohort.llm import pii_boost, queries, shard_matrix, url_templates
 from llm_cases import NAMES, ODD_TEXTS, SF, base, line
@@ -95,18 +97,76 @@ def test_tricky_texts_redaction_and_odd_rows(spark, empty):
     assert pii_boost.find_spans(empty, pii_boost.Boost(), keep=["doc_id"]).count() == 0
 
 
-def test_trees_learn_formats_and_add_spans(spark, monkeypatch):
-    monkeypatch.setattr(pii_boost, "LEAST_SUPPORT", 5)
-    rows = []
-    for i in range(300):
-        rows.append((i, f"please call +1 ({100 + i}) 555-{1000 + i} today, order {i}{i}{i} 77 {10**9 + i * 7919} or 12 34 {i} 99 88 77 66"))
-    rows.append((999, "please call 1 (321) 555-4321 today"))
+def numbers(share, n=1_500):
+    """Texts with phone numbers, a share of them without the plus, and order numbers that look otherwise; (row, the new format's spans)."""
+    rnd, rows, new = random.Random(7), [], {}
+    for i in range(n):
+        plain = rnd.random() < share
+        phone = f"{'' if plain else '+'}1 ({rnd.randint(200, 999)}) 555-{rnd.randint(1000, 9999)}"
+        head = f"dear customer, please call "
+        rows.append((i, f"{head}{phone} today about order {rnd.randint(10**9, 10**10)} of lot {rnd.randint(10, 99)} {rnd.randint(10, 99)} {rnd.randint(10**5, 10**6)}"))
+        if plain:
+            new[i] = (len(head), len(head) + len(phone))
+    return rows, new
+
+
+@pytest.mark.parametrize("share", [0.01, 0.05, 0.3])
+def test_unknown_formats_are_found_at_production_parameters(spark, share):
+    rows, new = numbers(share)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     model = pii_boost.fit(df)
     assert model.trees and model.thresholds[NAMES.index("phone")] <= 1
-    out = {r.doc_id: r for r in pii_boost.find_spans(df, model, keep=["doc_id"]).collect()}
-    assert [(x.s, x.e) for x in out[999].spans] == [(12, 28)] and out[999].base == []
-    assert all(list(out[i].base) == [x for x in out[i].spans if x in out[i].base] for i in range(300))
+    found = pii_boost.find_spans(df, model, keep=["doc_id"])
+    assert native(found)
+    out = {r.doc_id: r for r in found.collect()}
+    more = {i: {(x.s, x.e) for x in r.spans} - {(x.s, x.e) for x in r.base} for i, r in out.items()}
+    caught = sum(new[i] in more[i] for i in new)
+    wrong = sum(len(m - {new.get(i)}) for i, m in more.items())
+    assert len(new) >= 5 and caught >= 0.9 * len(new) and wrong <= 0.02 * len(rows)
+    assert all(set(r.base) <= set(r.spans) for r in out.values())
+
+
+def test_look_alikes_without_known_spans_add_nothing(spark):
+    rows, _ = numbers(1.0, 600)
+    model = pii_boost.fit(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert min(model.thresholds) > 1
+
+
+def test_thresholds_scan_all_bins():
+    good = [(b, 10, 2, 0) for b in range(100, 200)]
+    assert pii_boost.threshold(good) == 0.5
+    assert pii_boost.threshold(good[:50] + [(150, 0, 1, 1)] + good[51:]) == 0.5  # one odd bin is pooled
+    assert pii_boost.threshold([(10, 0, 500, 0), *good]) == 0.5 and pii_boost.threshold([(10, 0, 0, 500), *good]) == 0.5
+    assert pii_boost.threshold([(b, 1, 0, 0) for b in range(5)]) == 2.0  # too few
+    assert pii_boost.threshold([]) == 2.0
+    shares = pii_boost.rising([(0, 4), (3, 1), (1, 3), (8, 0)])
+    assert shares == [0.0, 0.5, 0.5, 1.0]
+
+
+def test_a_text_with_100_000_addresses(spark):
+    import time
+    text = " ".join(f"user{i}@host{i % 97}.example" for i in range(100_000))
+    df = spark.createDataFrame([(1, text), (2, "+1 (321) 555-4321 " * 3_000)], "doc_id long, text string")
+    model = pii_boost.Boost([[pii_boost.FEATURES.index("digits"), 3.0, -1.0, 1.0]], [1.0], [0.5] * 4)
+    t0 = time.time()
+    rows = pii_boost.find_spans(df, model, keep=["doc_id"])
+    out = {r.doc_id: r for r in rows.select("doc_id", F.size("base").alias("n"), F.size("spans").alias("m"), pii_boost.redacted(F.col("text"), F.col("spans")).alias("r")).collect()}
+    assert time.time() - t0 < 120
+    assert out[1].n == out[1].m == 100_000 and out[1].r == " ".join(["[EMAIL]"] * 100_000) and out[2].n == 3_000
+
+
+def brute_free(found, base):
+    return [c for c in found if not any(b[0] < c[1] and c[0] < b[1] for b in base)]
+
+
+def test_candidates_that_meet_a_base_span_are_left_out(spark):
+    rnd, rows = random.Random(1), []
+    for i in range(200):
+        spans = lambda n: sorted((s, s + rnd.randint(1, 9)) for s in (rnd.randrange(120) for _ in range(n)))
+        rows.append((i, spans(rnd.randint(0, 12)), spans(rnd.randint(0, 12))))
+    df = spark.createDataFrame(rows, "i int, found array<struct<s:int,e:int>>, base array<struct<s:int,e:int>>")
+    got = df.select("i", F.transform(pii_boost._free(F.col("found"), F.col("base")), lambda x: F.array(x["s"], x["e"])).alias("x")).collect()
+    assert {r.i: sorted(map(tuple, r.x)) for r in got} == {i: sorted(brute_free(f, b)) for i, f, b in rows}
 
 
 # ---- urls --------------------------------------------------------------------------
