@@ -25,6 +25,8 @@ from cohort.operators.split import fold_assignment, class_counts, choose_cv_fold
 from cohort.operators.ordered import previous_rows
 
 LABEL = "label"        # 1.0 = Pass, 0.0 = Fail
+#: Rows that one task of an iterative fit reads per pass, at least where there are as many.
+ROWS_PER_PART = 20_000
 # ---- fixed values (model settings) ------------------------------------------
 MODEL_NAMES = {"tree": "Decision Tree Classifier", "logistic": "Logistic Regression",
                "forest": "Random Forest Classifier"}
@@ -76,6 +78,11 @@ def labelled(df: DataFrame, target, features: list[str], key: str) -> DataFrame:
             .withColumn(LABEL, F.when(F.col("_t") == PASS, 1.0).otherwise(0.0)).drop("_t"))
 
 
+def few_parts(df: DataFrame, rows: int) -> DataFrame:
+    """As many partitions as the rows need at most: an iterative fit starts tasks for each of them in every pass."""
+    return df.coalesce(max(1, -(-rows // ROWS_PER_PART)))
+
+
 def fit(df: DataFrame, kind: str, features: list[str], seed: int = 42, prepared: TablePrepModel | None = None, **kw) -> PipelineModel:
     """Fit one pipeline; the (narrow) training frame is persisted for the duration of the fit.
 
@@ -83,7 +90,8 @@ def fit(df: DataFrame, kind: str, features: list[str], seed: int = 42, prepared:
     data = df.persist()
     try:
         prepared = prepared or TablePrep(**dict(zip(("numeric", "categorical"), split_features(df, features)))).fit(data)
-        return Pipeline(stages=[prepared, classifier(kind, prepared.getOrDefault("rows"), seed, **kw)]).fit(data)
+        rows = prepared.getOrDefault("rows")
+        return Pipeline(stages=[prepared, classifier(kind, rows, seed, **kw)]).fit(few_parts(data, rows))
     finally:
         data.unpersist()
 

@@ -104,9 +104,7 @@ def q_score_table(spark, sf_dir):
     roles = detect_roles(df)
     from cohort.operators import kpi
     target = kpi.target_column(df, roles, kpi.scale_stats(df, roles), "fail")
-    # target and features in one projection, read by the fit and by the scoring
     feats, _, _ = clean.model_features(df.withColumn("_t", target), roles.prediction_features, keep=["student_id", "_t"])
-    feats = feats.persist()
     model, _ = score.train_scoring_model(feats, F.col("_t"))
     limits = clean.data_limits(clean.field_ranges(df, roles.prediction_features))
     return score.with_rejects(*score.score_table(model, feats.drop("_t"), ["student_id"], limits))
