@@ -186,64 +186,119 @@ def rule(host, path):
     return best
 
 
-def brute_verdicts(urls):
-    """Path templates, level by level, in plain Python."""
+NUMBER = r"[0-9]+(\.[A-Za-z0-9]{1,5})?"
+
+
+def brute_branches(kids):
+    """(segment, labelled, blocked) by rate and segment, in branches; each is tested against its branch's pooled counts."""
+    done, segs, l, b = [], [], 0, 0
+    for s, n, k in sorted(kids, key=lambda x: (x[2] / x[1], x[0])):
+        pooled = (b + k) / (l + n)
+        apart = l and 0 < pooled < 1 and (k / n - b / l) / (pooled * (1 - pooled) * (1 / n + 1 / l)) ** 0.5 >= url_templates.Z
+        if apart:
+            done, segs, l, b = [*done, segs], [], 0, 0
+        segs, l, b = [*segs, s], l + n, b + k
+    return [*done, segs]
+
+
+def brute_templates(urls, labels=None):
+    """{(host, path): (template, purity, labelled pages of the template)}: the tree in plain Python, level by level."""
     rows = {}
-    for u in urls:
+    for i, u in enumerate(urls):
         key = parse(u)
-        rows.setdefault(key, [0, 0, 0])
-        rows[key][0] += 1
         r = rule(*key)
-        if r:
-            rows[key][1] += 1
-            rows[key][2] += r[0] == "block"
-    node = {k: "" for k in rows}
+        mark = labels[i] if labels else {"block": 1, "allow": 0}[r[0]] if r else None
+        x = rows.setdefault(key, [0, 0, 0, False])
+        x[0], x[1], x[2], x[3] = x[0] + 1, x[1] + (mark is not None), x[2] + (mark or 0), x[3] or r is None
+    total = sum(x[1] for x in rows.values())
+    prior = sum(x[2] for x in rows.values()) / total if total else 0.0
     segs = {k: [s for s in k[1].split("/") if s] for k in rows}
-    for d in range(url_templates.DEPTH):
-        children = {}
-        for k, (n, l, b) in rows.items():
-            if d < len(segs[k]) and not re.fullmatch(r"[0-9]+(\.[A-Za-z0-9]{1,5})?", segs[k][d]):
-                c = children.setdefault((k[0], node[k]), {}).setdefault(segs[k][d], [0, 0, 0])
+    node, purity, own, out, live, d = dict.fromkeys(rows, ""), dict.fromkeys(rows, prior), {}, {}, list(rows), 0
+
+    def smooth():
+        sums = {}
+        for k in live:
+            t = sums.setdefault((k[0], node[k]), [0, 0, purity[k]])
+            t[0], t[1] = t[0] + rows[k][1], t[1] + rows[k][2]
+        for k in live:
+            l, b, p = sums[k[0], node[k]]
+            purity[k], own[k] = (b + url_templates.PRIOR_ROWS * p) / (l + url_templates.PRIOR_ROWS), l
+
+    smooth()
+    while live:
+        kids, mixed = {}, {}
+        for k in live:
+            n, l, b, is_open = rows[k]
+            at = k[0], node[k]
+            m = mixed.setdefault(at, [False, 0])
+            m[0], m[1] = m[0] or is_open, m[1] + l
+            if d < len(segs[k]) and not re.fullmatch(NUMBER, segs[k][d]):
+                c = kids.setdefault(at, {}).setdefault(segs[k][d], [0, 0, 0])
                 c[0], c[1], c[2] = c[0] + n, c[1] + l, c[2] + b
-        merged, variable = {}, set()
-        for at, kids in children.items():
-            if len(kids) > url_templates.MOST_BRANCHES or len(kids) > url_templates.FEW and 2 * len(kids) >= sum(c[0] for c in kids.values()):
-                variable.add(at)
+        variable = {at for at, c in kids.items() if len(c) > url_templates.MOST_BRANCHES or len(c) > url_templates.FEW and 2 * len(c) >= sum(x[0] for x in c.values())}
+        merged = {}
+        for at, c in kids.items():
+            labelled = [(s, l, b) for s, (_, l, b) in c.items() if l]
+            if at not in variable and labelled:
+                merged.update({(at, s): "|".join(sorted(g)) for g in brute_branches(labelled) if len(g) > 1 for s in g})
+        closed = set()
+        for k in live:
+            at = k[0], node[k]
+            s = segs[k][d] if d < len(segs[k]) else None
+            ends = d >= url_templates.DEPTH and not (mixed[at][0] and mixed[at][1] > 0)
+            if s is None or ends:
+                closed.add(k)
+            if s is None:
                 continue
-            groups, last = [], None
-            for s, (n, l, b) in sorted(((s, c) for s, c in kids.items() if c[1]), key=lambda x: (x[1][2] / x[1][1], x[0])):
-                apart = False
-                if last:
-                    pooled = (b + last[1]) / (l + last[0])
-                    apart = 0 < pooled < 1 and (b / l - last[1] / last[0]) / (pooled * (1 - pooled) * (1 / l + 1 / last[0])) ** 0.5 >= url_templates.Z
-                if last is None or apart:
-                    groups.append([])
-                groups[-1].append(s)
-                last = l, b
-            for g in groups:
-                merged.update({(at, s): "|".join(sorted(g)) for s in g})
-        for k in rows:
-            if d < len(segs[k]):
-                s, at = segs[k][d], (k[0], node[k])
-                wild = re.fullmatch(r"[0-9]+(\.[A-Za-z0-9]{1,5})?", s) or at in variable
-                node[k] += "/*" if wild else "/" + merged.get((at, s), s)
-    sums = {}
-    for k, (n, l, b) in rows.items():
-        node[k] += "/**" if len(segs[k]) > url_templates.DEPTH else ""
-        t = sums.setdefault((k[0], node[k]), [0, 0])
-        t[0], t[1] = t[0] + l, t[1] + b
-    total = sum(l for _, l, _ in rows.values())
-    prior = sum(b for *_, b in rows.values()) / total if total else 0.0
-    out = []
+            if ends:
+                node[k] += "/**"
+            elif re.fullmatch(NUMBER, s):
+                node[k] += "/*"
+            elif at in variable and kids[at][s][1] < url_templates.SUPPORT:
+                node[k] += "/?"
+            else:
+                node[k] += "/" + merged.get((at, s), s)
+        smooth()
+        out.update({k: (node[k], purity[k], own[k]) for k in closed})
+        live, d = [k for k in live if k not in closed], d + 1
+    return out
+
+
+def brute_verdicts(urls, labels=None):
+    tree, out = brute_templates(urls, labels), []
     for u in urls:
         k = parse(u)
         r = rule(*k)
-        l, b = sums[k[0], node[k]]
-        purity = (b + url_templates.PRIOR_ROWS * prior) / (l + url_templates.PRIOR_ROWS)
-        out.append((k[0], k[1], r[1] if r else None, r[0] if r else "block" if purity >= url_templates.LEAST_PURITY else "allow"))
+        _, purity, own = tree[k]
+        out.append((k[0], k[1], r[1] if r else None, r[0] if r else "block" if own and purity >= url_templates.LEAST_PURITY else "allow"))
     return out
 
 
+def test_trees_with_labels_equal_brute_force(spark):
+    rnd = random.Random(11)
+    rates = {}
+    urls, labels = [], []
+    for _ in range(3_000):
+        host = rnd.choice(["a.site", "b.site", "x.example.com"])
+        parts = [rnd.choice([f"d{rnd.randrange(6)}", f"d{rnd.randrange(90)}", str(rnd.randrange(50))]) for _ in range(rnd.randint(0, 6))]
+        top = (host, *parts[:2])
+        rate = rates.setdefault(top, rnd.choice([0.0, 0.1, 0.5, 0.95, 1.0]))
+        urls.append(f"http://{host}/{'/'.join(parts)}")
+        labels.append(None if rnd.random() < 0.3 else int(rnd.random() < rate))
+    for n, host in ((64, "few.site"), (65, "many.site")):  # one child more makes the node variable
+        urls += [f"http://{host}/k{i}/{j}" for i in range(n) for j in range(3)]
+        labels += [int(i < 9) if j < 2 else None for i in range(n) for j in range(3)]
+    df = spark.createDataFrame([(i, u, l) for i, (u, l) in enumerate(zip(urls, labels))], "page_id int, url string, bad int").repartition(4)
+    got = {r.page_id: r for r in url_templates.judge(df, keep=["page_id"], label="bad").collect()}
+    want, tree = brute_verdicts(urls, labels), brute_templates(urls, labels)
+    assert [(got[i].host, got[i].path, got[i].rule, got[i].verdict) for i in range(len(urls))] == want
+    open_ = [i for i in range(len(urls)) if got[i].rule is None]
+    assert all(got[i].template == tree[parse(urls[i])][0] and abs(got[i].purity - tree[parse(urls[i])][1]) < 1e-9 for i in open_)
+    blocked = {want[i][3] for i in open_}
+    assert blocked == {"allow", "block"}
+    assert {got[i].template for i in open_ if got[i].host == "many.site"} != {got[i].template for i in open_ if got[i].host == "few.site"}
+
+
 def test_urls_on_the_table(spark):
     pages = [(r.page_id, r.url) for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
     df = queries.op10_url_templates(spark, SF)
