@@ -5,14 +5,16 @@ Each stage takes (spark, docs, sf_dir) and returns a frame that ``run`` writes a
 the next stage's ``docs``.  All but the last return the columns of ``documents``.
 
 * ``language``: drops documents without a recognised main language.  The model learns from the rows of
-  ``docs`` whose language is given.
+  ``docs`` whose language is given; where none is, every document stays.
 * ``near_duplicates``: of each group of linked documents the one with the smallest doc_id stays.
 * ``decontamination``: drops documents that hold an exact or edited copy of a ``benchmark`` item.
 * ``personal_data``: replaces found spans by their kind in brackets; ``n_chars`` follows the new text.
 * ``encoding``: token ids of each text, their number, and the text that they decode to.
 
-Null and empty texts: the language stage drops them (no letter).  Repeated rows: one stays.  Extra columns are
-carried to the last stage, which returns its own columns.
+Null and empty texts: the language stage drops them (no letter).  Repeated rows: one stays.  Rows that share a doc_id but
+not a text are judged by their own text.  Very long texts go through every stage whole.  Extra columns are carried to the
+last stage, which returns its own columns; names that start with two underscores are the stages' own.  An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
