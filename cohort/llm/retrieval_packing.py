@@ -161,8 +161,8 @@ def fill(ids: np.ndarray, n: np.ndarray, window: int = WINDOW) -> tuple[np.ndarr
             score[used] = 0
             most = 2 * (space // mean) + 16
             found = np.flatnonzero(score > 0)
-            if len(found) > most:
-                found = np.sort(found[np.argpartition(-score[found], most - 1)[:most]])
+            if len(found) > most:  # the best, with all that equal the last of them, are sorted; the next turn finds the others
+                found = found[score[found] >= np.partition(score[found], len(found) - most)[len(found) - most]]
             found = found[np.lexsort((found, -score[found]))]
             found = found[:int(np.searchsorted(np.cumsum(n[found]), space)) + 1]
             if not len(found):

@@ -257,3 +257,11 @@ def test_copies_of_one_row_have_consecutive_ranks(spark):
     assert sorted(ranks) == list(range(1, 101))
     at = [k for k, d in ranks.items() if d == 1]
     assert max(at) - min(at) == 49
+
+
+def test_equal_neighbours_are_taken_in_order_however_many_there_are():
+    rnd = random.Random(8)
+    for _ in range(3):
+        docs = [[rnd.randrange(6)] * rnd.randint(1, 2) for _ in range(900)]
+        got = retrieval_packing.fill(np.array([x for d in docs for x in d]), np.array([len(d) for d in docs]), 16)
+        assert list(zip(*[g.tolist() for g in got])) == brute_fill(docs, 16)
