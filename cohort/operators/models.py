@@ -9,6 +9,7 @@ model adds its members' probabilities side by side, without a join.
 from __future__ import annotations
 
 import time
+import uuid
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, LogisticRegression, RandomForestClassifier)
@@ -23,10 +24,13 @@ from cohort.operators import metrics
 from cohort.operators.prep import TablePrep, TablePrepModel, fit_leave_out
 from cohort.operators.split import fold_assignment, class_counts, choose_cv_folds, stratified_split
 from cohort.operators.ordered import previous_rows
+from cohort.session import scratch_path
 
 LABEL = "label"        # 1.0 = Pass, 0.0 = Fail
 #: Rows that one task of an iterative fit reads per pass, at least where there are as many.
 ROWS_PER_PART = 20_000
+#: Rows of a forest's fit that one task reads per pass: at least, where there are as many, and at most.
+FOREST_ROWS, FOREST_MOST_ROWS = 2_000, 200_000
 # ---- fixed values (model settings) ------------------------------------------
 MODEL_NAMES = {"tree": "Decision Tree Classifier", "logistic": "Logistic Regression",
                "forest": "Random Forest Classifier"}
@@ -83,6 +87,18 @@ def few_parts(df: DataFrame, rows: int) -> DataFrame:
     return df.coalesce(max(1, -(-rows // ROWS_PER_PART)))
 
 
+def forest_parts(df: DataFrame, rows: int) -> DataFrame:
+    """The rows of a forest's fit, dealt to all cores: in every pass a row meets each tree, so one task is too few, and a task
+    sends the sums of all open nodes, so more tasks than cores only add to the shuffle, up to the rows a task can hold."""
+    parts = max(min(df.sparkSession.sparkContext.defaultParallelism, -(-rows // FOREST_ROWS)), -(-rows // FOREST_MOST_ROWS))
+    return df.repartition(parts) if parts > 1 else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt to all cores before a model of many trees scores them: few bytes, so few partitions, are much work."""
+    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def fit(df: DataFrame, kind: str, features: list[str], seed: int = 42, prepared: TablePrepModel | None = None, **kw) -> PipelineModel:
     """Fit one pipeline; the (narrow) training frame is persisted for the duration of the fit.
 
@@ -91,13 +107,15 @@ def fit(df: DataFrame, kind: str, features: list[str], seed: int = 42, prepared:
     try:
         prepared = prepared or TablePrep(**dict(zip(("numeric", "categorical"), split_features(df, features)))).fit(data)
         rows = prepared.getOrDefault("rows")
-        return Pipeline(stages=[prepared, classifier(kind, rows, seed, **kw)]).fit(few_parts(data, rows))
+        parted = forest_parts(data, rows) if kind == "forest" and rows > FOREST_ROWS else few_parts(data, rows)
+        return Pipeline(stages=[prepared, classifier(kind, rows, seed, **kw)]).fit(parted)
     finally:
         data.unpersist()
 
 
 def platt(scores: DataFrame, score: str = "s") -> tuple[float, float]:
     """Sigmoid fit with Platt's smoothed targets as weighted duplicate rows: returns (a, b) of 1/(1+exp(-(a*s+b)))."""
+    scores = scores.select(score, LABEL).persist()  # the model scores each row once
     counts = scores.agg(F.sum(LABEL).alias("pos"), F.count(F.lit(1)).alias("n")).first()
     pos, neg = float(counts.pos or 0), float(counts.n - (counts.pos or 0))
     hi, lo = (pos + 1) / (pos + 2), 1 / (neg + 2)
@@ -109,6 +127,7 @@ def platt(scores: DataFrame, score: str = "s") -> tuple[float, float]:
     va = VectorAssembler(inputCols=["s"], outputCol="features")
     lr = LogisticRegression(labelCol=LABEL, weightCol="w", regParam=0.0, maxIter=200, standardization=False)
     m = lr.fit(va.transform(rows))
+    scores.unpersist()
     return float(m.coefficients[0]), float(m.intercept)
 
 
@@ -240,7 +259,7 @@ def permutation_importance(model, test: DataFrame, features: list[str], key: str
     spark = test.sparkSession
     reps = base.select("*", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("r")).withColumn("_h", F.xxhash64(F.lit(seed), F.col("r"), col(key)))
     donated = previous_rows(reps, "_h", features, ["r"], ties=[key, LABEL, *features])
-    copies = donated.select("*", F.explode(F.sequence(F.lit(0), F.lit(len(features) - 1))).alias("j"))
+    copies = spread(donated).select("*", F.explode(F.sequence(F.lit(0), F.lit(len(features) - 1))).alias("j"))
     mixed = [F.when(F.col("j") == j, F.col(f"_previous.`{c}`")).otherwise(col(c)).alias(c) for j, c in enumerate(features)]
     scored = _predict(model, copies.select(col(key), *mixed, LABEL, "r", "j"))
     f1s = fold_metrics(scored, ["j", "r"]).select("j", "r", "f1")
@@ -379,15 +398,18 @@ def train_forest_regressor(df: DataFrame, features: list[str], target: str, key:
     data = data.withColumn("is_test", h < test_size)
     train, test = data.where(~F.col("is_test")), data.where(F.col("is_test"))
     train = train.persist()
-    pipe = Pipeline(stages=[TablePrep(numeric=numeric, categorical=categorical),
-        RandomForestRegressor(labelCol=LABEL, numTrees=trees, seed=seed, maxDepth=FOREST_DEPTH,
-                              maxMemoryInMB=1024, cacheNodeIds=True)])
-    model = pipe.fit(train)
+    prepared = TablePrep(numeric=numeric, categorical=categorical).fit(train)
+    rows = prepared.getOrDefault("rows")
+    pipe = Pipeline(stages=[prepared, RandomForestRegressor(labelCol=LABEL, numTrees=trees, seed=seed, maxDepth=FOREST_DEPTH,
+                                                            maxMemoryInMB=1024, cacheNodeIds=True)])
+    model = pipe.fit(forest_parts(train, rows) if rows > FOREST_ROWS else train)
     train.unpersist()
-    pred = model.transform(test)
+    path = scratch_path(df.sparkSession, f"forest-{uuid.uuid4().hex}")  # scored once, for both metrics and the caller
+    model.transform(spread(test)).select(key, LABEL, "prediction").write.parquet(path)
+    pred = df.sparkSession.read.parquet(path)
     mae = RegressionEvaluator(labelCol=LABEL, metricName="mae").evaluate(pred)
     r2 = RegressionEvaluator(labelCol=LABEL, metricName="r2").evaluate(pred)
-    return model, pred.select(key, LABEL, "prediction"), {"mae": mae, "r2": r2}
+    return model, pred, {"mae": mae, "r2": r2}
 
 
 def save_model(model: PipelineModel, path: str) -> str:

@@ -11,7 +11,7 @@ from cohort.functions.labels import normalize_target
 from cohort.operators import models, split
 from cohort.plans.common import register, finish, DOCS, STUDENTS
 from cohort.session import scratch_path
-from cohort.sources.fixtures import docs, students
+from cohort.sources.fixtures import docs, stored_students, students
 
 FEATURES = ["n_chars", "lang", "source"]
 KEY = "doc_id"
@@ -153,7 +153,7 @@ def q_top_features(spark, sf_dir):
 
 @register("train_forest_regressor")
 def q_forest_regressor(spark, sf_dir):
-    s = students(spark, sf_dir).dropDuplicates()
+    s = stored_students(spark, sf_dir, distinct=True)
     _, pred, scores = models.train_forest_regressor(s, ["studytime", "absences", "failures", "programme", "support_band"], "g3", "student_id")
     return pred.withColumn("mae", F.lit(scores["mae"])).withColumn("r2", F.lit(scores["r2"]))
 

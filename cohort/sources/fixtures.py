@@ -7,8 +7,12 @@ Pass/Fail tokens and a high-cardinality string column into the order tables.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
+from cohort.session import scratch_path
+
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
@@ -60,6 +64,16 @@ def students(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(STUDENTS_SQL)
 
 
+def stored_students(spark: SparkSession, sf_dir: str, distinct: bool = False) -> DataFrame:
+    """The rows of ``students``, or the distinct ones, written to the shared folder: a query of many passes joins the tables
+    and sums the line items once."""
+    rows = students(spark, sf_dir)
+    rows = rows.dropDuplicates() if distinct else rows
+    path = scratch_path(spark, f"students-{uuid.uuid4().hex}")
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     register(spark, sf_dir, ["documents", "labels"])
     return spark.sql(DOCS_SQL)
