@@ -8,7 +8,7 @@ from cohort.functions import labels as L
 from cohort.operators import clean, score
 from cohort.operators.roles import detect_roles
 from cohort.plans.common import register, finish, STUDENTS
-from cohort.sources.fixtures import students
+from cohort.sources.fixtures import stored_students
 
 # Fixed example coefficients for the literal-coefficient scorer (parameters, not fitted).
 WEIGHTS = {"study_time": 0.8, "absences": -0.3, "failures": -0.9, "previous_grade_1": 0.5, "previous_grade_2": 0.7}
@@ -17,7 +17,7 @@ INTERCEPT = 0.2
 
 def _linear(spark, sf_dir):
     """Every request of the fixture: limits come from the data, rejected requests keep their errors."""
-    df = students(spark, sf_dir)
+    df = stored_students(spark, sf_dir)
     mapping = detect_roles(df).prediction_features
     feats, _, _ = clean.model_features(df, mapping, keep=["student_id"])
     checked = clean.scoring_input_check(feats, clean.data_limits(clean.field_ranges(df, mapping)))
@@ -100,7 +100,7 @@ def q_confidence_band(spark, sf_dir):
 
 @register("score_table")
 def q_score_table(spark, sf_dir):
-    df = students(spark, sf_dir)
+    df = stored_students(spark, sf_dir)
     roles = detect_roles(df)
     from cohort.operators import kpi
     target = kpi.target_column(df, roles, kpi.scale_stats(df, roles), "fail")
@@ -113,7 +113,7 @@ def q_score_table(spark, sf_dir):
 @register("score_average")
 def q_score_average(spark, sf_dir):
     from cohort.operators import models
-    s = students(spark, sf_dir).dropDuplicates()
+    s = stored_students(spark, sf_dir, distinct=True)
     model, _, _ = models.train_forest_regressor(s, ["studytime", "absences", "failures", "programme"], "g3", "student_id")
-    return model.transform(s.select("student_id", "studytime", "absences", "failures", "programme")) \
+    return model.transform(models.spread(s.select("student_id", "studytime", "absences", "failures", "programme"))) \
         .select("student_id", F.col("prediction").alias("predicted_average"))

@@ -10,7 +10,7 @@ from cohort.functions.labels import RISK_AT, RISK_AVERAGE, RISK_HIGH
 from cohort.operators import kpi, segment
 from cohort.operators.roles import detect_roles
 from cohort.plans.common import register, finish, SP
-from cohort.sources.fixtures import students
+from cohort.sources.fixtures import stored_students, students
 
 FEATS = ["g1", "g2", "g3", "studytime", "absences"]
 PERF = ["g1", "g2", "g3"]
@@ -18,7 +18,7 @@ GROUPS = [RISK_AT, RISK_AVERAGE, RISK_HIGH]
 
 
 def _scaled(spark, sf_dir):
-    df = students(spark, sf_dir).dropDuplicates()
+    df = stored_students(spark, sf_dir, distinct=True)
     scored = segment.performance_score(df, PERF)
     scaled, kept, _ = segment.cluster_features(scored, FEATS, keep=["student_id", "performance_score"])
     return df, scaled
@@ -134,7 +134,7 @@ def q_attach_clusters(spark, sf_dir):
 
 @register("kmeans3")
 def q_kmeans3(spark, sf_dir):
-    df = students(spark, sf_dir).dropDuplicates()
+    df = stored_students(spark, sf_dir, distinct=True)
     run = segment.run_clustering(df, FEATS, PERF, "student_id")
     return run["assignments"].orderBy("label_rank", F.desc("performance_score"))
 
