@@ -15,13 +15,15 @@ from cohort.sources import records
 from cohort.sources.store import Store
 from cohort.streaming import streams
 from cohort.plans.common import register, finish, STUDENTS, TARGET_SQL
-from cohort.sources.fixtures import students
+from cohort.sources.fixtures import stored_students, students
 
 
 COLUMNS = ["student_id", "studytime", "absences", "failures", "g1", "g2", "recorded_at"]
 #: Parts of time in which the fixture's rows arrive.
 SLICES = 4
 HOUR = 3600
+#: Rows of a file of the request stream, about, where there are more than four files' worth.
+FILE_ROWS = 200_000
 
 
 def _scratch(spark, name):
@@ -61,12 +63,14 @@ def q_stream_pass_rate(spark, sf_dir):
         F.coalesce("late", F.lit(0)).cast("long").alias("late")))
 
 
-def _stream_source(spark, sf_dir):
-    """(stream, the same rows as a table): four files in hash order, one per micro-batch."""
+def _stream_source(df):
+    """(stream, the same rows as a table): files of bounded size in hash order, a quarter of them per micro-batch."""
+    spark = df.sparkSession
     path = _scratch(spark, "stream-src")
-    src = students(spark, sf_dir).select(*COLUMNS)
-    src.repartition(4, F.xxhash64(F.lit(1), "student_id", "recorded_at")).write.parquet(path)
-    return spark.readStream.schema(src.schema).option("maxFilesPerTrigger", 1).parquet(path), spark.read.parquet(path)
+    src = df.select(*COLUMNS)
+    each = max(1, -(-src.count() // (SLICES * FILE_ROWS)))
+    src.repartition(SLICES * each, F.xxhash64(F.lit(1), "student_id", "recorded_at")).write.parquet(path)
+    return spark.readStream.schema(src.schema).option("maxFilesPerTrigger", each).parquet(path), spark.read.parquet(path)
 
 
 @register("stream_dedup", f"WITH {STUDENTS}\nSELECT DISTINCT {', '.join(COLUMNS)}, false AS late FROM students")
@@ -88,13 +92,13 @@ SELECT student_id, errors IS NULL AS logged, errors, CAST(count(*) AS BIGINT) AS
 def q_stream_score(spark, sf_dir):
     """A fitted pipeline, stored and loaded by the stream: every request with its errors, whether it is in the log, and
     whether its logged probability is the one that the model gives in a batch."""
-    df = students(spark, sf_dir)
+    df = stored_students(spark, sf_dir)
     roles = detect_roles(df)
     target = kpi.target_column(df, roles, kpi.scale_stats(df, roles), "fail")
     feats, _, _ = clean.model_features(df.withColumn("_t", target), MAPPING, keep=["student_id", "_t"])
     model, _ = score.train_scoring_model(feats, F.col("_t"))
     path = models.save_model(model, _scratch(spark, "model"))
-    stream, rows = _stream_source(spark, sf_dir)
+    stream, rows = _stream_source(df)
     limits = clean.data_limits(clean.field_ranges(rows, MAPPING))
     base = _scratch(spark, "scores")
     requests, _, _ = clean.model_features(stream, MAPPING, keep=["student_id"])
@@ -117,7 +121,7 @@ def q_stream_score(spark, sf_dir):
 SELECT student_id, round(pass_probability, 6) AS pass_probability, predicted_label, risk_level, errors FROM x""")
 def q_stream_score_linear(spark, sf_dir):
     """The scoring chain with stated coefficients, whose every value SQL can check."""
-    stream, rows = _stream_source(spark, sf_dir)
+    stream, rows = _stream_source(stored_students(spark, sf_dir))
     limits = clean.data_limits(clean.field_ranges(rows, MAPPING))
 
     def batch_scores(b):
