@@ -18,6 +18,7 @@ import json
 import os
 import re
 from array import array
+from collections.abc import Callable
 from functools import cache
 
 import numpy as np
@@ -30,15 +31,37 @@ from pyspark.sql.window import Window
 from cohort.llm.bpe_tree import latin_pattern, list_array
 from cohort.llm.common import bounded_batches
 
-#: Distinct chunks that a Python worker remembers; beyond it the memory starts anew.
-REMEMBER = 500_000
+#: Distinct units, and chunks, that a Python worker remembers; beyond it the memory starts anew.
+REMEMBER = 650_000
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2_000
 #: The library turns white space into token borders, so what stands between is encoded by itself.
 CHUNK = re.compile(r"[^ \t\n\r\x0b\x0c]+")
-#: White space to Python's split, not to the library.
-SEPARATOR = re.compile(r"[\x1c-\x1f]")
+
+
+class Units(dict):
+    """Ids of the units (pre-tokens) of plain texts; the library's BPE model runs when a new one is looked up."""
+
+    def __init__(self, model: Callable[[str], list]):
+        self.model = model
+        self.long: list[str] = []
+        # the printable stand-in of each byte in a byte-level vocabulary: itself if visible, else the next from 256 on
+        seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [x for x in range(256) if x not in seen]
+        stand = {x: chr(x) for x in seen} | {x: chr(256 + i) for i, x in enumerate(rest)}
+        self.visible = {i: "".join(stand[x] for x in chr(i).encode()) for i in range(256)}
+
+    def __missing__(self, unit: str) -> bytes:
+        ids = self[unit] = array("i", [t.id for t in self.model(unit.translate(self.visible))]).tobytes()
+        if len(unit) > 64:
+            self.long.append(unit)
+        return ids
+
+    def forget_long(self) -> None:
+        for unit in self.long:
+            del self[unit]
+        self.long.clear()
 
 
 class Encoder:
@@ -46,13 +69,15 @@ class Encoder:
 
     Texts are encoded in parts that the library treats independently: what stands between white space.
     For the usual kind of file (NFC, white space to one space, lower case; split by ``SPLIT``; byte-level BPE)
-    a part of the first 256 characters is cut into the library's own pre-tokens, and only the library's BPE
+    a plain text, of the first 256 characters, is cut into the library's own pre-tokens, and only the library's BPE
     model runs on each distinct one; there, normalising is lower-casing.
     """
 
     #: Normalizer and split that the short way stands for (the file must have just these).
     NORMAL = [("NFC", None), ("Replace", r"\s+"), ("Lowercase", None)]
     SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    #: ``SPLIT`` with the commonest kind first, which cuts alike: no other kind begins with a letter.
+    CUT = r"[\p{L}]+|'s|'t|'re|'ve|'m|'ll|'d|[\p{N}]|[^\s\p{L}\p{N}]+"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -66,18 +91,12 @@ class Encoder:
         before = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
         usual = normal == self.NORMAL and [x["type"] for x in before] == ["Split", "ByteLevel"]
         usual = usual and before[0]["pattern"].get("Regex") == self.SPLIT and before[0]["invert"] and not (before[1]["add_prefix_space"] or before[1]["use_regex"])
-        self.split = latin_pattern(self.SPLIT) if usual else None
+        self.cut = latin_pattern(self.CUT) if usual else None
         self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.units: dict[str, bytes] = {}
-        # the printable stand-in of each byte in a byte-level vocabulary: itself if visible, else the next from 256 on
-        seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        rest = [x for x in range(256) if x not in seen]
-        stand = {x: chr(x) for x in seen} | {x: chr(256 + i) for i, x in enumerate(rest)}
-        self.visible = {i: "".join(stand[x] for x in chr(i).encode()) for i in range(256)}
+        self.units = Units(self.tok.model.tokenize)
 
     def is_plain(self, text: str) -> bool:
-        if self.split is None or SEPARATOR.search(text) or any(t in text for t in self.special):
+        if self.cut is None or any(t in text for t in self.special):
             return False
         try:
             text.encode("latin-1")
@@ -85,44 +104,22 @@ class Encoder:
             return False
         return True
 
-    def word(self, word: str) -> bytes:
-        """Ids of a lower-cased part of a plain text, by the library's pre-tokens."""
-        model, out = self.tok.model.tokenize, []
-        for unit in self.split.findall(word):
-            ids = self.units.get(unit)
-            if ids is None:
-                ids = array("i", [t.id for t in model(unit.translate(self.visible))]).tobytes()
-                if len(unit) <= 64:
-                    self.units[unit] = ids
-            out.append(ids)
-        return b"".join(out)
-
     def encode(self, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(flat ids, ids per text): ``end_id`` closes each text."""
-        for known in (self.chunks, self.words, self.units):
+        for known in (self.chunks, self.units):
             if len(known) > REMEMBER:
                 known.clear()
         plain = [bool(t) and self.is_plain(t) for t in texts]
-        parts = [t.lower().split() if p else CHUNK.findall(t) if t else [] for t, p in zip(texts, plain)]
-        chunks = list({c for s, p in zip(parts, plain) if not p for c in s if c not in self.chunks})
+        parts = [CHUNK.findall(t) if t and not p else [] for t, p in zip(texts, plain)]
+        chunks = list({c for s in parts for c in s if c not in self.chunks})
         for e, chunk in zip(self.tok.encode_batch_fast(chunks, add_special_tokens=False), chunks):
             self.chunks[chunk] = array("i", e.ids).tobytes()
-        end, rows, long = array("i", [end_id]).tobytes(), [], []
-        for s, p in zip(parts, plain):
-            known = self.words if p else self.chunks
-            try:
-                rows.append(b"".join(map(known.__getitem__, s)) + end)
-            except KeyError:  # new words, of plain texts only
-                for w in {w for w in s if w not in known}:
-                    known[w] = self.word(w)
-                    if len(w) > 64:
-                        long.append(w)
-                rows.append(b"".join(map(known.__getitem__, s)) + end)
-        for w in set(long):
-            del self.words[w]
+        end, chunk_ids, unit_ids = array("i", [end_id]).tobytes(), self.chunks.__getitem__, self.units.__getitem__
+        rows = [b"".join(map(unit_ids, self.cut.findall(t.lower())) if p else map(chunk_ids, s)) + end for t, s, p in zip(texts, parts, plain)]
         for chunk in chunks:
             if len(chunk) > 64:
                 del self.chunks[chunk]
+        self.units.forget_long()
         return np.frombuffer(b"".join(rows), np.int32), np.array([len(r) // 4 for r in rows], np.int64)
 
 

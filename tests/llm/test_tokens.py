@@ -48,6 +48,19 @@ def test_word_files_equal_the_library(texts):
     assert flat.tolist() == [i for w in want for i in w]
 
 
+def test_a_pre_token_is_remembered_once_whatever_stands_beside_it(monkeypatch):
+    from tokenizers import Tokenizer
+    tok, enc = Tokenizer.from_file(WORDS), token_files.Encoder(WORDS)
+    stems = [a + b + c for a in "bdé" for b in "aeiou" for c in "lnrst"]
+    texts = [" ".join(f"{mark}{s}{end}" for s in stems) for mark in ("", "(", "\x1c") for end in ("", ",", "...", "'s", "7", "\xa0", "y" * 80)]
+    want = [i for t in texts for i in [*tok.encode(t, add_special_tokens=False).ids, 1]]
+    assert enc.encode(texts, 1)[0].tolist() == want
+    remembered = [k for known in vars(enc).values() if isinstance(known, dict) for k in known if isinstance(k, str)]
+    assert sorted(remembered) == sorted([*stems, "(", "\x1c", ",", "...", "'s", "7"])
+    monkeypatch.setattr(token_files, "REMEMBER", 40)
+    assert [i for t in texts for i in enc.encode([t], 1)[0].tolist()] == want
+
+
 def test_odd_rows(spark, odd):
     n = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(odd.drop("n_tokens"), PIECES, keep=["doc_id"]).collect()}
     assert n[0] == n[1] == 0 and n[2] == 1 and n[15] == n[16]
