@@ -21,16 +21,20 @@ from pyspark.sql import functions as F
 from cohort.functions.exprs import col, num, is_numeric_type, is_categorical_type
 from cohort.functions.labels import PASS, FAIL
 from cohort.operators import metrics
+from cohort.operators.forest import GroupedForest
 from cohort.operators.prep import TablePrep, TablePrepModel, fit_leave_out
 from cohort.operators.split import fold_assignment, class_counts, choose_cv_folds, stratified_split
 from cohort.operators.ordered import previous_rows
 from cohort.session import scratch_path
 
 LABEL = "label"        # 1.0 = Pass, 0.0 = Fail
+COUNT = "_rows"        # equal rows of a forest's fit
 #: Rows that one task of an iterative fit reads per pass, at least where there are as many.
 ROWS_PER_PART = 20_000
 #: Rows of a forest's fit that one task reads per pass: at least, where there are as many, and at most.
 FOREST_ROWS, FOREST_MOST_ROWS = 2_000, 200_000
+#: Distinct rows times features of a forest that is grown a tree a task: the driver holds them as numbers, a task as bytes.
+FOREST_CELLS = 16_000_000
 # ---- fixed values (model settings) ------------------------------------------
 MODEL_NAMES = {"tree": "Decision Tree Classifier", "logistic": "Logistic Regression",
                "forest": "Random Forest Classifier"}
@@ -99,6 +103,22 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism)
 
 
+def fit_forest(data: DataFrame, features: list[str], prepared: TablePrepModel, library, classes: int = 0) -> PipelineModel:
+    """A forest with the settings of ``library``, the library's estimator, grown on the distinct rows with their counts.
+
+    Rows with too many distinct values for a task are left to the library's estimator itself."""
+    rows, places = prepared.getOrDefault("rows"), len(prepared.getOrDefault("numeric")) + sum(map(len, prepared.getOrDefault("levels")))
+    groups = data.groupBy(*[col(c).alias(c) for c in features], LABEL).agg(F.count(F.lit(1)).alias(COUNT)).persist()
+    try:
+        if groups.count() * places <= FOREST_CELLS:
+            grown = GroupedForest(label=LABEL, count=COUNT, classes=classes, trees=library.getNumTrees(), depth=library.getMaxDepth(),
+                                  least=library.getMinInstancesPerNode(), seed=library.getSeed())
+            return Pipeline(stages=[prepared, grown]).fit(forest_parts(groups, rows))
+    finally:
+        groups.unpersist()
+    return Pipeline(stages=[prepared, library]).fit(forest_parts(data, rows))
+
+
 def fit(df: DataFrame, kind: str, features: list[str], seed: int = 42, prepared: TablePrepModel | None = None, **kw) -> PipelineModel:
     """Fit one pipeline; the (narrow) training frame is persisted for the duration of the fit.
 
@@ -107,8 +127,10 @@ def fit(df: DataFrame, kind: str, features: list[str], seed: int = 42, prepared:
     try:
         prepared = prepared or TablePrep(**dict(zip(("numeric", "categorical"), split_features(df, features)))).fit(data)
         rows = prepared.getOrDefault("rows")
-        parted = forest_parts(data, rows) if kind == "forest" and rows > FOREST_ROWS else few_parts(data, rows)
-        return Pipeline(stages=[prepared, classifier(kind, rows, seed, **kw)]).fit(parted)
+        model = classifier(kind, rows, seed, **kw)
+        if kind == "forest" and rows > FOREST_ROWS:
+            return fit_forest(data, features, prepared, model, classes=2)
+        return Pipeline(stages=[prepared, model]).fit(few_parts(data, rows))
     finally:
         data.unpersist()
 
@@ -399,10 +421,9 @@ def train_forest_regressor(df: DataFrame, features: list[str], target: str, key:
     train, test = data.where(~F.col("is_test")), data.where(F.col("is_test"))
     train = train.persist()
     prepared = TablePrep(numeric=numeric, categorical=categorical).fit(train)
-    rows = prepared.getOrDefault("rows")
-    pipe = Pipeline(stages=[prepared, RandomForestRegressor(labelCol=LABEL, numTrees=trees, seed=seed, maxDepth=FOREST_DEPTH,
-                                                            maxMemoryInMB=1024, cacheNodeIds=True)])
-    model = pipe.fit(forest_parts(train, rows) if rows > FOREST_ROWS else train)
+    library = RandomForestRegressor(labelCol=LABEL, numTrees=trees, seed=seed, maxDepth=FOREST_DEPTH, maxMemoryInMB=1024, cacheNodeIds=True)
+    many = prepared.getOrDefault("rows") > FOREST_ROWS
+    model = fit_forest(train, features, prepared, library) if many else Pipeline(stages=[prepared, library]).fit(train)
     train.unpersist()
     path = scratch_path(df.sparkSession, f"forest-{uuid.uuid4().hex}")  # scored once, for both metrics and the caller
     model.transform(spread(test)).select(key, LABEL, "prediction").write.parquet(path)
