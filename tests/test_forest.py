@@ -87,7 +87,7 @@ def test_many_features_and_forgotten_rows_are_scored_alike(spark, rows, monkeypa
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     cuts = [np.array(c) for c in small.getOrDefault("cuts")]
     x = forest.binned(np.array([r.features.toArray() for r in rows.collect()]), cuts)
-    assert [r.rawPrediction[1] for r in whole] == pytest.approx(forest.walk(small.trees, x)[:, 0].tolist())
+    assert [r.rawPrediction[1] for r in whole] == pytest.approx(forest.walk(forest.paths(small.trees), x)[:, 0].tolist())
 
 
 def test_a_fit_of_many_rows_is_grown_on_the_distinct_ones(spark, monkeypatch):
