@@ -29,6 +29,8 @@ MOST_BINS = 32
 #: Rows scored together, few enough for the processor's cache; scored rows that a task remembers at most.
 CHUNK, REMEMBERED = 8_192, 500_000
 EPSILON = 2.220446049250313e-16
+#: Two counts below it are one exact number.
+TWO = 2.0 ** 26
 
 
 # ---- arrays: thresholds, growth, scoring ----------------------------------------
@@ -85,6 +87,14 @@ def _count(stats: list[np.ndarray], classes: int) -> np.ndarray:
     return sum(stats[1:classes], stats[0]) if classes else stats[0]
 
 
+def _apart(sums: list[np.ndarray], classes: int) -> list[np.ndarray]:
+    """Counts of two classes out of one number, where they were added up as one."""
+    if classes != 2 or len(sums) == 2:
+        return sums
+    high = np.floor(sums[0] / TWO)
+    return [sums[0] - high * TWO, high]
+
+
 def _starts(x: np.ndarray) -> np.ndarray:
     """Where a run of equal numbers begins."""
     new = np.empty(len(x), bool)
@@ -101,13 +111,13 @@ def _candidates(key: np.ndarray, nodes: int, bins: int, weights: list[np.ndarray
         at = np.flatnonzero(np.bincount(key, minlength=nodes * bins))
         return at // bins, at % bins, [s[at] for s in sums]
     at = np.flatnonzero(sum(sums[1:], sums[0]))
-    node = at // bins
+    node, sums = at // bins, _apart([s[at] for s in sums], classes)
     start = _starts(node)
     size = np.diff(start, append=len(at))
     left = []
     for s in sums:  # whole numbers: differences of running sums are exact
-        run = np.cumsum(s[at])
-        left.append(run - np.repeat(run[start] - s[at[start]], size))
+        run = np.cumsum(s)
+        left.append(run - np.repeat(run[start] - s[start], size))
     return node, at % bins, left
 
 
@@ -122,10 +132,12 @@ def grow(cols: np.ndarray, bins: list[int], rows: np.ndarray, y: np.ndarray, n:
     m = cols.shape[1]
     weights = [np.bincount(rows, k * (y == c), m) for c in range(classes)] if classes else [np.bincount(rows, k * z, m) for z in (np.ones(len(y)), y, y * y)]
     used = np.flatnonzero(_count(weights, classes))
-    cols, weights = cols[:, used], [w[used] for w in weights]
+    cols, weights = cols.take(used, axis=1), [w[used] for w in weights]
     total = [np.array([w.sum()]) for w in weights]
+    if classes == 2 and k.sum() < TWO:
+        weights = [weights[0] + TWO * weights[1]]
     made = [(total, np.array([-1]), np.array([0], np.uint8), np.array([-1]))]  # by level: sums, feature, bin, first child
-    node = np.zeros(len(used), np.intp)  # place of the row's node among the open ones
+    node, ids = np.zeros(len(used), np.intp), np.arange(len(used))  # place of the row's node among the open ones, and of its bins
     open_, total = np.array([0]), [t.copy() for t in total]  # places of the open nodes within the level
     if not len(used) or _impurity(total, classes)[0] < EPSILON:
         open_ = open_[:0]
@@ -147,17 +159,18 @@ def grow(cols: np.ndarray, bins: list[int], rows: np.ndarray, y: np.ndarray, n:
             at = np.flatnonzero(allowed[f].take(node))
             if not len(at):
                 continue
-            x, w = cols[f].take(at), node.take(at)
+            x, w = cols[f].take(ids.take(at)), node.take(at)
             if bins[f] == 2:
-                low = at[x == 0]
-                sums = [np.bincount(node.take(low), v.take(low), size) for v in weights]
-                who = np.flatnonzero(_count(sums, classes))
-                which, sums = np.zeros(len(who), np.uint8), [s[who] for s in sums]
+                who, side = np.flatnonzero(allowed[f]), at[x == 1] if classes else at[x == 0]
+                sums = _apart([np.bincount(node.take(side), v.take(side), size)[who] for v in weights], classes)
+                which = np.zeros(len(who), np.uint8)
+                if classes:  # whole numbers, and mostly fewer rows on this side
+                    sums = [t[who] - s for t, s in zip(total, sums)]
             else:
                 who, which, sums = _candidates(w * bins[f] + x, size, bins[f], [v.take(at) for v in weights], classes)
             k_left = _count(sums, classes)
             k_right = count[who] - k_left
-            fit = np.flatnonzero((k_left >= least) & (k_right >= max(least, 1)))
+            fit = np.flatnonzero((k_left >= max(least, 1)) & (k_right >= max(least, 1)))
             if not len(fit):
                 continue
             who, which, sums, k_left, k_right = who[fit], which[fit], [s[fit] for s in sums], k_left[fit], k_right[fit]
@@ -185,11 +198,14 @@ def grow(cols: np.ndarray, bins: list[int], rows: np.ndarray, y: np.ndarray, n:
         stays = np.flatnonzero(np.abs(_impurity(both, classes)) >= EPSILON)
         place = np.full(2 * len(split), -1)
         place[stays] = np.arange(len(stays))
-        kept = np.flatnonzero(feature[node] >= 0)
-        was = node[kept]
-        to = place[child[was] + (cols[feature[was], kept] > cut[was])]
-        kept, to = kept[to >= 0], to[to >= 0]
-        cols, weights, node = cols[:, kept], [v[kept] for v in weights], to
+        kept = np.flatnonzero(feature.take(node) >= 0)
+        was, ids = node.take(kept), ids.take(kept)
+        to = place.take(child.take(was) + (cols.ravel().take(feature.take(was) * cols.shape[1] + ids) > cut.take(was)))
+        on = np.flatnonzero(to >= 0)
+        kept, ids, node = kept.take(on), ids.take(on), to.take(on)
+        weights = [v.take(kept) for v in weights]
+        if 2 * len(ids) < cols.shape[1]:
+            cols, ids = cols.take(ids, axis=1), np.arange(len(ids))
         open_, total = stays, [s[stays] for s in both]
     return _pruned(made, classes)
 

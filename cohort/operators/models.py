@@ -103,6 +103,16 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism)
 
 
+def scored_once(model, df: DataFrame, features: list[str]) -> DataFrame:
+    """The rows with the model's ``prediction``: distinct feature rows are scored and written, and joined to all their rows."""
+    path = scratch_path(df.sparkSession, f"scored-{uuid.uuid4().hex}")
+    names = [f"_f{i}" for i in range(len(features))]
+    distinct = df.select(*[col(c).alias(c) for c in features]).distinct()
+    model.transform(spread(distinct)).select(*[col(c).alias(n) for c, n in zip(features, names)], "prediction").write.parquet(path)
+    same = [col(c).eqNullSafe(F.col(n)) for c, n in zip(features, names)]
+    return df.join(df.sparkSession.read.parquet(path), same, "left").drop(*names)  # its size says whether it's sent to all tasks
+
+
 def fit_forest(data: DataFrame, features: list[str], prepared: TablePrepModel, library, classes: int = 0) -> PipelineModel:
     """A forest with the settings of ``library``, the library's estimator, grown on the distinct rows with their counts.
 
@@ -449,7 +459,7 @@ def train_forest_regressor(df: DataFrame, features: list[str], target: str, key:
     model = fit_forest(train, features, prepared, library) if many else Pipeline(stages=[prepared, library]).fit(train)
     train.unpersist()
     path = scratch_path(df.sparkSession, f"forest-{uuid.uuid4().hex}")  # scored once, for both metrics and the caller
-    model.transform(spread(test)).select(key, LABEL, "prediction").write.parquet(path)
+    scored_once(model, test, features).select(key, LABEL, "prediction").write.parquet(path)
     pred = df.sparkSession.read.parquet(path)
     mae = RegressionEvaluator(labelCol=LABEL, metricName="mae").evaluate(pred)
     r2 = RegressionEvaluator(labelCol=LABEL, metricName="r2").evaluate(pred)

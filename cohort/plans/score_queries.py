@@ -114,6 +114,7 @@ def q_score_table(spark, sf_dir):
 def q_score_average(spark, sf_dir):
     from cohort.operators import models
     s = stored_students(spark, sf_dir, distinct=True)
-    model, _, _ = models.train_forest_regressor(s, ["studytime", "absences", "failures", "programme"], "g3", "student_id")
-    return model.transform(models.spread(s.select("student_id", "studytime", "absences", "failures", "programme"))) \
+    features = ["studytime", "absences", "failures", "programme"]
+    model, _, _ = models.train_forest_regressor(s, features, "g3", "student_id")
+    return models.scored_once(model, s.select("student_id", *features), features) \
         .select("student_id", F.col("prediction").alias("predicted_average"))

@@ -100,3 +100,31 @@ def test_a_fit_of_many_rows_is_grown_on_the_distinct_ones(spark, monkeypatch):
     assert len(seen) == 2 and len(fitted.stages[-1].trees) == 20 and scores["r2"] > 0.9 and pred.count() > 2000
     monkeypatch.setattr(models, "FOREST_CELLS", 100)  # too many distinct rows for a task: the library's forest
     assert isinstance(models.fit(rows, "forest", ["x", "t"], trees=2, forest_depth=3).stages[-1], RandomForestClassificationModel)
+
+
+def test_distinct_rows_are_scored_once_and_every_row_comes_back(spark, monkeypatch):
+    values = [(i, x, t) for i, (x, t) in enumerate([(1.0, "a"), (2.0, "b"), (None, "a"), (float("nan"), None), (0.0, "a"), (-0.0, "a"), (1.0, None)] * 40)]
+    rows = spark.createDataFrame(values + values[:5], "k int, x double, t string").withColumn(models.LABEL, (F.col("k") % 2).cast("double"))
+    model = models.fit(rows, "tree", ["x", "t"])
+    want = sorted((r.k, r.prediction) for r in model.transform(rows).collect())
+    seen, real = [], model.transform
+    monkeypatch.setattr(model, "transform", lambda df: (seen.append(df.count()), real(df))[1])
+    out = models.scored_once(model, rows, ["x", "t"])
+    assert out.columns == [*rows.columns, "prediction"] and sorted((r.k, r.prediction) for r in out.collect()) == want
+    assert seen == [6]
+
+
+def test_models_of_a_training_share_folds_and_donors(spark, monkeypatch):
+    rows = spark.range(300).select(F.col("id").alias("k"), (F.col("id") % 7).alias("x"), (F.col("id") % 5).alias("z"))
+    target = F.when((F.col("x") + F.col("z")) % 3 > 0, "Pass").otherwise("Fail")
+    seen = []
+    for name in ("fold_assignment", "fit_leave_out", "previous_rows"):
+        monkeypatch.setattr(models, name, lambda *a, _f=getattr(models, name), _n=name, **k: (seen.append(_n), _f(*a, **k))[1])
+    out = models.train_all(rows, target, ["x", "z"], "k", kinds=("tree", "logistic"))
+    assert sorted(seen) == ["fit_leave_out"] * 2 + ["fold_assignment"] * 2 + ["previous_rows"]
+    data = models.labelled(rows, target, ["x", "z"], "k")
+    parts = models.stratified_split(data, models.LABEL, F.col("k"), 0.3, 42)
+    train, test = (parts.where(F.col("is_test") == t).drop("is_test") for t in (False, True))
+    model = models.calibrate_sigmoid(train, "tree", ["x", "z"], "k")
+    one = {r.feature: r.importance for r in models.permutation_importance(model, test, ["x", "z"], "k").collect()}
+    assert {r.feature: r.importance for r in out["importance"].where("model = 'Decision Tree Classifier'").collect()} == pytest.approx(one, abs=1e-9)
